@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from . import media, mixing, packing, simhash
+from . import linededup, media, mixing, packing, simhash
 
 QUERIES = {
     "op1_source_mix": mixing.op1_source_mix,
     "op2_packed_windows": packing.op2_packed_windows,
     "op3_media_columns": media.op3_media_columns,
+    "op8_line_dedup": linededup.op8_line_dedup,
     "op9_simhash_components": simhash.op9_simhash_components,
 }
-ORACLE_SQL = {"op1_source_mix": mixing.SQL}
+ORACLE_SQL = {
+    "op1_source_mix": mixing.SQL,
+    "op8_line_dedup": linededup.SQL,
+}
