@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from .common import staged, table
 
@@ -188,14 +188,14 @@ def media_files(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(write, "doc_id long, n_bytes long, media binary")
 
 
-PROBED = "codec string, handler string, timescale long, duration long, samples long, keyframes array<struct<offset:long,length:long>>"
+PROBED = "tracks array<struct<codec:string,handler:string,timescale:long,duration:long,samples:long,keyframes:array<struct<offset:long,length:long>>>>"
 
 
 def probed(files: DataFrame, column: str = "media") -> DataFrame:
     """``files`` without ``column``, with tracks: an array of what ``probe`` finds."""
     kept = [c for c in files.columns if c != column]
     kind = pa.struct([("codec", pa.string()), ("handler", pa.string()), ("timescale", pa.int64()), ("duration", pa.int64()), ("samples", pa.int64()), ("keyframes", pa.list_(pa.struct([("offset", pa.int64()), ("length", pa.int64())])))])
-    schema = files.select(*kept).schema.add("tracks", f"array<struct<{PROBED.replace(' string', ':string').replace(' long', ':long').replace(' array', ':array')}>>")
+    schema = T.StructType([*files.select(*kept).schema, *T.StructType.fromDDL(PROBED)])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
