@@ -14,6 +14,10 @@ first met and remembered. Texts with special-token marks go to the tokenizer who
 
 from __future__ import annotations
 
+import functools
+import os
+import re
+import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -30,41 +34,91 @@ VOCABULARY = "word_bpe_49k.json"
 #: Pieces a shard holds on average.
 SHARD = 1500
 #: Words a worker remembers before it starts afresh, and the longest word that it remembers.
-REMEMBER, LONGEST = 400_000, 64
+REMEMBER, LONGEST = 300_000, 64
+#: A character that is a token of its own; it stands between words that are tokenised together.
+BETWEEN = b"\x01"
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
+#: Letters, then punctuation without an apostrophe: what the tokenizer splits into these two parts at most.
+PLAIN = re.compile(r"([^\W\d_]+)([^\w\s']*)")
+
+
+def byte_characters() -> dict[int, str]:
+    """Byte -> the character that stands for it in a byte-level vocabulary: printable Latin-1 for itself, the
+    other bytes in order from U+0100 on."""
+    printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = sorted({*range(256)} - printable)
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
 class WordIds(dict):
-    """Word (lower-cased in ASCII) -> its ids as bytes of unsigned 32-bit integers."""
+    """Word (lower-cased in ASCII) -> its ids as bytes of unsigned 32-bit integers.
+
+    Plain words go to the tokenizer's merges in parts, without its normaliser and splitting, which change
+    nothing in them; all others go through the tokenizer.
+    """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the unit of parallelism
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.parts: dict[str, bytes] = {"": b""}
+        self.characters = byte_characters()
+        (self.between,) = self._encode(BETWEEN.decode())
 
-    def encode(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    def _encode(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
     def __missing__(self, word: bytes) -> bytes:
-        ids = self.encode(word.decode())
-        if len(word) <= LONGEST:
-            self[word] = ids
+        return self._encode(word.decode()).tobytes()
+
+    def _part(self, part: str) -> bytes:
+        ids = self.parts.get(part)
+        if ids is None:
+            mapped = part if part.isascii() else part.encode().decode("latin-1").translate(self.characters)
+            ids = self.parts[part] = array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
         return ids
 
-    def ids(self, text: str) -> bytes:
-        raw = text.encode("utf-8", "surrogatepass").lower()
-        if b"<|" in raw:
-            return self.encode(text)
+    def _learn(self, words: list[bytes]) -> None:
+        rest = []
+        for w in words:
+            s = w.decode()
+            plain = PLAIN.fullmatch(s)
+            if plain and plain[1].isalpha() and (s.isascii() or s.lower() == s and unicodedata.is_normalized("NFC", s)):
+                self[w] = self._part(plain[1]) + self._part(plain[2])
+            else:
+                rest.append(w)
+        for at in range(0, len(rest), 2000):
+            self._joined(rest[at : at + 2000])
+
+    def _joined(self, words: list[bytes]) -> None:
+        """Tokenises words in one go; where one of them holds the separating token, each by itself later."""
+        ids = self._encode((b" " + BETWEEN + b" ").join(words).decode())
+        cuts = np.flatnonzero(ids == self.between)
+        if len(cuts) == len(words) - 1:
+            raw, ends = ids.tobytes(), [*(4 * cuts).tolist(), 4 * len(ids)]
+            starts = [0, *(4 * cuts + 4).tolist()]
+            self.update(zip(words, map(raw.__getitem__, map(slice, starts, ends)), strict=True))
+
+    def ids(self, texts: list[str]) -> list[bytes]:
         if len(self) > REMEMBER:
             self.clear()
-        words = raw.split()
-        fresh = [w for w in dict.fromkeys(words) if w not in self and len(w) <= LONGEST]
-        if fresh:
-            found = self.tokenizer.encode_batch_fast([w.decode() for w in fresh], add_special_tokens=False)
-            self.update((w, array("I", e.ids).tobytes()) for w, e in zip(fresh, found, strict=True))
-        return b"".join(map(self.__getitem__, words))
+            self.parts = {"": b""}
+        raw = [t.encode().lower() for t in texts]
+        words = [None if b"<|" in r else r.split() for r in raw]
+        self._learn([w for w in set().union(*filter(None, words)).difference(self) if len(w) <= LONGEST and BETWEEN not in w])
+        return [self._encode(t).tobytes() if w is None else b"".join(map(self.__getitem__, w)) for t, w in zip(texts, words, strict=True)]
+
+
+@functools.cache
+def known(path: str) -> WordIds:
+    """One for each worker and vocabulary: tasks go on with what earlier ones have met."""
+    return WordIds(path)
 
 
 def tokenizer_path(name: str = VOCABULARY) -> str:
@@ -78,11 +132,12 @@ def cut(docs: DataFrame, path: str | None = None, window: int = WINDOW, end_id:
     end = np.array([end_id], "<u4").tobytes()
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordIds(path or tokenizer_path())
-        for batch in batches:
+        words = known(path or tokenizer_path())
+        for part in (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256)):
             out: tuple[list, ...] = ([], [], [], [], [])
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = memoryview(known.ids(text.as_py() or "") + end)
+            texts = [x or "" for x in part.column(1).to_pylist()]
+            for doc, found in zip(part.column(0).to_pylist(), words.ids(texts), strict=True):
+                ids = memoryview(found + end)
                 n = len(ids) // 4
                 for start in range(0, n, window):
                     piece = ids[4 * start : 4 * (start + window)]
