@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import linededup, lm, media, mixing, packing, simhash
+from . import html, linededup, lm, media, mixing, packing, simhash
 
 QUERIES = {
     "op1_source_mix": mixing.op1_source_mix,
     "op2_packed_windows": packing.op2_packed_windows,
     "op3_media_columns": media.op3_media_columns,
+    "op4_template_free_text": html.op4_template_free_text,
     "op5_ctw_scores": lm.op5_ctw_scores,
     "op8_line_dedup": linededup.op8_line_dedup,
     "op9_simhash_components": simhash.op9_simhash_components,
