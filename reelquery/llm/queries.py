@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import html, linededup, lm, media, mixing, packing, simhash
+from . import classifier, html, linededup, lm, media, mixing, packing, rollup, simhash
 
 QUERIES = {
     "op1_source_mix": mixing.op1_source_mix,
@@ -10,8 +10,10 @@ QUERIES = {
     "op3_media_columns": media.op3_media_columns,
     "op4_template_free_text": html.op4_template_free_text,
     "op5_ctw_scores": lm.op5_ctw_scores,
+    "op6_token_rollup": rollup.op6_token_rollup,
     "op8_line_dedup": linededup.op8_line_dedup,
     "op9_simhash_components": simhash.op9_simhash_components,
+    "op10_site_quality": classifier.op10_site_quality,
 }
 ORACLE_SQL = {
     "op1_source_mix": mixing.SQL,
