@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import classifier, html, linededup, lm, media, mixing, packing, rollup, simhash
+from . import ann, classifier, html, linededup, lm, media, mixing, packing, rollup, simhash
 
 QUERIES = {
     "op1_source_mix": mixing.op1_source_mix,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_template_free_text": html.op4_template_free_text,
     "op5_ctw_scores": lm.op5_ctw_scores,
     "op6_token_rollup": rollup.op6_token_rollup,
+    "op7_posting_list_neighbours": ann.op7_posting_list_neighbours,
     "op8_line_dedup": linededup.op8_line_dedup,
     "op9_simhash_components": simhash.op9_simhash_components,
     "op10_site_quality": classifier.op10_site_quality,
