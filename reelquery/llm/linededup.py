@@ -31,7 +31,10 @@ PLACE = "decimal(31,0)"
 
 
 def words(line: Column) -> Column:
-    return F.filter(F.split(line, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    """Words of a line; splitting at single blanks needs no regular expression."""
+    for blank in "\t\x0b\x0c\r":
+        line = F.replace(line, F.lit(blank), F.lit(" "))
+    return F.array_remove(F.split(line, " "), "")
 
 
 def place(doc_id: str, line: str) -> Column:
@@ -55,12 +58,17 @@ def halves(w: Column, n: Column) -> Column:
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """A narrow row for each line with words: its document, place, 128 bits of hash, number of words and half keys."""
-    rows = exploded(docs).withColumn("w", words(F.col("text"))).withColumn("n", F.size("w")).filter("n > 0")
+    """A narrow row for each line: its document, place, 128 bits of hash, number of words and half keys."""
+    rows = exploded(docs).withColumn("w", words(F.col("text"))).withColumn("n", F.size("w"))
     rows = rows.withColumn("k", F.when(F.col("n") >= MIN_WORDS, halves(F.col("w"), F.col("n"))))
     return rows.select("doc_id", "_t", "line", place("doc_id", "line").alias("place"), F.xxhash64("w").alias("h1"), mix64("w").alias("h2"), *(F.col("k")[i].alias(f"k{i}") for i in range(4)))
 
 
+def blank() -> Column:
+    """The hash of a line without words."""
+    return F.xxhash64(F.array().cast("array<string>"))
+
+
 def candidates(distinct: DataFrame) -> DataFrame:
     """The distinct lines that share a half with another."""
     keys = distinct.filter("k0 IS NOT NULL").select("h1", "h2", "place", F.explode(F.array("k0", "k1", "k2", "k3")).alias("k"))
@@ -104,9 +112,14 @@ def one_edit(a: Column, b: Column) -> Column:
 
 def near_lines(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     """h1, h2 of the distinct lines that an earlier one is one edit away from."""
-    chosen = hinted(staged(candidates(distinct), "line-candidates"), BROADCAST_ROWS)
-    lines = exploded(docs).withColumn("place", place("doc_id", "line")).join(chosen, "place").withColumn("w", words(F.col("text")))
-    lines = lines.filter((F.xxhash64("w") == F.col("h1")) & (mix64("w") == F.col("h2"))).select("h1", "h2", "place", "w")
+    chosen = candidates(distinct)
+    doc = F.floor(F.col("place") / F.lit(LINES)).cast("decimal(20,0)")
+    line = (F.col("place") - doc * F.lit(LINES).cast("decimal(10,0)")).cast("int")
+    wanted = chosen.select(F.when(doc >= -(2**63), doc).cast("long").alias("_d"), F.struct("h1", "h2", "place", line.alias("line")).alias("c"))
+    wanted = hinted(staged(wanted.groupBy("_d").agg(F.collect_list("c").alias("c")), "line-candidates"), BROADCAST_ROWS)
+    found = docs.join(wanted, F.expr("doc_id <=> _d")).select("c", F.split("text", "\n").alias("ls"))
+    lines = found.select(F.inline(F.transform("c", lambda c: F.struct(c["h1"].alias("h1"), c["h2"].alias("h2"), c["place"].alias("place"), F.get("ls", c["line"]).alias("text")))))
+    lines = lines.withColumn("w", words(F.col("text"))).filter((F.xxhash64("w") == F.col("h1")) & (mix64("w") == F.col("h2"))).select("h1", "h2", "place", "w")
     lines = staged(lines, "line-words", "zstd")
     named = witnesses(staged(variants(lines.dropDuplicates(["h1", "h2"])), "line-variants"))
     later = named.join(lines.select("h1", "h2", F.col("w").alias("a")), ["h1", "h2"])
@@ -117,7 +130,7 @@ def near_lines(docs: DataFrame, distinct: DataFrame) -> DataFrame:
 def dropped(docs: DataFrame) -> DataFrame:
     """doc_id, _t, exact, near: for each document that loses lines, their numbers."""
     rows = staged(occurrences(docs), "lines")
-    distinct = staged(rows.groupBy("h1", "h2").agg(F.min("place").alias("place"), F.max("place").alias("last"), *(F.min(f"k{i}").alias(f"k{i}") for i in range(4))), "line-distinct")
+    distinct = staged(rows.filter(F.col("h1") != blank()).groupBy("h1", "h2").agg(F.min("place").alias("place"), F.max("place").alias("last"), *(F.min(f"k{i}").alias(f"k{i}") for i in range(4))), "line-distinct")
     near = near_lines(docs, distinct).withColumn("near", F.lit(True))
     gone = distinct.select("h1", "h2", F.col("place").alias("first"), "last").join(hinted(staged(near, "line-near"), BROADCAST_ROWS), ["h1", "h2"], "left").filter("near OR first < last")
     gone = hinted(staged(gone.select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near")), "line-gone"), BROADCAST_ROWS)
