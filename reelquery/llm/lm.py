@@ -23,7 +23,7 @@ from .common import staged, table
 
 DEPTH, FOLDS, HELD_FOLD = 5, 7, 2
 #: Grams of a model range; words whose counts are broadcast; grams weighed at once; bytes of text at once.
-BLOCK, HEAD, CHUNK, TEXT = 3_000_000, 1_000_000, 120_000, 1 << 20
+BLOCK, HEAD, CHUNK, TEXT = 2_000_000, 250_000, 120_000, 1 << 19
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -47,10 +47,10 @@ def gram_counts(train: DataFrame, depth: int = DEPTH) -> DataFrame:
             for part in parts(batch.column(0)):
                 k, c = ctw.counted(ctw.grams([b" ".join(ctw.canonical(t)) + ctw.END for t in part], depth))
                 keys, counts, held = [*keys, k], [*counts, c], held + len(k)
-                if held > 2_000_000:
+                if held > 1_000_000:
                     k, c = ctw.merged(np.concatenate(keys), np.concatenate(counts))
                     keys, counts, held = [k], [c], len(k) // 2
-                    if len(k) > 1_500_000:
+                    if len(k) > 700_000:
                         yield from sent(k, c)
                         keys, counts, held = [], [], 0
         if keys:
