@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from reelquery.plans import retrieval, text
+
+QUERIES = retrieval.QUERIES | text.QUERIES
+ORACLE_SQL = retrieval.ORACLE_SQL | text.ORACLE_SQL
