@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 # The following are fixed values: words that mark credit scenes.
 CREDIT_WORDS = ("MAIN CAST", "ADDITIONAL VOICES", "CAST", "VOICE", "VOICES", "MAGYAR HANGOK", "TOVABBI MAGYAR HANGOK", "MAGYAR VALTOZAT", "VERSIONE ITALIANA", "ELENCO", "COMPOSITORS", "ANIMATORS", "PRODUCTION", "DIRECTOR", "WRITTEN BY", "EDITED BY", "SPECIAL EFFECTS", "VISUAL EFFECTS")
@@ -85,7 +85,7 @@ def token_bigram_similarity(a: Column | str, b: Column | str) -> Column:
     return F.when((F.coalesce(a, F.lit("")) == "") | (F.coalesce(b, F.lit("")) == ""), 0.0).when(a == b, 1.0).otherwise(mixed)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def ratcliff_obershelp(a: pd.Series, b: pd.Series) -> pd.Series:
     """Gestalt similarity of two strings; it depends on the order of the arguments."""
     from difflib import SequenceMatcher

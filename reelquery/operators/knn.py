@@ -33,7 +33,7 @@ def nearest(frames: DataFrame, queries: DataFrame, k: int, exclude_self: bool =
 
 def _local(frames: DataFrame, block: DataFrame, k: int, exclude_self: bool) -> DataFrame:
     got = block.toArrow()
-    q = np.array(got["embedding"].to_pylist(), "f8").reshape(len(got), -1)
+    q = np.array(got["embedding"].to_pylist(), "f8").reshape(len(got), -1 if len(got) else 0)
     names = got["query_id"].to_numpy()
     own = got["self_id"].to_pandas().to_numpy("float64", na_value=np.nan) if len(got) else np.zeros(0)
     shared = frames.sparkSession.sparkContext.broadcast((q, names, own))

@@ -68,7 +68,7 @@ def parsed_probe(report: Column) -> Column:
     video = F.get(F.filter(r["streams"], lambda s: s["codec_type"] == "video"), F.lit(0))
     fps = F.coalesce(F.nullif(rational(video["avg_frame_rate"]), F.lit(0.0)), rational(video["r_frame_rate"]))
     duration = F.coalesce(r["format"]["duration"].try_cast("double"), video["duration"].try_cast("double"))
-    frames = F.coalesce(video["nb_frames"].try_cast("bigint"), F.round(duration * fps).cast("bigint"))
+    frames = F.coalesce(video["nb_frames"].try_cast("bigint"), F.bround(duration * fps).cast("bigint"))
     return F.struct(duration.alias("duration_seconds"), F.nullif(fps, F.lit(0.0)).alias("fps"), frames.alias("frame_count"), video["width"].alias("width"), video["height"].alias("height"))
 
 
@@ -88,8 +88,9 @@ def probe_with(command: Callable[[str], str] | None = None):
     return reports
 
 
-def load(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(MEDIA).json(path, multiLine=True)
+def load(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """A catalogue: one JSON list, or with ``lines`` what ``save`` writes, an item a line."""
+    return spark.read.schema(MEDIA).json(path, multiLine=not lines)
 
 
 def by_id(media: DataFrame, id_: str) -> DataFrame:

@@ -48,10 +48,15 @@ def index(found: DataFrame, media: DataFrame) -> DataFrame:
 
 def tolerant(report: Column) -> Column:
     """Array of (start, end, text) of a JSON text: a list of entries or an object that holds one under any of the
-    usual names, up to three levels deep; entries under any of their usual field names, by start."""
+    usual names, at the top or one level down; entries under any of their usual field names, by start."""
     one = F.from_json(report, f"array<{LOOSE_ENTRY}>")
-    flat = F.coalesce(*(F.from_json(F.get_json_object(report, f"$.{a}"), f"array<{LOOSE_ENTRY}>") for a in CONTAINERS))
-    deep = F.coalesce(*(F.from_json(F.get_json_object(report, f"$.{a}.{b}"), f"array<{LOOSE_ENTRY}>") for a in CONTAINERS for b in CONTAINERS))
+
+    def listed(at: str) -> Column:
+        found = F.get_json_object(report, at)
+        return F.when(F.ltrim(found).startswith("["), F.from_json(found, f"array<{LOOSE_ENTRY}>"))
+
+    flat = F.coalesce(*(listed(f"$.{a}") for a in CONTAINERS))
+    deep = F.coalesce(*(listed(f"$.{a}.{b}") for a in CONTAINERS for b in CONTAINERS))
     found = F.when(F.ltrim(report).startswith("["), one).otherwise(F.coalesce(flat, deep))
     rows = F.transform(F.coalesce(found, F.array().cast(f"array<{LOOSE_ENTRY}>")), lambda e: F.struct(F.coalesce(e["start"], e["start_seconds"]).alias("start"), F.coalesce(e["end"], e["end_seconds"], e["start"], e["start_seconds"]).alias("end"), F.coalesce(e["text"], e["content"], e["subtitle"]).alias("text")))
     return F.sort_array(F.filter(rows, lambda e: e["start"].isNotNull() & (F.trim(F.coalesce(e["text"], F.lit(""))) != "")))
