@@ -12,7 +12,7 @@ from reelquery.schemas import CONTAINERS, LOOSE_ENTRY
 def files(spark: SparkSession, root: str) -> DataFrame:
     """subtitle_file, text: each .srt below a folder as one row."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.srt").load(root)
-    return raw.select(F.col("path").alias("subtitle_file"), F.decode("content", F.lit("UTF-8")).alias("text"))
+    return raw.select(F.col("path").alias("subtitle_file"), F.decode("content", "UTF-8").alias("text"))
 
 
 def parsed(text: Column) -> Column:
