@@ -7,8 +7,9 @@ import duckdb
 import pytest
 from pyspark.sql import SparkSession
 
+from tables import SF
+
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
-SF = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")

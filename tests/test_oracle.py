@@ -2,7 +2,7 @@
 
 import pytest
 
-from conftest import SF
+from tables import SF
 from reelquery import catalog
 
 

@@ -90,7 +90,7 @@ def test_recognised(spark, how, want):
 
 
 def test_audit_and_prototypes(spark):
-    from conftest import SF
+    from tables import SF
     from reelquery.plans.base import frames
 
     fr = frames(spark, SF)
