@@ -41,7 +41,6 @@ class Regression:
     """Logistic regression on standardised features and their squares, by Newton's method."""
 
     def __init__(self, x: np.ndarray, y: np.ndarray):
-        x = x.reshape(len(y), -1)
         self.mean = x.mean(0) if len(y) else np.zeros(x.shape[1])
         self.scale = np.maximum(x.std(0), 1e-6) if len(y) else np.ones(x.shape[1])
         z = self._expand(x)

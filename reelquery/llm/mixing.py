@@ -87,11 +87,11 @@ def plan(rows: DataFrame, cycle=CYCLE, max_epochs: int = MAX_EPOCHS) -> DataFram
 
 
 def decided(rows: DataFrame, per_source: DataFrame) -> DataFrame:
-    """``rows`` with source_size, target, copies: how often the mix takes each document."""
+    """``rows`` with _source_size, _target, _copies: how often the mix takes each document."""
     p = hinted(staged(per_source, "mix-plan"), BROADCAST_SOURCES).withColumnsRenamed({"source": "_source", "source_size": "_source_size", "target": "_target", "epochs": "_epochs"})
     mine = F.struct("_key", F.coalesce("doc_id", F.lit(-(2**63))).alias("doc_id"), "_size")
     extra = F.coalesce((F.col("_at") < F.col("_prefix")) | ((F.col("_at") == F.col("_prefix")) & (mine <= F.col("_last"))), F.lit(False))
-    return rows.join(p, F.expr("source <=> _source")).withColumn("copies", F.when(F.col("_size") > 0, F.col("_epochs") + extra.cast("long")).otherwise(0))
+    return rows.join(p, F.expr("source <=> _source")).withColumn("_copies", F.when(F.col("_size") > 0, F.col("_epochs") + extra.cast("long")).otherwise(0))
 
 
 def mix(docs: DataFrame, weight: Column | None = None, cycle=CYCLE, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
@@ -104,15 +104,15 @@ def mix(docs: DataFrame, weight: Column | None = None, cycle=CYCLE, max_epochs:
     """
     rows = staged(keyed(docs.select("doc_id", "text", "source"), weight, seed).select("doc_id", "source", "_size", "_key", "_at"), "mix-rows")
     out = decided(rows, plan(rows, cycle, max_epochs))
-    return out.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_size") * F.col("copies")).alias("taken"), "copies", "source")
+    return out.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_size") * F.col("_copies")).alias("taken"), F.col("_copies").alias("copies"), "source")
 
 
 def repeated(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: the rows of ``docs``, each as often as it is taken."""
     names = docs.columns
     rows = staged(keyed(docs.select("doc_id", "text", "source"), **options).select("doc_id", "source", "_size", "_key", "_at"), "mix-rows")
-    out = decided(keyed(docs, **options), plan(rows)).filter("copies > 0")
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*names)
+    out = decided(keyed(docs, **options), plan(rows)).filter("_copies > 0")
+    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*names)
 
 
 def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -80,7 +80,7 @@ class WordIds(dict):
     def _part(self, part: str) -> bytes:
         ids = self.parts.get(part)
         if ids is None:
-            mapped = part if part.isascii() else part.encode().decode("latin-1").translate(self.characters)
+            mapped = part if part.isascii() and part.isprintable() else part.encode().decode("latin-1").translate(self.characters)
             ids = self.parts[part] = array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
         return ids
 

@@ -50,10 +50,10 @@ def fingerprints(docs: DataFrame, *keep: str, words: int = WORDS, seed: int = SE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = np.array([fingerprint(x.as_py(), words, seed) for x in batch.column("text")], "u8").view("i8")
+            fp = np.array([fingerprint(x.as_py(), words, seed) for x in batch.column("_text")], "u8").view("i8")
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(fp)], [*keep, "fp"])
 
-    return docs.select(*keep, "text").mapInArrow(run, docs.select(*keep).schema.add("fp", "long"))
+    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, docs.select(*keep).schema.add("fp", "long"))
 
 
 def masks() -> list[int]:
