@@ -38,10 +38,20 @@ def staged(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Stored size up to which a table may be broadcast.
+BROADCAST_BYTES = 64 << 20
+
+
+def stored_bytes(df: DataFrame) -> int:
+    """Size of a staged table's files."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+
+
 def hinted(small: DataFrame, max_rows: int) -> DataFrame:
-    """``small`` (a staged table) with a broadcast hint if it has at most ``max_rows`` rows; beyond
-    that the planner shuffles both sides, and adaptive execution splits skewed partitions."""
-    return F.broadcast(small) if small.count() <= max_rows else small
+    """``small`` (a staged table) with a broadcast hint if it has at most ``max_rows`` rows and is stored in at
+    most ``BROADCAST_BYTES``; beyond that the planner shuffles both sides, and adaptive execution splits
+    skewed partitions."""
+    return F.broadcast(small) if stored_bytes(small) <= BROADCAST_BYTES and small.count() <= max_rows else small
 
 
 def mix64(*cols) -> F.Column:
