@@ -44,7 +44,7 @@ BROADCAST_BYTES = 64 << 20
 
 def stored_bytes(df: DataFrame) -> int:
     """Size of a staged table's files."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def hinted(small: DataFrame, max_rows: int) -> DataFrame:
