@@ -154,7 +154,7 @@ def deduped(docs: DataFrame) -> DataFrame:
     lost = F.concat("_e", "_n")
     kept = F.filter(lines, lambda x, i: ~F.array_contains(lost, i))
     text = F.when(F.col("_d").isNull() & F.col("_e").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    count = lambda c: F.coalesce(F.size(c), F.lit(0)) if c == "" else F.when(F.col(c).isNull(), 0).otherwise(F.size(c))
+    count = lambda c: F.when(F.col(c).isNull(), 0).otherwise(F.size(c))
     return rows.withColumns({"_lines": F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)), "_exact": count("_e"), "_near": count("_n")}).withColumn("text", text).drop("_d", "_g", "_e", "_n", "_h")
 
 
