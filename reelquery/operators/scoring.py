@@ -126,11 +126,10 @@ def fused(first: DataFrame, second: DataFrame, score: str, weight: float, name:
     for c in on[1:]:
         cond = cond & c
     joined = first.alias("a").join(second.select(*by, score).alias("b"), cond, "left")
-    other = F.coalesce(F.col(f"b.{score}"), F.lit(0.0)) if score not in first.columns else F.coalesce(F.col(f"b.{score}"), F.lit(0.0))
-    return joined.select("a.*", other.alias(f"_{score}")).withColumn(name, F.lit(weight) * F.col("score") + F.lit(round(1 - weight, 10)) * F.col(f"_{score}")).withColumnRenamed(f"_{score}", f"other_{score}")
+    return joined.select("a.*", F.coalesce(F.col(f"b.{score}"), F.lit(0.0)).alias(f"_{score}")).withColumn(name, F.lit(weight) * F.col("score") + F.lit(round(1 - weight, 10)) * F.col(f"_{score}")).withColumnRenamed(f"_{score}", f"other_{score}")
 
 
-def credit_aware(rows: DataFrame, credit: Column) -> Column:
+def credit_aware(credit: Column) -> Column:
     """Candidate score of sim and ocr: in a credit scene text counts most, and a candidate without credits
     (candidate_credit below a quarter) or text loses a tenth."""
     strong = F.lit(0.30) * F.col("sim") + F.lit(0.70) * F.col("ocr")

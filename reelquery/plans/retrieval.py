@@ -261,7 +261,7 @@ def ocr_episode_score(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT query_id, media_id, season, episode, round(max(c), 6) AS score, arg_max(vec_id, (c, -vec_id)) AS best_vec FROM s GROUP BY query_id, media_id, season, episode""")
 def credit_aware_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = with_ocr(hits(frames(spark, sf_dir)), spark, sf_dir).withColumn("candidate_credit", F.when(F.col("rank") % 4 == 0, 0.0).otherwise(0.5))
-    rows = rows.withColumn("c", scoring.credit_aware(rows, F.col("vec_id") % 2 == 0))
+    rows = rows.withColumn("c", scoring.credit_aware(F.col("vec_id") % 2 == 0))
     return rows.groupBy(*KEY).agg(F.round(F.max("c"), 6).alias("score"), F.max_by("vec_id", F.struct("c", -F.col("vec_id"))).alias("best_vec"))
 
 
