@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from reelquery.plans import retrieval, text
+from reelquery.plans import extra, retrieval, text
 
-QUERIES = retrieval.QUERIES | text.QUERIES
-ORACLE_SQL = retrieval.ORACLE_SQL | text.ORACLE_SQL
+QUERIES = retrieval.QUERIES | text.QUERIES | extra.QUERIES
+ORACLE_SQL = retrieval.ORACLE_SQL | text.ORACLE_SQL | extra.ORACLE_SQL

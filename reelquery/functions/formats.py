@@ -96,3 +96,9 @@ def linspace(lo: Column, hi: Column, n: int) -> Column:
     if n == 1:
         return F.array((lo + hi) / 2)
     return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: lo + (hi - lo) * i / (n - 1))
+
+
+def strict_seconds(x: Column | str) -> Column:
+    """A string as seconds; an error that names what can't be read. Null stays null."""
+    x = _c(x)
+    return F.when(x.isNotNull(), F.coalesce(x.try_cast("double"), F.raise_error(F.concat(F.lit("not a time: "), x.cast("string"))).cast("double")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import subprocess
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -54,6 +56,58 @@ def first_paths(rows: DataFrame, n: int) -> DataFrame:
     return rows.orderBy("media_id", "image_path").limit(n)
 
 
+EXTRACT_COMMAND = ("ffmpeg", "-v", "error", "-i", "{video}", "-vf", "fps=1/{seconds}", "-q:v", "2", "{directory}/%06d.jpg")
+GRAB_COMMAND = ("ffmpeg", "-v", "error", "-ss", "{time}", "-i", "{video}", "-frames:v", "1", "-f", "image2pipe", "-c:v", "mjpeg", "-")
+
+
+def extracted(videos: DataFrame, extract: Callable[[str, str], list[str]] | None = None, seconds: int = SAMPLING_SECONDS) -> DataFrame:
+    """media_id, image_path of the frames that ``extract`` (video_path, directory) writes; by default a frame
+    each two seconds by an external program. ``videos``: media_id, video_path, directory; what is done already
+    is left out with ``missing`` beforehand."""
+
+    def run(video: str, directory: str) -> list[str]:
+        os.makedirs(directory, exist_ok=True)
+        subprocess.run([a.format(video=video, directory=directory, seconds=seconds) for a in EXTRACT_COMMAND], check=True)
+        return sorted(os.path.join(directory, f) for f in os.listdir(directory) if f.endswith(".jpg"))
+
+    one = extract or run
+
+    def frames(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for media, video, directory in b.itertuples(index=False):
+                paths = one(video, directory)
+                yield pd.DataFrame({"media_id": [media] * len(paths), "image_path": paths})
+
+    return videos.select("media_id", "video_path", "directory").mapInPandas(frames, "media_id string, image_path string")
+
+
+def grabbed(clips: DataFrame, grab: Callable[[str, float], bytes] | None = None) -> DataFrame:
+    """``clips`` (clip_id, video_path, times) as one row a time: clip_id, step, time, image, the encoded frame there."""
+
+    def run(video: str, time: float) -> bytes:
+        return subprocess.run([a.format(video=video, time=time) for a in GRAB_COMMAND], check=True, capture_output=True).stdout
+
+    one = grab or run
+
+    def images(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for videos, times in batches:
+            yield pd.Series([one(v, t) for v, t in zip(videos, times, strict=True)])
+
+    each = clips.select("clip_id", "video_path", F.posexplode("times").alias("step", "time"))
+    return each.withColumn("image", F.pandas_udf(images, "binary")("video_path", "time")).drop("video_path")
+
+
+def decoded(rows: DataFrame, decode: Callable[[bytes], np.ndarray], column: str = "image") -> DataFrame:
+    """``rows`` with height, width and rgb, three bytes a pixel, by a function from encoded bytes to an array."""
+
+    def pixels(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for values in batches:
+            arrays = [np.asarray(decode(v), "u1") for v in values]
+            yield pd.DataFrame({"height": [a.shape[0] for a in arrays], "width": [a.shape[1] for a in arrays], "rgb": [a[..., :3].tobytes() for a in arrays]})
+
+    return rows.withColumn("_p", F.pandas_udf(pixels, "height int, width int, rgb binary")(column)).select("*", "_p.*").drop("_p")
+
+
 Encoder = Callable[[list], np.ndarray]
 
 

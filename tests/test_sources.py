@@ -101,3 +101,38 @@ def test_audit_and_prototypes(spark):
     media_ids = fr.select("media_id").distinct()
     bad = src.audit(media_ids.union(media_ids.filter("media_id = 'media_01'")), fr, fr.limit(0), 64)
     assert {r["problem"] for r in bad.collect()} == {"repeated media id", "no vectors"}
+
+
+def test_external_programs_are_exchangeable(spark):
+    videos = spark.createDataFrame([("m", "v.mkv", "d")], "media_id string, video_path string, directory string")
+    got = src.extracted(videos, lambda v, d: [f"{d}/{i:06d}.jpg" for i in (1, 2)]).collect()
+    assert [(r["media_id"], r["image_path"]) for r in got] == [("m", "d/000001.jpg"), ("m", "d/000002.jpg")]
+    clips = spark.createDataFrame([("c", "v.mkv", [0.0, 1.5])], "clip_id string, video_path string, times array<double>")
+    images = src.grabbed(clips, lambda v, t: f"{v}@{t}".encode())
+    assert [(r["step"], bytes(r["image"])) for r in images.orderBy("step").collect()] == [(0, b"v.mkv@0.0"), (1, b"v.mkv@1.5")]
+    pixels = src.decoded(images, lambda b: np.zeros((2, 3, 3))).first()
+    assert (pixels["height"], pixels["width"], len(pixels["rgb"])) == (2, 3, 18)
+
+
+def test_command_line(spark, tmp_path, library, capsys):
+    from tables import SF
+    from reelquery.__main__ import main
+    from reelquery.plans.base import frames
+
+    fr = frames(spark, SF)
+    fr.write.parquet(str(tmp_path / "frames"))
+    fr.filter("vec_id IN (3, 4)").select(F.col("vec_id").alias("query_id"), F.lit("c").alias("clip_id"), F.col("vec_id").alias("step"), "embedding").write.parquet(str(tmp_path / "vectors"))
+    for what in ("image", "video"):
+        main([what, str(tmp_path / "frames"), str(tmp_path / "vectors")], spark)
+        assert "confidence" in capsys.readouterr().out
+    main(["scan", library, str(tmp_path / "media")], spark)
+    main(["query", "densest_cluster", SF], spark)
+    assert "media_05" in capsys.readouterr().out
+
+
+def test_strict_times(spark):
+    from reelquery.functions.formats import strict_seconds
+
+    assert spark.range(1).select(strict_seconds(F.lit("2.5")).alias("t")).first()["t"] == 2.5
+    with pytest.raises(Exception, match="not a time"):
+        spark.range(1).select(strict_seconds(F.concat(F.lit("x"), F.col("id").cast("string"))).alias("t")).collect()
