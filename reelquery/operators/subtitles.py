@@ -7,33 +7,39 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from reelquery import weights as W
-from reelquery.functions.text import has_keyword, token_bigram_similarity
+from reelquery.functions.text import feature_similarity, has_keyword, token_features
 from reelquery.operators.scoring import KEY, ranked, top_mean
 
 Similarity = Callable[[Column, Column], Column]
 
 
-def best_lines(queries: DataFrame, entries: DataFrame, similarity: Similarity = token_bigram_similarity, apart: float | None = None) -> DataFrame:
+def best_lines(queries: DataFrame, entries: DataFrame, similarity: Similarity | None = None, apart: float | None = None) -> DataFrame:
     """query_id, media_id, line_score, line_start, line_no: each media item's entry that is most like the query's
     text, the earliest among equals; no time where nothing is alike. ``queries``: query_id, norm and, for
     ``apart``, media_id and start: entries of the same item at most that many seconds away are left out
     before the maximum is taken. ``entries``: media_id, entry_no, start, norm.
 
-    A stated set of query texts meets all entries; the planner broadcasts it where it is small.
+    ``similarity`` compares normalised texts; by default it is that of tokens and bigrams, whose sets are made
+    once a text. A stated set of query texts meets all entries; the planner broadcasts it where it is small.
     """
-    q = queries.select("query_id", F.col("norm").alias("_qn"), *((F.col("media_id").alias("_qm"), F.col("start").alias("_qs")) if apart is not None else ()))
+    prepared = token_features if similarity is None else F.col
+    similarity = similarity or feature_similarity
+    entries = entries.select("media_id", "entry_no", "start", prepared("norm").alias("_en"))
+    q = queries.select("query_id", prepared("norm").alias("_qn"), *((F.col("media_id").alias("_qm"), F.col("start").alias("_qs")) if apart is not None else ()))
     met = entries.join(q, ~((F.col("media_id") == F.col("_qm")) & (F.abs(F.col("start") - F.col("_qs")) <= apart)) if apart is not None else F.lit(True))
-    scored = met.withColumn("_s", similarity(F.col("_qn"), F.col("norm")))
+    scored = met.withColumn("_s", similarity(F.col("_qn"), F.col("_en")))
     best = scored.groupBy("query_id", "media_id").agg(F.max_by(F.struct("_s", "start", "entry_no"), F.struct("_s", -F.col("start"), -F.col("entry_no"))).alias("b"))
     some = F.col("b")["_s"] > 0
     return best.select("query_id", "media_id", F.col("b")["_s"].alias("line_score"), F.when(some, F.col("b")["start"]).alias("line_start"), F.when(some, F.col("b")["entry_no"]).alias("line_no"))
 
 
-def line_window_scores(lines: DataFrame, windows: DataFrame, w: W.Subtitle = W.Subtitle(), similarity: Similarity = token_bigram_similarity) -> DataFrame:
+def line_window_scores(lines: DataFrame, windows: DataFrame, w: W.Subtitle = W.Subtitle(), similarity: Similarity | None = None) -> DataFrame:
     """A media item's best line and the text around it. ``windows``: query_id, media_id, query_norm, norm."""
+    prepared = token_features if similarity is None else F.col
+    windows = windows.select("query_id", "media_id", prepared("query_norm").alias("_a"), prepared("norm").alias("_b"))
     joined = lines.join(windows, ["query_id", "media_id"], "left")
-    around = F.when(F.col("line_start").isNull(), 0.0).otherwise(F.coalesce(similarity(F.col("query_norm"), F.col("norm")), F.lit(0.0)))
-    return joined.withColumn("window_score", around).withColumn("score", w.line * F.col("line_score") + w.around * F.col("window_score")).drop("query_norm", "norm")
+    around = F.when(F.col("line_start").isNull(), 0.0).otherwise(F.coalesce((similarity or feature_similarity)(F.col("_a"), F.col("_b")), F.lit(0.0)))
+    return joined.withColumn("window_score", around).withColumn("score", w.line * F.col("line_score") + w.around * F.col("window_score")).drop("_a", "_b")
 
 
 def evidence_scores(rows: DataFrame, w: W.Subtitle = W.Subtitle()) -> DataFrame:

@@ -89,8 +89,8 @@ def _similar(a: str, b: str) -> str:
 
 @query(f"WITH {NEXT_SQL}, n AS (SELECT conv_id, turn, {LOWER.format(x='ta')} AS a, {LOWER.format(x='tb')} AS b FROM pr) SELECT conv_id, turn, round({_similar('a', 'b')}, 6) AS similarity FROM n")
 def token_bigram_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _next(spark, sf_dir).select("conv_id", "turn", tx.normalize_lower("ta").alias("a"), tx.normalize_lower("tb").alias("b"))
-    return rows.select("conv_id", "turn", F.round(tx.token_bigram_similarity("a", "b"), 6).alias("similarity"))
+    rows = _next(spark, sf_dir).select("conv_id", "turn", tx.token_features(tx.normalize_lower("ta")).alias("a"), tx.token_features(tx.normalize_lower("tb")).alias("b"))
+    return rows.select("conv_id", "turn", F.round(tx.feature_similarity("a", "b"), 6).alias("similarity"))
 
 
 @query()
@@ -213,12 +213,14 @@ def _spoken(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("conv_id", tx.normalize_markup(F.replace(F.col("t"), F.lit("ß"), F.lit("s"))).alias("n"))
 
 
-def _evidence(spark: SparkSession, sf_dir: str, similarity=tx.token_bigram_similarity) -> tuple[DataFrame, DataFrame]:
+def _evidence(spark: SparkSession, sf_dir: str, similarity=None) -> tuple[DataFrame, DataFrame]:
     """Hits, and the same with the similarity of spoken texts as sim."""
     h = hits(frames(spark, sf_dir))
     n = _spoken(spark, sf_dir)
+    if similarity is None:  # sets are made once a text
+        n = n.select("conv_id", tx.token_features("n").alias("n"))
     rows = h.drop("sim").join(n.select(F.col("conv_id").alias("query_id"), F.col("n").alias("_a")), "query_id", "left").join(n.select(F.col("conv_id").alias("vec_id"), F.col("n").alias("_b")), "vec_id", "left")
-    return h, rows.withColumn("sim", F.coalesce(similarity(F.col("_a"), F.col("_b")), F.lit(0.0))).drop("_a", "_b")
+    return h, rows.withColumn("sim", F.coalesce((similarity or tx.feature_similarity)(F.col("_a"), F.col("_b")), F.lit(0.0))).drop("_a", "_b")
 
 
 @query(f"WITH {EVIDENCE_SQL} SELECT query_id, media_id, season, episode, round(score, 6) AS score FROM se")
