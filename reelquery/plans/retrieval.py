@@ -351,16 +351,16 @@ def kmeans_prototypes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PROTOTYPE_SQL = CLIP_SQL + f""",
-pt AS (SELECT media_id, season, episode, v FROM fr WHERE frame_no % 8 = 1),
+pt AS (SELECT media_id, season, episode, v FROM fr),
 pb AS (SELECT c.query_id, p.media_id, p.season, p.episode, c.step, max(list_dot_product(c.v, p.v)) AS sim FROM clip c CROSS JOIN pt p GROUP BY ALL),
 pr AS (SELECT *, row_number() OVER (PARTITION BY query_id, media_id, season, episode ORDER BY sim DESC, step) AS r FROM pb)"""
 
 
 @query(f"WITH {PROTOTYPE_SQL} SELECT query_id, media_id, season, episode, round({d(0.35)} * max(sim) + {d(0.35)} * avg(sim) FILTER (r <= 3) + {d(0.2)} * avg(sim) + {d(0.1)} * avg(CASE WHEN sim >= {d(0.7)} THEN {d(1)} ELSE {d(0)} END), 6) AS score FROM pr GROUP BY query_id, media_id, season, episode")
 def prototype_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every eighth frame stands for a prototype, so that the score doesn't depend on a clustering."""
+    """Every frame stands for a prototype of its own, so that the score doesn't depend on a clustering."""
     fr = frames(spark, sf_dir)
-    prints = fr.filter("frame_no % 8 = 1").select("media_id", "season", "episode", "embedding")
+    prints = fr.select("media_id", "season", "episode", "embedding")
     return fp.prototype_scores(clip_frames(fr), prints).select(*KEY, six("score"))
 
 
