@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from .common import staged, table
 
@@ -97,7 +97,7 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return flat.to_numpy(zero_copy_only=False).reshape(len(column), -1) if len(column) else np.zeros((0, 1), "f4")
 
 
-def listed(vectors: DataFrame, centroids, most: int, ratio: float, names: tuple[str, str], breadth: int) -> DataFrame:
+def listed(vectors: DataFrame, centroids, most: int, ratio: float, names: tuple[str, str], breadth: int, kind: str = "float") -> DataFrame:
     """list, id, v: each row once for each of its lists."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,7 +109,7 @@ def listed(vectors: DataFrame, centroids, most: int, ratio: float, names: tuple[
             out = part.take(pa.array(row))
             yield pa.RecordBatch.from_arrays([pa.array(found[row, column].astype("i4")), *out.columns], ["list", *names])
 
-    return vectors.select(*names).mapInArrow(run, f"list int, {names[0]} long, {names[1]} array<float>")
+    return vectors.select(*names).mapInArrow(run, f"list int, {names[0]} long, {names[1]} array<{kind}>")
 
 
 def _best(k: int):
@@ -151,8 +151,9 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, sample: int
     spark = vectors.sparkSession
     sizes = vectors.filter("size(embedding) > 0").groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").first()
     width = sizes["n"] if sizes else 0
-    rows = vectors.filter(sound(F.col("embedding"), width)).filter("vec_id IS NOT NULL").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("v"))
-    asked = queries.filter(sound(F.col("embedding"), width)).filter("vec_id IS NOT NULL").select(F.col("vec_id").cast("long").alias("query_id"), F.col("embedding").cast("array<float>").alias("q"))
+    kind = "double" if any(isinstance(x.schema["embedding"].dataType.elementType, T.DoubleType) for x in (vectors, queries)) else "float"
+    rows = vectors.filter(sound(F.col("embedding"), width)).filter("vec_id IS NOT NULL").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(f"array<{kind}>").alias("v"))
+    asked = queries.filter(sound(F.col("embedding"), width)).filter("vec_id IS NOT NULL").select(F.col("vec_id").cast("long").alias("query_id"), F.col("embedding").cast(f"array<{kind}>").alias("q"))
     total = rows.count()
     if not total:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -162,9 +163,9 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, sample: int
     model = Centroids(fitted if len(fitted) else np.zeros((1, width), "f4"), min(MOST, max(1, total // list_size)))
     lists = len(model.points)
     shared = spark.sparkContext.broadcast(model)
-    postings = staged(listed(rows, shared, copies, nearly, ("vec_id", "v"), 24), "ann-postings")
+    postings = staged(listed(rows, shared, copies, nearly, ("vec_id", "v"), 24, kind), "ann-postings")
     probes = max(min(PROBE_LEAST, lists), int(lists * probe_share))
-    wanted = staged(listed(asked, shared, probes, ratio, ("query_id", "q"), probes), "ann-probes")
+    wanted = staged(listed(asked, shared, probes, ratio, ("query_id", "q"), probes, kind), "ann-probes")
     # one row for each list: no more than there are centroids
     counts = F.broadcast(postings.groupBy("list").count().join(wanted.groupBy("list").agg(F.count("*").alias("asked")), "list").select("list", F.ceil(F.col("count") / PART).cast("int").alias("parts"), F.ceil(F.col("asked") / QUERIES).cast("int").alias("blocks")))
     p = F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int")

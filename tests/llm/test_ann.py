@@ -57,3 +57,10 @@ def test_search_finds_near_centroids():
     found, far = c.search(x, 4, 16)
     true = ann.Centroids._distances(x, c.points).argsort(1)[:, :4]
     assert np.mean([len(set(a) & set(b)) for a, b in zip(found, true)]) > 3.6 and (np.diff(far, axis=1) >= 0).all()
+
+
+def test_double_vectors_keep_their_precision(spark):
+    x = np.random.default_rng(9).normal(size=(40, 4))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = [(r["vec_id"], r["score"]) for r in ann.neighbours(df, df.filter("vec_id = 3"), k=5).orderBy("rank").collect()]
+    assert got == exact(x, np.arange(40), 3, 5)
