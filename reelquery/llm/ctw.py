@@ -143,7 +143,7 @@ class Table:
     def __init__(self, keys: np.ndarray, values: np.ndarray):
         self.parts, mult = [], 0x9E3779B97F4A7C15
         while len(keys):
-            bits = max(4, (2 * len(keys)).bit_length())
+            bits = max(4, (7 * len(keys) // 5).bit_length())
             shift, mult = np.uint64(64 - bits), (mult * 6364136223846793005 + 1442695040888963407 | 1) % 2**64
             slot = (keys * np.uint64(mult)) >> shift
             k, v = np.full(1 << bits, 2**64 - 1, "u8"), np.zeros(1 << bits, values.dtype)

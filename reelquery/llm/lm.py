@@ -23,7 +23,7 @@ from .common import staged, table
 
 DEPTH, FOLDS, HELD_FOLD = 5, 7, 2
 #: Grams of a model range; words whose counts are broadcast; grams weighed at once; bytes of text at once.
-BLOCK, HEAD, CHUNK, TEXT = 2_000_000, 250_000, 120_000, 1 << 19
+BLOCK, HEAD, CHUNK, TEXT = 2_000_000, 250_000, 50_000, 1 << 19
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -100,6 +100,7 @@ class Model:
         keys, counts = got["k"].to_numpy().view("u8"), got["c"].to_numpy()
         order = np.argsort(keys)
         keys, counts = keys[order], counts[order]
+        del got, order
         starts = np.flatnonzero(np.diff(keys >> np.uint64(self.shift), prepend=np.uint64(2**63)))
         at = 0
         while at < len(keys):
@@ -139,8 +140,11 @@ class Model:
                 level.mix(above)
                 found[d].append((level.keys, level.logs()))
                 above = level
-        joined = [(np.concatenate([k for k, _ in x]), np.concatenate([v for _, v in x], 1)) for x in found]
-        return [(x.keys, x.logs()) for x in self.shared] + joined
+        levels = [(x.keys, x.logs()) for x in self.shared]
+        while found:  # a depth's parts go as soon as they are joined
+            parts_ = found.pop(0)
+            levels.append((np.concatenate([k for k, _ in parts_]), np.concatenate([v for _, v in parts_], 1)))
+        return levels
 
 
 def score(docs: DataFrame, train: DataFrame, depth: int = DEPTH, block: int = BLOCK, head: int = HEAD, **keep: Column) -> DataFrame:
