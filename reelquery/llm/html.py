@@ -34,6 +34,8 @@ SCOPE = frozenset("html table td th caption template object".split())
 NOT_CONTENT = frozenset("head script style title textarea xmp iframe noembed noframes noscript template nav aside footer form button select input fieldset dialog svg math canvas object embed applet audio video menu datalist".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
 NAMES = frozenset("ad ads adsense advert advertisement adverts advertising sponsor sponsored promo nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar sidenav footer comment comments disqus replies respond cookie cookies consent gdpr notice banner popup modal overlay newsletter subscribe signup login share sharing social related recommended widget pagination pager skip masthead toolbar".split())
+#: A class that starts or ends so tells how a page is laid out around such a part, not that it is one.
+STATES, FRAMES = frozenset("has with without no not non is".split()), frozenset("wrap wrapper container layout page body content".split())
 ARTICLES = frozenset(("main", "article"))
 WORDS = re.compile(r"[a-z0-9]+")
 
@@ -66,8 +68,11 @@ def _named_off(tag: str, attributes: str, inside: bool) -> tuple[bool, str]:
         return True, kind
     if tag in ARTICLES or tag in ("html", "body"):
         return False, kind
-    names = WORDS.findall(f"{kind} {found.get('id', '')}".lower())
-    return not NAMES.isdisjoint(names) or not inside and "header" in names, kind
+    for name in f"{kind} {found.get('id', '')}".lower().split():
+        parts = WORDS.findall(name)
+        if parts and parts[0] not in STATES and parts[-1] not in FRAMES and (not NAMES.isdisjoint(parts) or not inside and "header" in parts):
+            return True, kind
+    return False, kind
 
 
 class Page:

@@ -13,6 +13,7 @@ def test_blocks():
     assert text(page) == "One & two\nthree\nx\ny\ntail\nfree bold text"
     assert text("<main><header><h1>T</h1></header><p>a<br>b  c</p><footer>f</footer></main><p>outside</p>") == "T\na b c"
     assert text("<article><p>a</p><div class='ad'>b</div><p hidden>c</p></article><div role='navigation'>d</div>") == "a"
+    assert text('<div class="page has-sidebar"><div class="content-sidebar-wrap"><p>a</p><div class="left sidebar-left">b</div><div id="site-footer">c</div></div></div>') == "a"
     assert text("") == "" and text("<") == "<" and text("a < b") == "a < b"
     assert text("<p title='a>b'>x</p>") == "x" and text("<P>A</P>b") == "A\nb"
 
