@@ -150,7 +150,8 @@ bs AS (SELECT query_id, qn, media_id, line_score, CASE WHEN line_score > 0 THEN
 
 def _lines(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Queries, entries and each item's best entry for each query."""
-    en = entries(spark, sf_dir).withColumn("norm", tx.normalize_lower("text"))
+    # dealt by item once: the best line of an item and its windows then need no further exchange
+    en = entries(spark, sf_dir).repartition("media_id").withColumn("norm", tx.normalize_lower("text"))
     asked = en.filter((F.col("media_id") % QUERY == 0) & (F.col("entry_no") == 0) & (F.length("norm") >= 8)).groupBy(F.col("media_id").alias("query_id")).agg(F.min("norm").alias("norm"))
     return asked, en, sub.best_lines(asked, en)
 
