@@ -3,8 +3,9 @@
 Centroids are fitted by k-means on a bounded sample; every row is then indexed. A row goes into the list
 of its nearest centroid and of further ones that are nearly as near, so that rows at a boundary stand in
 the lists on both sides. Lists longer than ``PART`` are dealt into parts, which balances them whatever the
-vectors, equal ones included. A query takes the centroids within a ratio of its nearest centroid's
-distance, searches their lists exactly in double precision, and merges what they give.
+vectors, equal ones included. A query takes a least number of nearest centroids and those within a ratio
+of its nearest centroid's distance, searches their lists exactly in double precision, and merges what they
+give. A query whose lists gave too few neighbours is searched again, over all rows.
 
 Centroids are found in memory by a best-first search over a graph that links each centroid to its nearest
 ones and to some far ones; it runs for a batch of vectors at once.
@@ -24,7 +25,7 @@ from .common import staged, table
 SAMPLE, LIST, MOST, ROUNDS = 20_000, 128, 2_000, 8
 #: Lists a row stands in at most, and how much farther than the nearest their centroids may be.
 COPIES, NEARLY = 8, 1.15
-#: Lists a query searches at most, as a share and a least number, and how much farther their centroids may be.
+#: Lists a query searches at most, as a share; at least, whatever their distance; and how much farther the others' centroids may be.
 PROBE_SHARE, PROBE_LEAST, RATIO = 0.33, 48, 1.5
 #: Links of a centroid; rows of a part of a list; queries of a part of a list's queries.
 LINKS, PART, QUERIES = 24, 4096, 4096
@@ -97,14 +98,14 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return flat.to_numpy(zero_copy_only=False).reshape(len(column), -1) if len(column) else np.zeros((0, 1), "f4")
 
 
-def listed(vectors: DataFrame, centroids, most: int, ratio: float, names: tuple[str, str], breadth: int, kind: str = "float") -> DataFrame:
-    """list, id, v: each row once for each of its lists."""
+def listed(vectors: DataFrame, centroids, most: int, ratio: float, names: tuple[str, str], breadth: int, kind: str = "float", least: int = 1) -> DataFrame:
+    """list, id, v: each row once for each of its lists, the ``least`` nearest ones and others within the ratio."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = centroids.value
         for part in (b.slice(at, 512) for b in batches for at in range(0, b.num_rows, 512)):
             found, far = c.search(_matrix(part.column(1)), most, breadth)
-            take = far <= np.maximum(far[:, :1] * ratio, 1e-12)
+            take = (far <= np.maximum(far[:, :1] * ratio, 1e-12)) | (np.arange(far.shape[1]) < least) & (far < np.inf)
             row, column = np.nonzero(take)
             out = part.take(pa.array(row))
             yield pa.RecordBatch.from_arrays([pa.array(found[row, column].astype("i4")), *out.columns], ["list", *names])
@@ -140,6 +141,18 @@ def _best(k: int):
     return search
 
 
+def _searched(postings: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """query_id, vec_id, score: each query's nearest rows in each part of its lists."""
+    # one row for each list: no more than there are centroids
+    counts = F.broadcast(postings.groupBy("list").count().join(wanted.groupBy("list").agg(F.count("*").alias("asked")), "list").select("list", F.ceil(F.col("count") / PART).cast("int").alias("parts"), F.ceil(F.col("asked") / QUERIES).cast("int").alias("blocks")))
+    p = F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int")
+    b = F.pmod(F.xxhash64("query_id"), F.col("blocks")).cast("int")
+    left = postings.join(counts, "list").select("list", p.alias("part"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "vec_id", "v")
+    right = wanted.join(counts, "list").select("list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), b.alias("block"), "query_id", "q")
+    key = ["list", "part", "block"]
+    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(_best(k), "query_id long, vec_id long, score double")
+
+
 def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, sample: int = SAMPLE, list_size: int = LIST, copies: int = COPIES, nearly: float = NEARLY, probe_share: float = PROBE_SHARE, ratio: float = RATIO) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k nearest rows found, by distance, then vec_id.
 
@@ -165,15 +178,13 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, sample: int
     shared = spark.sparkContext.broadcast(model)
     postings = staged(listed(rows, shared, copies, nearly, ("vec_id", "v"), 24, kind), "ann-postings")
     probes = max(min(PROBE_LEAST, lists), int(lists * probe_share))
-    wanted = staged(listed(asked, shared, probes, ratio, ("query_id", "q"), probes, kind), "ann-probes")
-    # one row for each list: no more than there are centroids
-    counts = F.broadcast(postings.groupBy("list").count().join(wanted.groupBy("list").agg(F.count("*").alias("asked")), "list").select("list", F.ceil(F.col("count") / PART).cast("int").alias("parts"), F.ceil(F.col("asked") / QUERIES).cast("int").alias("blocks")))
-    p = F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int")
-    b = F.pmod(F.xxhash64("query_id"), F.col("blocks")).cast("int")
-    left = postings.join(counts, "list").select("list", p.alias("part"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "vec_id", "v")
-    right = wanted.join(counts, "list").select("list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), b.alias("block"), "query_id", "q")
-    key = ["list", "part", "block"]
-    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(_best(k), "query_id long, vec_id long, score double")
+    wanted = staged(listed(asked, shared, probes, ratio, ("query_id", "q"), probes, kind, PROBE_LEAST), "ann-probes")
+    found = staged(_searched(postings, wanted, k).distinct(), "ann-found")
+    # queries whose lists gave fewer than there are to find: all rows are one list for them
+    full = found.groupBy("query_id").agg(F.count_distinct("vec_id").alias("n")).filter(F.col("n") >= min(k, rows.select("vec_id").distinct().count()))
+    short = staged(asked.join(full, "query_id", "left_anti"), "ann-short")
+    if not short.isEmpty():
+        found = found.union(_searched(rows.withColumn("list", F.lit(0)), short.withColumn("list", F.lit(0)), k))
     nearest = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.distinct().withColumn("rank", F.row_number().over(nearest)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

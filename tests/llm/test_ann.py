@@ -64,3 +64,18 @@ def test_double_vectors_keep_their_precision(spark):
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
     got = [(r["vec_id"], r["score"]) for r in ann.neighbours(df, df.filter("vec_id = 3"), k=5).orderBy("rank").collect()]
     assert got == exact(x, np.arange(40), 3, 5)
+
+
+def test_queries_alone_in_their_lists(spark):
+    # pairs far from each other: each pair draws a centroid of its own, at distance 0
+    x = np.repeat(np.random.default_rng(3).normal(size=(60, 8)) * 100, 2, axis=0).astype("f4")
+    df = frame(spark, x, range(120))
+    for least in (ann.PROBE_LEAST, 1):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(ann, "PROBE_LEAST", least)
+            got = {}
+            for r in ann.neighbours(df, df.filter("vec_id % 10 = 0"), list_size=2).orderBy("query_id", "rank").collect():
+                got.setdefault(r["query_id"], []).append(r["vec_id"])
+        assert all(len(got[q]) == 10 for q in range(0, 120, 10))
+        if least == 1:
+            assert all(got[q] == [i for i, _ in exact(x.astype("f8"), np.arange(120), q, 10)] for q in range(0, 120, 10))
