@@ -123,9 +123,14 @@ def _best(k: int):
         ids, x = rows["vec_id"].to_numpy(), _matrix(rows["v"]).astype("f8")
         order = np.argsort(ids, kind="stable")
         ids, x = ids[order], x[order]
+        # rows of one vec_id count once, by the nearest: they stand together
+        firsts = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
+        single, ids = len(firsts) == len(ids), ids[firsts]
         q, out = queries["query_id"].to_numpy(), []
         for one, v in zip(q, _matrix(queries["q"]).astype("f8"), strict=True):
             d = np.sqrt(((x - v) ** 2).sum(1))
+            if not single:
+                d = np.minimum.reduceat(d, firsts)
             d[ids == one] = np.inf
             if len(d) > k:
                 bound = np.partition(d, k - 1)[k - 1]
@@ -159,7 +164,7 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, sample: int
     ``vectors`` and ``queries``: vec_id, embedding. A row is no neighbour of the query with its own vec_id.
     Vectors that are null, zero, of another size than most, or hold null or non-finite components take no
     part; with k or fewer candidates all are returned; equal vectors all count; a row that is repeated
-    under one vec_id counts once; other columns are ignored; no vectors give an empty result.
+    under one vec_id counts once, by the nearest of its vectors; other columns are ignored; no vectors give an empty result.
     """
     spark = vectors.sparkSession
     sizes = vectors.filter("size(embedding) > 0").groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").first()
@@ -179,14 +184,14 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, sample: int
     postings = staged(listed(rows, shared, copies, nearly, ("vec_id", "v"), 24, kind), "ann-postings")
     probes = max(min(PROBE_LEAST, lists), int(lists * probe_share))
     wanted = staged(listed(asked, shared, probes, ratio, ("query_id", "q"), probes, kind, PROBE_LEAST), "ann-probes")
-    found = staged(_searched(postings, wanted, k).distinct(), "ann-found")
+    found = staged(_searched(postings, wanted, k).groupBy("query_id", "vec_id").agg(F.min("score").alias("score")), "ann-found")
     # queries whose lists gave fewer than there are to find: all rows are one list for them
-    full = found.groupBy("query_id").agg(F.count_distinct("vec_id").alias("n")).filter(F.col("n") >= min(k, rows.select("vec_id").distinct().count()))
+    full = found.groupBy("query_id").agg(F.count("*").alias("n")).filter(F.col("n") >= min(k, rows.select("vec_id").distinct().count()))
     short = staged(asked.join(full, "query_id", "left_anti"), "ann-short")
     if not short.isEmpty():
         found = found.union(_searched(rows.withColumn("list", F.lit(0)), short.withColumn("list", F.lit(0)), k))
     nearest = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return found.distinct().withColumn("rank", F.row_number().over(nearest)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score")).withColumn("rank", F.row_number().over(nearest)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op7_posting_list_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -79,3 +79,18 @@ def test_queries_alone_in_their_lists(spark):
         assert all(len(got[q]) == 10 for q in range(0, 120, 10))
         if least == 1:
             assert all(got[q] == [i for i, _ in exact(x.astype("f8"), np.arange(120), q, 10)] for q in range(0, 120, 10))
+
+
+def test_repeated_rows_count_once(spark):
+    x = np.random.default_rng(6).normal(size=(200, 6)).astype("f4")
+    df = frame(spark, x, range(200))
+    near = df.filter("vec_id = 7")
+    for _ in range(4):
+        near = near.union(near)
+    key = lambda rows: sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in rows.collect())
+    got = key(ann.neighbours(df.union(df).union(near), df.filter("vec_id % 20 = 0"), list_size=1000))
+    assert got == key(ann.neighbours(df, df.filter("vec_id % 20 = 0"), list_size=1000)) and len(got) == 100
+    # one vec_id with two vectors: the nearer one counts
+    other = spark.createDataFrame([(7, [float(v) for v in x[0]], "clash", 7)], df.schema)
+    first = [r for r in ann.neighbours(df.union(other), df.filter("vec_id = 0"), list_size=1000).orderBy("rank").collect()]
+    assert first[0]["vec_id"] == 7 and first[0]["score"] == 0 and len({r["vec_id"] for r in first}) == 10
