@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .common import hinted, staged, table
 from .components import components
+from .similar import links as similar_links
 
 WORDS, BITS, SEED = 3, 3, 42
 BLOCKS = (11, 11, 11, 11, 10, 10)
@@ -123,21 +124,26 @@ def links(classes: DataFrame, bits: int = BITS, tile: int = TILE) -> DataFrame:
     return pairs.union(found)
 
 
-def grouped(rows: DataFrame, bits: int = BITS) -> DataFrame:
-    """fp, root for the fingerprints of ``rows`` (fp) that are linked to others; root names the component."""
+def grouped(rows: DataFrame, bits: int = BITS, further: DataFrame | None = None) -> DataFrame:
+    """fp, root for the fingerprints of ``rows`` (fp) that are linked to others, by ``further`` edges (a, b) too;
+    root names the component."""
     classes = staged(rows.select("fp").distinct(), "simhash-classes")
-    return components(links(classes, bits)).withColumnsRenamed({"node": "fp"})
+    edges = links(classes, bits)
+    return components(edges if further is None else edges.union(further)).withColumnsRenamed({"node": "fp"})
 
 
-def near_duplicates(docs: DataFrame, *keep: str, words: int = WORDS, bits: int = BITS) -> DataFrame:
+def near_duplicates(docs: DataFrame, *keep: str, words: int = WORDS, bits: int = BITS, similar: float | None = None) -> DataFrame:
     """The columns ``keep`` of each row, fp, root and component_id, the least doc_id of the rows whose
     fingerprints are reached over links.
 
     Null and empty texts have fingerprint 0 and are linked like any other. Rows of equal text share their
-    component, repeated rows are returned each, null ids never name a component that has another id.
+    component, repeated rows are returned each, null ids never name a component that has another id. With ``similar``, rows whose
+    sets of five-word shingles have that Jaccard similarity or more are linked as well.
     """
+    assert similar is None or words == WORDS  # the links name default fingerprints
     rows = staged(fingerprints(docs, *dict.fromkeys(("doc_id", *keep)), words=words), "simhash-rows")
-    roots = staged(grouped(rows, bits), "simhash-roots")
+    further = None if similar is None else similar_links(docs, similar)
+    roots = staged(grouped(rows, bits, further), "simhash-roots")
     classes = rows.groupBy("fp").agg(F.min("doc_id").alias("_least"), F.count("*").alias("_n"))
     # a class of one row and no links is its own component, so only the others are joined to the rows
     known = classes.join(hinted(roots, BROADCAST_ROWS), "fp", "left").filter("_n > 1 OR root IS NOT NULL").withColumn("root", F.coalesce("root", "fp"))
@@ -148,11 +154,11 @@ def near_duplicates(docs: DataFrame, *keep: str, words: int = WORDS, bits: int =
     return out.select(*rows.columns, F.coalesce("root", "fp").alias("root"), F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("_component")).alias("component_id"))
 
 
-def representatives(docs: DataFrame) -> DataFrame:
+def representatives(docs: DataFrame, similar: float | None = None) -> DataFrame:
     """One row of ``docs`` for each component: the one of least (doc_id, text hash), null ids last."""
     names = docs.columns
     marked = docs.withColumn("_h", F.xxhash64("text"))
-    rows = staged(near_duplicates(marked, "_h").select("doc_id", "_h", "root"), "simhash-ids")
+    rows = staged(near_duplicates(marked, "_h", similar=similar).select("doc_id", "_h", "root"), "simhash-ids")
     first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("_null"), "doc_id", "_h")).alias("f"), F.count("*").alias("n")).filter("n > 1")
     of = rows.join(hinted(staged(first, "simhash-first"), BROADCAST_ROWS), "root")
     stays = F.col("doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("_h") == F.col("f._h"))
