@@ -4,7 +4,8 @@ Every page is parsed into elements, and each block element's subtree gets a hash
 children. Spark counts, per host, on how many different pages a subtree stands (copies of one page count
 once); what recurs on a large share of them is the site's template, and it is deleted on each page of
 that host. Elements that are named as something else than content, by tag, role or class, go as well.
-A page that marks its article is read there only, and there a subtree must recur on most pages to go.
+A page whose marked article holds the larger part of what is left is read there only; in an article a subtree
+must recur on most pages to go, and only containers go by name, if the whole name says so.
 """
 
 from __future__ import annotations
@@ -37,6 +38,8 @@ NAMES = frozenset("ad ads adsense advert advertisement adverts advertising spons
 #: A class that starts or ends so tells how a page is laid out around such a part, not that it is one.
 STATES, FRAMES = frozenset("has with without no not non is".split()), frozenset("wrap wrapper container layout page body content".split())
 ARTICLES = frozenset(("main", "article"))
+#: What may go by its name inside an article; headings, paragraphs and cells are the text's own.
+CONTAINERS = frozenset("div section ul ol dl table details figure".split())
 WORDS = re.compile(r"[a-z0-9]+")
 
 
@@ -69,8 +72,12 @@ def _named_off(tag: str, attributes: str, inside: bool) -> tuple[bool, str]:
     if tag in ARTICLES or tag in ("html", "body"):
         return False, kind
     for name in f"{kind} {found.get('id', '')}".lower().split():
+        if inside:
+            if tag in CONTAINERS and name in NAMES:
+                return True, kind
+            continue
         parts = WORDS.findall(name)
-        if parts and parts[0] not in STATES and parts[-1] not in FRAMES and (not NAMES.isdisjoint(parts) or not inside and "header" in parts):
+        if parts and parts[0] not in STATES and parts[-1] not in FRAMES and (not NAMES.isdisjoint(parts) or "header" in parts):
             return True, kind
     return False, kind
 
@@ -83,7 +90,6 @@ class Page:
         self.hashes: list[tuple[int, bool]] = []  # of each closed block subtree with text: hash, in an article
         self.blocks: list[tuple[str, bool, bool, int]] = []
         self.spans: list[tuple[int, int]] = []  # blocks from, to, of each subtree in hashes
-        self.articles = 0
         self.run: list[str] = []
         self.stack = [Node("", False, False, "", 0)]
         self._parse(html)
@@ -153,8 +159,6 @@ class Page:
             self._flush()
         if name in VOID:
             return
-        if name in ARTICLES and not above.inside and not (above.drop or off):
-            self.articles += 1
         self.stack.append(Node(name, above.drop or off, inside, kind, len(self.blocks)))
 
     def _end(self, name: str) -> None:
@@ -206,7 +210,9 @@ class Page:
         for (hashed, within), (a, b) in zip(self.hashes, self.spans, strict=True):
             if a < b and hashed in (inside if within else outside):
                 gone.update(range(a, b))
-        return "\n".join(t for i, (t, within) in enumerate(self.blocks) if i not in gone and (within or not self.articles))
+        left = [block for i, block in enumerate(self.blocks) if i not in gone]
+        article, rest = ("\n".join(t for t, within in left if within == x) for x in (True, False))
+        return article if article and len(article) >= len(rest) else "\n".join(t for t, _ in left)
 
 
 def _digest() -> Callable[[bytes], int]:

@@ -48,3 +48,14 @@ def test_articles_of_the_tables(spark):
         article = re.search(r"<article>(.*?)</article>", pages.html[r["page_id"]], re.S)[1]
         blocks = [" ".join(__import__("html").unescape(re.sub("<[^>]+>", "", b.replace("<br>", " "))).split()) for b in re.split(r"</?(?:p|h1)>", article)]
         assert r["text"] == "\n".join(b for b in blocks if b) and r["n_chars"] == len(r["text"])
+
+
+def test_articles_that_are_not_the_page():
+    assert text("<main></main><div>story</div>") == "story"
+    assert text("<article><p>teaser</p></article><div><p>the story is in a div</p><p>and goes on</p></div>") == "teaser\nthe story is in a div\nand goes on"
+    assert text("<article><p>the story is in here</p></article><div><p>aside</p></div>") == "the story is in here"
+
+
+def test_names_inside_an_article():
+    page = '<article><h2 id="related-work">A</h2><section id="social-security"><p>b</p></section><h2 id="navigation">C</h2><p class="notice">d</p><div class="related">e</div><section class="x comments">f</section></article>'
+    assert text(page) == "A\nb\nC\nd"
