@@ -6,8 +6,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import staged
 
-MAX_ROUNDS = 60
-
 
 def _signature(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
@@ -17,13 +15,12 @@ def components(edges: DataFrame) -> DataFrame:
     """node, root (the least node of its component) for each node of ``edges`` (a, b: long).
 
     Each round is two joins and two sums by node; stars share their hub's rows among tasks, since the
-    joins may be split. Rounds grow with the logarithm of the longest path.
+    joins may be split. Rounds grow with the logarithm of the longest path; they end
+    when the edges no longer change.
     """
     now = staged(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     last = _signature(now)
-    for _ in range(MAX_ROUNDS):
-        if not last[0]:
-            break
+    while last[0]:
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()

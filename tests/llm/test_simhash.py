@@ -86,3 +86,11 @@ def test_choices_cover_three_bits():
 def test_shingles_hash_as_spark_does(spark):
     text = "a b c"
     assert spark.range(1).select(F.xxhash64(F.lit(text)).alias("h")).first()["h"] % 2**64 == xxhash.xxh64_intdigest(text, 42)
+
+
+def test_components_go_on_until_they_settle(spark, monkeypatch):
+    from reelquery.llm import components as module
+
+    monkeypatch.setattr(module, "MAX_ROUNDS", 1, raising=False)
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
+    assert {r["root"] for r in module.components(edges).collect()} == {0}
