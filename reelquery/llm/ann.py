@@ -1,11 +1,15 @@
 """Approximate nearest neighbours over balanced posting lists.
 
 Centroids are fitted by k-means on a bounded sample; every row is then indexed. A row goes into the list
-of its nearest centroid and of further ones that are nearly as near, so that rows at a boundary stand in
-the lists on both sides. Lists longer than ``PART`` are dealt into parts, which balances them whatever the
-vectors, equal ones included. A query takes a least number of nearest centroids and those within a ratio
-of its nearest centroid's distance, searches their lists exactly in double precision, and merges what they
-give. A query whose lists gave too few neighbours is searched again, over all rows.
+of its nearest centroid and, if it lies at a boundary, into the next one's as well. Lists stand together in
+buckets of neighbouring lists; buckets longer than ``PART`` are dealt into parts, which balances them
+whatever the vectors, equal ones included. A query opens its nearest lists until they hold some candidates, and
+all lists whose centroids lie within a ratio of their distance; the rows are searched exactly in double
+precision and merged. A query that found fewer neighbours than asked is searched again, over all rows.
+
+The ratio is fitted too: for some rows the true neighbours are found by brute force, and the ratio is the
+least that opens a list of the wanted share of them. So it follows from the data how many lists a query
+opens, not from a setting: few where vectors cluster, many where they fill their space evenly.
 
 Centroids are found in memory by a best-first search over a graph that links each centroid to its nearest
 ones and to some far ones; it runs for a batch of vectors at once.
@@ -19,16 +23,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
-from .common import staged, table
+from .common import hinted, staged, table
 
-#: Rows that centroids are fitted on; rows a list holds on average; most centroids; k-means rounds.
-SAMPLE, LIST, MOST, ROUNDS = 20_000, 128, 2_000, 8
-#: Lists a row stands in at most, and how much farther than the nearest their centroids may be.
-COPIES, NEARLY = 8, 1.15
-#: Lists a query searches at most, as a share; at least, whatever their distance; and how much farther the others' centroids may be.
-PROBE_SHARE, PROBE_LEAST, RATIO = 0.33, 48, 1.5
-#: Links of a centroid; rows of a part of a list; queries of a part of a list's queries.
-LINKS, PART, QUERIES = 24, 4096, 4096
+#: Rows of a list on average; most lists; rows of the sample for each list; k-means rounds.
+LIST, MOST, SAMPLE, ROUNDS = 64, 8192, 32, 8
+#: Lists a row stands in at most, and how much farther than the nearest centroid the next may be.
+COPIES, NEARLY = 2, 1.05
+#: Share of the true neighbours whose lists are to be opened, and the rows that this is fitted on.
+RECALL, TRIALS = 0.93, 256
+#: Links of a centroid, near and far; lists of a bucket; rows of a part of a bucket; queries of a part's queries.
+LINKS, BUCKET, PART, QUERIES = (16, 4), 16, 8192, 4096
+BROADCAST_ROWS = 500_000
 
 
 def sound(v: Column, size: int) -> Column:
@@ -37,60 +42,119 @@ def sound(v: Column, size: int) -> Column:
     return F.coalesce(v.isNotNull() & (F.size(v) == size) & finite & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
+def squares(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Squared distances of all of x to all of c."""
+    return np.maximum((x * x).sum(1)[:, None] - 2 * x @ c.T + (c * c).sum(1)[None], 0)
+
+
+def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return np.concatenate([squares(x[i : i + 2048], c).argmin(1) for i in range(0, len(x), 2048)])
+
+
+def _means(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
+    c = x[rng.choice(len(x), k, replace=False)]
+    for _ in range(rounds):
+        near = _nearest(x, c)
+        sums, n = np.zeros_like(c), np.bincount(near, minlength=k)
+        np.add.at(sums, near, x)
+        c = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], x[rng.choice(len(x), k)])
+    return c
+
+
 class Centroids:
-    """K-means centroids and the graph over them."""
+    """K-means centroids and the graph over them. Neighbouring centroids have neighbouring numbers."""
 
-    def __init__(self, sample: np.ndarray, lists: int, rounds: int = ROUNDS, seed: int = 7):
+    def __init__(self, sample: np.ndarray, lists: int, copies: int = COPIES, nearly: float = NEARLY, seed: int = 7):
+        self.copies, self.nearly = copies, nearly
         rng = np.random.default_rng(seed)
-        sample = np.unique(sample, axis=0)
+        sample = np.unique(sample.astype("f4"), axis=0)
         lists = max(1, min(lists, len(sample)))
-        c = sample[rng.choice(len(sample), lists, replace=False)]
-        for _ in range(rounds):
-            near = np.concatenate([self._distances(sample[i : i + 2048], c).argmin(1) for i in range(0, len(sample), 2048)])
-            sums, n = np.zeros_like(c), np.bincount(near, minlength=lists)
-            np.add.at(sums, near, sample)
-            c = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], sample[rng.choice(len(sample), lists)])
-        self.points = np.ascontiguousarray(c, "f4")
-        k = min(LINKS, lists - 1)
-        near = np.argsort(self._distances(c, c), 1)[:, 1 : 1 + k]
-        far = rng.integers(0, lists, (lists, 4))
-        self.links = np.hstack([near, far]).astype("i4")
-
-    @staticmethod
-    def _distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
-        return np.maximum((x * x).sum(1)[:, None] - 2 * x @ c.T + (c * c).sum(1)[None], 0)
-
-    def search(self, x: np.ndarray, k: int, breadth: int) -> tuple[np.ndarray, np.ndarray]:
-        """The k nearest centroids found for each row of x and their distances, nearest first: from the same
-        few starts, the nearest centroids not yet followed are followed until there are none among the best."""
-        n, lists = len(x), len(self.points)
-        k, breadth = min(k, lists), min(max(breadth, k), lists)
-        x = x.astype("f4")
-        square, norms = (x * x).sum(1), (self.points * self.points).sum(1)
-        starts = np.linspace(0, lists - 1, min(16, lists)).astype("i8")
-        distance = np.full((n, lists), np.inf, "f4")
-        distance[:, starts] = self._distances(x, self.points[starts])
-        followed = np.zeros((n, lists), bool)
-        rows = np.arange(n)
-        best = np.tile(starts, (n, 1))
-        wide = 4
+        c = _means(sample, lists, ROUNDS, rng)
+        groups = -(-lists // BUCKET)
+        self.points = np.ascontiguousarray(c[np.argsort(_nearest(c, _means(c, groups, ROUNDS, rng)), kind="stable")])
+        near = [np.argsort(squares(self.points[i : i + 512], self.points), 1)[:, 1 : 1 + LINKS[0]] for i in range(0, lists, 512)]
+        self.links = np.hstack([np.concatenate(near), rng.integers(0, lists, (lists, LINKS[1]))]).astype("i4")
+        self.norms = (self.points * self.points).sum(1)
+        far = np.concatenate([squares(sample[i : i + 2048], self.points).min(1) for i in range(0, len(sample), 2048)])
+        #: A query nearer to its centroid than most rows is treated as if it were as far as the median row.
+        self.floor = float(np.sqrt(np.median(far)))
+
+    def search(self, x: np.ndarray, breadth: int, wide: int = 2) -> tuple[np.ndarray, np.ndarray]:
+        """The ``breadth`` nearest centroids found for each row of x and their distances, nearest first: from
+        the same few starts, the nearest centroids not yet followed are followed until there are none
+        among the best."""
+        x, lists = x.astype("f4"), len(self.points)
+        breadth = min(breadth, lists)
+        if 4 * breadth >= lists:  # most centroids would be met anyway
+            far = squares(x, self.points)
+            best = np.argsort(far, 1, kind="stable")[:, :breadth]
+            return best, np.sqrt(np.take_along_axis(far, best, 1))
+        starts = np.linspace(0, lists - 1, 16).astype("i4")
+        best = np.tile(starts, (len(x), 1))
+        far = squares(x, self.points[starts])
+        followed = np.zeros(best.shape, bool)
+        done: list[tuple] = []
+        rows, square = np.arange(len(x)), (x * x).sum(1)
+        wide = max(wide, breadth // 8)
         while len(rows):
-            d = np.where(np.take_along_axis(followed[rows], best, 1), np.inf, np.take_along_axis(distance[rows], best, 1))
-            order = np.argsort(d, 1)[:, :wide]
-            nexts, open_ = np.take_along_axis(best, order, 1), np.take_along_axis(d, order, 1) < np.inf
-            alive = open_.any(1)
-            rows, best, nexts, open_ = rows[alive], best[alive], nexts[alive], open_[alive]
-            if not len(rows):
-                break
-            nexts = np.where(open_, nexts, nexts[:, :1])
-            followed[rows[:, None], nexts] = True
-            to = self.links[nexts].reshape(len(rows), -1)
-            new = square[rows, None] + norms[to] - 2 * np.einsum("nd,nkd->nk", x[rows], self.points[to])
-            distance[rows[:, None], to] = np.maximum(new, 0)
-            mine = distance[rows]
-            best = np.argpartition(mine, breadth - 1, 1)[:, :breadth] if breadth < lists else np.tile(np.arange(lists), (len(rows), 1))
-        found = np.argsort(distance, 1, kind="stable")[:, :k]
-        return found, np.sqrt(np.take_along_axis(distance, found, 1))
+            open_far = np.where(followed, np.inf, far)
+            at = np.argsort(open_far, 1)[:, :wide]
+            is_open = np.take_along_axis(open_far, at, 1) < np.inf
+            alive = is_open.any(1)
+            if not alive.all():
+                done.append((rows[~alive], best[~alive], far[~alive]))
+                rows, best, far, followed, at, is_open = (a[alive] for a in (rows, best, far, followed, at, is_open))
+                if not len(rows):
+                    break
+            np.put_along_axis(followed, at, True, 1)
+            to = self.links[np.where(is_open, np.take_along_axis(best, at, 1), np.take_along_axis(best, at[:, :1], 1))].reshape(len(rows), -1)
+            new = np.maximum(square[rows, None] + self.norms[to] - 2 * np.einsum("nd,nkd->nk", x[rows], self.points[to], optimize=True), 0)
+            # by number, those that were met before first: of equal ones only the first stays
+            best, far = np.hstack([best, to]), np.hstack([far, new])
+            followed = np.hstack([followed, np.zeros(to.shape, bool)])
+            order = np.argsort(best, 1, kind="stable")
+            best, far, followed = (np.take_along_axis(a, order, 1) for a in (best, far, followed))
+            far[:, 1:][best[:, 1:] == best[:, :-1]] = np.inf
+            order = np.argsort(far, 1, kind="stable")[:, :breadth]
+            best, far, followed = (np.take_along_axis(a, order, 1) for a in (best, far, followed))
+            followed |= far == np.inf
+        out, dist = np.zeros((len(x), breadth), "i4"), np.full((len(x), breadth), np.inf, "f4")
+        for r, b, d in done:
+            order = np.argsort(d, 1, kind="stable")
+            out[r, : b.shape[1]], dist[r, : b.shape[1]] = np.take_along_axis(b, order, 1), np.sqrt(np.take_along_axis(d, order, 1))
+        return out, dist
+
+    def lists_of(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each row of x the lists it may stand in, and whether it does."""
+        found, far = (a[:, : self.copies] for a in self.search(x, max(8, self.copies)))
+        return found, far <= far[:, :1] * self.nearly + 1e-12
+
+    def needed(self, x: np.ndarray, queries: np.ndarray, sizes: np.ndarray, least: int) -> np.ndarray:
+        """For each of x and its query, the ratio from which on the query opens a list that x stands in."""
+        found, mine = self.lists_of(x)
+        q = queries.astype("f4")
+        far = np.sqrt(np.maximum(((q[:, None] - self.points[found]) ** 2).sum(2), 0))
+        return np.where(mine, far, np.inf).min(1) / np.array([base for base, _, _ in self._around(q, 0, sizes, least)])
+
+    def opened(self, x: np.ndarray, ratio: float, sizes: np.ndarray, least: int) -> list[np.ndarray]:
+        """The lists that each query opens, by number: those up to ``ratio`` times as far as the nearest ones that
+        hold ``least`` rows."""
+        return [np.sort(found[far <= max(ratio, 1) * base]) for base, found, far in self._around(x, ratio, sizes, least)]
+
+    def _around(self, x: np.ndarray, ratio: float, sizes: np.ndarray, least: int) -> list[tuple[float, np.ndarray, np.ndarray]]:
+        """For each query the distance within which lists hold ``least`` rows, and all lists within ``ratio`` of it."""
+        out: list = [None] * len(x)
+        todo, breadth = np.arange(len(x)), 64
+        while len(todo):
+            found, far = self.search(x[todo], breadth)
+            enough = np.cumsum(sizes[found] * (far < np.inf), 1) >= least
+            last = np.where(enough.any(1), enough.argmax(1), found.shape[1] - 1)
+            base = np.maximum(np.where(far < np.inf, far, 0)[np.arange(len(todo)), last], max(self.floor, 1e-12))
+            whole = enough.any(1) & (far[:, -1] > ratio * base) | (found.shape[1] == len(self.points))
+            for i in np.flatnonzero(whole):
+                out[todo[i]] = (float(base[i]), found[i][far[i] < np.inf], far[i][far[i] < np.inf])
+            todo, breadth = todo[~whole], breadth * 4
+        return out
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -98,67 +162,168 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return flat.to_numpy(zero_copy_only=False).reshape(len(column), -1) if len(column) else np.zeros((0, 1), "f4")
 
 
-def listed(vectors: DataFrame, centroids, most: int, ratio: float, names: tuple[str, str], breadth: int, kind: str = "float", least: int = 1) -> DataFrame:
-    """list, id, v: each row once for each of its lists, the ``least`` nearest ones and others within the ratio."""
+def thinned(rows: DataFrame, k: int, often: int = 256) -> DataFrame:
+    """``rows`` (vec_id, v) without those that are nobody's neighbour: of rows of the same vector, ties go to smaller
+    ids, so beyond the k + 1 smallest (one may be the query's own) none is ever returned. Vectors that
+    stand in more than ``often`` rows are thinned so; a third of all rows may be one vector."""
+    h = F.xxhash64("v")
+    common = staged(rows.groupBy(h.alias("_h")).agg(F.count("*").alias("n")).filter(F.col("n") > often).select("_h"), "ann-common")
+    if common.isEmpty():
+        return rows
+    common = hinted(common, BROADCAST_ROWS)
+    first = F.row_number().over(Window.partitionBy("_h", "v").orderBy("vec_id"))
+    hot = rows.withColumn("_h", h).join(common, "_h", "left_semi").dropDuplicates(["vec_id", "v"]).withColumn("_r", first).filter(F.col("_r") <= k + 1)
+    return rows.withColumn("_h", h).join(common, "_h", "left_anti").select("vec_id", "v").union(hot.select("vec_id", "v"))
+
+
+def listed(rows: DataFrame, centroids, kind: str) -> DataFrame:
+    """bucket, list, vec_id, v: each row (vec_id, v) once for each of its lists."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = centroids.value
-        for part in (b.slice(at, 512) for b in batches for at in range(0, b.num_rows, 512)):
-            found, far = c.search(_matrix(part.column(1)), most, breadth)
-            take = (far <= np.maximum(far[:, :1] * ratio, 1e-12)) | (np.arange(far.shape[1]) < least) & (far < np.inf)
-            row, column = np.nonzero(take)
+        for part in (b.slice(at, 1024) for b in batches for at in range(0, b.num_rows, 1024)):
+            found, mine = c.lists_of(_matrix(part.column(1)))
+            row, column = np.nonzero(mine)
+            which = found[row, column].astype("i4")
             out = part.take(pa.array(row))
-            yield pa.RecordBatch.from_arrays([pa.array(found[row, column].astype("i4")), *out.columns], ["list", *names])
+            yield pa.RecordBatch.from_arrays([pa.array(which // BUCKET), pa.array(which), *out.columns], ["bucket", "list", "vec_id", "v"])
 
-    return vectors.select(*names).mapInArrow(run, f"list int, {names[0]} long, {names[1]} array<{kind}>")
+    return rows.select("vec_id", "v").mapInArrow(run, f"bucket int, list int, vec_id long, v array<{kind}>")
+
+
+def asking(queries: DataFrame, centroids, ratio: float, sizes, least: int, kind: str) -> DataFrame:
+    """bucket, lists, query_id, q: each query (query_id, q) once for each bucket that it opens lists of."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = centroids.value
+        for part in (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256)):
+            row, bucket, lists = [], [], []
+            for i, found in enumerate(c.opened(_matrix(part.column(1)), ratio, sizes.value, least)):
+                for which in np.split(found, np.flatnonzero(np.diff(found // BUCKET)) + 1):
+                    row.append(i)
+                    bucket.append(which[0] // BUCKET)
+                    lists.append(which)
+            out = part.take(pa.array(row, pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(lists, pa.list_(pa.int32())), *out.columns], ["bucket", "lists", "query_id", "q"])
+
+    return queries.select("query_id", "q").mapInArrow(run, f"bucket int, lists array<int>, query_id long, q array<{kind}>")
+
+
+def closest(x: np.ndarray, ids: np.ndarray, q: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query's row, id, distance) of each query's k nearest rows of x by distance, then id; rows of one id count
+    once, by the nearest, and a query's own id doesn't count. ``ids`` are sorted."""
+    firsts = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
+    single = len(firsts) == len(ids)
+    each = ids[firsts]
+    near = squares(q, x)
+    if not single:
+        near = np.minimum.reduceat(near, firsts, 1)
+    near[own[:, None] == each[None]] = np.inf
+    # products tell which rows may be among the nearest, up to rounding; differences then give the distances
+    k = min(k, len(each))
+    bound = np.partition(near, k - 1, 1)[:, k - 1]
+    slack = 1e-9 * (bound + (q * q).sum(1) + (x * x).sum(1).max())
+    maybe = (near <= (bound + slack)[:, None]) & (near < np.inf)
+    who, which = np.nonzero(maybe)
+    far = np.zeros(len(who))
+    ends = np.append(firsts[1:], len(ids))
+    for at in range(0, len(who), 1 << 16):  # bounds memory where many rows are equally near
+        i, j = who[at : at + (1 << 16)], which[at : at + (1 << 16)]
+        if single:
+            far[at : at + len(i)] = np.sqrt(((q[i] - x[j]) ** 2).sum(1))
+        else:
+            far[at : at + len(i)] = [np.sqrt(((x[firsts[b] : ends[b]] - q[a]) ** 2).sum(1).min()) for a, b in zip(i, j, strict=True)]
+    return first_of(who, each[which], far, k)
+
+
+def first_of(who: np.ndarray, ids: np.ndarray, far: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k least (distance, id) of each ``who``, each id once."""
+    order = np.lexsort((far, ids, who))
+    who, ids, far = who[order], ids[order], far[order]
+    new = np.ones(len(who), bool)
+    new[1:] = (who[1:] != who[:-1]) | (ids[1:] != ids[:-1])
+    who, ids, far = who[new], ids[new], far[new]
+    order = np.lexsort((ids, far, who))
+    who, ids, far = who[order], ids[order], far[order]
+    starts = np.flatnonzero(np.concatenate(([True], who[1:] != who[:-1]))) if len(who) else np.zeros(0, int)
+    rank = np.arange(len(who)) - np.repeat(starts, np.diff(np.append(starts, len(who))))
+    return who[rank < k], ids[rank < k], far[rank < k]
 
 
 def _best(k: int):
-    """A part of a list and queries for it -> each query's nearest rows there."""
+    """A part of a bucket and queries for it -> each query's nearest rows there."""
 
     def search(key: tuple, rows: pa.Table, queries: pa.Table) -> pa.Table:
-        empty = {"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())}
-        if not len(rows) or not len(queries):
-            return pa.table(empty)
-        ids, x = rows["vec_id"].to_numpy(), _matrix(rows["v"]).astype("f8")
-        order = np.argsort(ids, kind="stable")
-        ids, x = ids[order], x[order]
-        # rows of one vec_id count once, by the nearest: they stand together
-        firsts = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
-        single, ids = len(firsts) == len(ids), ids[firsts]
-        q, out = queries["query_id"].to_numpy(), []
-        for one, v in zip(q, _matrix(queries["q"]).astype("f8"), strict=True):
-            d = np.sqrt(((x - v) ** 2).sum(1))
-            if not single:
-                d = np.minimum.reduceat(d, firsts)
-            d[ids == one] = np.inf
-            if len(d) > k:
-                bound = np.partition(d, k - 1)[k - 1]
-                near = np.flatnonzero(d <= bound)
-                near = near[np.argsort(d[near], kind="stable")][:k]
-            else:
-                near = np.argsort(d, kind="stable")
-            near = near[d[near] < np.inf]
-            out.append((np.full(len(near), one), ids[near], d[near]))
-        a, b, c = (np.concatenate(z) for z in zip(*out, strict=True))
-        return pa.table({"query_id": a.astype("i8"), "vec_id": b, "score": c})
+        found: list[tuple] = [(np.zeros(0, "i8"), np.zeros(0, "i8"), np.zeros(0))]
+        if len(rows) and len(queries):
+            ids, lists = rows["vec_id"].to_numpy(), rows["list"].to_numpy()
+            order = np.lexsort((ids, lists))
+            ids, lists, x = ids[order], lists[order], _matrix(rows["v"]).astype("f8")[order]
+            own, q = queries["query_id"].to_numpy(), _matrix(queries["q"]).astype("f8")
+            wanted = queries["lists"].combine_chunks()
+            who = np.repeat(np.arange(len(q)), np.diff(wanted.offsets.to_numpy()))
+            which = wanted.flatten().to_numpy()
+            starts = np.flatnonzero(np.concatenate(([True], lists[1:] != lists[:-1])))
+            for a, b in zip(starts, np.append(starts[1:], len(lists)), strict=True):
+                mine = who[which == lists[a]]
+                for at in range(0, len(mine), 512):
+                    some = mine[at : at + 512]
+                    i, near, far = closest(x[a:b], ids[a:b], q[some], own[some], k)
+                    found.append((some[i], near, far))
+            i, near, far = first_of(*(np.concatenate(z) for z in zip(*found, strict=True)), k)
+            return pa.table({"query_id": own[i].astype("i8"), "vec_id": near, "score": far})
+        return pa.table(dict(zip(("query_id", "vec_id", "score"), found[0], strict=True)))
 
     return search
 
 
 def _searched(postings: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """query_id, vec_id, score: each query's nearest rows in each part of its lists."""
-    # one row for each list: no more than there are centroids
-    counts = F.broadcast(postings.groupBy("list").count().join(wanted.groupBy("list").agg(F.count("*").alias("asked")), "list").select("list", F.ceil(F.col("count") / PART).cast("int").alias("parts"), F.ceil(F.col("asked") / QUERIES).cast("int").alias("blocks")))
+    """query_id, vec_id, score: each query's nearest rows in each part of its buckets."""
+    # one row for each bucket: no more than there are lists
+    counts = F.broadcast(postings.groupBy("bucket").count().join(wanted.groupBy("bucket").agg(F.count("*").alias("asked")), "bucket").select("bucket", F.ceil(F.col("count") / PART).cast("int").alias("parts"), F.ceil(F.col("asked") / QUERIES).cast("int").alias("blocks")))
     p = F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int")
     b = F.pmod(F.xxhash64("query_id"), F.col("blocks")).cast("int")
-    left = postings.join(counts, "list").select("list", p.alias("part"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "vec_id", "v")
-    right = wanted.join(counts, "list").select("list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), b.alias("block"), "query_id", "q")
-    key = ["list", "part", "block"]
+    left = postings.join(counts, "bucket").select("bucket", p.alias("part"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "list", "vec_id", "v")
+    right = wanted.join(counts, "bucket").select("bucket", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), b.alias("block"), "lists", "query_id", "q")
+    key = ["bucket", "part", "block"]
     return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(_best(k), "query_id long, vec_id long, score double")
 
 
-def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, sample: int = SAMPLE, list_size: int = LIST, copies: int = COPIES, nearly: float = NEARLY, probe_share: float = PROBE_SHARE, ratio: float = RATIO) -> DataFrame:
+def fitted_ratio(rows: DataFrame, centroids, trials: pa.Table, sizes, least: int, k: int, recall: float) -> float:
+    """The least ratio that opens a list of the share ``recall`` of the true neighbours of ``trials`` (vec_id, v).
+
+    Each task keeps the k nearest of its rows for each trial, so the shuffle carries k narrow rows a trial and
+    task, and the driver gets k numbers a trial.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast((trials["vec_id"].to_numpy(), _matrix(trials["v"]).astype("f8")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, q = shared.value
+        best = (np.zeros(0, "i8"), np.zeros(0, "i8"), np.zeros(0))
+        needs: dict[tuple, float] = {}
+        for part in (b.slice(at, 4096) for b in batches for at in range(0, b.num_rows, 4096)):
+            ids = part.column(0).to_numpy()
+            order = np.argsort(ids, kind="stable")
+            ids, x = ids[order], _matrix(part.column(1)).astype("f8")[order]
+            who, near, far = closest(x, ids, q, own, k)
+            who, near, far = first_of(*(np.concatenate(z) for z in zip(best, (who, near, far), strict=True)), k)
+            best, at = (who, near, far), np.searchsorted(ids, near)
+            mine = np.flatnonzero(ids[np.minimum(at, len(ids) - 1)] == near)
+            need = centroids.value.needed(x[at[mine]], q[who[mine]], sizes.value, least)
+            needs |= dict(zip(zip(who[mine].tolist(), near[mine].tolist()), need.tolist(), strict=True))
+            needs = {key: needs[key] for key in zip(who.tolist(), near.tolist(), strict=True)}
+        need = np.array([needs[key] for key in zip(best[0].tolist(), best[1].tolist(), strict=True)], "f8")
+        yield pa.RecordBatch.from_arrays([pa.array(a) for a in (*best, need)], ["trial", "vec_id", "score", "need"])
+
+    near = Window.partitionBy("trial").orderBy("score", "vec_id")
+    found = rows.select("vec_id", "v").mapInArrow(run, "trial long, vec_id long, score double, need double")
+    found = found.withColumn("r", F.row_number().over(near)).filter(F.col("r") <= k)
+    needs = found.select("need").toArrow()["need"].to_numpy()
+    # at most TRIALS * k numbers; where tables hold fewer rows than that there are fewer
+    return float(np.quantile(needs, recall, method="higher")) * 1.0001 if len(needs) else 1.0
+
+
+def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, list_size: int = LIST, copies: int = COPIES, nearly: float = NEARLY, recall: float = RECALL, trials: int = TRIALS, most: int = MOST) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k nearest rows found, by distance, then vec_id.
 
     ``vectors`` and ``queries``: vec_id, embedding. A row is no neighbour of the query with its own vec_id.
@@ -175,21 +340,27 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, sample: int
     total = rows.count()
     if not total:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    lists = min(most, max(1, total // list_size))
     # a share by hash, then the first of them: the same rows each time, never more than the sample
+    sample = max(SAMPLE * lists, trials)
     share = rows.filter(F.pmod(F.xxhash64("vec_id"), F.lit(1_000_000)) < max(1, int(2e6 * sample / total)))
-    fitted = _matrix(share.orderBy(F.xxhash64("vec_id", F.lit(1))).limit(sample).toArrow()["v"])
-    model = Centroids(fitted if len(fitted) else np.zeros((1, width), "f4"), min(MOST, max(1, total // list_size)))
-    lists = len(model.points)
-    shared = spark.sparkContext.broadcast(model)
-    postings = staged(listed(rows, shared, copies, nearly, ("vec_id", "v"), 24, kind), "ann-postings")
-    probes = max(min(PROBE_LEAST, lists), int(lists * probe_share))
-    wanted = staged(listed(asked, shared, probes, ratio, ("query_id", "q"), probes, kind, PROBE_LEAST), "ann-probes")
+    fitted = share.orderBy(F.xxhash64("vec_id", F.lit(1)), "vec_id").limit(sample).toArrow()
+    shared = spark.sparkContext.broadcast(Centroids(_matrix(fitted["v"]) if len(fitted) else np.zeros((1, width), "f4"), lists, copies, nearly))
+    rows = thinned(rows, k)
+    postings = staged(listed(rows, shared, kind), "ann-postings")
+    held = np.zeros(len(shared.value.points), "i8")
+    for r in postings.groupBy("list").count().collect():  # one number a list
+        held[r["list"]] = r["count"]
+    held = spark.sparkContext.broadcast(held)
+    ratio = fitted_ratio(rows, shared, fitted.slice(0, trials), held, 4 * k, k, recall)
+    wanted = staged(asking(asked, shared, ratio, held, 4 * k, kind), "ann-probes")
     found = staged(_searched(postings, wanted, k).groupBy("query_id", "vec_id").agg(F.min("score").alias("score")), "ann-found")
-    # queries whose lists gave fewer than there are to find: all rows are one list for them
-    full = found.groupBy("query_id").agg(F.count("*").alias("n")).filter(F.col("n") >= min(k, rows.select("vec_id").distinct().count()))
+    # queries whose lists gave fewer than k: all rows are one list for them
+    full = found.groupBy("query_id").agg(F.count("*").alias("n")).filter(F.col("n") >= k)
     short = staged(asked.join(full, "query_id", "left_anti"), "ann-short")
     if not short.isEmpty():
-        found = found.union(_searched(rows.withColumn("list", F.lit(0)), short.withColumn("list", F.lit(0)), k))
+        everywhere = short.select(F.lit(0).alias("bucket"), F.array(F.lit(0)).alias("lists"), "query_id", "q")
+        found = found.union(_searched(rows.select(F.lit(0).alias("bucket"), F.lit(0).alias("list"), "vec_id", "v"), everywhere, k))
     nearest = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score")).withColumn("rank", F.row_number().over(nearest)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from reelquery.llm import ann
 
@@ -52,11 +53,40 @@ def test_odd_vectors(spark):
 
 def test_search_finds_near_centroids():
     rng = np.random.default_rng(4)
-    c = ann.Centroids(rng.normal(size=(2000, 8)).astype("f4"), 100)
+    c = ann.Centroids(rng.normal(size=(4000, 8)).astype("f4"), 400)
     x = rng.normal(size=(200, 8)).astype("f4")
-    found, far = c.search(x, 4, 16)
-    true = ann.Centroids._distances(x, c.points).argsort(1)[:, :4]
-    assert np.mean([len(set(a) & set(b)) for a, b in zip(found, true)]) > 3.6 and (np.diff(far, axis=1) >= 0).all()
+    for breadth in (8, 32, 300):
+        found, far = c.search(x, breadth)
+        true = ann.squares(x, c.points).argsort(1)[:, :4]
+        assert np.mean([len(set(a) & set(b)) for a, b in zip(found[:, :4], true)]) > 3.8 and (np.diff(far, axis=1) >= 0).all()
+        assert all(len(set(a)) == breadth for a in found)
+
+
+def test_opened_lists_hold_enough_rows():
+    rng = np.random.default_rng(5)
+    c = ann.Centroids(rng.normal(size=(4000, 8)).astype("f4"), 400)
+    sizes = np.r_[np.zeros(350, int), np.ones(50, int)]
+    for lists in c.opened(rng.normal(size=(50, 8)), 1e-3, sizes, 40):
+        assert sizes[lists].sum() >= 40 and len(set(lists)) == len(lists)
+
+
+def compared(df, k=10):
+    """Rows that a query is compared with on average, as a share of the table, and copies of a row."""
+    seen = {}
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(ann, "_searched", lambda postings, wanted, k, real=ann._searched: (seen.setdefault("p", (postings, wanted)), real(postings, wanted, k))[1])
+        ann.neighbours(df, df.filter("vec_id % 100 = 0"), k).count()
+    postings, wanted = seen["p"]
+    met = wanted.select(F.explode("lists").alias("list")).join(postings.groupBy("list").count(), "list").agg(F.sum("count")).first()[0]
+    n = df.count()
+    return met / wanted.select("query_id").distinct().count() / n, postings.count() / n
+
+
+def test_clustered_vectors_are_compared_with_few(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(60, 24))[rng.integers(0, 60, 6000)] + 0.15 * rng.normal(size=(6000, 24))
+    share, copies = compared(frame(spark, x, range(6000)))
+    assert share < 0.2 and 1 <= copies <= 2
 
 
 def test_double_vectors_keep_their_precision(spark):
@@ -70,15 +100,32 @@ def test_queries_alone_in_their_lists(spark):
     # pairs far from each other: each pair draws a centroid of its own, at distance 0
     x = np.repeat(np.random.default_rng(3).normal(size=(60, 8)) * 100, 2, axis=0).astype("f4")
     df = frame(spark, x, range(120))
-    for least in (ann.PROBE_LEAST, 1):
-        with pytest.MonkeyPatch.context() as patch:
-            patch.setattr(ann, "PROBE_LEAST", least)
-            got = {}
-            for r in ann.neighbours(df, df.filter("vec_id % 10 = 0"), list_size=2).orderBy("query_id", "rank").collect():
-                got.setdefault(r["query_id"], []).append(r["vec_id"])
-        assert all(len(got[q]) == 10 for q in range(0, 120, 10))
-        if least == 1:
-            assert all(got[q] == [i for i, _ in exact(x.astype("f8"), np.arange(120), q, 10)] for q in range(0, 120, 10))
+    got = {}
+    for r in ann.neighbours(df, df.filter("vec_id % 10 = 0"), list_size=2).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert all(len(got[q]) == 10 and got[q][0] == q + 1 for q in range(0, 120, 10))
+
+
+def test_outliers_and_tight_groups_get_all_their_neighbours(spark):
+    # the usual vectors, outliers far apart and groups of ten nearly equal ones: each is asked
+    rng = np.random.default_rng(12)
+    usual, far = rng.normal(size=(2000, 12)), 50 * rng.normal(size=(40, 12))
+    tight = np.repeat(30 * rng.normal(size=(6, 12)), 10, axis=0) + 1e-3 * rng.normal(size=(60, 12))
+    x = np.vstack([usual, far, tight]).astype("f4")
+    df, ids = frame(spark, x, range(2100)), np.arange(2100)
+    got = {}
+    for r in ann.neighbours(df, df.filter("vec_id >= 2000"), list_size=40).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    found = [len({i for i, _ in exact(x.astype("f8"), ids, q, 10)} & set(got[q])) for q in range(2000, 2100)]
+    assert all(len(got[q]) == 10 for q in range(2000, 2100)) and np.mean(found) >= 9
+
+
+def test_common_vectors_are_thinned_to_what_may_be_found(spark):
+    x = np.random.default_rng(13).normal(size=(900, 6)).astype("f4")
+    x[::3] = x[0]
+    df = frame(spark, x, range(900)).select("vec_id", F.col("embedding").alias("v"))
+    left = {r["vec_id"] for r in ann.thinned(df, 10, 256).collect()}
+    assert left == {*range(0, 33, 3)} | {i for i in range(900) if i % 3}
 
 
 def test_repeated_rows_count_once(spark):
