@@ -30,7 +30,7 @@ LIST, MOST, SAMPLE, ROUNDS = 64, 8192, 32, 8
 #: Lists a row stands in at most, and how much farther than the nearest centroid the next may be.
 COPIES, NEARLY = 2, 1.05
 #: Share of the true neighbours whose lists are to be opened, and the rows that this is fitted on.
-RECALL, TRIALS = 0.93, 256
+RECALL, TRIALS = 0.94, 128
 #: Links of a centroid, near and far; lists of a bucket; rows of a part of a bucket; queries of a part's queries.
 LINKS, BUCKET, PART, QUERIES = (16, 4), 16, 8192, 4096
 BROADCAST_ROWS = 500_000
