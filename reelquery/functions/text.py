@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 # The following are fixed values: words that mark credit scenes.
 CREDIT_WORDS = ("MAIN CAST", "ADDITIONAL VOICES", "CAST", "VOICE", "VOICES", "MAGYAR HANGOK", "TOVABBI MAGYAR HANGOK", "MAGYAR VALTOZAT", "VERSIONE ITALIANA", "ELENCO", "COMPOSITORS", "ANIMATORS", "PRODUCTION", "DIRECTOR", "WRITTEN BY", "EDITED BY", "SPECIAL EFFECTS", "VISUAL EFFECTS")
@@ -77,28 +77,28 @@ def bigrams(w: Column | str) -> Column:
     return F.array_distinct(pairs)
 
 
-def token_features(x: Column | str) -> Column:
-    """What the token and bigram similarity needs of a normalised text; computed once a row, it is used for many pairs."""
-    x = _c(x)
-    w = words(x)
-    return F.struct(F.coalesce(x, F.lit("")).alias("text"), F.array_distinct(w).alias("words"), bigrams(w).alias("bigrams"))
+def with_features(rows: DataFrame, **texts: Column) -> DataFrame:
+    """``rows`` with the features of each of the ``texts``. Every step is a projection of its own, so that a text is
+    normalised and split once, and not once for each use."""
+    rows = rows.withColumns({f"_text_{n}": x for n, x in texts.items()})
+    rows = rows.withColumns({f"_words_{n}": words(f"_text_{n}") for n in texts})
+    features = {n: F.struct(F.coalesce(f"_text_{n}", F.lit("")).alias("text"), F.array_distinct(f"_words_{n}").alias("words"), bigrams(f"_words_{n}").alias("bigrams")) for n in texts}
+    return rows.withColumns(features).drop(*(f"_{part}_{n}" for n in texts for part in ("text", "words")))
 
 
-def feature_similarity(a: Column | str, b: Column | str) -> Column:
-    """0.70 of the words' Jaccard and 0.30 of their bigrams'; 1 for equal normalised texts, 0 if one is empty."""
-    a, b = _c(a), _c(b)
+def with_similarity(rows: DataFrame, a: str, b: str, name: str) -> DataFrame:
+    """``rows`` with the similarity of two columns of features: 0.70 of the words' Jaccard and 0.30 of their bigrams';
+    1 for equal normalised texts, 0 if one is empty or missing."""
+    both = rows.withColumns({f"_{name}_{part}": F.size(F.array_intersect(F.col(a)[part], F.col(b)[part])) for part in ("words", "bigrams")})
 
-    def shared(name: str) -> Column:
-        n = F.size(F.array_intersect(a[name], b[name]))
-        return F.when(n == 0, 0.0).otherwise(n / (F.size(a[name]) + F.size(b[name]) - n))
+    def shared(part: str) -> Column:
+        n = F.col(f"_{name}_{part}")
+        return F.when(n == 0, 0.0).otherwise(n / (F.size(F.col(a)[part]) + F.size(F.col(b)[part]) - n))
 
+    x, y = F.col(a)["text"], F.col(b)["text"]
     mixed = F.lit(0.70) * shared("words") + F.lit(0.30) * shared("bigrams")
-    return F.when((a["text"] == "") | (b["text"] == ""), 0.0).when(a["text"] == b["text"], 1.0).otherwise(mixed)
-
-
-def token_bigram_similarity(a: Column | str, b: Column | str) -> Column:
-    """The same for a pair of texts."""
-    return feature_similarity(token_features(a), token_features(b))
+    value = F.when((x == "") | (y == ""), 0.0).when(x == y, 1.0).otherwise(mixed)
+    return both.withColumn(name, F.coalesce(value, F.lit(0.0))).drop(f"_{name}_words", f"_{name}_bigrams")
 
 
 @F.pandas_udf(T.DoubleType())

@@ -10,56 +10,84 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from reelquery.functions.vector import dot
 
-#: Queries that are held in memory at once; more are searched in blocks, each over one scan of the frames.
+#: Queries up to this many go to every task, which keeps the frames where they are; more are dealt into blocks of so many.
 BLOCK = 4096
+FOUND = "query_id long, vec_id long, sim double"
 
 
-def nearest(frames: DataFrame, queries: DataFrame, k: int, exclude_self: bool = True) -> DataFrame:
+def nearest(frames: DataFrame, queries: DataFrame, k: int, exclude_self: bool = True, block: int = BLOCK) -> DataFrame:
     """query_id, vec_id, sim, rank: each query's ``k`` frames of greatest inner product, ties to the smaller vec_id.
 
     ``frames``: vec_id, embedding; ``queries``: query_id, self_id (the frame that it is, or null), embedding.
-    Each task multiplies its frames with a block of queries and keeps its own top k, so the shuffle carries
-    k rows a query and task; a window merges them. Null vectors take no part.
+    A block of queries is multiplied with frames at a time, and of each block and part of the frames the top k are
+    kept, so the shuffle to the window that merges them carries k rows a query and part. Up to ``block``
+    queries are broadcast; beyond that blocks of queries meet parts of the frames by cogrouping, and
+    neither passes through the driver. Null vectors take no part.
     """
+    frames = frames.filter("embedding IS NOT NULL").select("vec_id", "embedding")
     queries = queries.filter("embedding IS NOT NULL").select("query_id", "self_id", "embedding")
-    blocks = -(-queries.count() // BLOCK)
-    found = [_local(frames, queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i) if blocks > 1 else queries, k, exclude_self) for i in range(max(1, blocks))]
-    rows = found[0]
-    for more in found[1:]:
-        rows = rows.unionAll(more)
+    first = queries.limit(block + 1).toArrow()
+    rows = _broadcast(frames, first, k, exclude_self) if len(first) <= block else _cogrouped(frames, queries, k, exclude_self, block)
     best = Window.partitionBy("query_id").orderBy(F.desc("sim"), "vec_id")
     return rows.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
 
-def _local(frames: DataFrame, block: DataFrame, k: int, exclude_self: bool) -> DataFrame:
-    got = block.toArrow()
-    q = np.array(got["embedding"].to_pylist(), "f8").reshape(len(got), -1 if len(got) else 0)
-    names = got["query_id"].to_numpy()
-    own = got["self_id"].to_pandas().to_numpy("float64", na_value=np.nan) if len(got) else np.zeros(0)
-    shared = frames.sparkSession.sparkContext.broadcast((q, names, own))
+def _search(k: int, exclude_self: bool):
+    """Queries and batches of frames -> the top k of each query. It is sent to the workers whole, so that they
+    needn't have this library."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q, names, own = shared.value
-        best: list[tuple] = []
-        for batch in batches:
-            if not batch.num_rows or not len(q):
-                continue
-            ids = batch.column(0).to_numpy()
-            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype("f8").reshape(len(ids), -1)
-            sims = x @ q.T
+    def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+        flat = (column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column).flatten()
+        return flat.to_numpy(zero_copy_only=False).astype("f8").reshape(len(column), -1 if len(column) else 0)
+
+    def search(queries: pa.Table, batches: Iterator[pa.RecordBatch]) -> pa.Table:
+        names, q = queries["query_id"].to_numpy(), matrix(queries["embedding"])
+        own = queries["self_id"].to_pandas().to_numpy("float64", na_value=np.nan)
+        best, near = np.zeros((len(q), 0), "i8"), np.zeros((len(q), 0))
+        for part in (b.slice(at, 2048) for b in batches for at in range(0, b.num_rows, 2048)):
+            ids = part["vec_id"].to_numpy()
+            sims = q @ matrix(part["embedding"]).T
+            sims[np.isnan(sims)] = -np.inf
             if exclude_self:
-                sims[ids[:, None] == own[None]] = -np.inf
-            for j in range(len(q)):
-                s = sims[:, j]
-                near = np.flatnonzero(s >= np.partition(s, -k)[-k]) if len(s) > k else np.arange(len(s))
-                near = near[np.lexsort((ids[near], -s[near]))][:k]
-                near = near[s[near] > -np.inf]
-                best.append((np.full(len(near), names[j]), ids[near], s[near]))
-        if best:
-            a, b, c = (np.concatenate(x) for x in zip(*best, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(c)], ["query_id", "vec_id", "sim"])
-
-    return frames.filter("embedding IS NOT NULL").select("vec_id", "embedding").mapInArrow(run, "query_id long, vec_id long, sim double")
+                sims[own[:, None] == ids[None]] = -np.inf
+            best, near = np.hstack([best, np.broadcast_to(ids, sims.shape)]), np.hstack([near, sims])
+            if near.shape[1] > k:
+                at = np.argpartition(near, -k, 1)[:, -k:]
+                bound = np.take_along_axis(near, at, 1).min(1)
+                # of those equal to the k-th greatest as many stay as there is room for, by id
+                for row in np.flatnonzero(((near >= bound[:, None]).sum(1) > k) & (bound > -np.inf)):
+                    equal, above = np.flatnonzero(near[row] == bound[row]), np.flatnonzero(near[row] > bound[row])
+                    at[row] = np.concatenate([above, equal[np.argsort(best[row, equal], kind="stable")]])[:k]
+                best, near = np.take_along_axis(best, at, 1), np.take_along_axis(near, at, 1)
+        row, column = np.nonzero(near > -np.inf)
+        return pa.table({"query_id": names[row].astype("i8"), "vec_id": best[row, column], "sim": near[row, column]})
+
+    return search
+
+
+def _broadcast(frames: DataFrame, queries: pa.Table, k: int, exclude_self: bool) -> DataFrame:
+    shared, search = frames.sparkSession.sparkContext.broadcast(queries), _search(k, exclude_self)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if len(shared.value):
+            yield from search(shared.value, batches).to_batches()
+
+    return frames.mapInArrow(run, FOUND)
+
+
+def _cogrouped(frames: DataFrame, queries: DataFrame, k: int, exclude_self: bool, block: int) -> DataFrame:
+    """As many parts of the frames as there are shuffle partitions; each part and block is one group."""
+    parts = int(frames.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = -(-queries.count() // max(1, block // 2))  # dealt by hash: half full, so that hardly any is over-full
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = frames.withColumns({"part": F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int"), "block": each(blocks)})
+    right = queries.withColumns({"block": F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"), "part": each(parts)})
+    search = _search(k, exclude_self)
+
+    def run(rows: pa.Table, asked: pa.Table) -> pa.Table:
+        return search(asked, rows.to_batches() if len(asked) else [])
+
+    return left.groupBy("part", "block").cogroup(right.groupBy("part", "block")).applyInArrow(run, FOUND)
 
 
 def nearest_native(frames: DataFrame, queries: DataFrame, k: int, exclude_self: bool = True) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from reelquery import weights as W
+from reelquery.functions.text import jaccard
 from reelquery.operators.temporal import count_ahead
 from reelquery.schemas import EPISODE
 
@@ -92,23 +93,29 @@ def strong_rows(hits: DataFrame, percentile: float = 0.60, by: list[str] = KEY)
 
 def temporal_consistency(hits: DataFrame, w: W.Temporal = W.Temporal(), by: list[str] = KEY) -> DataFrame:
     """by, temporal: how densely a group's strong rows lie in time, and how little they spread; 0 for fewer than two."""
-    strong = strong_rows(hits, w.percentile, by)
-    parts = strong.withColumn("_n", count_ahead(by, "ts", w.cluster_seconds)).groupBy(*by).agg(F.max("_n").alias("_c"), F.count("*").alias("_m"), (F.percentile("ts", 0.75) - F.percentile("ts", 0.25)).alias("_iqr"))
-    cluster = F.least(F.lit(1.0), F.col("_c") / w.cluster_full)
-    spread = F.greatest(F.lit(0.0), 1 - F.col("_iqr") / w.spread_seconds)
-    return parts.select(*by, F.when(F.col("_m") < 2, 0.0).otherwise(w.cluster * cluster + w.spread * spread).alias("temporal"))
+    strong = strong_rows(hits, w.percentile, by).withColumn("_n", count_ahead(by, "ts", w.cluster_seconds))
+    return strong.groupBy(*by).agg(consistency(F.max("_n"), F.count("*"), F.percentile("ts", 0.75) - F.percentile("ts", 0.25), w).alias("temporal"))
+
+
+def consistency(cluster: Column, n: Column, spread: Column, w: W.Temporal = W.Temporal()) -> Column:
+    """From the most rows in a cluster, their number, and their interquartile range in time."""
+    dense = F.least(F.lit(1.0), cluster / w.cluster_full)
+    narrow = F.greatest(F.lit(0.0), 1 - spread / w.spread_seconds)
+    return F.when(n < 2, 0.0).otherwise(w.cluster * dense + w.spread * narrow)
 
 
 def episode_scores(hits: DataFrame, clip_sizes: DataFrame, w: W.Temporal = W.Temporal(), credit: Column | None = None) -> DataFrame:
     """The full episode score. ``hits`` has step, ts and ocr (0 to 1); ``credit``: whether the query is a credit
     scene (by default, whether ``clip_sizes`` says so in credit_score)."""
+    # all windows and the sums are by the same key, so the hits are dealt once
     rows = ranked(hits.withColumn("_tie", F.struct("vec_id", "step")), tie="_tie")
     rows = rows.withColumn("_ro", F.row_number().over(Window.partitionBy(*KEY).orderBy(F.desc("ocr"), "_tie")))
-    parts = rows.groupBy(*KEY).agg(F.max("sim").alias("best"), top_mean(3).alias("top3"), F.avg("sim").alias("mean"), F.count_distinct("step").alias("found"), F.avg("ocr").alias("ocr_mean"), F.max("ocr").alias("ocr_best"), top_mean(3, "ocr", "_ro").alias("ocr_top3"), best_row("sim", "vec_id", "ts").alias("best_frame"))
-    same = lambda a, b: F.col(f"p.{a}").eqNullSafe(F.col(f"t.{b}"))
-    t = temporal_consistency(hits, w)
-    joined = parts.alias("p").join(t.alias("t"), same("query_id", "query_id") & same("media_id", "media_id") & same("season", "season") & same("episode", "episode"), "left")
-    joined = joined.select("p.*", F.coalesce("t.temporal", F.lit(0.0)).alias("temporal")).join(clip_sizes, "query_id")
+    rows = rows.withColumn("_strong", F.when(F.col("sim") >= F.percentile("sim", w.percentile).over(Window.partitionBy(*KEY)), F.col("ts").cast("double")))
+    rows = rows.withColumn("_n", count_ahead(KEY, "ts", w.cluster_seconds, "_strong"))
+    found = F.size(F.collect_set("step"))
+    temporal = consistency(F.max(F.when(F.col("_strong").isNotNull(), F.col("_n"))), F.count("_strong"), F.percentile("_strong", 0.75) - F.percentile("_strong", 0.25), w)
+    parts = rows.groupBy(*KEY).agg(F.max("sim").alias("best"), top_mean(3).alias("top3"), F.avg("sim").alias("mean"), found.alias("found"), F.avg("ocr").alias("ocr_mean"), F.max("ocr").alias("ocr_best"), top_mean(3, "ocr", "_ro").alias("ocr_top3"), best_row("sim", "vec_id", "ts").alias("best_frame"), temporal.alias("temporal"))
+    joined = parts.join(clip_sizes, "query_id")
     coverage = F.least(F.lit(1.0), F.col("found") / F.greatest(F.col("clip_frames"), F.lit(1)))
     is_credit = credit if credit is not None else F.col("credit_score") >= w.threshold
     joined = joined.withColumns({"coverage": coverage, "credit": is_credit})
@@ -129,6 +136,19 @@ def fused(first: DataFrame, second: DataFrame, score: str, weight: float, name:
     return joined.select("a.*", F.coalesce(F.col(f"b.{score}"), F.lit(0.0)).alias(f"_{score}")).withColumn(name, F.lit(weight) * F.col("score") + F.lit(round(1 - weight, 10)) * F.col(f"_{score}")).withColumnRenamed(f"_{score}", f"other_{score}")
 
 
+def clip_ocr_scores(hits: DataFrame, texts: DataFrame, candidates: DataFrame, by: list[str] = KEY) -> DataFrame:
+    """by, ocr_score, frames_with_text: an episode's candidates by the most alike of the clip's texts, the best three
+    on average; 0 where either has no text. ``texts``: query_id, query_tokens; ``candidates``: vec_id, tokens, of
+    those with a text. What meets is a clip's few texts and the candidates that it found."""
+    rows = hits.select(*by, "vec_id").distinct()
+    pairs = rows.join(candidates, "vec_id").join(texts, "query_id").select(*by, "vec_id", jaccard("query_tokens", "tokens").alias("ocr"))
+    best = ranked(pairs.groupBy(*by, "vec_id").agg(F.max("ocr").alias("ocr")), by, "ocr").groupBy(*by).agg(top_mean(3, "ocr").alias("score"), F.count("*").alias("n"))
+    every = rows.select(*by).distinct()
+    on = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in by]
+    joined = every.alias("a").join(best.alias("b"), on, "left")
+    return joined.select("a.*", F.coalesce("b.score", F.lit(0.0)).alias("ocr_score"), F.coalesce("b.n", F.lit(0)).alias("frames_with_text"))
+
+
 def credit_aware(credit: Column) -> Column:
     """Candidate score of sim and ocr: in a credit scene text counts most, and a candidate without credits
     (candidate_credit below a quarter) or text loses a tenth."""

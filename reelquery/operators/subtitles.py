@@ -2,44 +2,57 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from reelquery import weights as W
-from reelquery.functions.text import feature_similarity, has_keyword, token_features
+from reelquery.functions.text import bigrams, has_keyword, with_features, with_similarity, words
 from reelquery.operators.scoring import KEY, ranked, top_mean
 
-Similarity = Callable[[Column, Column], Column]
-
-
-def best_lines(queries: DataFrame, entries: DataFrame, similarity: Similarity | None = None, apart: float | None = None) -> DataFrame:
+def best_lines(queries: DataFrame, entries: DataFrame, apart: float | None = None) -> DataFrame:
     """query_id, media_id, line_score, line_start, line_no: each media item's entry that is most like the query's
     text, the earliest among equals; no time where nothing is alike. ``queries``: query_id, norm and, for
     ``apart``, media_id and start: entries of the same item at most that many seconds away are left out
     before the maximum is taken. ``entries``: media_id, entry_no, start, norm.
 
-    ``similarity`` compares normalised texts; by default it is that of tokens and bigrams, whose sets are made
-    once a text. A stated set of query texts meets all entries; the planner broadcasts it where it is small.
+    Similarity is that of tokens and bigrams. Texts that share no token have none, so queries and entries meet on
+    their words and pairs of words, and what they share is counted. The result has a row for each query and
+    item, so in the end ids, and only ids, of all of both are paired.
     """
-    prepared = token_features if similarity is None else F.col
-    similarity = similarity or feature_similarity
-    entries = entries.select("media_id", "entry_no", "start", prepared("norm").alias("_en"))
-    q = queries.select("query_id", prepared("norm").alias("_qn"), *((F.col("media_id").alias("_qm"), F.col("start").alias("_qs")) if apart is not None else ()))
-    met = entries.join(q, ~((F.col("media_id") == F.col("_qm")) & (F.abs(F.col("start") - F.col("_qs")) <= apart)) if apart is not None else F.lit(True))
-    scored = met.withColumn("_s", similarity(F.col("_qn"), F.col("_en")))
-    best = scored.groupBy("query_id", "media_id").agg(F.max_by(F.struct("_s", "start", "entry_no"), F.struct("_s", -F.col("start"), -F.col("entry_no"))).alias("b"))
-    some = F.col("b")["_s"] > 0
-    return best.select("query_id", "media_id", F.col("b")["_s"].alias("line_score"), F.when(some, F.col("b")["start"]).alias("line_start"), F.when(some, F.col("b")["entry_no"]).alias("line_no"))
-
-
-def line_window_scores(lines: DataFrame, windows: DataFrame, w: W.Subtitle = W.Subtitle(), similarity: Similarity | None = None) -> DataFrame:
-    """A media item's best line and the text around it. ``windows``: query_id, media_id, query_norm, norm."""
-    prepared = token_features if similarity is None else F.col
-    windows = windows.select("query_id", "media_id", prepared("query_norm").alias("_a"), prepared("norm").alias("_b"))
-    joined = lines.join(windows, ["query_id", "media_id"], "left")
-    around = F.when(F.col("line_start").isNull(), 0.0).otherwise(F.coalesce((similarity or feature_similarity)(F.col("_a"), F.col("_b")), F.lit(0.0)))
-    return joined.withColumn("window_score", around).withColumn("score", w.line * F.col("line_score") + w.around * F.col("window_score")).drop("_a", "_b")
+    own = [F.col("media_id").alias("_qm"), F.col("start").alias("_qs")] if apart is not None else []
+
+    def terms(texts: DataFrame, side: str, *keep: Column | str) -> DataFrame:
+        """The distinct words (one = 1) and pairs of words (2) of each text, and how many of both it has; what is used
+        more than once is worked out in a step of its own."""
+        each = texts.select(*keep, words("norm").alias("_ws"))
+        names = [c for c in each.columns if c != "_ws"]
+        each = each.select(*names, F.array_distinct("_ws").alias("_w"), bigrams("_ws").alias("_b"))
+        both = F.concat(*(F.transform(c, lambda t: F.struct(F.lit(i).alias("one"), t.alias("term"))) for i, c in ((1, "_w"), (2, "_b"))))  # noqa: B023
+        return each.select(*names, F.size("_w").alias(f"_w{side}"), F.size("_b").alias(f"_b{side}"), F.inline(both))
+
+    e = terms(entries, "e", "media_id", "entry_no", "start")
+    q = terms(queries, "q", "query_id", *own)
+    near = lambda start: (F.col("media_id") == F.col("_qm")) & (F.abs(F.col(start) - F.col("_qs")) <= apart)
+    met = e.join(q, ["one", "term"])
+    met = met if apart is None else met.filter(~near("start"))
+    pairs = met.groupBy("query_id", "media_id", "entry_no", "start", "_we", "_be", "_wq", "_bq").agg(F.count_if(F.col("one") == 1).alias("_w"), F.count_if(F.col("one") == 2).alias("_b"))
+    share = lambda x: F.when(F.col(f"_{x}") == 0, 0.0).otherwise(F.col(f"_{x}") / (F.col(f"_{x}q") + F.col(f"_{x}e") - F.col(f"_{x}")))
+    # texts of one word are equal if they share it; longer equal texts share all words and pairs
+    score = F.when((F.col("_bq") == 0) & (F.col("_be") == 0), 1.0).otherwise(F.lit(0.70) * share("w") + F.lit(0.30) * share("b"))
+    best = pairs.withColumn("_s", score).groupBy("query_id", "media_id").agg(F.max_by(F.struct("_s", "start", "entry_no"), F.struct("_s", -F.col("start"), -F.col("entry_no"))).alias("b"))
+    items = entries.groupBy("media_id").agg(F.min("start").alias("_lo"), F.max("start").alias("_hi"))
+    every = items.join(queries.select("query_id", *own), ~(near("_lo") & near("_hi")) if apart is not None else F.lit(True)).select("query_id", "media_id")
+    found = every.join(best, ["query_id", "media_id"], "left")
+    return found.select("query_id", "media_id", F.coalesce(F.col("b")["_s"], F.lit(0.0)).alias("line_score"), F.col("b")["start"].alias("line_start"), F.col("b")["entry_no"].alias("line_no"))
+
+
+def line_window_scores(lines: DataFrame, windows: DataFrame, queries: DataFrame, w: W.Subtitle = W.Subtitle()) -> DataFrame:
+    """A media item's best line and the text around it. ``windows``: media_id, line_start, norm, the text around each
+    of the items' best lines, once however many queries it is the best of; ``queries``: query_id, norm."""
+    around = with_features(windows, _b=F.col("norm")).select(F.col("media_id").alias("_m"), F.col("line_start").alias("_t"), "_b")
+    asked = with_features(queries, _a=F.col("norm")).select("query_id", "_a")
+    joined = lines.join(around, (F.col("media_id") == F.col("_m")) & (F.col("line_start") == F.col("_t")), "left").join(asked, "query_id", "left")
+    joined = with_similarity(joined, "_a", "_b", "window_score")  # 0 where no line is alike, as there is no window
+    return joined.withColumn("score", w.line * F.col("line_score") + w.around * F.col("window_score")).drop("_a", "_b", "_m", "_t")
 
 
 def evidence_scores(rows: DataFrame, w: W.Subtitle = W.Subtitle()) -> DataFrame:

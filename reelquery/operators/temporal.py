@@ -72,10 +72,11 @@ def within_radius(frames: DataFrame, media: Column, time: Column, seconds: float
     return frames.filter((F.col("media_id") == media) & (F.abs(F.col("ts") - time) <= seconds)).orderBy("ts", "vec_id")
 
 
-def count_ahead(by: list[str], time: str, seconds: float) -> Column:
-    """How many rows of the group lie at a row's time or up to ``seconds`` later; any fraction of seconds will do."""
+def count_ahead(by: list[str], time: str, seconds: float, where: str | None = None) -> Column:
+    """How many rows of the group, those with a value of ``where``, lie at a row's time or up to ``seconds`` later; any
+    fraction of seconds will do."""
     keys = ", ".join(f"`{c}`" for c in by)
-    return F.expr(f"count(*) OVER (PARTITION BY {keys} ORDER BY CAST(`{time}` AS DOUBLE) RANGE BETWEEN CURRENT ROW AND CAST({seconds} AS DOUBLE) FOLLOWING)")
+    return F.expr(f"count({f'`{where}`' if where else '*'}) OVER (PARTITION BY {keys} ORDER BY CAST(`{time}` AS DOUBLE) RANGE BETWEEN CURRENT ROW AND CAST({seconds} AS DOUBLE) FOLLOWING)")
 
 
 def densest_cluster(rows: DataFrame, by: list[str], time: str = "ts", seconds: float = 12.0) -> DataFrame:

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from reelquery.functions.text import CREDIT_THRESHOLDS, credit_score_thirds, credit_score_words, token_set
 from reelquery.functions.vector import dot, normalize
 from reelquery.operators import fingerprints as fp, metrics, scoring, sequences as seq, temporal
 from reelquery.operators.knn import nearest, nearest_in_group, nearest_native
 from reelquery.operators.scoring import KEY
 from reelquery.plans.base import CLIP_SQL, FRAMES_SQL, HITS_SQL, STEPS, WIDE_STEPS, clip_frames, clip_hits, clip_sizes, d, frames, hits, named, queries, six
+from reelquery.plans.text import CREDIT_A_SQL, CREDIT_TEXT_SQL, credit_text, credits
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -72,21 +74,23 @@ def video_episode_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.video_scores(clip_hits(fr), clip_sizes(fr)).select(*KEY, six("score"))
 
 
-@query(f"WITH {FRAMES_SQL} SELECT q.vec_id AS query_id, CAST(s.step AS INTEGER) AS step, f.vec_id FROM qu q CROSS JOIN (SELECT unnest(range(-5, 6)) AS step) s LEFT JOIN fr f ON f.media_id = q.media_id AND f.frame_no = q.frame_no + s.step")
+@query(f"WITH {FRAMES_SQL} SELECT q.vec_id AS query_id, CAST(s.step AS INTEGER) AS step, f.vec_id FROM fr q CROSS JOIN (SELECT unnest(range(-5, 6)) AS step) s LEFT JOIN fr f ON f.media_id = q.media_id AND f.frame_no = q.frame_no + s.step")
 def neighbor_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     fr = frames(spark, sf_dir)
-    return temporal.offsets(queries(fr).withColumn("query_id", F.col("vec_id")), fr.drop("embedding"), WIDE_STEPS, keep_missing=True).select("query_id", "step", "vec_id")
+    return temporal.offsets(fr.withColumn("query_id", F.col("vec_id")), fr.drop("embedding"), WIDE_STEPS, keep_missing=True).select("query_id", "step", "vec_id")
 
 
-@query(f"WITH {CLIP_SQL} SELECT query_id, step, CAST(count(*) AS BIGINT) AS n FROM clip GROUP BY query_id, step")
+@query(f"WITH {FRAMES_SQL}, s AS (SELECT CAST(unnest([-2, -1, 0, 1, 2]) AS INTEGER) AS step) SELECT q.vec_id AS query_id, s.step, f.vec_id FROM fr q CROSS JOIN s JOIN fr f ON f.media_id = q.media_id AND f.frame_no = q.frame_no + s.step")
 def clip_offsets_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clip_frames(frames(spark, sf_dir)).groupBy("query_id", "step").agg(F.count("*").alias("n"))
+    """The clip of every frame."""
+    fr = frames(spark, sf_dir)
+    return temporal.offsets(fr.withColumn("query_id", F.col("vec_id")), fr.drop("embedding"), STEPS, keep_missing=False).select("query_id", "step", "vec_id")
 
 
-@query(f"WITH {FRAMES_SQL}, o AS (SELECT q.vec_id AS query_id, q.media_id, greatest(q.frame_no + s.step, 1) AS n, min(s.step) AS step FROM qu q CROSS JOIN (SELECT unnest(range(-5, 6)) AS step) s GROUP BY ALL) SELECT o.query_id, CAST(o.step AS INTEGER) AS step, f.vec_id FROM o JOIN fr f ON f.media_id = o.media_id AND f.frame_no = o.n")
+@query(f"WITH {FRAMES_SQL}, o AS (SELECT q.vec_id AS query_id, q.media_id, greatest(q.frame_no + s.step, 1) AS n, min(s.step) AS step FROM fr q CROSS JOIN (SELECT unnest(range(-5, 6)) AS step) s GROUP BY ALL) SELECT o.query_id, CAST(o.step AS INTEGER) AS step, f.vec_id FROM o JOIN fr f ON f.media_id = o.media_id AND f.frame_no = o.n")
 def clamped_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     fr = frames(spark, sf_dir)
-    return temporal.offsets(queries(fr).withColumn("query_id", F.col("vec_id")), fr.drop("embedding"), WIDE_STEPS, keep_missing=False, clamp=True).select("query_id", "step", "vec_id")
+    return temporal.offsets(fr.withColumn("query_id", F.col("vec_id")), fr.drop("embedding"), WIDE_STEPS, keep_missing=False, clamp=True).select("query_id", "step", "vec_id")
 
 
 @query(f"""WITH {CLIP_SQL}, b AS (SELECT query_id, media_id, season, episode, step, max(sim) AS sim, max(sim / log2(rank + 1)) AS disc FROM chits GROUP BY ALL),
@@ -114,10 +118,10 @@ def asof_nearest_event(spark: SparkSession, sf_dir: str) -> DataFrame:
     return temporal.nearest_as_of(left, e, "user_id", "t", "t", "event_id").select("event_id", F.col("_near_id").alias("near_id"))
 
 
-@query(f"WITH {FRAMES_SQL}, t AS (SELECT vec_id AS query_id, media_id, ts * {d(0.73)} + {d(0.9)} AS t FROM qu) SELECT t.query_id, arg_min(f.vec_id, (abs(f.ts - t.t), f.ts, f.vec_id)) AS near_id FROM t JOIN fr f ON t.media_id = f.media_id GROUP BY t.query_id")
+@query(f"WITH {FRAMES_SQL}, t AS (SELECT vec_id AS query_id, media_id, ts * {d(0.73)} + {d(0.9)} AS t FROM fr) SELECT t.query_id, arg_min(f.vec_id, (abs(f.ts - t.t), f.ts, f.vec_id)) AS near_id FROM t JOIN fr f ON t.media_id = f.media_id GROUP BY t.query_id")
 def asof_nearest_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     fr = frames(spark, sf_dir)
-    left = queries(fr).select(F.col("vec_id").alias("query_id"), "media_id", (F.col("ts") * 0.73 + 0.9).alias("t"))
+    left = fr.select(F.col("vec_id").alias("query_id"), "media_id", (F.col("ts") * 0.73 + 0.9).alias("t"))
     return temporal.nearest_as_of(left, fr, "media_id", "t", "ts", "vec_id").select("query_id", F.col("_near_id").alias("near_id"))
 
 
@@ -192,18 +196,13 @@ TOKENS_SQL = "tk AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(coale
 JACCARD_SQL = "CASE WHEN len(a.t) = 0 OR len(b.t) = 0 THEN CAST(0 AS DOUBLE) ELSE CAST(len(list_intersect(a.t, b.t)) AS DOUBLE) / (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t))) END"
 
 
-def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as the recognised text of the frame of their number."""
-    from reelquery.functions.text import token_set
-
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", token_set("text").alias("tokens"))
-
-
 def with_ocr(rows: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``rows`` with ocr, the Jaccard similarity of the query's and the candidate's text, and that text."""
+    """``rows`` with ocr, the Jaccard similarity of the query's and the candidate's text, and that text. Documents stand
+    for the recognised texts of the frames of their number; tokens are made of those that are asked for only."""
     from reelquery.functions.text import jaccard
 
-    t = texts(spark, sf_dir)
+    asked = rows.select(F.explode(F.array("query_id", "vec_id")).alias("doc_id")).distinct()
+    t = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").join(asked, "doc_id", "left_semi").select("doc_id", "text", token_set("text").alias("tokens"))
     a = t.select(F.col("doc_id").alias("query_id"), F.col("tokens").alias("_a"))
     b = t.select(F.col("doc_id").alias("vec_id"), F.col("tokens").alias("_b"), F.col("text").alias("ocr_text"))
     empty = F.array().cast("array<string>")
@@ -257,14 +256,58 @@ def ocr_episode_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.alias("a").join(by_text.alias("b"), on).select(*(f"a.{c}" for c in KEY), F.round("a.ocr_score", 6).alias("ocr_score"), "b.frames_with_text", F.round("a.fused", 6).alias("fused"))
 
 
-@query(f"""WITH {OCR_SQL}, s AS (SELECT *, CASE WHEN vec_id % 2 = 0 THEN ({d(0.3)} * sim + {d(0.7)} * ocr) * CASE WHEN ocr_text = '' OR rank % 4 = 0 THEN {d(0.9)} ELSE {d(1)} END ELSE {d(0.8)} * sim + {d(0.2)} * ocr END AS c FROM oc)
+CREDIT_SQL = f"ca AS (SELECT doc_id, h, {CREDIT_A_SQL} AS credit FROM (SELECT doc_id, x, {credits('x')} AS h FROM ({CREDIT_TEXT_SQL})))"
+
+
+def credit_scores(spark: SparkSession, sf_dir: str, asked: DataFrame, score) -> DataFrame:
+    """doc_id and credit, by one of the four scores, of the texts that ``asked`` (doc_id) names."""
+    return credit_text(spark, sf_dir).join(asked, "doc_id", "left_semi").select("doc_id", score("x").alias("credit"))
+
+
+@query(f"""WITH {OCR_SQL}, {CREDIT_SQL},
+  s AS (SELECT o.*, CASE WHEN coalesce(q.credit, 0) >= {d(0.35)} THEN ({d(0.3)} * sim + {d(0.7)} * ocr) * CASE WHEN ocr_text = '' OR coalesce(c.credit, 0) < {d(0.25)} THEN {d(0.9)} ELSE {d(1)} END ELSE {d(0.8)} * sim + {d(0.2)} * ocr END AS c
+        FROM oc o LEFT JOIN ca q ON q.doc_id = o.query_id LEFT JOIN ca c ON c.doc_id = o.vec_id)
   SELECT query_id, media_id, season, episode, round(max(c), 6) AS score, arg_max(vec_id, (c, -vec_id)) AS best_vec FROM s GROUP BY query_id, media_id, season, episode""")
 def credit_aware_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = with_ocr(hits(frames(spark, sf_dir)), spark, sf_dir).withColumn("candidate_credit", F.when(F.col("rank") % 4 == 0, 0.0).otherwise(0.5))
-    rows = rows.withColumn("c", scoring.credit_aware(F.col("vec_id") % 2 == 0))
+    """A query is a credit scene, and a candidate shows credits, by the credit score of its recognised text."""
+    h = hits(frames(spark, sf_dir))
+    known = credit_scores(spark, sf_dir, h.select(F.explode(F.array("query_id", "vec_id")).alias("doc_id")).distinct(), credit_score_words)
+    of = lambda key, name: known.select(F.col("doc_id").alias(key), F.col("credit").alias(name))
+    rows = with_ocr(h, spark, sf_dir).join(of("query_id", "query_credit"), "query_id", "left").join(of("vec_id", "candidate_credit"), "vec_id", "left").fillna(0.0, ["query_credit", "candidate_credit"])
+    rows = rows.withColumn("c", scoring.credit_aware(F.col("query_credit") >= CREDIT_THRESHOLDS["a"]))
     return rows.groupBy(*KEY).agg(F.round(F.max("c"), 6).alias("score"), F.max_by("vec_id", F.struct("c", -F.col("vec_id"))).alias("best_vec"))
 
 
+@query(f"""WITH {V3_SQL}, {CREDIT_SQL}, cs AS (SELECT query_id, max(least({d(1)}, coalesce(h, 0) / {d(3)})) AS credit_score FROM clipids LEFT JOIN ca ON doc_id = vec_id GROUP BY query_id)
+  SELECT query_id, media_id, season, episode, credit_score >= {d(0.35)} AS credit, round(CASE WHEN credit_score >= {d(0.35)} THEN v5.credit ELSE normal END, 6) AS score FROM v5 JOIN cs USING (query_id)""".replace("sizes AS (", "clipids AS (SELECT q.vec_id AS query_id, s.step, f.vec_id FROM qu q CROSS JOIN steps s JOIN fr f ON f.media_id = q.media_id AND f.frame_no = q.frame_no + s.step),\nsizes AS (", 1))
+def v3_by_credit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The episode score in the mode that the texts of the clip's frames call for."""
+    fr = frames(spark, sf_dir)
+    clip = clip_frames(fr).select("query_id", F.col("vec_id").alias("doc_id"))
+    known = credit_scores(spark, sf_dir, clip.select("doc_id").distinct(), credit_score_thirds)
+    sizes = clip.join(known, "doc_id", "left").groupBy("query_id").agg(F.count("*").alias("clip_frames"), F.coalesce(F.max("credit"), F.lit(0.0)).alias("credit_score"))
+    return scoring.episode_scores(with_ocr(clip_hits(fr), spark, sf_dir), sizes).select(*KEY, "credit", six("score"))
+
+
+@query(f"""WITH {CLIP_SQL}, {TOKENS_SQL},
+  ids AS (SELECT q.vec_id AS query_id, f.vec_id FROM qu q CROSS JOIN steps s JOIN fr f ON f.media_id = q.media_id AND f.frame_no = q.frame_no + s.step),
+  ca AS (SELECT DISTINCT query_id, media_id, season, episode, vec_id FROM chits),
+  ps AS (SELECT c.query_id, c.media_id, c.season, c.episode, c.vec_id, max({JACCARD_SQL}) AS s FROM ca c JOIN tk b ON b.doc_id = c.vec_id AND b.text <> '' JOIN ids i ON i.query_id = c.query_id JOIN tk a ON a.doc_id = i.vec_id AND a.text <> '' GROUP BY ALL),
+  rs AS (SELECT *, row_number() OVER (PARTITION BY query_id, media_id, season, episode ORDER BY s DESC, vec_id) AS r FROM ps),
+  sc AS (SELECT query_id, media_id, season, episode, avg(s) FILTER (r <= 3) AS score, count(*) AS n FROM rs GROUP BY query_id, media_id, season, episode),
+  ks AS (SELECT DISTINCT query_id, media_id, season, episode FROM ca)
+  SELECT k.query_id, k.media_id, k.season, k.episode, round(coalesce(score, 0), 6) AS ocr_score, coalesce(n, 0) AS frames_with_text
+  FROM ks k LEFT JOIN sc s ON k.query_id = s.query_id AND k.media_id = s.media_id AND k.season IS NOT DISTINCT FROM s.season AND k.episode IS NOT DISTINCT FROM s.episode""")
+def clip_ocr_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of all of a clip's frames against those of an episode's candidates."""
+    fr = frames(spark, sf_dir)
+    found, clip = clip_hits(fr), clip_frames(fr).select("query_id", F.col("vec_id").alias("doc_id"))
+    asked = clip.select("doc_id").union(found.select(F.col("vec_id").alias("doc_id"))).distinct()
+    t = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("text <> ''").select("doc_id", "text").join(asked, "doc_id", "left_semi").select("doc_id", token_set("text").alias("tokens"))
+    texts = clip.join(t, "doc_id").select("query_id", F.col("tokens").alias("query_tokens"))
+    return scoring.clip_ocr_scores(found, texts, t.withColumnRenamed("doc_id", "vec_id")).select(*KEY, six("ocr_score"), "frames_with_text")
+
+
 @query(f"WITH {CLIP_SQL} SELECT query_id, vec_id, round(max(sim), 6) AS sim FROM chits GROUP BY query_id, vec_id")
 def dedup_max(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.deduplicated(clip_hits(frames(spark, sf_dir))).select("query_id", "vec_id", six("sim"))
@@ -291,21 +334,42 @@ def min_max_scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits(frames(spark, sf_dir)).select("query_id", "vec_id", F.round(seq.min_max(F.col("sim"), ["query_id"]), 6).alias("scaled"))
 
 
-@query()
+GROUPS_SQL = CLIP_SQL + f""",
+nu AS (SELECT *, dense_rank() OVER (ORDER BY query_id, media_id, season NULLS FIRST, episode NULLS FIRST) AS k,
+         row_number() OVER (PARTITION BY query_id, media_id, season, episode ORDER BY step, rank, vec_id) AS n FROM chits),
+gr AS (SELECT k, n, [ts] AS times, CAST(1 AS BIGINT) AS which FROM nu WHERE n = 1
+       UNION ALL
+       SELECT k, n, CASE WHEN pos > 0 THEN times ELSE list_append(times, ts) END, CASE WHEN pos > 0 THEN pos ELSE len(times) + 1 END
+       FROM (SELECT nu.k, nu.n, nu.ts, gr.times, CAST(coalesce(list_position(list_transform(gr.times, lambda t: abs(t - nu.ts) <= 6), true), 0) AS BIGINT) AS pos FROM gr JOIN nu ON nu.k = gr.k AND nu.n = gr.n + 1)),
+al AS (SELECT nu.*, gr.which, list_extract(ls.times, gr.which) AS group_time FROM nu JOIN gr ON nu.k = gr.k AND nu.n = gr.n
+       JOIN (SELECT k, arg_max(times, n) AS times FROM gr GROUP BY k) ls ON ls.k = nu.k)"""
+
+
+@query(f"WITH RECURSIVE {GROUPS_SQL} SELECT query_id, media_id, season, episode, step, vec_id, CAST(which AS INTEGER) AS which, group_time FROM al")
 def greedy_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seq.greedy_groups(clip_hits(frames(spark, sf_dir))).select(*KEY, "step", "vec_id", "which", "group_time")
 
 
-@query()
+SEQUENCE_SQL = f"""{GROUPS_SQL},
+bs AS (SELECT k, which, step, max(sim) AS sim FROM al GROUP BY k, which, step),
+ca AS (SELECT k, which, list_transform([-2, -1, 0, 1, 2], lambda i: coalesce(map_extract_value(m, i), {d(0)})) AS c, m FROM (SELECT k, which, map_from_entries(list((CAST(step AS INTEGER), sim))) AS m FROM bs GROUP BY k, which)),
+qm AS (SELECT query_id, list_transform([-2, -1, 0, 1, 2], lambda i: coalesce(map_extract_value(m, i), {d(0)})) AS q FROM (SELECT query_id, map_from_entries(list((CAST(step AS INTEGER), sim))) AS m FROM (SELECT query_id, step, max(sim) AS sim FROM chits GROUP BY query_id, step) GROUP BY query_id)),
+ke AS (SELECT DISTINCT k, query_id, media_id, season, episode FROM nu),
+sg AS (SELECT ca.*, q, list_transform(range(1, 5), lambda i: CASE WHEN abs(c[i + 1] - c[i]) < {d(0.01)} THEN 0 ELSE sign(c[i + 1] - c[i]) END) AS a,
+         list_transform(range(1, 5), lambda i: CASE WHEN abs(q[i + 1] - q[i]) < {d(0.01)} THEN 0 ELSE sign(q[i + 1] - q[i]) END) AS b FROM ca JOIN ke USING (k) JOIN qm USING (query_id)),
+sq AS (SELECT k, {d(0.4)} * list_avg(c) + {d(0.2)} * list_min(c) + {d(0.2)} * greatest({d(0)}, 1 - least(list_stddev_pop(c) / {d(0.2)}, {d(1)})) + {d(0.2)} * len(list_filter(range(1, 5), lambda i: a[i] = b[i])) / {d(4)} AS s FROM sg),
+be AS (SELECT k, max(s) AS s FROM sq GROUP BY k),
+ba AS (SELECT k, {d(0.5)} * max(sim) + {d(0.3)} * avg(sim) FILTER (r <= 3) + {d(0.2)} * avg(sim) AS base FROM nu GROUP BY k)"""
+
+
+@query(f"WITH RECURSIVE {SEQUENCE_SQL} SELECT query_id, media_id, season, episode, round(base, 6) AS score, round(s, 6) AS sequence, round({d(0.75)} * base + {d(0.25)} * s, 6) AS final FROM ke JOIN be USING (k) JOIN ba USING (k)")
 def sequence_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seq.sequence_rerank(clip_hits(frames(spark, sf_dir)), STEPS).select(*KEY, six("score"), F.round("other_sequence", 6).alias("sequence"), six("final"))
 
 
-def _printed(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _printed(fr: DataFrame, found: DataFrame) -> DataFrame:
     """Each query's clip frames against the fingerprints of the episodes among its hits."""
-    fr = frames(spark, sf_dir)
-    wanted = clip_hits(fr).select(*KEY).distinct()
-    asked = clip_frames(fr).select("query_id", "step", normalize("embedding").alias("embedding")).join(wanted, "query_id")
+    asked = clip_frames(fr).select("query_id", "step", normalize("embedding").alias("embedding")).join(found.select(*KEY).distinct(), "query_id")
     return fp.matched(asked, fp.fingerprints(fr))
 
 
@@ -323,7 +387,8 @@ lo AS (SELECT *, {d(0.6)} * max(sim) OVER a + {d(0.25)} * avg(sim) OVER a + {d(0
 
 @query(f"WITH {PRINTED_SQL} SELECT query_id, media_id, season, episode, step, vec_id, round(sim, 6) AS sim, round(local, 6) AS local FROM lo")
 def fingerprint_local(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fp.local_scores(_printed(spark, sf_dir)).select(*KEY, "step", "vec_id", six("sim"), six("local"))
+    fr = frames(spark, sf_dir)
+    return fp.local_scores(_printed(fr, clip_hits(fr))).select(*KEY, "step", "vec_id", six("sim"), six("local"))
 
 
 EPISODE_FP_SQL = PRINTED_SQL + f""",
@@ -334,15 +399,28 @@ fs AS (SELECT query_id, media_id, season, episode, {d(0.35)} * max(sim) + {d(0.2
 
 @query(f"WITH {EPISODE_FP_SQL} SELECT query_id, media_id, season, episode, round(score, 6) AS score, time FROM fs")
 def fingerprint_episode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fp.fingerprint_scores(_printed(spark, sf_dir)).select(*KEY, six("score"), "time")
+    fr = frames(spark, sf_dir)
+    return fp.fingerprint_scores(_printed(fr, clip_hits(fr))).select(*KEY, six("score"), "time")
 
 
 @query(f"""WITH {EPISODE_FP_SQL}, vs AS (SELECT query_id, media_id, season, episode, {d(0.5)} * max(sim) + {d(0.3)} * avg(sim) FILTER (r <= 3) + {d(0.2)} * count(DISTINCT step) / any_value(clip_frames) AS visual FROM chits JOIN sizes USING (query_id) GROUP BY query_id, media_id, season, episode)
   SELECT v.query_id, v.media_id, v.season, v.episode, round({d(0.8)} * visual + {d(0.2)} * coalesce(f.score, 0), 6) AS fused FROM vs v LEFT JOIN fs f ON v.query_id = f.query_id AND v.media_id = f.media_id AND v.season IS NOT DISTINCT FROM f.season AND v.episode IS NOT DISTINCT FROM f.episode""")
 def fingerprint_fuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     fr = frames(spark, sf_dir)
-    prints = fp.fingerprint_scores(_printed(spark, sf_dir)).withColumnRenamed("score", "fingerprint")
-    return scoring.fused(scoring.video_scores(clip_hits(fr), clip_sizes(fr)), prints, "fingerprint", 0.80).select(*KEY, six("fused"))
+    found = clip_hits(fr)
+    prints = fp.fingerprint_scores(_printed(fr, found)).withColumnRenamed("score", "fingerprint")
+    return scoring.fused(scoring.video_scores(found, clip_sizes(fr)), prints, "fingerprint", 0.80).select(*KEY, six("fused"))
+
+
+@query(f"""{V3_SQL.replace(CLIP_SQL, 'WITH ' + EPISODE_FP_SQL, 1).replace('pc AS (', 'pcx AS (').replace('JOIN pc ON h.query_id = pc.query_id AND h.media_id = pc.media_id AND h.season IS NOT DISTINCT FROM pc.season AND h.episode IS NOT DISTINCT FROM pc.episode WHERE h.sim >= pc.p', 'JOIN pcx pc ON h.query_id = pc.query_id AND h.media_id = pc.media_id AND h.season IS NOT DISTINCT FROM pc.season AND h.episode IS NOT DISTINCT FROM pc.episode WHERE h.sim >= pc.p')}
+  SELECT v.query_id, v.media_id, v.season, v.episode, round({d(0.8)} * normal + {d(0.2)} * coalesce(f.score, 0), 6) AS fused FROM v5 v LEFT JOIN fs f ON v.query_id = f.query_id AND v.media_id = f.media_id AND v.season IS NOT DISTINCT FROM f.season AND v.episode IS NOT DISTINCT FROM f.episode""")
+def v3_fingerprint_fuse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The episode score with the fingerprints' beside it."""
+    fr = frames(spark, sf_dir)
+    found = clip_hits(fr)
+    prints = fp.fingerprint_scores(_printed(fr, found)).withColumnRenamed("score", "fingerprint")
+    scores = scoring.episode_scores(with_ocr(found, spark, sf_dir), clip_sizes(fr), credit=F.lit(False))
+    return scoring.fused(scores, prints, "fingerprint", 0.80).select(*KEY, six("fused"))
 
 
 @query()
@@ -364,6 +442,23 @@ def prototype_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fp.prototype_scores(clip_frames(fr), prints).select(*KEY, six("score"))
 
 
+FROZEN_SQL = CLIP_SQL + f""",
+dm AS (SELECT media_id, season, episode, frame_no % 8 AS g, i, avg(v[i]) AS x FROM fr, (SELECT CAST(unnest(range(1, 65)) AS BIGINT) AS i) GROUP BY ALL),
+ce AS (SELECT media_id, season, episode, g, list(x ORDER BY i) AS x FROM dm GROUP BY ALL),
+pt AS (SELECT media_id, season, episode, list_transform(x, lambda y: y / sqrt(list_dot_product(x, x))) AS v FROM ce),
+pb AS (SELECT c.query_id, p.media_id, p.season, p.episode, c.step, max(list_dot_product(c.v, p.v)) AS sim FROM clip c CROSS JOIN pt p GROUP BY ALL),
+pr AS (SELECT *, row_number() OVER (PARTITION BY query_id, media_id, season, episode ORDER BY sim DESC, step) AS r FROM pb)"""
+
+
+@query(f"WITH {FROZEN_SQL} SELECT query_id, media_id, season, episode, round({d(0.35)} * max(sim) + {d(0.35)} * avg(sim) FILTER (r <= 3) + {d(0.2)} * avg(sim) + {d(0.1)} * avg(CASE WHEN sim >= {d(0.7)} THEN {d(1)} ELSE {d(0)} END), 6) AS score FROM pr GROUP BY query_id, media_id, season, episode")
+def prototype_score_frozen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight unit centroids an episode, of a grouping that doesn't hang on a random start: frames by their number."""
+    fr = frames(spark, sf_dir)
+    each = fr.select(*KEY[1:], (F.col("frame_no") % 8).alias("g"), F.posexplode("embedding").alias("i", "x")).groupBy(*KEY[1:], "g", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    centroids = each.groupBy(*KEY[1:], "g").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda e: e["x"]).alias("v"))
+    return fp.prototype_scores(clip_frames(fr), centroids.select(*KEY[1:], normalize("v").alias("embedding"))).select(*KEY, six("score"))
+
+
 METRIC_SQL = IMAGE_SQL + """,
 tr AS (SELECT q.vec_id AS query_id, min(p.position) AS truth_rank FROM qu q LEFT JOIN po p ON p.query_id = q.vec_id AND p.media_id = q.media_id AND p.season IS NOT DISTINCT FROM q.season AND p.episode IS NOT DISTINCT FROM q.episode GROUP BY q.vec_id)"""
 
@@ -415,8 +510,9 @@ def same_time_competitors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What other items show around the query's time, against what the query's item shows there."""
     fr = frames(spark, sf_dir)
     q = queries(fr).select(F.col("vec_id").alias("query_id"), F.col("media_id").alias("_m"), F.col("ts").alias("t"))
-    points = fr.select("media_id").distinct().join(q, F.lit(True))
     timed = fr.select("media_id", F.col("ts").alias("start"), F.col("ts").alias("end"), "vec_id", "embedding")
-    ours = temporal.overlapping(points.filter("media_id = _m"), timed, 6.0).select("query_id", F.col("embedding").alias("_a"))
-    theirs = temporal.overlapping(points.filter("media_id <> _m"), timed, 10.0).select("query_id", "media_id", "embedding")
+    ours = temporal.overlapping(q.withColumn("media_id", F.col("_m")), timed, 6.0).select("query_id", F.col("embedding").alias("_a"))
+    # all items are one key here, so that queries and frames meet by time alone
+    met = temporal.overlapping(q.withColumn("any", F.lit(0)), timed.withColumn("any", F.lit(0)), 10.0, "any")
+    theirs = met.filter("media_id <> _m").select("query_id", "media_id", "embedding")
     return theirs.join(ours, "query_id").groupBy("query_id", "media_id").agg(F.round(F.max(dot("_a", "embedding")), 6).alias("best"), F.count("*").alias("pairs"))

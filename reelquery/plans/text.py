@@ -89,8 +89,8 @@ def _similar(a: str, b: str) -> str:
 
 @query(f"WITH {NEXT_SQL}, n AS (SELECT conv_id, turn, {LOWER.format(x='ta')} AS a, {LOWER.format(x='tb')} AS b FROM pr) SELECT conv_id, turn, round({_similar('a', 'b')}, 6) AS similarity FROM n")
 def token_bigram_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _next(spark, sf_dir).select("conv_id", "turn", tx.token_features(tx.normalize_lower("ta")).alias("a"), tx.token_features(tx.normalize_lower("tb")).alias("b"))
-    return rows.select("conv_id", "turn", F.round(tx.feature_similarity("a", "b"), 6).alias("similarity"))
+    rows = tx.with_features(_next(spark, sf_dir), a=tx.normalize_lower("ta"), b=tx.normalize_lower("tb"))
+    return tx.with_similarity(rows, "a", "b", "similarity").select("conv_id", "turn", six("similarity"))
 
 
 @query()
@@ -99,7 +99,7 @@ def hybrid_text_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", "turn", F.round(tx.hybrid_similarity("a", "b"), 6).alias("similarity"))
 
 
-def _credits(x: str) -> str:
+def credits(x: str) -> str:
     return " + ".join(f"CAST(contains({x}, '{k}') AS INTEGER)" for k in tx.CREDIT_WORDS)
 
 
@@ -107,25 +107,26 @@ def _credits(x: str) -> str:
 CREDIT_TEXT_SQL = "SELECT doc_id, " + UPPER.format(x="replace(text, 'ß', 's')") + " || CASE doc_id % 5 WHEN 0 THEN ' MAIN CAST' WHEN 1 THEN ' WRITTEN BY DIRECTOR' WHEN 2 THEN ' MUSIC' WHEN 3 THEN ' VISUAL EFFECTS AND VOICES OF PRODUCTION' ELSE '' END AS x FROM documents"
 
 
-def _credit_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+def credit_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     more = F.when(F.col("doc_id") % 5 == 0, " MAIN CAST").when(F.col("doc_id") % 5 == 1, " WRITTEN BY DIRECTOR").when(F.col("doc_id") % 5 == 2, " MUSIC").when(F.col("doc_id") % 5 == 3, " VISUAL EFFECTS AND VOICES OF PRODUCTION").otherwise("")
     return table(spark, sf_dir, "documents").select("doc_id", F.concat(tx.normalize_upper(F.replace(F.col("text"), F.lit("ß"), F.lit("s"))), more).alias("x"))
 
 
 def _credit(name: str, spark_function, sql: str) -> None:
-    QUERIES[name] = lambda spark, sf_dir: _credit_text(spark, sf_dir).select("doc_id", F.round(spark_function("x"), 6).alias("score"))
-    ORACLE_SQL[name] = f"WITH c AS ({CREDIT_TEXT_SQL}), h AS (SELECT doc_id, x, {_credits('x')} AS h, {_credits('x')} + {' + '.join(f'''CAST(contains(x, '{k}') AS INTEGER)''' for k in tx.MORE_CREDIT_WORDS)} AS h27 FROM c) SELECT doc_id, round({sql}, 6) AS score FROM h"
+    QUERIES[name] = lambda spark, sf_dir: credit_text(spark, sf_dir).select("doc_id", F.round(spark_function("x"), 6).alias("score"))
+    ORACLE_SQL[name] = f"WITH c AS ({CREDIT_TEXT_SQL}), h AS (SELECT doc_id, x, {credits('x')} AS h, {credits('x')} + {' + '.join(f'''CAST(contains(x, '{k}') AS INTEGER)''' for k in tx.MORE_CREDIT_WORDS)} AS h27 FROM c) SELECT doc_id, round({sql}, 6) AS score FROM h"
 
 
-_credit("credit_score_a", tx.credit_score_words, f"{d(0.7)} * least(h / {d(3)}, {d(1)}) + CASE WHEN len(list_filter(string_split(x, ' '), lambda t: length(t) >= 4)) >= 10 THEN {d(0.3)} ELSE {d(0)} END")
+CREDIT_A_SQL = f"{d(0.7)} * least(h / {d(3)}, {d(1)}) + CASE WHEN len(list_filter(string_split(x, ' '), lambda t: length(t) >= 4)) >= 10 THEN {d(0.3)} ELSE {d(0)} END"
+_credit("credit_score_a", tx.credit_score_words, CREDIT_A_SQL)
 _credit("credit_score_b", tx.credit_score_steps, f"CASE WHEN h27 = 0 THEN {d(0)} ELSE least({d(1)}, {d(0.3)} + {d(0.7)} * least(h27 / {d(3)}, {d(1)})) END")
 _credit("credit_score_c", tx.credit_score_thirds, f"least({d(1)}, h / {d(3)})")
 _credit("credit_score_d", tx.credit_score_tenths, f"least({d(1)}, {d(0.1)} * h)")
 
 
-@query(f"WITH c AS ({CREDIT_TEXT_SQL}) SELECT doc_id, ({_credits('x')}) > 0 AS credit FROM c")
+@query(f"WITH c AS ({CREDIT_TEXT_SQL}) SELECT doc_id, ({credits('x')}) > 0 AS credit FROM c")
 def keyword_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _credit_text(spark, sf_dir).select("doc_id", tx.has_keyword("x").alias("credit"))
+    return credit_text(spark, sf_dir).select("doc_id", tx.has_keyword("x").alias("credit"))
 
 
 WINDOW_SQL = ENTRIES_SQL + """,
@@ -139,10 +140,10 @@ def subtitle_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return temporal.window_text(points, en, 6.0, ["media_id", "point"]).withColumnRenamed("point", "entry_no")
 
 
-#: The first entry of every hundredth conversation is a query.
+#: Every entry of every hundredth conversation is a query; its number follows the conversation's.
 LINES_SQL = ENTRIES_SQL + f""",
 nm AS (SELECT media_id, entry_no, s, e, text, {LOWER.format(x='text')} AS n FROM en),
-qs AS (SELECT media_id AS query_id, min(n) AS qn FROM nm WHERE media_id % 100 = 0 AND entry_no = 0 AND length(n) >= 8 GROUP BY media_id),
+qs AS (SELECT media_id * 1000 + entry_no AS query_id, media_id AS qm, min(s) AS qt, min(n) AS qn FROM nm WHERE media_id % 100 = 0 AND length(n) >= 8 GROUP BY media_id, entry_no),
 ls AS (SELECT q.query_id, q.qn, m.media_id, m.entry_no, m.s, {_similar('q.qn', 'm.n')} AS sim FROM qs q CROSS JOIN nm m),
 bl AS (SELECT query_id, any_value(qn) AS qn, media_id, arg_max(sim, (sim, -s, -entry_no)) AS line_score, arg_max(s, (sim, -s, -entry_no)) AS s0 FROM ls GROUP BY query_id, media_id),
 bs AS (SELECT query_id, qn, media_id, line_score, CASE WHEN line_score > 0 THEN s0 END AS line_start FROM bl)"""
@@ -150,9 +151,8 @@ bs AS (SELECT query_id, qn, media_id, line_score, CASE WHEN line_score > 0 THEN
 
 def _lines(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Queries, entries and each item's best entry for each query."""
-    # dealt by item once: the best line of an item and its windows then need no further exchange
-    en = entries(spark, sf_dir).repartition("media_id").withColumn("norm", tx.normalize_lower("text"))
-    asked = en.filter((F.col("media_id") % QUERY == 0) & (F.col("entry_no") == 0) & (F.length("norm") >= 8)).groupBy(F.col("media_id").alias("query_id")).agg(F.min("norm").alias("norm"))
+    en = entries(spark, sf_dir).withColumn("norm", tx.normalize_lower("text"))
+    asked = en.filter((F.col("media_id") % QUERY == 0) & (F.length("norm") >= 8)).groupBy("media_id", (F.col("media_id") * 1000 + F.col("entry_no")).alias("query_id")).agg(F.min("norm").alias("norm"), F.min("start").alias("start"))
     return asked, en, sub.best_lines(asked, en)
 
 
@@ -161,12 +161,11 @@ def subtitle_best_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lines(spark, sf_dir)[2].select("query_id", "media_id", six("line_score"), "line_start")
 
 
-@query(f"""WITH {LINES_SQL.replace('CROSS JOIN nm m', 'JOIN nm m ON NOT (m.media_id = q.query_id AND abs(m.s) <= 15)')}, r AS (SELECT query_id, media_id, line_score FROM bs) SELECT query_id, media_id, round(line_score, 6) AS line_score FROM r""")
+@query(f"""WITH {LINES_SQL.replace('CROSS JOIN nm m', 'JOIN nm m ON NOT (m.media_id = q.qm AND abs(m.s - q.qt) <= 15)')}, r AS (SELECT query_id, media_id, line_score FROM bs) SELECT query_id, media_id, round(line_score, 6) AS line_score FROM r""")
 def subtitle_best_line_apart(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same without entries of the query's own item within fifteen seconds of it."""
     asked, en, _ = _lines(spark, sf_dir)
-    own = asked.select("query_id", "norm", F.col("query_id").alias("media_id"), F.lit(0.0).alias("start"))
-    return sub.best_lines(own, en, apart=15.0).select("query_id", "media_id", six("line_score"))
+    return sub.best_lines(asked, en, apart=15.0).select("query_id", "media_id", six("line_score"))
 
 
 LINE_WINDOW_SQL = LINES_SQL + f""",
@@ -176,10 +175,9 @@ lr AS (SELECT b.query_id, b.media_id, {d(0.4)} * line_score + {d(0.6)} * CASE WH
 
 def _line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked, en, lines = _lines(spark, sf_dir)
-    points = lines.filter("line_start IS NOT NULL").select("query_id", "media_id", F.col("line_start").alias("t"))
-    around = temporal.window_text(points, en, 15.0, ["query_id", "media_id"]).select("query_id", "media_id", tx.normalize_lower("text").alias("norm"))
-    windows = around.join(asked.select("query_id", F.col("norm").alias("query_norm")), "query_id")
-    return sub.line_window_scores(lines, windows)
+    points = lines.filter("line_start IS NOT NULL").select("media_id", F.col("line_start").alias("t")).distinct()
+    around = temporal.window_text(points, en, 15.0, ["media_id", "t"])
+    return sub.line_window_scores(lines, around.select("media_id", F.col("t").alias("line_start"), tx.normalize_lower("text").alias("norm")), asked)
 
 
 @query(f"WITH {LINE_WINDOW_SQL} SELECT query_id, media_id, round(score, 6) AS score FROM lr")
@@ -187,10 +185,10 @@ def line_window_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _line_windows(spark, sf_dir).select("query_id", "media_id", six("score"))
 
 
-@query(f"WITH {LINE_WINDOW_SQL}, p AS (SELECT query_id, media_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, media_id) AS r FROM lr), t AS (SELECT query_id, min(r) FILTER (media_id = query_id) AS tr FROM p GROUP BY query_id) SELECT count(*) AS queries, round(avg(CASE WHEN tr <= 1 THEN {d(1)} ELSE {d(0)} END), 6) AS top1, round(avg(CASE WHEN tr <= 3 THEN {d(1)} ELSE {d(0)} END), 6) AS top3, round(avg(CASE WHEN tr <= 5 THEN {d(1)} ELSE {d(0)} END), 6) AS top5, round(avg(coalesce({d(1)} / tr, 0)), 6) AS mrr FROM t")
+@query(f"WITH {LINE_WINDOW_SQL}, p AS (SELECT query_id, media_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, media_id) AS r FROM lr), t AS (SELECT query_id, min(r) FILTER (media_id = query_id // 1000) AS tr FROM p GROUP BY query_id) SELECT count(*) AS queries, round(avg(CASE WHEN tr <= 1 THEN {d(1)} ELSE {d(0)} END), 6) AS top1, round(avg(CASE WHEN tr <= 3 THEN {d(1)} ELSE {d(0)} END), 6) AS top3, round(avg(CASE WHEN tr <= 5 THEN {d(1)} ELSE {d(0)} END), 6) AS top5, round(avg(coalesce({d(1)} / tr, 0)), 6) AS mrr FROM t")
 def subtitle_mrr(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _line_windows(spark, sf_dir).withColumn("position", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "media_id")))
-    truth = rows.select("query_id").distinct().withColumn("media_id", F.col("query_id"))
+    truth = rows.select("query_id").distinct().withColumn("media_id", F.floor(F.col("query_id") / 1000))
     return metrics.accuracy(metrics.truth_ranks(truth, rows, ["media_id"])).select("queries", *(six(c) for c in ("top1", "top3", "top5", "mrr")))
 
 
@@ -209,19 +207,22 @@ vs AS (SELECT v.*, s.score AS subtitle, a.n AS query_text, CASE WHEN a.n <> '' T
        FROM vi v LEFT JOIN se s ON v.query_id = s.query_id AND v.media_id = s.media_id AND v.season IS NOT DISTINCT FROM s.season AND v.episode IS NOT DISTINCT FROM s.episode LEFT JOIN cv a ON a.conv_id = v.query_id)"""
 
 
-def _spoken(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda t: t["text"]), " ").alias("t"))
+def _spoken(spark: SparkSession, sf_dir: str, asked: DataFrame) -> DataFrame:
+    """conv_id, n: the normalised text of each conversation that ``asked`` (conv_id) names."""
+    c = table(spark, sf_dir, "conversations").join(asked, "conv_id", "left_semi").groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda t: t["text"]), " ").alias("t"))
     return c.select("conv_id", tx.normalize_markup(F.replace(F.col("t"), F.lit("ß"), F.lit("s"))).alias("n"))
 
 
-def _evidence(spark: SparkSession, sf_dir: str, similarity=None) -> tuple[DataFrame, DataFrame]:
+def _evidence(spark: SparkSession, sf_dir: str, hybrid: bool = False) -> tuple[DataFrame, DataFrame]:
     """Hits, and the same with the similarity of spoken texts as sim."""
     h = hits(frames(spark, sf_dir))
-    n = _spoken(spark, sf_dir)
-    if similarity is None:  # sets are made once a text
-        n = n.select("conv_id", tx.token_features("n").alias("n"))
+    n = _spoken(spark, sf_dir, h.select(F.explode(F.array("query_id", "vec_id")).alias("conv_id")).distinct())
+    if not hybrid:  # sets are made once a text
+        n = tx.with_features(n, f=F.col("n")).select("conv_id", F.col("f").alias("n"))
     rows = h.drop("sim").join(n.select(F.col("conv_id").alias("query_id"), F.col("n").alias("_a")), "query_id", "left").join(n.select(F.col("conv_id").alias("vec_id"), F.col("n").alias("_b")), "vec_id", "left")
-    return h, rows.withColumn("sim", F.coalesce((similarity or tx.feature_similarity)(F.col("_a"), F.col("_b")), F.lit(0.0))).drop("_a", "_b")
+    if not hybrid:
+        return h, tx.with_similarity(rows, "_a", "_b", "sim").drop("_a", "_b")
+    return h, rows.withColumn("sim", F.coalesce(tx.hybrid_similarity("_a", "_b"), F.lit(0.0))).drop("_a", "_b")
 
 
 @query(f"WITH {EVIDENCE_SQL} SELECT query_id, media_id, season, episode, round(score, 6) AS score FROM se")
@@ -231,7 +232,7 @@ def subtitle_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def subtitle_evidence_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sub.evidence_scores(_evidence(spark, sf_dir, tx.hybrid_similarity)[1]).select(*KEY, six("score"))
+    return sub.evidence_scores(_evidence(spark, sf_dir, hybrid=True)[1]).select(*KEY, six("score"))
 
 
 def _fused(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -240,7 +241,7 @@ def _fused(spark: SparkSession, sf_dir: str) -> DataFrame:
     seen = scoring.image_scores(h)
     on = F.expr("v.query_id = s.query_id AND v.media_id <=> s.media_id AND v.season <=> s.season AND v.episode <=> s.episode")
     both = seen.alias("v").join(said.alias("s"), on, "left").select(*(f"v.{c}" for c in KEY), F.col("v.score").alias("visual"), "s.subtitle")
-    n = _spoken(spark, sf_dir).select(F.col("conv_id").alias("query_id"), F.col("n").alias("query_text"))
+    n = _spoken(spark, sf_dir, h.select(F.col("query_id").alias("conv_id")).distinct()).select(F.col("conv_id").alias("query_id"), F.col("n").alias("query_text"))
     both = both.join(n, "query_id", "left").withColumn("has_text", F.coalesce(F.col("query_text"), F.lit("")) != "")
     return both.withColumn("fused", sub.fused_with_visual(both))
 
@@ -251,7 +252,7 @@ def visual_subtitle_fuse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {EVIDENCE_SQL}, x AS (SELECT * REPLACE (CASE WHEN query_id % 200 = 0 THEN 'MAIN CAST' ELSE query_text END AS query_text, CASE WHEN query_id % 400 = 0 AND media_id = 'media_05' THEN {d(0.95)} ELSE subtitle END AS subtitle) FROM vs),
-  c AS (SELECT *, ({_credits("upper(coalesce(query_text, ''))")}) > 0 AS credit, coalesce(subtitle, 0) AS st FROM x),
+  c AS (SELECT *, ({credits("upper(coalesce(query_text, ''))")}) > 0 AS credit, coalesce(subtitle, 0) AS st FROM x),
   f AS (SELECT *, CASE WHEN NOT credit THEN fused WHEN st >= {d(0.9)} THEN {d(0.1)} * visual + {d(0.9)} * st ELSE {d(0.7)} * visual + {d(0.3)} * st END AS final, max(CAST(st >= {d(0.9)} AS INTEGER)) OVER (PARTITION BY query_id) AS strong FROM c)
   SELECT query_id, media_id, season, episode, credit, round(final, 6) AS final, round(CASE WHEN credit AND strong = 0 THEN visual ELSE final END, 6) AS sort_key FROM f""")
 def credit_override(spark: SparkSession, sf_dir: str) -> DataFrame:

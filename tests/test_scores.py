@@ -74,17 +74,14 @@ def vectors(spark, n=60, width=8, seed=1):
     return spark.createDataFrame(rows, "vec_id long, media_id string, episode int, frame_no int, ts double, embedding array<float>").withColumn("season", F.lit(None).cast("int"))
 
 
-def test_both_searches_agree_and_grow_with_k(spark, monkeypatch):
-    from reelquery.operators import knn
-
+def test_both_searches_agree_and_grow_with_k(spark):
     fr = vectors(spark)
     q = fr.filter("vec_id % 7 = 0").select(F.col("vec_id").alias("query_id"), F.col("vec_id").alias("self_id"), "embedding")
     as_set = lambda df: {(r["query_id"], r["vec_id"], r["rank"]) for r in df.collect()}
     five, ten = as_set(nearest(fr, q, 5)), as_set(nearest(fr, q, 10))
     assert five < ten and as_set(nearest_native(fr, q, 10)) == ten
     assert all(a != b for a, b, _ in ten)
-    monkeypatch.setattr(knn, "BLOCK", 4)
-    assert as_set(nearest(fr, q, 10)) == ten
+    assert as_set(nearest(fr, q, 10, block=4)) == ten  # blocks of queries meet parts of the frames
 
 
 def test_search_without_frames_or_queries(spark):
@@ -113,9 +110,11 @@ def test_overlaps_meet_once(spark, spans, w):
 
 
 def test_text_similarities(spark):
-    s = tx.token_bigram_similarity
-    assert one(spark, s(F.lit("a b"), F.lit("a b"))) == 1.0 and one(spark, s(F.lit(""), F.lit("a"))) == 0.0
-    assert one(spark, s(F.lit("a b"), F.lit("b a"))) == pytest.approx(0.7)
+    def s(a, b):
+        return tx.with_similarity(tx.with_features(spark.range(1), a=F.lit(a), b=F.lit(b)), "a", "b", "s").first()["s"]
+
+    assert s("a b", "a b") == 1.0 and s("", "a") == 0.0 and s("a", "a") == 1.0 and s(None, "a") == 0.0
+    assert s("a b", "b a") == pytest.approx(0.7)
     from difflib import SequenceMatcher
 
     a, b = "the quick brown fox", "the brown quick fox"
