@@ -90,27 +90,48 @@ def boxes(data: memoryview, start: int, end: int) -> Iterator[tuple[bytes, int,
         start += size
 
 
+def uint(data: memoryview, at: int, end: int, size: int = 4) -> int:
+    """A number, 0 where the box is cut before it."""
+    return int.from_bytes(data[at : at + size], "big") if at + size <= end else 0
+
+
 def numbers(data: memoryview, at: int, end: int, kind: str, per: int = 1) -> np.ndarray:
     """A table: a 32-bit count, then so many entries; cut where the box ends."""
-    (n,) = struct.unpack_from(">I", data, at)
     dtype = np.dtype(kind)
-    n = min(n, (end - at - 4) // (dtype.itemsize * per))
-    return np.frombuffer(data, dtype, n * per, at + 4).astype("int64").reshape(n, per)
+    n = max(0, min(uint(data, at, end), (end - at - 4) // (dtype.itemsize * per)))
+    return np.frombuffer(data, dtype, n * per, at + 4).astype("int64").reshape(n, per) if n else np.zeros((0, per), "int64")
+
+
+def _sized(data: memoryview, a: int, b: int) -> np.ndarray:
+    """Sizes of samples; one size for all is no more entries than the file has bytes."""
+    same, n = uint(data, a + 4, b), uint(data, a + 8, b)
+    return np.full(min(n, len(data) // same), same, "int64") if same else numbers(data, a + 8, b, ">u4")[:, 0]
+
+
+def _halved(data: memoryview, a: int, b: int) -> np.ndarray:
+    bits = uint(data, a + 7, b, 1)
+    if bits != 4:
+        return numbers(data, a + 8, b, ">u2" if bits == 16 else ">u1")[:, 0]
+    n = uint(data, a + 8, b)
+    raw = np.frombuffer(data[a + 12 : b], "u1")[: (n + 1) // 2]
+    return np.stack((raw >> 4, raw & 15), 1).reshape(-1)[:n].astype("int64")
 
 
 def _track(data: memoryview, start: int, end: int) -> dict:
-    t: dict = {"codec": None, "handler": None, "timescale": 0, "duration": 0, "keys": None, "sizes": np.zeros(0, "int64"), "offsets": np.zeros(0, "int64"), "runs": np.zeros((0, 3), "int64"), "times": np.zeros((0, 2), "int64"), "trex": 0}
+    none = np.zeros(0, "int64")
+    t: dict = {"id": 0, "codec": None, "handler": None, "timescale": 0, "duration": 0, "keys": None, "sizes": none, "offsets": none, "runs": np.zeros((0, 3), "int64"), "times": np.zeros((0, 2), "int64")}
     stack = [(start, end)]
     while stack:
         for kind, a, b in boxes(data, *stack.pop()):
+            long = uint(data, a, b, 1) == 1
             if kind in CONTAINERS:
                 stack.append((a, b))
             elif kind == b"mdhd":
-                t["timescale"], t["duration"] = struct.unpack_from(">IQ" if data[a] else ">II", data, a + (20 if data[a] else 12))
+                t["timescale"], t["duration"] = uint(data, a + (20 if long else 12), b), uint(data, a + (24 if long else 16), b, 8 if long else 4)
             elif kind == b"hdlr":
-                t["handler"] = bytes(data[a + 8 : a + 12]).decode("latin-1")
+                t["handler"] = bytes(data[a + 8 : min(b, a + 12)]).decode("latin-1")
             elif kind == b"tkhd":
-                (t["id"],) = struct.unpack_from(">I", data, a + (20 if data[a] else 12))
+                t["id"] = uint(data, a + (20 if long else 12), b)
             elif kind == b"stsd":
                 t["codec"] = next((k.decode("latin-1").strip() for k, _, _ in boxes(data, a + 8, b)), None)
             elif kind == b"stts":
@@ -120,38 +141,82 @@ def _track(data: memoryview, start: int, end: int) -> dict:
             elif kind == b"stsc":
                 t["runs"] = numbers(data, a + 4, b, ">u4", 3)
             elif kind == b"stsz":
-                same, n = struct.unpack_from(">II", data, a + 4)
-                t["sizes"] = np.full(n, same, "int64") if same else numbers(data, a + 8, b, ">u4")[:, 0]
+                t["sizes"] = _sized(data, a, b)
             elif kind == b"stz2":
-                bits = data[a + 7]
-                if bits == 4:
-                    (n,) = struct.unpack_from(">I", data, a + 8)
-                    raw = np.frombuffer(data, "u1", (n + 1) // 2, a + 12)
-                    t["sizes"] = np.stack((raw >> 4, raw & 15), 1).reshape(-1)[:n].astype("int64")
-                else:
-                    t["sizes"] = numbers(data, a + 8, b, ">u2" if bits == 16 else ">u1")[:, 0]
+                t["sizes"] = _halved(data, a, b)
             elif kind in (b"stco", b"co64"):
                 t["offsets"] = numbers(data, a + 4, b, ">u4" if kind == b"stco" else ">u8")[:, 0]
     return t
 
 
 def _located(t: dict) -> np.ndarray:
-    """First byte of each sample: its chunk's offset and the sizes before it in the chunk."""
-    chunks, runs = len(t["offsets"]), t["runs"]
-    if not chunks or not len(runs):
+    """First byte of each sample: its chunk's offset and the sizes before it in the chunk. Chunks hold no more samples
+    than there are sizes, whatever the table of runs says."""
+    chunks, runs, n = len(t["offsets"]), t["runs"], len(t["sizes"])
+    if not chunks or not len(runs) or not n:
         return np.zeros(0, "int64")
-    per = np.repeat(runs[:, 1], np.diff(np.append(runs[:, 0], chunks + 1)).clip(0))[:chunks]
-    chunk = np.repeat(np.arange(len(per)), per)[: len(t["sizes"])]
-    before = np.concatenate(([0], np.cumsum(t["sizes"])))[: len(chunk)]
-    first = np.concatenate(([0], np.cumsum(per)))[chunk]
-    return t["offsets"][chunk] + before - before[np.minimum(first, len(before) - 1)]
+    ends = np.clip(np.append(runs[1:, 0], chunks + 1) - 1, 0, chunks)
+    per = np.repeat(np.minimum(runs[:, 1], n), (ends - np.clip(runs[:, 0] - 1, 0, chunks)).clip(0))[:chunks]
+    after = np.minimum(np.cumsum(per), n)
+    first = np.concatenate(([0], after[:-1]))
+    chunk = np.repeat(np.arange(len(per)), after - first)
+    before = np.concatenate(([0], np.cumsum(t["sizes"])))
+    return t["offsets"][chunk] + before[: len(chunk)] - before[first[chunk]]
+
+
+#: A sample that depends on others, in the flags of fragments.
+DEPENDS = 0x10000
+
+
+def _fragment(data: memoryview, start: int, a: int, b: int, defaults: dict[int, tuple]) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
+    """(track, ranges, whether each is a key frame, duration) of each run of samples of a fragment that begins at
+    ``start``. What a run leaves out stands in the fragment's header, or in the movie's defaults."""
+    for kind, c, d in boxes(data, a, b):
+        if kind != b"traf":
+            continue
+        track, base, lasts, size, flags, at = 0, start, 0, 0, 0, None
+        for k, e, f in boxes(data, c, d):
+            given, e = uint(data, e, f) & 0xFFFFFF, e + 4
+            if k == b"tfhd":
+                track, e = uint(data, e, f), e + 4
+                lasts, size, flags = defaults.get(track, (0, 0, 0))
+                if given & 1:
+                    base, e = uint(data, e, f, 8), e + 8
+                e += 4 * (given >> 1 & 1)
+                if given & 8:
+                    lasts, e = uint(data, e, f), e + 4
+                if given & 0x10:
+                    size, e = uint(data, e, f), e + 4
+                if given & 0x20:
+                    flags = uint(data, e, f)
+            elif k == b"trun":
+                n, e = uint(data, e, f), e + 4
+                first = at if at is not None else base
+                if given & 1:
+                    first, e = base + int.from_bytes(data[e : e + 4], "big", signed=True), e + 4
+                lead = None
+                if given & 4:
+                    lead, e = uint(data, e, f), e + 4
+                have = [bit for bit in (0x100, 0x200, 0x400, 0x800) if given & bit]
+                most = (f - e) // (4 * len(have)) if have else len(data) // max(size, 1)
+                n = max(0, min(n, most))
+                rows = np.frombuffer(data, ">u4", n * len(have), e).astype("int64").reshape(n, len(have)) if have and n else np.zeros((n, len(have)), "int64")
+                column = lambda bit, other: rows[:, have.index(bit)] if bit in have else np.full(n, other, "int64")  # noqa: B023, E731
+                times, sizes, marks = column(0x100, lasts), column(0x200, size), column(0x400, flags)
+                if lead is not None and n and 0x400 not in have:
+                    marks[0] = lead
+                ends = first + np.cumsum(sizes)
+                yield track, np.stack((ends - sizes, sizes), 1), marks & DEPENDS == 0, int(times.sum())
+                at = int(ends[-1]) if n else first
 
 
 def probe(file: bytes) -> list[dict]:
     """One record a track: codec, handler, timescale, duration, samples (ranges as an [n, 2] array of
     offset and length) and keys, the ranges of its key frames (without a table of them, every sample is
-    one). What isn't an ISO media file has no tracks."""
-    data, found = memoryview(file), []
+    one). Samples of movie fragments follow those of the movie's own tables. What isn't an ISO media file has
+    no tracks; tables that are cut, or that tell of more samples than the file can hold, are read as far as they go,
+    and ranges beyond the file's end are left out."""
+    data, found, defaults = memoryview(file), {}, {}
     for kind, a, b in boxes(data, 0, len(data)):
         if kind == b"moov":
             for k, c, d in boxes(data, a, b):
@@ -159,10 +224,26 @@ def probe(file: bytes) -> list[dict]:
                     t = _track(data, c, d)
                     at = _located(t)
                     ranges = np.stack((at, t["sizes"][: len(at)]), 1)
-                    keys = np.arange(len(at)) if t["keys"] is None else t["keys"][(t["keys"] >= 1) & (t["keys"] <= len(at))] - 1
+                    keys = np.ones(len(at), bool) if t["keys"] is None else np.isin(np.arange(1, len(at) + 1), t["keys"])
                     total = int((t["times"][:, 0] * t["times"][:, 1]).sum())
-                    found.append({"codec": t["codec"], "handler": t["handler"], "timescale": t["timescale"], "duration": t["duration"] or total, "samples": ranges, "keys": ranges[keys]})
-    return found
+                    found[t["id"], len(found)] = {"codec": t["codec"], "handler": t["handler"], "timescale": t["timescale"], "duration": t["duration"] or total, "parts": [(ranges, keys)]}
+                elif k == b"mvex":
+                    for m, e, f in boxes(data, c, d):
+                        if m == b"trex":
+                            defaults[uint(data, e + 4, f)] = (uint(data, e + 12, f), uint(data, e + 16, f), uint(data, e + 20, f))
+        elif kind == b"moof":
+            for track, ranges, keys, lasts in _fragment(data, a - 8, a, b, defaults):
+                for (name, _), t in found.items():
+                    if name == track:
+                        t["parts"].append((ranges, keys))
+                        t["more"] = t.get("more", 0) + lasts
+    out = []
+    for t in found.values():
+        ranges, keys = (np.concatenate(x) for x in zip(*t.pop("parts"), strict=True))
+        inside = (ranges[:, 0] >= 0) & (ranges[:, 0] + ranges[:, 1] <= len(data))
+        t["duration"] += t.pop("more", 0)
+        out.append(t | {"samples": ranges[inside], "keys": ranges[inside & keys]})
+    return out
 
 
 def read_back(file: bytes, track: dict) -> bytes:

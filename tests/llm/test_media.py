@@ -54,3 +54,34 @@ def test_odd_documents(spark, odd, none, texts):
     assert media.digests(media.media_files(none)).count() == 0
     tracks = media.probed(media.media_files(odd)).collect()
     assert all(t["tracks"][0]["samples"] == -(-max(t["n_bytes"], 1) // 64) for t in tracks)
+
+
+def test_fragments():
+    """Two fragments of one track: sizes from the run, then from the movie's defaults, a first sample of other flags."""
+    trex = media.full(b"trex", struct.pack(">IIIII", 1, 1, 10, 3, media.DEPENDS))
+    tables = [media.full(b"stsd", struct.pack(">I", 1), media.box(b"avc1", bytes(8))), media.full(b"stts", bytes(4)), media.full(b"stsc", bytes(4)), media.full(b"stsz", bytes(8)), media.full(b"stco", bytes(4))]
+    tkhd, mdhd = media.full(b"tkhd", struct.pack(">III", 0, 0, 1)), media.full(b"mdhd", struct.pack(">IIII", 0, 0, 600, 0))
+    moov = media.box(b"moov", media.box(b"mvex", trex), media.box(b"trak", tkhd, media.box(b"mdia", mdhd, media.box(b"minf", media.box(b"stbl", *tables)))))
+
+    def moof(run, flags):
+        size = len(media.box(b"moof", media.box(b"traf", media.full(b"tfhd", struct.pack(">I", 1), flags=0x20000), media.full(b"trun", run(0), flags=flags))))
+        return media.box(b"moof", media.box(b"traf", media.full(b"tfhd", struct.pack(">I", 1), flags=0x20000), media.full(b"trun", run(size + 8), flags=flags)))
+
+    one = moof(lambda at: struct.pack(">IiIIIII", 2, at, 0, 20, 2, 30, 4), 0x305)
+    two = moof(lambda at: struct.pack(">Ii", 2, at), 0x001)
+    file = moov + one + media.box(b"mdat", b"abcdef") + two + media.box(b"mdat", b"ghijkl")
+    (track,) = media.probe(file)
+    assert media.read_back(file, track) == b"abcdefghijkl" and track["duration"] == 70
+    assert track["samples"][:, 1].tolist() == [2, 4, 3, 3] and track["keys"].tolist() == track["samples"][:1].tolist()
+
+
+@given(st.binary(max_size=300), st.integers(0, 2**32), st.integers(0, 2**32))
+@settings(max_examples=200, deadline=None)
+def test_broken_files_are_read_as_far_as_they_go(raw, where, how_many):
+    file = bytearray(media.mux(media.padded(raw)))
+    at = where % len(file)
+    file[at : at + 4] = struct.pack(">I", how_many % 2**32)
+    for broken in (bytes(file), bytes(file[:at]), media.box(b"moov", media.box(b"trak", media.box(b"mdia", media.box(b"mdhd"), media.box(b"stsz", bytes(6)), media.box(b"tkhd"), media.box(b"stz2", b"1234567"), media.box(b"stsc", raw)))), media.box(b"moof", media.box(b"traf", media.box(b"tfhd"), media.box(b"trun", raw)))):
+        for track in media.probe(broken):
+            media.read_back(broken, track)
+            assert len(track["samples"]) <= len(broken)
