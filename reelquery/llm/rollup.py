@@ -2,21 +2,26 @@
 
 A batch of changes holds signed rows: an insert counts +1, a delete -1, a revised count is the old row with
 -1 and the new one with +1. Totals are additive, so a batch is summed by source, language and tokenizer
-version and its sums are stored; the totals are the sums of all committed batches. A batch is committed by
-one row in the list of commits, written after its sums; a batch that is listed is not applied again, and
-sums that a failed attempt left are never read. ``compact`` folds the commits so far into one.
+version and its sums are stored; the totals are the sums of all committed batches.
+
+A batch is committed by creating one file that bears its name, after its sums are stored. Of several writers
+one creates it, whatever their order and number; the others' sums are never read, and neither are
+those of a failed attempt. ``compact`` folds the commits so far into one: its file bears the number of the
+fold, so of two folds at a time one wins, and names the commits that it replaces.
 """
 
 from __future__ import annotations
 
 import base64
 import functools
+import hashlib
+import json
+import os
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import hinted, shared_dir, staged, table
@@ -27,63 +32,108 @@ SUMS = "source string, lang string, tokenizer_version string, n_docs long, n_tok
 FIRST, SECOND = "byte_bpe_50k", "byte_bpe_multi_50k"
 
 
+class Commits:
+    """Files in a folder that all writers see; each is created once and never changed."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.jvm, self.conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        self.at = self.jvm.org.apache.hadoop.fs.Path(path)
+        self.fs = self.at.getFileSystem(self.conf)
+        self.fs.mkdirs(self.at)
+
+    def _child(self, name: str):
+        return self.jvm.org.apache.hadoop.fs.Path(self.at, name)
+
+    def __contains__(self, name: str) -> bool:
+        return self.fs.exists(self._child(name))
+
+    def create(self, name: str, content: dict) -> bool:
+        """Creates the file with its whole content; False if it is there already. The content is written under
+        another name first, which is then moved: moving there fails if the name is taken."""
+        attempt, target = self._child(f"_{uuid.uuid4().hex}"), self._child(name)
+        out = self.fs.create(attempt, False)
+        out.write(bytearray(json.dumps(content).encode()))
+        out.close()
+        if self.fs.getScheme() == "file":  # where a move would overwrite; a link doesn't
+            try:
+                os.link(attempt.toUri().getPath(), target.toUri().getPath())
+                made = True
+            except FileExistsError:
+                made = False
+            self.fs.delete(attempt, False)
+            return made
+        made = self.fs.rename(attempt, target)
+        if not made:
+            self.fs.delete(attempt, False)
+        return made
+
+    def all(self) -> dict[str, dict]:
+        """Name -> content of each file. There are no more than batches since the last fold, and folds."""
+        found = {}
+        for status in self.fs.listStatus(self.at):
+            name = status.getPath().getName()
+            if not name.startswith(("_", ".")):
+                stream = self.fs.open(status.getPath())
+                try:
+                    found[name] = json.loads(bytes(self.jvm.org.apache.commons.io.IOUtils.toByteArray(stream)))
+                finally:
+                    stream.close()
+        return found
+
+
 class Rollup:
     """Additive totals in a folder that all executors share."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
+        self.commits = Commits(spark, f"{path}/commits")
 
-    def _commits(self) -> list[tuple[str, str]]:
-        """(batch, where its sums are) of each committed batch; the first writer of a batch counts."""
-        try:
-            rows = self.spark.read.schema("batch string, at string, folds array<string>").parquet(f"{self.path}/commits").collect()
-        except AnalysisException as e:
-            if e.getCondition() != "PATH_NOT_FOUND":
-                raise
-            return []
-        folded = {b for r in rows for b in r["folds"] or ()}
-        first: dict[str, str] = {}
-        for r in sorted(rows, key=lambda r: r["at"]):
-            first.setdefault(r["batch"], r["at"])
-        return [(b, at) for b, at in first.items() if b not in folded]
-
-    def _known(self) -> set[str]:
-        try:
-            rows = self.spark.read.schema("batch string, at string, folds array<string>").parquet(f"{self.path}/commits").select("batch").collect()
-        except AnalysisException as e:
-            if e.getCondition() != "PATH_NOT_FOUND":
-                raise
-            return set()
-        return {r["batch"] for r in rows}
-
-    def _put(self, batch: str, sums: DataFrame, folds: list[str]) -> None:
-        at = f"{batch}-{uuid.uuid4().hex}"
+    @staticmethod
+    def _name(batch: str) -> str:
+        return f"batch-{hashlib.sha256(batch.encode()).hexdigest()}"
+
+    @staticmethod
+    def _live(found: dict[str, dict]) -> dict[str, str]:
+        """Name of each commit that counts -> where its sums are."""
+        folded = {name for content in found.values() for name in content["folds"]}
+        return {name: content["at"] for name, content in found.items() if name not in folded}
+
+    def _put(self, name: str, sums: DataFrame, folds: list[str], batch: str = "") -> bool:
+        at = f"{name}-{uuid.uuid4().hex}"
         sums.write.parquet(f"{self.path}/sums/{at}")
-        self.spark.createDataFrame([(batch, at, folds)], "batch string, at string, folds array<string>").coalesce(1).write.mode("append").parquet(f"{self.path}/commits")
+        return self.commits.create(name, {"batch": batch, "at": at, "folds": folds})
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
         """Applies ``changes`` (source, lang, tokenizer_version, n_tokens, sign) once; False if the batch was
-        there. Null counts are 0, rows with a null sign are ignored, null keys are groups of their own."""
-        if batch in self._known():
+        there, or if another writer was faster. Null counts are 0, rows with a null sign are ignored,
+        null keys are groups of their own, other columns are ignored."""
+        name = self._name(batch)
+        if name in self.commits:
             return False
         sign = F.col("sign").cast("long")
         sums = changes.filter("sign IS NOT NULL").groupBy(*KEYS).agg(F.sum(sign).alias("n_docs"), F.sum(sign * F.coalesce(F.col("n_tokens"), F.lit(0))).alias("n_tokens"))
-        self._put(batch, sums, [])
-        return True
+        return self._put(name, sums, [], batch)
 
     def totals(self) -> DataFrame:
         """source, lang, tokenizer_version, n_docs, n_tokens; groups that no document is left in are left out."""
-        parts = [f"{self.path}/sums/{at}" for _, at in self._commits()]
-        if not parts:
-            return self.spark.createDataFrame([], SUMS)
-        sums = self.spark.read.schema(SUMS).parquet(*parts).groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
+        sums = self._summed(self._live(self.commits.all()))
         return sums.filter("n_docs <> 0 OR n_tokens <> 0")
 
-    def compact(self) -> None:
-        """Folds all committed batches into one, by a single commit; their names stay known."""
-        batches = [b for b, _ in self._commits()]
-        if len(batches) > 1:
-            self._put(f"fold-{uuid.uuid4().hex}", self.totals(), batches)
+    def _summed(self, live: dict[str, str]) -> DataFrame:
+        if not live:
+            return self.spark.createDataFrame([], SUMS)
+        rows = self.spark.read.schema(SUMS).parquet(*(f"{self.path}/sums/{at}" for at in live.values()))
+        return rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
+
+    def compact(self) -> bool:
+        """Folds the commits that count into one; their names stay known. False if there is nothing to fold or
+        another fold was faster. Batches that are committed meanwhile go on to count by themselves."""
+        found = self.commits.all()
+        live = self._live(found)
+        if len(live) < 2:
+            return False
+        number = 1 + sum(name.startswith("fold-") for name in found)
+        return self._put(f"fold-{number:09d}", self._summed(live), sorted(live))
 
 
 @functools.cache

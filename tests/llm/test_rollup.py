@@ -27,7 +27,7 @@ def test_batches(spark):
     before = totals(r)
     assert ("a", "en", "v1") not in before
     r.compact()
-    assert totals(r) == before and len(r._commits()) == 1
+    assert totals(r) == before and len(r._live(r.commits.all())) == 1
     assert not r.commit("two", revised) and totals(r) == before
     r.commit("four", first)
     assert totals(r)["a", "en", "v1"] == (2, 12)
@@ -63,3 +63,28 @@ def test_query(spark):
         n, t = want.get((r.source, r.lang, v), (0, 0))
         want[r.source, r.lang, v] = (n + 1, t + len(enc[v].encode_ordinary(r.text)))
     assert {(x["source"], x["lang"], x["tokenizer_version"]): (x["n_docs"], x["n_tokens"]) for x in rollup.op6_token_rollup(spark, SF).collect()} == want
+
+
+def test_racing_writers(spark):
+    """Writers that have all found the batch missing, and folds of the same commits: one of each counts."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    rows = lambda n: spark.createDataFrame([("a", "en", "v1", n, 1, 1)], KIND)
+    writers = [rollup.Rollup(spark, path) for _ in range(4)]
+    sums = rows(5).select("source", "lang", "tokenizer_version", F.lit(1).cast("long").alias("n_docs"), "n_tokens")
+    with ThreadPoolExecutor(4) as pool:
+        assert sum(pool.map(lambda w: w._put(w._name("one"), sums, [], "one"), writers)) == 1
+        assert sum(pool.map(lambda w: w.commit("two", rows(7)), writers)) == 1
+    assert totals(writers[0]) == {("a", "en", "v1"): (2, 12)}
+    found = writers[0].commits.all()
+    live = sorted(writers[0]._live(found))
+    with ThreadPoolExecutor(4) as pool:  # all fold what all have seen
+        assert sum(pool.map(lambda w: w._put("fold-000000001", w._summed(w._live(found)), live), writers)) == 1
+    assert totals(writers[1]) == {("a", "en", "v1"): (2, 12)} and not writers[1].compact()
+    assert writers[2].commit("three", rows(1)) and writers[3].compact() and not writers[3].commit("one", rows(5))
+    assert totals(writers[0]) == {("a", "en", "v1"): (3, 13)}
+    with ThreadPoolExecutor(4) as pool:
+        writers[0].commit("four", rows(1))
+        assert sum(pool.map(lambda w: w.compact(), writers)) >= 1
+    assert totals(writers[0]) == {("a", "en", "v1"): (4, 14)}
