@@ -4,8 +4,8 @@ A logistic regression on features of the text, fitted on a bounded sample of lab
 document's own evidence. Labels, and where there are none the regression's probabilities, are summed by
 host and by path of a host. A host's posterior is shrunk towards the global mean and a path's towards its
 host's, by as many pseudo-documents as the spread between hosts, or between paths of a host, warrants
-(method of moments over the grouped sums). A document's score adds the odds of its path over the global
-ones to its own.
+(method of moments over the grouped sums). A document's own label or probability is left out of the posteriors
+that it meets, so nothing counts twice; its score adds the odds of its path over the global ones to its own.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import hinted, staged, table
+from .common import field, hinted, sealed, staged, table, unsealed
 
 #: Labelled documents that the regression is fitted on, at most.
 SAMPLE = 20_000
@@ -108,24 +108,24 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, sam
     n, good = hosts.agg(F.sum("hn"), F.sum("hgood")).first()
     mean = float(np.clip((good or 0.0) / n if n else 0.5, 1e-4, 1 - 1e-4))
     m = _strength(hosts, F.lit(mean), F.col("hn"), F.col("hgood"))
-    hosts = hosts.withColumn("host_posterior", (F.col("hgood") + m * mean) / (F.col("hn") + m))
+    hosts = hosts.withColumn("_whole", (F.col("hgood") + m * mean) / (F.col("hn") + m))
     both = staged(paths.join(hosts, "_host"), "quality-hosts")
-    k = _strength(both, F.col("host_posterior"), F.col("n"), F.col("good"))
-    both = both.select("_host", "_path", "host_posterior", ((F.col("good") + k * F.col("host_posterior")) / (F.col("n") + k)).alias("path_posterior"))
-    both = hinted(staged(both, "quality-posteriors"), BROADCAST_ROWS)
+    k = _strength(both, F.col("_whole"), F.col("n"), F.col("good"))
+    out = judged.join(hinted(both, BROADCAST_ROWS), ["_host", "_path"])
+    # a document isn't among its own site's evidence
+    out = out.withColumn("host_posterior", (F.col("hgood") - F.col("_e") + m * mean) / (F.col("hn") - 1 + m))
+    out = out.withColumn("path_posterior", (F.col("good") - F.col("_e") + k * F.col("host_posterior")) / (F.col("n") - 1 + k))
     odds = lambda p: F.ln(p / (1 - p))
     clipped = lambda c: F.greatest(F.lit(1e-9), F.least(F.lit(1 - 1e-9), F.col(c)))
     score = 1 / (1 + F.exp(-(odds(clipped("evidence")) + odds(clipped("path_posterior")) - float(np.log(mean / (1 - mean))))))
-    out = judged.join(both, ["_host", "_path"]).withColumn("score", score)
-    return out.select("doc_id", "_h", "evidence", "host_posterior", "path_posterior", "score", (F.col("score") >= keep).alias("keep"))
+    return out.withColumn("score", score).select("doc_id", "_h", "evidence", "host_posterior", "path_posterior", "score", (F.col("score") >= keep).alias("keep"))
 
 
 def kept(docs: DataFrame, labels: DataFrame, host: Column, path: Column) -> DataFrame:
     """The rows of ``docs`` that the classifier keeps."""
     gone = staged(classify(docs, labels, host, path).filter("NOT keep").select(F.col("doc_id").alias("_d"), F.col("_h").alias("_g")).distinct(), "quality-gone")
-    return docs.withColumn("_h", F.xxhash64("text")).join(hinted(gone, BROADCAST_ROWS), F.expr("doc_id <=> _d AND _h = _g"), "left_anti").drop("_h")
-
-
+    rows = sealed(docs).withColumns({"doc_id": field("doc_id"), "_h": F.xxhash64(field("text"))})
+    return unsealed(rows.join(hinted(gone, BROADCAST_ROWS), F.expr("doc_id <=> _d AND _h = _g"), "left_anti"), docs.columns)
 
 
 def op10_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

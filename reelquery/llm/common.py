@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Words are runs of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -18,11 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    A cluster names it in ``spark.checkpoint.dir``; only where that is unset
-    (tests, a single machine) is a temporary folder made and remembered.
+    A cluster names it in ``spark.checkpoint.dir``; only where that is unset and all tasks run on
+    this machine (tests) is a temporary folder made and remembered.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="reelquery-"))
         named = spark.sparkContext.getCheckpointDir()
     return named.rstrip("/")
@@ -38,6 +40,21 @@ def staged(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sealed(df: DataFrame) -> DataFrame:
+    """``df`` as one column, row: whatever its columns are called, they can't clash with an operator's own."""
+    return df.select(F.struct("*").alias("row"))
+
+
+def field(name: str) -> Column:
+    """A column of a sealed row."""
+    return F.col("row").getField(name)
+
+
+def unsealed(df: DataFrame, names: list[str], **changed: Column) -> DataFrame:
+    """The columns that the row was made of, with others in place of those ``changed``."""
+    return df.select(*((changed[c] if c in changed else field(c)).alias(c) for c in names))
+
+
 #: Stored size up to which a table may be broadcast.
 BROADCAST_BYTES = 64 << 20
 

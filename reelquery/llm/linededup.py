@@ -1,8 +1,9 @@
 """Line dedup by a deletion-neighbourhood join, in DataFrame functions only.
 
 Lines are compared as sequences of words; white space doesn't count. A line goes if an earlier one, by
-(doc_id, line number), has the same words, or if both have at least ``MIN_WORDS`` words and one edit (a word
-put in, left out or replaced) leads from one to the other. Blank lines stay.
+(doc_id, line number), has the same words, or if one edit (a word put in, left out or replaced) leads from one
+to the other and that is no more than one in ``PER_EDIT`` words of the longer one. The bound is relative for
+every length: "Chapter 1" and "Chapter 2" are a half apart and both stay. Blank lines stay.
 
 Every line's variants are the line without its i-th word, as hashed keys. Two lines that share variant and
 i differ by one replacement at most; a line that equals another's variant lacks one of its words. So
@@ -14,16 +15,16 @@ is, so partners share a hash of a half; lines that share none are left out befor
 A variant's hash is the exclusive or of hashes of (word, place): what stands behind the missing word
 moves down by one, so running sums give all variants of a line in linear time.
 
-Lines are named by 128 bits of hash.
+Lines and variants are named by 128 bits of hash.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from .common import hinted, mix64, staged, table
+from .common import field, hinted, mix64, sealed, staged, table, unsealed
 
-MIN_WORDS = 8
+PER_EDIT = 8
 BROADCAST_ROWS = 1_000_000
 #: A line's place is doc_id * LINES + line number; a null id comes first.
 LINES = 2**31
@@ -60,8 +61,10 @@ def halves(w: Column, n: Column) -> Column:
 def occurrences(docs: DataFrame) -> DataFrame:
     """A narrow row for each line: its document, place, 128 bits of hash, number of words and half keys."""
     rows = exploded(docs).withColumn("w", words(F.col("text"))).withColumn("n", F.size("w"))
-    rows = rows.withColumn("k", F.when(F.col("n") >= MIN_WORDS, halves(F.col("w"), F.col("n"))))
-    return rows.select("doc_id", "_t", "line", place("doc_id", "line").alias("place"), F.xxhash64("w").alias("h1"), mix64("w").alias("h2"), *(F.col("k")[i].alias(f"k{i}") for i in range(4)))
+    # a line one word short of the bound may be an edit of a longer one
+    rows = rows.withColumn("k", F.when(F.col("n") >= PER_EDIT - 1, halves(F.col("w"), F.col("n"))))
+    shorter = lambda i: F.when(F.col("n") >= PER_EDIT, F.col("k")[i]) if i > 1 else F.col("k")[i]
+    return rows.select("doc_id", "_t", "line", place("doc_id", "line").alias("place"), F.xxhash64("w").alias("h1"), mix64("w").alias("h2"), *(shorter(i).alias(f"k{i}") for i in range(4)))
 
 
 def blank() -> Column:
@@ -71,31 +74,33 @@ def blank() -> Column:
 
 def candidates(distinct: DataFrame) -> DataFrame:
     """The distinct lines that share a half with another."""
-    keys = distinct.filter("k0 IS NOT NULL").select("h1", "h2", "place", F.explode(F.array("k0", "k1", "k2", "k3")).alias("k"))
+    keys = distinct.filter("k0 IS NOT NULL").select("h1", "h2", "at", F.explode(F.array("k0", "k1", "k2", "k3")).alias("k")).filter("k IS NOT NULL")
     shared = staged(keys.groupBy("k").agg(F.count("*").alias("n")).filter("n > 1").select("k"), "line-halves")
-    return keys.join(hinted(shared, BROADCAST_ROWS), "k", "left_semi").select("h1", "h2", "place").distinct()
+    return keys.join(hinted(shared, BROADCAST_ROWS), "k", "left_semi").select("h1", "h2", "at").distinct()
 
 
 def variants(lines: DataFrame) -> DataFrame:
-    """v, i, h1, h2, place for each line (h1, h2, place, w): its variants by missing word, and itself at i = -1."""
-    each = lines.select("h1", "h2", "place", F.posexplode("w").alias("i", "x"))
-    each = each.select("h1", "h2", "place", "i", F.xxhash64("x", "i").alias("f"), F.xxhash64("x", F.col("i") - 1).alias("g"))
-    line = Window.partitionBy("h1", "h2").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    each = each.withColumns({"_f": F.bit_xor("f").over(line), "_g": F.bit_xor("g").over(line), "_all": F.bit_xor("g").over(Window.partitionBy("h1", "h2"))})
-    without = F.col("_f").bitwiseXOR(F.col("f")).bitwiseXOR(F.col("_all")).bitwiseXOR(F.col("_g"))
-    itself = F.col("_all").isNotNull() & (F.col("i") == F.max("i").over(Window.partitionBy("h1", "h2")))
-    each = each.select("h1", "h2", "place", "i", without.alias("v"), F.when(itself, F.col("_f")).alias("own"))
-    both = F.array(F.struct("v", "i"), F.struct(F.col("own").alias("v"), F.lit(-1).alias("i")))
-    return each.select("h1", "h2", "place", F.inline(F.when(F.col("own").isNull(), F.slice(both, 1, 1)).otherwise(both)))
+    """v1, v2, i, h1, h2, place for each line (h1, h2, place, w): its variants by missing word, and itself at i = -1.
+    A line that is too short to be the longer one of a pair emits itself alone."""
+    each = lines.select("h1", "h2", "place", F.size("w").alias("n"), F.posexplode("w").alias("i", "x"))
+    here, moved = F.xxhash64("x", "i"), F.xxhash64("x", F.col("i") - 1)
+    each = each.select("h1", "h2", "place", "n", "i", here.alias("f1"), moved.alias("g1"), mix64("x", "i").alias("f2"), mix64("x", F.col("i") - 1).alias("g2"))
+    line, whole = Window.partitionBy("h1", "h2").orderBy("i").rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy("h1", "h2")
+    each = each.withColumns({f"_{c}": F.bit_xor(c).over(line) for c in ("f1", "g1", "f2", "g2")} | {f"_all{k}": F.bit_xor(f"g{k}").over(whole) for k in (1, 2)})
+    without = [F.col(f"_f{k}").bitwiseXOR(F.col(f"f{k}")).bitwiseXOR(F.col(f"_all{k}")).bitwiseXOR(F.col(f"_g{k}")) for k in (1, 2)]
+    own = F.when(F.col("i") == F.col("n") - 1, F.struct(F.col("_f1").alias("v1"), F.col("_f2").alias("v2"), F.lit(-1).alias("i")))
+    one = F.when(F.col("n") >= PER_EDIT, F.struct(without[0].alias("v1"), without[1].alias("v2"), F.col("i")))
+    return each.select("h1", "h2", "place", F.inline(F.array_compact(F.array(one, own))))
 
 
 def witnesses(v: DataFrame) -> DataFrame:
     """h1, h2, witness: the place of the earliest line before it with which a line shares a key."""
-    replaced = v.filter("i >= 0").groupBy("v", "i").agg(F.min("place").alias("first"), F.max("place").alias("last")).filter("first < last").select("v", "i", "first")
-    missing = v.groupBy("v").agg(F.min(F.when(F.col("i") >= 0, F.col("place"))).alias("longer"), F.min(F.when(F.col("i") < 0, F.col("place"))).alias("shorter")).filter("longer IS NOT NULL AND shorter IS NOT NULL")
+    key = ["v1", "v2"]
+    replaced = v.filter("i >= 0").groupBy(*key, "i").agg(F.min("place").alias("first"), F.max("place").alias("last")).filter("first < last").select(*key, "i", "first")
+    missing = v.groupBy(*key).agg(F.min(F.when(F.col("i") >= 0, F.col("place"))).alias("longer"), F.min(F.when(F.col("i") < 0, F.col("place"))).alias("shorter")).filter("longer IS NOT NULL AND shorter IS NOT NULL")
     replaced, missing = (hinted(staged(x, "line-keys"), BROADCAST_ROWS) for x in (replaced, missing))
-    by_replaced = v.join(replaced, ["v", "i"]).select("h1", "h2", "place", F.col("first").alias("witness"))
-    by_missing = v.join(missing, "v").select("h1", "h2", "place", F.when(F.col("i") >= 0, F.col("shorter")).otherwise(F.col("longer")).alias("witness"))
+    by_replaced = v.join(replaced, [*key, "i"]).select("h1", "h2", "place", F.col("first").alias("witness"))
+    by_missing = v.join(missing, key).select("h1", "h2", "place", F.when(F.col("i") >= 0, F.col("shorter")).otherwise(F.col("longer")).alias("witness"))
     return by_replaced.union(by_missing).filter("witness < place").groupBy("h1", "h2", "place").agg(F.min("witness").alias("witness"))
 
 
@@ -112,27 +117,28 @@ def one_edit(a: Column, b: Column) -> Column:
 
 def near_lines(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     """h1, h2 of the distinct lines that an earlier one is one edit away from."""
-    chosen = candidates(distinct)
+    # a candidate is read from the document that it stands in first, by that document's id and text
+    at = candidates(distinct).select("h1", "h2", "at.*")
     doc = F.floor(F.col("place") / F.lit(LINES)).cast("decimal(20,0)")
     line = (F.col("place") - doc * F.lit(LINES).cast("decimal(10,0)")).cast("int")
-    wanted = chosen.select(F.when(doc >= -(2**63), doc).cast("long").alias("_d"), F.struct("h1", "h2", "place", line.alias("line")).alias("c"))
-    wanted = hinted(staged(wanted.groupBy("_d").agg(F.collect_list("c").alias("c")), "line-candidates"), BROADCAST_ROWS)
-    found = docs.join(wanted, F.expr("doc_id <=> _d")).select("c", F.split("text", "\n").alias("ls"))
+    wanted = at.select(F.when(doc >= -(2**63), doc).cast("long").alias("_d"), "_t", F.struct("h1", "h2", "place", line.alias("line")).alias("c"))
+    wanted = hinted(staged(wanted.groupBy("_d", "_t").agg(F.collect_list("c").alias("c")), "line-candidates"), BROADCAST_ROWS)
+    found = docs.withColumn("_h", F.xxhash64("text")).join(wanted, F.expr("doc_id <=> _d AND _h = _t")).select("c", F.split("text", "\n").alias("ls"))
     lines = found.select(F.inline(F.transform("c", lambda c: F.struct(c["h1"].alias("h1"), c["h2"].alias("h2"), c["place"].alias("place"), F.get("ls", c["line"]).alias("text")))))
     lines = lines.withColumn("w", words(F.col("text"))).filter((F.xxhash64("w") == F.col("h1")) & (mix64("w") == F.col("h2"))).select("h1", "h2", "place", "w")
-    lines = staged(lines, "line-words", "zstd")
-    named = witnesses(staged(variants(lines.dropDuplicates(["h1", "h2"])), "line-variants"))
+    lines = staged(lines.dropDuplicates(["h1", "h2"]), "line-words", "zstd")
+    named = witnesses(staged(variants(lines), "line-variants"))
     later = named.join(lines.select("h1", "h2", F.col("w").alias("a")), ["h1", "h2"])
     tested = later.join(lines.select(F.col("place").alias("witness"), F.col("w").alias("b")), "witness").filter(one_edit(F.col("a"), F.col("b")))
     return tested.select("h1", "h2").distinct()
 
 
 def dropped(docs: DataFrame) -> DataFrame:
-    """doc_id, _t, exact, near: for each document that loses lines, their numbers."""
+    """doc_id, _t, exact, near: for each document (doc_id, text) that loses lines, their numbers."""
     rows = staged(occurrences(docs), "lines")
-    distinct = staged(rows.filter(F.col("h1") != blank()).groupBy("h1", "h2").agg(F.min("place").alias("place"), F.max("place").alias("last"), *(F.min(f"k{i}").alias(f"k{i}") for i in range(4))), "line-distinct")
+    distinct = staged(rows.filter(F.col("h1") != blank()).groupBy("h1", "h2").agg(F.min(F.struct("place", "_t")).alias("at"), F.max("place").alias("last"), *(F.min(f"k{i}").alias(f"k{i}") for i in range(4))), "line-distinct")
     near = near_lines(docs, distinct).withColumn("near", F.lit(True))
-    gone = distinct.select("h1", "h2", F.col("place").alias("first"), "last").join(hinted(staged(near, "line-near"), BROADCAST_ROWS), ["h1", "h2"], "left").filter("near OR first < last")
+    gone = distinct.select("h1", "h2", F.col("at.place").alias("first"), "last").join(hinted(staged(near, "line-near"), BROADCAST_ROWS), ["h1", "h2"], "left").filter("near OR first < last")
     gone = hinted(staged(gone.select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near")), "line-gone"), BROADCAST_ROWS)
     out = rows.join(gone, ["h1", "h2"]).filter("near OR place > first")
     exact = F.col("place") > F.col("first")
@@ -140,26 +146,32 @@ def dropped(docs: DataFrame) -> DataFrame:
     return staged(by_doc, "line-dropped")
 
 
-def deduped(docs: DataFrame) -> DataFrame:
-    """All columns of ``docs``, text without its later lines, and _lines, _exact, _near: how many lines it
-    had, and how many went as repeats and as near repeats.
+def marked(docs: DataFrame) -> DataFrame:
+    """row (all columns of ``docs``), text without the lines that earlier documents have, and n_lines, n_exact, n_near:
+    how many lines it had, and how many went as repeats and as near repeats.
 
     A null text stays null; one that loses all lines becomes empty. Rows with the same id and line number
-    are at the same place, so none of them is later than the other: repeated rows keep the same lines.
-    An empty table gives an empty result; other columns pass.
+    are at the same place, so none of them is later than the other: repeated rows keep the same lines, and so
+    do different rows without an id.
     """
     found = hinted(dropped(docs.select("doc_id", "text")), BROADCAST_ROWS).select(F.col("doc_id").alias("_d"), F.col("_t").alias("_g"), F.col("exact").alias("_e"), F.col("near").alias("_n"))
-    rows = docs.withColumn("_h", F.xxhash64("text")).join(found, F.expr("doc_id <=> _d AND _h = _g"), "left")
-    lines = F.split("text", "\n")
+    rows = sealed(docs).withColumns({"doc_id": field("doc_id"), "whole": field("text"), "_h": F.xxhash64(field("text"))})
+    rows = rows.join(found, F.expr("doc_id <=> _d AND _h = _g"), "left")
+    lines = F.split("whole", "\n")
     lost = F.concat("_e", "_n")
     kept = F.filter(lines, lambda x, i: ~F.array_contains(lost, i))
-    text = F.when(F.col("_d").isNull() & F.col("_e").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    text = F.when(F.col("_e").isNull(), F.col("whole")).otherwise(F.array_join(kept, "\n"))
     count = lambda c: F.when(F.col(c).isNull(), 0).otherwise(F.size(c))
-    return rows.withColumns({"_lines": F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)), "_exact": count("_e"), "_near": count("_n")}).withColumn("text", text).drop("_d", "_g", "_e", "_n", "_h")
+    return rows.select("row", text.alias("text"), F.when(F.col("whole").isNull(), 0).otherwise(F.size(lines)).alias("n_lines"), count("_e").alias("n_exact"), count("_n").alias("n_near"))
+
+
+def deduped(docs: DataFrame) -> DataFrame:
+    """All columns of ``docs``, text without its later lines. An empty table gives an empty result."""
+    return unsealed(marked(docs), docs.columns, text=F.col("text"))
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return deduped(table(spark, sf_dir, "documents")).select("doc_id", F.col("_lines").cast("long").alias("n_lines"), F.col("_exact").cast("long").alias("exact_dropped"), F.col("_near").cast("long").alias("near_dropped"), "text")
+    return marked(table(spark, sf_dir, "documents")).select(field("doc_id").alias("doc_id"), F.col("n_lines").cast("long").alias("n_lines"), F.col("n_exact").cast("long").alias("exact_dropped"), F.col("n_near").cast("long").alias("near_dropped"), "text")
 
 
 SQL = r"""
@@ -169,7 +181,7 @@ o AS (SELECT doc_id, i, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS w
 d AS (SELECT w, min({'d': doc_id, 'i': i}) AS p FROM o WHERE len(w) > 0 GROUP BY w),
 v AS (SELECT w, p, unnest(range(len(w))) AS j FROM d WHERE len(w) >= 8),
 u AS (SELECT w, p, j, array_to_string(list_concat(w[1:j], w[j + 2:]), ' ') AS x FROM v),
-f AS (SELECT w, p, CAST(-1 AS BIGINT) AS j, array_to_string(w, ' ') AS x FROM d WHERE len(w) >= 8),
+f AS (SELECT w, p, CAST(-1 AS BIGINT) AS j, array_to_string(w, ' ') AS x FROM d WHERE len(w) >= 7),
 n AS (SELECT u.w FROM u JOIN (SELECT x, j, min(p) AS q FROM u GROUP BY x, j) r ON u.x = r.x AND u.j = r.j WHERE r.q < u.p
       UNION SELECT u.w FROM u JOIN f ON u.x = f.x WHERE f.p < u.p
       UNION SELECT f.w FROM u JOIN f ON u.x = f.x WHERE u.p < f.p),

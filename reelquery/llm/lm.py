@@ -148,11 +148,11 @@ class Model:
 
 
 def score(docs: DataFrame, train: DataFrame, depth: int = DEPTH, block: int = BLOCK, head: int = HEAD, **keep: Column) -> DataFrame:
-    """doc_id, n_tokens, n_known, train_tokens, base_score, score and the columns ``keep`` of each row of
-    ``docs`` (doc_id, text), by a model of ``train`` (text).
+    """doc_id, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte and the columns ``keep`` of each row
+    of ``docs`` (doc_id, text), by a model of ``train`` (text).
 
     A text is its words, A-Z lower-cased, with one space between them, and an end. score is the model's
-    log10 probability of these bytes. base_score is that of the words and the end by counts with one
+    log10 probability of these bytes; bits_per_byte is its code length for each of them. base_score is that of the words and the end by counts with one
     added. Null and empty texts are the end alone; repeated rows are scored each; without training texts
     every bit has probability one half and only the end's and words' added counts remain.
     """
@@ -203,8 +203,8 @@ def score(docs: DataFrame, train: DataFrame, depth: int = DEPTH, block: int = BL
                 rows = batch.slice(at, len(texts))
                 at += len(texts)
                 yield pa.RecordBatch.from_arrays(
-                    [*(rows.column(x) for x in ["doc_id", *names]), pa.array(sizes.astype("i8")), pa.array(np.diff(hits[spans]).astype("i8")), pa.array(np.array([np.log10(c[a:b] + 1).sum() for a, b in zip(spans[:-1], spans[1:], strict=True)])), pa.array(total), tail],
-                    ["doc_id", *names, "_words", "_hits", "_sum", "score", "_tail"],
+                    [*(rows.column(x) for x in ["doc_id", *names]), pa.array(sizes.astype("i8")), pa.array(np.diff(hits[spans]).astype("i8")), pa.array(np.array([np.log10(c[a:b] + 1).sum() for a, b in zip(spans[:-1], spans[1:], strict=True)])), pa.array(total), pa.array(np.diff(firsts).astype("i8")), tail],
+                    ["doc_id", *names, "_words", "_hits", "_sum", "score", "_bytes", "_tail"],
                 )
 
     def by_range(grams: np.ndarray) -> np.ndarray:
@@ -222,7 +222,7 @@ def score(docs: DataFrame, train: DataFrame, depth: int = DEPTH, block: int = BL
         return out
 
     kept = docs.select("doc_id", *(c.alias(k) for k, c in keep.items()))
-    schema = kept.schema.add("_words", "long").add("_hits", "long").add("_sum", "double").add("score", "double").add("_tail", T.ArrayType(T.LongType()))
+    schema = kept.schema.add("_words", "long").add("_hits", "long").add("_sum", "double").add("score", "double").add("_bytes", "long").add("_tail", T.ArrayType(T.LongType()))
     rows = docs.select("doc_id", *(c.alias(k) for k, c in keep.items()), "text").mapInArrow(run, schema)
     rows = staged(rows.withColumn("_row", F.monotonically_increasing_id()), "lm-rows")
     rare = words.filter(F.col("c") < least)
@@ -232,7 +232,7 @@ def score(docs: DataFrame, train: DataFrame, depth: int = DEPTH, block: int = BL
     out = rows.join(tail, "_row", "left")
     base = F.col("_sum") + F.coalesce("_plus", F.lit(0.0)) + end - (F.col("_words") + 1) * scale
     n_known = F.col("_hits") + F.coalesce("_more", F.lit(0)) + int(ends > 0)
-    return out.select("doc_id", *names, (F.col("_words") + 1).alias("n_tokens"), n_known.alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+    return out.select("doc_id", *names, (F.col("_words") + 1).alias("n_tokens"), n_known.alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), "score", (-F.col("score") * float(np.log2(10)) / F.col("_bytes")).alias("bits_per_byte"))
 
 
 def op5_ctw_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

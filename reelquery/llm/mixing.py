@@ -5,9 +5,9 @@ id, so reruns agree. Within a source, documents in ascending key order form a we
 without replacement. A source whose target holds whole epochs takes all its documents that many
 times; the rest of the target is the prefix of the key order whose words come nearest to it.
 
-The key order is never materialised for a whole source. Keys map monotonically to 24-bit positions;
-three rounds of 256-way sums per source find the position where the budget ends, and only documents
-at that one position are sorted. What each source needs is then one row: its epochs and the last key
+The key order is never materialised for a whole source. Keys map monotonically to 48-bit positions, by their
+logarithm, so that large keys are told apart as well as small ones; four rounds of 4096-way sums per source find the
+position where the budget ends, and only documents at that one position are sorted. What each source needs is then one row: its epochs and the last key
 taken. Documents join it by source, without a shuffle while sources are few.
 """
 
@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from .common import WORD, hinted, staged, table
+from .common import WORD, field, hinted, sealed, staged, table, unsealed
 
 CYCLE = (5, 2, 1)
 MAX_EPOCHS = 3
@@ -36,11 +36,15 @@ def quality(text: str = "text") -> Column:
 
 
 def keyed(docs: DataFrame, weight: Column | None = None, seed: str = SEED) -> DataFrame:
-    """``docs`` with _size, _key (ascending: taken first) and _at, the key's 24-bit position."""
-    bits = F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))), 1, 13), 16, 10)
+    """``docs`` (doc_id, text and others) with _size, _key (ascending: taken first) and _at, the key's 48-bit
+    position. The draw is by id and text, so rows without ids or with the same id are drawn each."""
+    drawn = F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.md5(F.coalesce(F.col("text"), F.lit(""))))
+    bits = F.conv(F.substring(F.md5(drawn), 1, 13), 16, 10)
     u = (bits.cast("double") + 0.5) / float(2**52)
     keyed = docs.withColumns({"_size": word_count(), "_key": -F.ln(u) / (quality() if weight is None else weight)})
-    return keyed.withColumn("_at", F.least(F.floor((1.0 - F.exp(-F.col("_key"))) * float(2**24)), F.lit(2**24 - 1)).cast("long"))
+    # keys lie between 2^-53 and 37 over the least weight, so logarithms between -64 and 64
+    at = F.floor((F.ln(F.col("_key")) + 64) * float(2**41))
+    return keyed.withColumn("_at", F.greatest(F.lit(0), F.least(at, F.lit(2**48 - 1))).cast("long"))
 
 
 def targets(sizes: DataFrame, cycle=CYCLE, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -70,9 +74,9 @@ def plan(rows: DataFrame, cycle=CYCLE, max_epochs: int = MAX_EPOCHS) -> DataFram
     goal = goal.withColumn("epochs", F.coalesce(F.floor(F.col("target") / F.nullif("source_size", F.lit(0))), F.lit(0)).cast("long"))
     goal = staged(goal.withColumn("_rest", F.col("target") - F.col("epochs") * F.col("source_size")), "mix-goal")
     at = goal.select("source", "_rest", F.lit(0).cast("long").alias("_prefix"), F.lit(0).cast("long").alias("_before"))
-    for shift in (16, 8, 0):
-        s = hinted(at, BROADCAST_SOURCES) if shift == 16 else at
-        here = rows.alias("r").join(s.alias("s"), F.expr(f"r.source <=> s.source AND shiftright(r._at, {shift + 8}) = s._prefix"))
+    for shift in (36, 24, 12, 0):
+        s = hinted(at, BROADCAST_SOURCES) if shift == 36 else at
+        here = rows.alias("r").join(s.alias("s"), F.expr(f"r.source <=> s.source AND shiftright(r._at, {shift + 12}) = s._prefix"))
         sums = here.groupBy(F.col("s.source").alias("source"), F.expr(f"shiftright(_at, {shift})").alias("_p"), "_rest", "_before").agg(F.sum("_size").alias("_n"))
         upto = F.col("_before") + F.sum("_n").over(Window.partitionBy("source").orderBy("_p"))
         step = sums.withColumn("_to", upto).filter("_to > _rest").groupBy("source", "_rest").agg(F.min(F.struct("_p", (F.col("_to") - F.col("_n")).alias("_from"))).alias("m"))
@@ -97,8 +101,8 @@ def decided(rows: DataFrame, per_source: DataFrame) -> DataFrame:
 def mix(docs: DataFrame, weight: Column | None = None, cycle=CYCLE, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
     """doc_id, size, source_size, target, taken, copies, source for every row of ``docs``.
 
-    Whole documents are taken, so a source misses its target by at most half of one document. Documents
-    that agree in key, id and size are taken alike. Null or empty texts have size 0 and are never
+    Whole documents are taken, so a source misses its target by at most half of one document, or half of a group
+    of rows that agree in id and text, which are taken alike. Null or empty texts have size 0 and are never
     taken; a null source is a source of its own, the last in order; other columns are ignored; an
     empty table gives an empty result.
     """
@@ -109,10 +113,10 @@ def mix(docs: DataFrame, weight: Column | None = None, cycle=CYCLE, max_epochs:
 
 def repeated(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: the rows of ``docs``, each as often as it is taken."""
-    names = docs.columns
     rows = staged(keyed(docs.select("doc_id", "text", "source"), **options).select("doc_id", "source", "_size", "_key", "_at"), "mix-rows")
-    out = decided(keyed(docs, **options), plan(rows)).filter("_copies > 0")
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*names)
+    whole = sealed(docs).select("row", *(field(c).alias(c) for c in ("doc_id", "text", "source")))
+    out = decided(keyed(whole, **options), plan(rows)).filter("_copies > 0")
+    return unsealed(out.select("row", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("copy")), docs.columns)
 
 
 def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,7 +129,7 @@ WITH d AS (
          CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
          greatest(CAST(0.05 AS DOUBLE), coalesce(CAST(length(regexp_replace(coalesce(text, ''), '[^\p{L}\s]', '', 'g')) AS DOUBLE)
            / nullif(length(coalesce(text, '')), 0), CAST(0 AS DOUBLE))) AS q,
-         (CAST(CAST('0x' || substr(md5('mix-1:' || CAST(doc_id AS VARCHAR)), 1, 13) AS BIGINT) AS DOUBLE) + CAST(0.5 AS DOUBLE)) / CAST(4503599627370496 AS DOUBLE) AS u
+         (CAST(CAST('0x' || substr(md5('mix-1:' || CAST(doc_id AS VARCHAR) || ':' || md5(coalesce(text, ''))), 1, 13) AS BIGINT) AS DOUBLE) + CAST(0.5 AS DOUBLE)) / CAST(4503599627370496 AS DOUBLE) AS u
   FROM documents),
 k AS (SELECT *, -ln(u) / q AS key FROM d),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size,

@@ -1,8 +1,7 @@
 """Packing tokenised documents into fixed windows by best-fit decreasing.
 
 A document is its token ids and a final end id. While it is longer than a window, full windows are cut
-off its front; what remains is packed. Remainders are dealt into shards by a hash of their document,
-each of some thousand pieces whatever the corpus' size, and a shard is packed by itself: longest piece
+off its front; what remains is packed. Remainders are dealt into shards by a hash, each of some thousand pieces whatever the corpus' size, and a shard is packed by itself: longest piece
 first, each into the open window with the least room that still holds it. A segment tree over the room
 left (0 to the window's length) counts open windows; descending it finds that room in a logarithmic
 number of steps.
@@ -45,6 +44,10 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PLAIN = re.compile(r"([^\W\d_]+)([^\w\s']*)")
 
 
+#: Words that the shortcuts are tried on.
+TRIED = "the quick, brown: fox; (jumps) isn't 42 3.14 naïve straße über-alles! señor... élan?! x1y2 日本 ok. déjà-vu AND and e.g. \u00bfqué? word_s".lower().split()
+
+
 def byte_characters() -> dict[int, str]:
     """Byte -> the character that stands for it in a byte-level vocabulary: printable Latin-1 for itself, the
     other bytes in order from U+0100 on."""
@@ -57,7 +60,8 @@ class WordIds(dict):
     """Word (lower-cased in ASCII) -> its ids as bytes of unsigned 32-bit integers.
 
     Plain words go to the tokenizer's merges in parts, without its normaliser and splitting, which change
-    nothing in them; all others go through the tokenizer.
+    nothing in them; all others go through the tokenizer. Both shortcuts are tried when the vocabulary is
+    loaded: one whose tokens cross white space gets whole texts, one that treats plain words otherwise, all words.
     """
 
     def __init__(self, path: str):
@@ -69,7 +73,12 @@ class WordIds(dict):
         self.model = self.tokenizer.model
         self.parts: dict[str, bytes] = {"": b""}
         self.characters = byte_characters()
-        (self.between,) = self._encode(BETWEEN.decode())
+        between = self._encode(BETWEEN.decode())
+        self.between = between[0] if len(between) == 1 else -1
+        whole = lambda texts: [self._encode(t).tobytes() for t in texts]
+        self.by_word = all((whole([w.upper()]) == whole([w])) for w in TRIED if w.isascii()) and all(self._encode(f"{a}{gap}{b}").tobytes() == b"".join(whole((a, b))) for a, b in zip(TRIED, TRIED[1:], strict=False) for gap in (" ", "\n", "  ", "\t\r\n"))
+        self.plain = all(self._part(p[1]) + self._part(p[2]) == self._encode(w).tobytes() for w in TRIED if (p := PLAIN.fullmatch(w)))
+        self.parts = {"": b""}
 
     def _encode(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
@@ -89,7 +98,7 @@ class WordIds(dict):
         for w in words:
             s = w.decode()
             plain = PLAIN.fullmatch(s)
-            if plain and plain[1].isalpha() and (s.isascii() or s.lower() == s and unicodedata.is_normalized("NFC", s)):
+            if self.plain and plain and plain[1].isalpha() and (s.isascii() or s.lower() == s and unicodedata.is_normalized("NFC", s)):
                 self[w] = self._part(plain[1]) + self._part(plain[2])
             else:
                 rest.append(w)
@@ -100,7 +109,7 @@ class WordIds(dict):
         """Tokenises words in one go; where one of them holds the separating token, each by itself later."""
         ids = self._encode((b" " + BETWEEN + b" ").join(words).decode())
         cuts = np.flatnonzero(ids == self.between)
-        if len(cuts) == len(words) - 1:
+        if self.between >= 0 and len(cuts) == len(words) - 1:
             raw, ends = ids.tobytes(), [*(4 * cuts).tolist(), 4 * len(ids)]
             starts = [0, *(4 * cuts + 4).tolist()]
             self.update(zip(words, map(raw.__getitem__, map(slice, starts, ends)), strict=True))
@@ -109,6 +118,8 @@ class WordIds(dict):
         if len(self) > REMEMBER:
             self.clear()
             self.parts = {"": b""}
+        if not self.by_word:
+            return [self._encode(t).tobytes() for t in texts]
         raw = [t.encode().lower() for t in texts]
         words = [None if b"<|" in r else r.split() for r in raw]
         self._learn([w for w in set().union(*filter(None, words)).difference(self) if len(w) <= LONGEST and BETWEEN not in w])
@@ -208,7 +219,8 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, end_id:
     """
     pieces = staged(cut(docs, path, window, end_id), "pieces")
     shards = max(1, -(-pieces.count() // shard))
-    sharded = pieces.withColumn("_shard", F.pmod(F.xxhash64("doc_id", "start"), F.lit(shards)))
+    # the row's number tells repeated rows and rows without ids apart, so no shard gets all of them
+    sharded = pieces.withColumn("_shard", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", F.monotonically_increasing_id()), F.lit(shards)))
 
     def packed(batch: pa.Table) -> pa.Table:
         batch = batch.sort_by([("length", "descending"), ("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")])

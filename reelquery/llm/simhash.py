@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import hinted, staged, table
+from .common import field, hinted, sealed, staged, table, unsealed
 from .components import components
 from .similar import links as similar_links
 
@@ -156,16 +156,16 @@ def near_duplicates(docs: DataFrame, *keep: str, words: int = WORDS, bits: int =
 
 def representatives(docs: DataFrame, similar: float | None = None) -> DataFrame:
     """One row of ``docs`` for each component: the one of least (doc_id, text hash), null ids last."""
-    names = docs.columns
-    marked = docs.withColumn("_h", F.xxhash64("text"))
-    rows = staged(near_duplicates(marked, "_h", similar=similar).select("doc_id", "_h", "root"), "simhash-ids")
+    marked = sealed(docs).withColumns({"doc_id": field("doc_id"), "_h": F.xxhash64(field("text"))})
+    slim = docs.select("doc_id", "text").withColumn("_h", F.xxhash64("text"))
+    rows = staged(near_duplicates(slim, "_h", similar=similar).select("doc_id", "_h", "root"), "simhash-ids")
     first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("_null"), "doc_id", "_h")).alias("f"), F.count("*").alias("n")).filter("n > 1")
     of = rows.join(hinted(staged(first, "simhash-first"), BROADCAST_ROWS), "root")
     stays = F.col("doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("_h") == F.col("f._h"))
     keys = of.groupBy(F.col("doc_id").alias("_d"), F.col("_h").alias("_g")).agg(F.max(stays).alias("_stays"), F.count("*").alias("_rows")).filter("NOT _stays OR _rows > 1")
     out = marked.join(hinted(staged(keys, "simhash-gone"), BROADCAST_ROWS), F.expr("doc_id <=> _d AND _h = _g"), "left")
-    single = out.filter("_stays IS NULL").select(*names)
-    return single.union(out.filter("_stays").dropDuplicates(["_d", "_g"]).select(*names))
+    single = out.filter("_stays IS NULL").select("row")
+    return unsealed(single.union(out.filter("_stays").dropDuplicates(["_d", "_g"]).select("row")), docs.columns)
 
 
 def op9_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:

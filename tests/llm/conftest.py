@@ -1,8 +1,12 @@
 import pytest
+from pyspark.sql import functions as F
 
 LONG = " ".join(f"word{i % 977}" for i in range(30_000))
 PROSE = "the quick brown fox jumps over the lazy dog and runs away from here"
 
+#: Names that operators use for columns of their own.
+CLASHING = "row _row whole _h _d _g _t _e _n _y _f _id _at _key _size _copies _copy _prefix _last _source _host _path _stays _r _text h fp root n k v c at line place label list score rank copy host keep".split()
+
 
 @pytest.fixture(scope="session")
 def odd(spark):
@@ -22,7 +26,7 @@ def odd(spark):
         (11, "AAA!!! " * 50, "en", "a", 3, 1, "x"),
     ]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, size long, target string")
-    return df.repartition(3)
+    return df.withColumns({c: F.col("target") for c in CLASHING}).repartition(3)
 
 
 @pytest.fixture(scope="session")

@@ -52,3 +52,39 @@ def test_regression_separates():
 def test_features_tell_junk(spark, text, sign):
     f = spark.range(1).select(F.lit(text).alias("text")).select(classifier.features().alias("f")).first()["f"]
     assert len(f) == 7 and (f[0] < 0.2) == (sign > 0)
+
+
+def test_posteriors_and_scores_against_plain_sums(spark):
+    """Two hosts of several paths, some documents labelled; everything but the regression is worked out again."""
+    rng = np.random.default_rng(5)
+    site = [("one", "a"), ("one", "b"), ("two", "a"), ("two", "c"), ("two", "d"), (None, None)]
+    rows = [(i, (GOOD if rng.random() < (0.9, 0.6, 0.3, 0.2, 0.7, 0.5)[i % 6] else BAD) + f" {i}", *site[i % 6]) for i in range(180)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, host string, path string")
+    label = {i: int(rows[i][1].startswith("The")) for i in range(0, 180, 4)}
+    label[8] = 1 - label[8]
+    labels = spark.createDataFrame(sorted(label.items()), "doc_id long, quality int")
+    got = {r["doc_id"]: r for r in classifier.classify(docs, labels, F.col("host"), F.col("path")).collect()}
+    e = {i: float(label.get(i, got[i]["evidence"])) for i in got}
+    where = {i: (h or "", p or "") for i, _, h, p in rows}
+
+    def strength(groups):
+        clip = lambda x: min(max(x, 1e-4), 1 - 1e-4)
+        n = sum(len(g) for g, _ in groups)
+        spread = sum(len(g) * (sum(g) / len(g) - clip(x)) ** 2 - clip(x) * (1 - clip(x)) for g, x in groups) / (n - sum(len(g) ** 2 for g, _ in groups) / n)
+        within = sum(len(g) * clip(x) * (1 - clip(x)) for g, x in groups) / n
+        return min(max(within / spread - 1 if spread > 0 else 1e4, 2.0), 1e4)
+
+    mean = sum(e.values()) / len(e)
+    of = lambda key: {k: [e[i] for i in e if key(where[i]) == k] for k in {key(w) for w in where.values()}}
+    hosts, paths = of(lambda w: w[0]), of(lambda w: w)
+    m = strength([(g, mean) for g in hosts.values()])
+    post = {h: (sum(g) + m * mean) / (len(g) + m) for h, g in hosts.items()}
+    k = strength([(g, post[h]) for (h, _), g in paths.items()])
+    odds = lambda p: np.log(p / (1 - p))
+    for i, r in got.items():
+        h, p = hosts[where[i][0]], paths[where[i]]
+        host = (sum(h) - e[i] + m * mean) / (len(h) - 1 + m)
+        path = (sum(p) - e[i] + k * host) / (len(p) - 1 + k)
+        score = 1 / (1 + np.exp(-(odds(np.clip(r["evidence"], 1e-9, 1 - 1e-9)) + odds(path) - odds(mean))))
+        assert (r["host_posterior"], r["path_posterior"], r["score"]) == pytest.approx((host, path, score), rel=1e-9)
+        assert r["keep"] == (score >= 0.5)

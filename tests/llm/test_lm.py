@@ -82,6 +82,7 @@ def test_scores(spark, depth, block):
     for i, t in enumerate(TEST + TRAIN[:3]):
         words = [*ctw.canonical(t), "end"]
         assert got[i]["score"] == pytest.approx(slow.score(stream(t)), abs=1e-4)
+        assert got[i]["bits_per_byte"] == pytest.approx(-got[i]["score"] * math.log2(10) / len(stream(t)))
         assert got[i]["base_score"] == pytest.approx(sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in words), abs=1e-9)
         assert (got[i]["n_tokens"], got[i]["n_known"], got[i]["train_tokens"]) == (len(words), sum(w in counts for w in words), n)
 
