@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from reelquery.llm import classifier, linededup, mixing, packing, simhash
-from reelquery.llm.common import staged, table
+from reelquery.llm.common import field, staged, table, unsealed
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,8 +21,9 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that earlier ones have; those of which only blank lines are left go, if they
     lost any. n_chars follows the text."""
     words = F.length(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", "")) > 0
-    left = linededup.deduped(docs).filter((F.col("_exact") + F.col("_near") == 0) | words)
-    return left.withColumn("n_chars", F.when(F.col("_exact") + F.col("_near") == 0, F.col("n_chars")).otherwise(F.length("text"))).select(*docs.columns)
+    untouched = F.col("n_exact") + F.col("n_near") == 0
+    left = linededup.marked(docs).filter(untouched | words)
+    return unsealed(left, docs.columns, text=F.col("text"), n_chars=F.when(untouched, field("n_chars")).otherwise(F.length("text")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
