@@ -47,6 +47,19 @@ def corrected(ranks: DataFrame) -> DataFrame:
     return ranks.agg(F.count_if(F.col("truth_rank") == 1).alias("corrected"), F.count("*").alias("queries"))
 
 
+def hard_regression(ranking: DataFrame, hard: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """title, season, episode, seconds, truth_rank and, with an earlier result ``before``, was and lost: how the hard
+    queries fare, and which of those that were right are right no longer. ``ranking``: title, season, episode, seconds of the
+    query, position and the ranked episode as found_title, found_season, found_episode."""
+    key = ["title", "season", "episode", "seconds"]
+    right = ranking.filter("found_title = title AND found_season <=> season AND found_episode <=> episode")
+    now = hard.join(right.groupBy(*key).agg(F.min("position").alias("truth_rank")), key, "left")
+    if before is None:
+        return now
+    lost = (F.col("was") == 1) & ~F.coalesce(F.col("truth_rank") == 1, F.lit(False))
+    return now.join(before.select(*key, F.col("truth_rank").alias("was")), key, "left").withColumn("lost", F.coalesce(lost, F.lit(False)))
+
+
 def throughput(images: int, seconds: float) -> dict[str, float]:
     """Images a second and a minute, seconds an image."""
     return {"images_per_second": images / seconds if seconds else 0.0, "images_per_minute": 60 * images / seconds if seconds else 0.0, "seconds_per_image": seconds / images if images else 0.0}

@@ -8,7 +8,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from reelquery.functions.formats import clock_millis
 from reelquery.functions.vector import norm, normalize
@@ -145,8 +146,80 @@ def recognised(rows: DataFrame, load: Callable[[], Callable[[str], list[str]]],
     return rows.select("image_path", variants("image_path").alias("_v")).select("image_path", joined.alias("ocr_text"))
 
 
-def ocr_cache(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(OCR_TEXT).parquet(path)
+class OcrCache:
+    """Recognised texts by image path, in a folder of parts: each save adds one, which is seen whole or not at all, and
+    of an image that was recognised twice the text of the last save counts."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def load(self) -> DataFrame:
+        """image_path, ocr_text; none if nothing was saved."""
+        saved = stored(self.spark, self.path, "image_path string, ocr_text string, saved_at timestamp")
+        return saved.groupBy("image_path").agg(F.max_by("ocr_text", F.struct("saved_at", "ocr_text")).alias("ocr_text"))
+
+    def save(self, texts: DataFrame) -> None:
+        texts.select("image_path", "ocr_text", F.current_timestamp().alias("saved_at")).write.mode("append").parquet(self.path)
+
+    def get(self, rows: DataFrame, load: Callable[[], Callable[[str], list[str]]], combine: str = "join") -> DataFrame:
+        """image_path, ocr_text of ``rows`` (image_path): those that aren't there yet are recognised and saved first."""
+        wanted = rows.select("image_path").distinct()
+        self.save(recognised(missing(wanted, self.load(), "image_path"), load, combine))
+        return self.load().join(wanted, "image_path", "left_semi")
+
+
+def stored(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
+    """A table of a folder, or an empty one where the folder isn't there yet."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def image_variants(rgb: np.ndarray) -> list[np.ndarray]:
+    """The three pictures that text is recognised in: the grey one at twice the size, and that in black and white by a
+    threshold around each pixel (weighted mean of 31 x 31, less 11) and by the one that parts the histogram best."""
+    grey = doubled(np.round(rgb[..., :3].astype("f8") @ (0.299, 0.587, 0.114)))
+    around = local_mean(grey, 15)
+    return [grey, np.where(grey > around - 11, 255, 0).astype("u1"), np.where(grey > otsu(grey), 255, 0).astype("u1")]
+
+
+def doubled(grey: np.ndarray) -> np.ndarray:
+    """Twice the height and width by cubic convolution (a = -0.75); beyond the border its pixels repeat."""
+    grey = grey.astype("f8")
+    near = lambda t: (1.25 * t - 2.25) * t * t + 1
+    far = lambda t: -0.75 * (((t - 5) * t + 8) * t - 4)
+    for axis in (0, 1):
+        n = grey.shape[axis]
+        at = (np.arange(2 * n) + 0.5) / 2 - 0.5
+        low = np.floor(at).astype(int)
+        t = (at - low).reshape((-1, 1) if axis == 0 else (1, -1))
+        weights = (far(1 + t), near(t), near(1 - t), far(2 - t))
+        grey = sum(w * np.take(grey, np.clip(low + i, 0, n - 1), axis) for i, w in zip((-1, 0, 1, 2), weights, strict=True))
+    return np.clip(np.round(grey), 0, 255).astype("u1")
+
+
+def local_mean(grey: np.ndarray, radius: int) -> np.ndarray:
+    """Mean of the square around each pixel by a bell curve; beyond the border its pixels repeat."""
+    spread = 0.3 * (radius - 1) + 0.8
+    weights = np.exp(-0.5 * (np.arange(-radius, radius + 1) / spread) ** 2)
+    out = np.pad(grey.astype("f8"), radius, mode="edge")
+    for axis in (0, 1):
+        n = out.shape[axis] - 2 * radius
+        out = sum(w * np.take(out, range(i, i + n), axis) for i, w in enumerate(weights / weights.sum()))
+    return out
+
+
+def otsu(grey: np.ndarray) -> int:
+    """The grey value that leaves the greatest variance between what is above it and what isn't."""
+    n = np.bincount(grey.ravel(), minlength=256).astype("f8")
+    below, total = np.cumsum(n), n.sum()
+    sums = np.cumsum(n * np.arange(256))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        between = (sums[-1] * below / total - sums) ** 2 / (below * (total - below))
+    return int(np.nanargmax(np.where(np.isfinite(between), between, -1)))
 
 
 def global_table(frames: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -161,8 +234,50 @@ def save_frames(frames: DataFrame, path: str) -> None:
     frames.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("media_id").parquet(path)
 
 
-def load_frames(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(FRAMES).parquet(path)
+def load_frames(spark: SparkSession, path: str, manifest: DataFrame | None = None) -> DataFrame:
+    """Stored frames. With the ``manifest`` that they were made from (media_id, a row a frame), an item that has more or
+    fewer vectors than frames fails the load: positions would no longer say which frame a vector is of."""
+    rows = spark.read.schema(FRAMES).parquet(path)
+    return rows if manifest is None else checked(rows, manifest, ["media_id"])
+
+
+def checked(rows: DataFrame, wanted: DataFrame, by: list[str]) -> DataFrame:
+    """``rows``, if each group ``by`` has as many as in ``wanted``; otherwise an error that names some that differ."""
+    have, want = (x.groupBy(*by).agg(F.count("*").alias(n)) for x, n in ((rows, "_have"), (wanted, "_want")))
+    differ = have.join(want, by, "full").filter("NOT _have <=> _want").limit(5).collect()
+    if differ:
+        raise ValueError(f"counts differ: {[tuple(r) for r in differ]}")
+    return rows
+
+
+def save_table(rows: DataFrame, path: str, by: str = "media_id") -> None:
+    """Fingerprints or prototypes, one folder a media item; only the items written are replaced."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+
+
+def load_table(spark: SparkSession, path: str, schema: str, sizes: DataFrame | None = None, by: list[str] | None = None) -> DataFrame:
+    """What ``save_table`` stored; with ``sizes`` (``by`` and n) each group must have as many rows as it says."""
+    rows = spark.read.schema(schema).parquet(path)
+    by = by or ["media_id"]
+    if sizes is None:
+        return rows
+    return checked(rows, sizes.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))), by)
+
+
+def index_new(frames: DataFrame, path: str, load: Callable[[], Encoder], column: str = "image_path") -> DataFrame:
+    """Encodes the frames of media items that the folder doesn't have yet and stores them; returns the stored table.
+    An item is done when its folder is written, so a run that was broken off goes on with the items left."""
+    spark = frames.sparkSession
+    kept = [c for c in frames.columns if c != "embedding"]
+    schema = frames.select(*kept).schema.add("embedding", T.ArrayType(T.FloatType()))
+    done = stored(spark, path, schema)
+    save_frames(encoded(missing(frames.select(*kept), done, "media_id"), load, column), path)
+    return spark.read.schema(schema).parquet(path)
+
+
+def manifest_from_images(media: DataFrame, images: DataFrame, seconds: int = SAMPLING_SECONDS) -> DataFrame:
+    """Manifests of media whose frames exist already: ``images`` (media_id, image_path) are numbered by path."""
+    return manifests(manifest_rows(images.filter(F.lower("image_path").endswith(".jpg")), media, seconds), seconds)
 
 
 def audit(media: DataFrame, frames: DataFrame, vectors: DataFrame, dimension: int = DIMENSION) -> DataFrame:

@@ -168,3 +168,54 @@ def test_clustered_vectors_are_identified(spark, tmp_path):
     stream = spark.readStream.schema(clips.schema).parquet(str(tmp_path / "in"))
     identify_stream(stream, fr, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).orderBy("position").first()["media_id"] == "m1"
+
+
+def test_kmeans_is_as_good_as_a_plain_one(spark):
+    from reelquery.operators import fingerprints as fp
+
+    fr = vectors(spark, 240, 6)
+    got = fp.prototypes(fr).collect()
+    x = {}
+    for r in fr.collect():
+        x.setdefault((r["media_id"], r["season"], r["episode"]), []).append(r["embedding"])
+    for key, rows in x.items():
+        rows = np.array(rows)
+        mine = [r for r in got if (r["media_id"], r["season"], r["episode"]) == key]
+        c = np.array([r["embedding"] for r in mine])
+        assert len(mine) == 8 and sum(r["cluster_size"] for r in mine) == len(rows) and np.allclose(np.linalg.norm(c, axis=1), 1)
+        inertia = lambda c: ((rows[:, None] - c[None]) ** 2).sum(-1).min(1).sum()  # noqa: E731, B023
+        plain = []
+        for s in range(5):  # Lloyd's steps from several starts
+            p = rows[np.random.default_rng(s).choice(len(rows), 8, replace=False)]
+            for _ in range(30):
+                near = ((rows[:, None] - p[None]) ** 2).sum(-1).argmin(1)
+                p = np.array([rows[near == j].mean(0) if (near == j).any() else p[j] for j in range(8)])
+            plain.append(inertia(p / np.linalg.norm(p, axis=1, keepdims=True)))
+        assert inertia(c) <= 1.15 * min(plain)
+
+
+def gestalt(a, b):
+    """Characters in the longest common part, and in those left and right of it, over the mean length."""
+
+    def matched(a, b):
+        best = (0, 0, 0)
+        for i in range(len(a)):
+            for j in range(len(b)):
+                n = 0
+                while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n]:
+                    n += 1
+                best = max(best, (n, -i, -j))
+        n, i, j = best[0], -best[1], -best[2]
+        return n + matched(a[:i], b[:j]) + matched(a[i + n :], b[j + n :]) if n else 0
+
+    return 2 * matched(a, b) / (len(a) + len(b)) if a or b else 1.0
+
+
+def test_hybrid_similarity_against_a_plain_one(spark):
+    texts = ["", "a", "the cat sat", "the cat sat on the mat", "on the mat sat the cat", "a cat", "mat the", "ab ba", "ba ab ab"]
+    rows = spark.createDataFrame([(a, b) for a in texts for b in texts], "a string, b string")
+    for r in rows.select("a", "b", tx.hybrid_similarity("a", "b").alias("s")).collect():
+        a, b = r["a"], r["b"]
+        x, y = set(a.split()), set(b.split())
+        want = 0.0 if not a or not b else 1.0 if a == b else 0.65 * gestalt(a, b) + 0.35 * len(x & y) / len(x | y)
+        assert r["s"] == pytest.approx(want), (a, b)

@@ -136,3 +136,102 @@ def test_strict_times(spark):
     assert spark.range(1).select(strict_seconds(F.lit("2.5")).alias("t")).first()["t"] == 2.5
     with pytest.raises(Exception, match="not a time"):
         spark.range(1).select(strict_seconds(F.concat(F.lit("x"), F.col("id").cast("string"))).alias("t")).collect()
+
+
+def test_cache_of_recognised_texts(spark, tmp_path):
+    from reelquery.sources import frames as fr
+
+    asked = tmp_path / "asked"
+    asked.mkdir()
+
+    def load():
+        def read(path):
+            (asked / path).touch()
+            return [f"text of  {path}"]
+
+        return read
+
+    cache = fr.OcrCache(spark, str(tmp_path / "cache"))
+    assert cache.load().count() == 0
+    rows = lambda *names: spark.createDataFrame([(n,) for n in names], "image_path string")
+    assert {(r["image_path"], r["ocr_text"]) for r in cache.get(rows("a", "b", "a"), load).collect()} == {("a", "text of a"), ("b", "text of b")}
+    for f in asked.iterdir():
+        f.unlink()
+    assert cache.get(rows("b", "c"), load).count() == 2 and {f.name for f in asked.iterdir()} == {"c"}
+    assert cache.load().count() == 3
+
+
+def test_new_items_are_encoded_once_and_counts_are_checked(spark, tmp_path):
+    import pytest
+
+    from reelquery.sources import frames as fr
+
+    path, log = str(tmp_path / "index"), tmp_path / "log"
+    log.mkdir()
+
+    def load():
+        import numpy as np
+
+        def encode(values):
+            for v in values:
+                (log / v).touch()
+            return np.ones((len(values), 4))
+
+        return encode
+
+    frames = spark.createDataFrame([("m1", "000001", "p1"), ("m1", "000002", "p2"), ("m2", "000001", "p3")], "media_id string, frame_id string, image_path string")
+    assert fr.index_new(frames.filter("media_id = 'm1'"), path, load).count() == 2
+    for f in log.iterdir():
+        f.unlink()
+    got = fr.index_new(frames, path, load)
+    assert got.count() == 3 and {f.name for f in log.iterdir()} == {"p3"}
+    assert fr.checked(got, frames, ["media_id"]).count() == 3
+    with pytest.raises(ValueError, match="m2"):
+        fr.checked(got.filter("media_id = 'm1'"), frames, ["media_id"])
+    with pytest.raises(ValueError, match="m1"):
+        fr.load_frames(spark, path, frames.filter("image_path <> 'p2'"))
+
+
+def test_stored_prototypes(spark, tmp_path):
+    import pytest
+
+    from reelquery.sources import frames as fr
+
+    rows = spark.createDataFrame([("m1", i, [1.0, 0.0]) for i in range(3)], "media_id string, prototype_index int, embedding array<double>")
+    fr.save_table(rows, str(tmp_path / "p"))
+    load = lambda n: fr.load_table(spark, str(tmp_path / "p"), "media_id string, prototype_index int, embedding array<double>", spark.createDataFrame([("m1", n)], "media_id string, n int"))
+    assert load(3).count() == 3
+    with pytest.raises(ValueError):
+        load(2)
+
+
+def test_image_variants():
+    import numpy as np
+
+    from reelquery.sources import frames as fr
+
+    image = np.zeros((20, 30, 3), "u1")
+    image[:, 15:] = 200
+    grey, adaptive, parted = fr.image_variants(image)
+    assert grey.shape == adaptive.shape == parted.shape == (40, 60)
+    assert grey[20, 5] == 0 and grey[20, 50] == 200 and set(np.unique(parted)) == {0, 255}
+    assert (parted[:, :28] == 0).all() and (parted[:, 32:] == 255).all()
+    # slow forms of the weighted mean and of the histogram's threshold
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 256, (12, 9)).astype("u1")
+    bell = np.exp(-0.5 * (np.arange(-2, 3) / 1.1) ** 2)
+    kernel = np.outer(bell, bell) / bell.sum() ** 2
+    wide = np.pad(x.astype(float), 2, mode="edge")
+    assert np.allclose(fr.local_mean(x, 2), [[(wide[i : i + 5, j : j + 5] * kernel).sum() for j in range(9)] for i in range(12)])
+    spread = lambda t: sum(len(p) * (p.mean() - x.mean()) ** 2 for p in (x[x <= t].astype(float), x[x > t].astype(float)) if len(p))
+    assert spread(fr.otsu(x)) == max(spread(t) for t in range(256))
+
+
+def test_hard_queries_that_are_lost(spark):
+    from reelquery.operators import metrics
+
+    hard = metrics.hard_queries(spark)
+    ranked = hard.selectExpr("*", "1 AS position", "title AS found_title", "season AS found_season", "IF(seconds = 896, 99, episode) AS found_episode")
+    before = hard.selectExpr("*", "IF(seconds = 2990, 2, 1) AS truth_rank")
+    got = {r["seconds"]: (r["truth_rank"], r["lost"]) for r in metrics.hard_regression(ranked, hard, before).collect()}
+    assert got[896] == (None, True) and got[2990] == (1, False) and len(got) == 7 and sum(x for _, x in got.values()) == 1
