@@ -101,11 +101,16 @@ class Level:
 
     def weigh(self, below: "Level | None") -> None:
         """Weighted probability and the weight of stopping, from the level below (none: leaves)."""
-        own = ln_kt(self.zeros, self.ones)
         if below is None:
-            self.weighted, self.stop = own, np.ones(len(own))
+            self.weighted = ln_kt(self.zeros, self.ones)
+            self.stop = np.ones(len(self.weighted))
             return
-        deeper = np.bincount(np.searchsorted(self.nodes, below.parents()), below.weighted, len(own))
+        self.weigh_by(below.parents(), below.weighted)
+
+    def weigh_by(self, parents: np.ndarray, weighted: np.ndarray) -> None:
+        """The same from weighted probabilities of children, given with their parents."""
+        own = ln_kt(self.zeros, self.ones)
+        deeper = np.bincount(np.searchsorted(self.nodes, parents), weighted, len(own))
         self.weighted = np.logaddexp(own, deeper) - LN2
         self.stop = np.exp(own - LN2 - self.weighted)
 

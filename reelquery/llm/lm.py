@@ -1,10 +1,11 @@
 """Language-model scoring: a context-tree-weighting byte model learned from part of a corpus, applied to all of it.
 
 Training counts grams (``ctw``) and words over all training documents; both are summed in Spark, none is
-pruned. The context trees are then weighed range by range of contexts, so the driver holds ``BLOCK`` grams
-at most at a time; what is shared by all ranges are the levels of up to one byte of context and one record
-for each context of two bytes and bit node, a fixed number at any corpus size. Workers load one range's
-model after the other for each block of texts. Frequent words' counts are broadcast, ``HEAD`` of them at
+pruned. The context trees are then weighed range by range of contexts. A range is cut between contexts of
+three bytes, so the driver holds about ``BLOCK`` grams at a time, and no more than one such context has (2^24 at
+depth 5; a million or so in text) if that is more. What all ranges share are the levels of up to two bytes of context,
+a bounded number of records at any corpus size. Workers load one range's model after the other for each block of
+texts, so work grows with texts times ranges; ranges grow with the distinct grams, not with the corpus. Frequent words' counts are broadcast, ``HEAD`` of them at
 most; the rare rest of a document's words are joined to their counts by shuffling.
 
 Words are counted under their XXH64.
@@ -22,8 +23,10 @@ from . import ctw
 from .common import staged, table
 
 DEPTH, FOLDS, HELD_FOLD = 5, 7, 2
-#: Grams of a model range; words whose counts are broadcast; grams weighed at once; bytes of text at once.
-BLOCK, HEAD, CHUNK, TEXT = 2_000_000, 250_000, 50_000, 1 << 19
+#: Bytes of context that ranges are cut between.
+CUT = 3
+#: Grams of a model range; words whose counts are broadcast; grams weighed at once; bytes of text at once, and if there are ranges.
+BLOCK, HEAD, CHUNK, TEXT, TEXT_BY_RANGE = 2_000_000, 250_000, 50_000, 1 << 19, 1 << 22
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -63,14 +66,14 @@ def gram_counts(train: DataFrame, depth: int = DEPTH) -> DataFrame:
     return train.select("text").mapInArrow(count, "k long, c long").groupBy("k").agg(F.sum("c").alias("c"))
 
 
-def parts(column: pa.Array) -> Iterator[list[str | None]]:
-    """The texts in runs of about ``TEXT`` characters, or single longer texts."""
+def parts(column: pa.Array, most: int = TEXT) -> Iterator[list[str | None]]:
+    """The texts in runs of about ``most`` characters, or single longer texts."""
     run, size = [], 0
     for cell in column:
         text = cell.as_py()
         run.append(text)
         size += len(text or "")
-        if size >= TEXT:
+        if size >= most:
             yield run
             run, size = [], 0
     if run:
@@ -81,12 +84,12 @@ class Model:
     """Ranges of contexts and the levels that they share."""
 
     def __init__(self, counts: DataFrame, depth: int = DEPTH, block: int = BLOCK):
-        """``counts``: k, c, staged. Ranges are by the two nearest bytes of context."""
-        self.counts, self.depth = counts, depth
-        self.shift = 8 * (depth - 1)
-        by_pair = counts.groupBy(F.shiftright("k", self.shift).alias("p")).count().toPandas().sort_values("p")
+        """``counts``: k, c, staged. Ranges are by the nearest bytes of context."""
+        self.counts, self.depth, self.top = counts, depth, min(CUT, depth)
+        self.shift = 8 * (depth - self.top + 1)
+        by_context = counts.groupBy(F.shiftright("k", self.shift).alias("p")).count().toPandas().sort_values("p")
         self.ranges, held = [], 0
-        for p, n in zip(by_pair["p"], by_pair["count"], strict=True):
+        for p, n in zip(by_context["p"].tolist(), by_context["count"].tolist(), strict=True):
             if not self.ranges or held + n > block:
                 self.ranges.append([p << self.shift, 0])
                 held = 0
@@ -95,7 +98,7 @@ class Model:
         self._share()
 
     def _grams(self, lo: int, hi: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Whole subtrees of two bytes of context, about ``CHUNK`` grams at a time."""
+        """Whole subtrees, about ``CHUNK`` grams at a time."""
         got = self.counts.filter((F.col("k") >= lo) & (F.col("k") < hi)).toArrow()
         keys, counts = got["k"].to_numpy().view("u8"), got["c"].to_numpy()
         order = np.argsort(keys)
@@ -110,33 +113,35 @@ class Model:
             at = end
 
     def _share(self) -> None:
-        """Weighs the levels of no and one byte of context, from what each subtree sums up to."""
+        """Weighs the levels of less context than the ranges are cut by, from what each subtree sums up to."""
         keys, counts, parents, weighted = [np.zeros(0, "u8")], [np.zeros(0, "i8")], [np.zeros(0, "u8")], [np.zeros(0)]
         for lo, hi in self.ranges:
             for k, c in self._grams(lo, hi):
-                two = ctw.tree(k, c, self.depth, 2)[0]
-                a, b = two.above()
+                top = ctw.tree(k, c, self.depth, self.top)[0]
+                a, b = top.above()
                 keys.append(a)
                 counts.append(b)
-                parents.append(two.parents())
-                weighted.append(two.weighted)
-        one = ctw.Level(*ctw.merged(np.concatenate(keys), np.concatenate(counts)))
-        own = ctw.ln_kt(one.zeros, one.ones)
-        deeper = np.bincount(np.searchsorted(one.nodes, np.concatenate(parents)), np.concatenate(weighted), len(own))
-        one.weighted = np.logaddexp(own, deeper) - ctw.LN2
-        one.stop = np.exp(own - ctw.LN2 - one.weighted)
-        none = ctw.Level(*one.above())
-        none.weigh(one)
-        none.mix(None)
-        one.mix(none)
-        self.shared = [none, one]
+                nodes, at = np.unique(top.parents(), return_inverse=True)
+                parents.append(nodes)
+                weighted.append(np.bincount(at, top.weighted, len(nodes)))
+        last = ctw.Level(*ctw.merged(np.concatenate(keys), np.concatenate(counts)))
+        last.weigh_by(np.concatenate(parents), np.concatenate(weighted))
+        self.shared = [last]
+        for _ in range(self.top - 1):
+            above = ctw.Level(*self.shared[0].above())
+            above.weigh(self.shared[0])
+            self.shared.insert(0, above)
+        above = None
+        for level in self.shared:
+            level.mix(above)
+            above = level
 
     def range_levels(self, lo: int, hi: int) -> list[tuple[np.ndarray, np.ndarray]]:
         """What a scorer of the range needs: grams and their bits' logs by depth."""
-        found: list[list] = [[] for _ in range(self.depth - 1)]
+        found: list[list] = [[] for _ in range(self.depth - self.top + 1)]
         for k, c in self._grams(lo, hi):
-            above = self.shared[1]
-            for d, level in enumerate(ctw.tree(k, c, self.depth, 2)):
+            above = self.shared[-1]
+            for d, level in enumerate(ctw.tree(k, c, self.depth, self.top)):
                 level.mix(above)
                 found[d].append((level.keys, level.logs()))
                 above = level
@@ -179,7 +184,7 @@ def score(docs: DataFrame, train: DataFrame, depth: int = DEPTH, block: int = BL
         scorer = ctw.Scorer(ranges[0][2].value) if len(ranges) == 1 else None
         for batch in batches:
             at = 0
-            for texts in parts(batch.column("text")):
+            for texts in parts(batch.column("text"), TEXT if len(ranges) < 2 else TEXT_BY_RANGE):
                 words_ = [ctw.canonical(t) for t in texts]
                 streams = [b" ".join(w) + ctw.END for w in words_]
                 total = np.zeros(len(texts))

@@ -70,7 +70,7 @@ TRAIN = ["the cat sat on the mat", "the dog sat on the log", "a cat and a dog",
 TEST = ["the cat sat", "zebra the", "", None, "ü é q"]
 
 
-@pytest.mark.parametrize("depth, block", [(2, 10**6), (4, 10**6), (4, 20)])
+@pytest.mark.parametrize("depth, block", [(1, 10**6), (2, 10**6), (4, 10**6), (4, 20), (5, 3)])
 def test_scores(spark, depth, block):
     stream = lambda t: b" ".join(ctw.canonical(t)) + ctw.END
     slow = SlowTree([stream(t) for t in TRAIN], depth)
