@@ -50,8 +50,21 @@ def test_regression_separates():
 
 @pytest.mark.parametrize("text, sign", [(GOOD, 1), (BAD, -1)])
 def test_features_tell_junk(spark, text, sign):
-    f = spark.range(1).select(F.lit(text).alias("text")).select(classifier.features().alias("f")).first()["f"]
-    assert len(f) == 7 and (f[0] < 0.2) == (sign > 0)
+    f = classifier.described(spark.range(1).select(F.lit(text).alias("_text"))).first()
+    words = text.lower().split()
+    assert len(f["_s"]) == 7 and (f["_s"][0] < 0.2) == (sign > 0)
+    assert len(f["_g"]) == 2 * len(words) - 1 and len(set(f["_g"][: len(words)])) == len(set(words))
+
+
+def test_words_tell_where_shares_do_not(spark):
+    """Good and bad documents of the same letters and lengths; only their words differ."""
+    rng = np.random.default_rng(6)
+    kinds = (["amber", "birch", "cedar", "daisy", "olive"], ["ambre", "brich", "cadre", "daysi", "ovile"])
+    rows = [(i, " ".join(rng.choice(kinds[i % 2], 12).tolist())) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(200)], "doc_id long, quality int")
+    got = classifier.classify(docs, labels, F.lit("h"), F.lit("p")).filter("doc_id >= 200").collect()
+    assert np.mean([(r["evidence"] >= 0.5) == (r["doc_id"] % 2 == 0) for r in got]) > 0.97
 
 
 def test_posteriors_and_scores_against_plain_sums(spark):
