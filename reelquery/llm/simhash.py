@@ -5,7 +5,7 @@ blocks, so they meet under one of the twenty choices of three blocks, whose 31 t
 key. Equal fingerprints are one class throughout. A key with two classes gives its pair directly. The
 classes of larger keys are searched group by group: from a class outwards, each class taking what lies
 within the bound of it out of the rest, so a group gives one edge for each class found and never its
-pairs. Groups beyond ``TILE`` are dealt into parts, and each two parts are searched together.
+pairs. Groups beyond ``TILE`` are split by the bits that their key leaves out.
 """
 
 from __future__ import annotations
@@ -90,7 +90,7 @@ def _searched(bits: int):
 
         open_key, open_fps = None, []
         for batch in batches:
-            keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype("i8") for c in ("mask", "key", "t", "u")], 1)
+            keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype("i8") for c in GROUP], 1)
             fps = batch.column("fp").to_numpy(zero_copy_only=False).view("u8")
             cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
             parts, firsts = np.split(fps, cuts), keys[np.concatenate(([0], cuts))] if len(keys) else []
@@ -115,15 +115,37 @@ def links(classes: DataFrame, bits: int = BITS, tile: int = TILE) -> DataFrame:
     keyed = classes.select("fp", F.explode(choices).alias("c")).select("fp", "c.mask", "c.key")
     sums = staged(keyed.groupBy("mask", "key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).filter("n > 1"), "simhash-keys")
     pairs = sums.filter("n = 2").filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits).select("a", "b").distinct()
-    large = hinted(staged(sums.filter("n > 2").select("mask", "key", F.ceil(F.col("n") / tile).cast("int").alias("parts")), "simhash-large"), BROADCAST_ROWS)
-    members = keyed.join(large, ["mask", "key"]).withColumn("p", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
-    others = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    tiles = members.select("mask", "key", "fp", "p", others.alias("q")).select("mask", "key", "fp", F.least("p", "q").alias("t"), F.greatest("p", "q").alias("u"))
-    group = ["mask", "key", "t", "u"]
-    found = tiles.repartition(*group).sortWithinPartitions(*group).mapInArrow(_searched(bits), "a long, b long")
+    large = hinted(staged(sums.filter("n > 2").select("mask", "key", (F.col("n") > tile).alias("split")), "simhash-large"), BROADCAST_ROWS)
+    members = keyed.join(large, ["mask", "key"])
+    groups = members.filter("NOT split").select("mask", "key", F.lit(-1).alias("slice"), F.lit(0).cast("long").alias("sub"), F.lit(0).alias("t"), F.lit(0).alias("u"), "fp")
+    if not large.filter("split").isEmpty():
+        groups = groups.union(_split(members.filter("split").select("mask", "key", "fp"), bits, tile))
+    found = groups.repartition(*GROUP).sortWithinPartitions(*GROUP).mapInArrow(_searched(bits), "a long, b long")
     return pairs.union(found)
 
 
+GROUP = ["mask", "key", "slice", "sub", "t", "u"]
+
+
+def _split(members: DataFrame, bits: int, tile: int) -> DataFrame:
+    """The members of large keys in smaller groups. Under one key, fingerprints differ only in the bits that it leaves
+    out; cut into one slice more than may differ, two that are linked agree on one of them as well. What is
+    still large then is dealt into parts, and each two parts are searched together."""
+
+    def slices(mask: int) -> list[int]:
+        rest = [i for i in range(64) if not mask >> i & 1]
+        found = [sum(1 << i for i in rest[j :: bits + 1]) for j in range(bits + 1)]
+        return [m - (1 << 64) if m >> 63 else m for m in found]
+
+    by_mask = F.array(*(F.array(*map(F.lit, slices(m % (1 << 64)))).cast("array<long>") for m in masks()))
+    each = members.select("mask", "key", "fp", F.posexplode(F.element_at(by_mask, F.col("mask") + 1)).alias("slice", "m")).withColumn("sub", F.col("fp").bitwiseAND(F.col("m"))).drop("m")
+    key = ["mask", "key", "slice", "sub"]
+    counts = each.groupBy(*key).agg(F.count("*").alias("n")).filter("n > 1").select(*key, F.ceil(F.col("n") / tile).cast("int").alias("parts"))
+    dealt = each.join(hinted(staged(counts, "simhash-slices"), BROADCAST_ROWS), key).withColumn("p", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
+    dealt = dealt.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return dealt.select(*key, F.least("p", "q").alias("t"), F.greatest("p", "q").alias("u"), "fp")
+
+
 def grouped(rows: DataFrame, bits: int = BITS, further: DataFrame | None = None) -> DataFrame:
     """fp, root for the fingerprints of ``rows`` (fp) that are linked to others, by ``further`` edges (a, b) too;
     root names the component."""
