@@ -26,11 +26,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F,
 from .common import hinted, staged, table
 
 #: Rows of a list on average; most lists; rows of the sample for each list; k-means rounds.
-LIST, MOST, SAMPLE, ROUNDS = 64, 8192, 32, 8
+LIST, MOST, SAMPLE, ROUNDS = 32, 8192, 24, 8
 #: Lists a row stands in at most, and how much farther than the nearest centroid the next may be.
-COPIES, NEARLY = 2, 1.05
+COPIES, NEARLY = 2, 1.02
 #: Share of the true neighbours whose lists are to be opened, and the rows that this is fitted on.
-RECALL, TRIALS = 0.94, 128
+RECALL, TRIALS = 0.95, 192
 #: Links of a centroid, near and far; lists of a bucket; rows of a part of a bucket; queries of a part's queries.
 LINKS, BUCKET, PART, QUERIES = (16, 4), 16, 8192, 4096
 BROADCAST_ROWS = 500_000
@@ -341,10 +341,15 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, list_size: i
     if not total:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     lists = min(most, max(1, total // list_size))
-    # a share by hash, then the first of them: the same rows each time, never more than the sample
-    sample = max(SAMPLE * lists, trials)
-    share = rows.filter(F.pmod(F.xxhash64("vec_id"), F.lit(1_000_000)) < max(1, int(2e6 * sample / total)))
-    fitted = share.orderBy(F.xxhash64("vec_id", F.lit(1)), "vec_id").limit(sample).toArrow()
+
+    def drawn(n: int, seed: int) -> pa.Table:
+        """A share by hash, then the first of them: the same rows each time, never more than ``n``."""
+        h = F.xxhash64("vec_id", F.lit(seed))
+        share = rows.filter(F.pmod(F.xxhash64(h), F.lit(1_000_000)) < max(1, int(2e6 * n / total)))
+        return share.orderBy(h, "vec_id").limit(n).toArrow()
+
+    # rows that centroids are fitted on lie nearer to them than others; trials are drawn from both alike, as queries are
+    fitted, tried = drawn(SAMPLE * lists, 1), drawn(trials, 2)
     shared = spark.sparkContext.broadcast(Centroids(_matrix(fitted["v"]) if len(fitted) else np.zeros((1, width), "f4"), lists, copies, nearly))
     rows = thinned(rows, k)
     postings = staged(listed(rows, shared, kind), "ann-postings")
@@ -352,7 +357,7 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, list_size: i
     for r in postings.groupBy("list").count().collect():  # one number a list
         held[r["list"]] = r["count"]
     held = spark.sparkContext.broadcast(held)
-    ratio = fitted_ratio(rows, shared, fitted.slice(0, trials), held, 4 * k, k, recall)
+    ratio = fitted_ratio(rows, shared, tried, held, 4 * k, k, recall)
     wanted = staged(asking(asked, shared, ratio, held, 4 * k, kind), "ann-probes")
     found = staged(_searched(postings, wanted, k).groupBy("query_id", "vec_id").agg(F.min("score").alias("score")), "ann-found")
     # queries whose lists gave fewer than k: all rows are one list for them
