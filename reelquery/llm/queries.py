@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, classifier, html, linededup, lm, media, mixing, packing, rollup, simhash
+from . import ann, classifier, contentsort, html, linededup, lm, media, mixing, packing, resample, rollup, simhash
 
 QUERIES = {
     "op1_source_mix": mixing.op1_source_mix,
@@ -15,8 +15,11 @@ QUERIES = {
     "op8_line_dedup": linededup.op8_line_dedup,
     "op9_simhash_components": simhash.op9_simhash_components,
     "op10_site_quality": classifier.op10_site_quality,
+    "op11_content_sort": contentsort.op11_content_sort,
+    "op12_target_resampling": resample.op12_target_resampling,
 }
 ORACLE_SQL = {
     "op1_source_mix": mixing.SQL,
     "op8_line_dedup": linededup.SQL,
+    "op11_content_sort": contentsort.SQL,
 }
