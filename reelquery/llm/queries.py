@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, classifier, contentsort, html, linededup, lm, media, mixing, packing, resample, rollup, simhash
+from . import ann, classifier, contentsort, html, linededup, lm, media, mixing, packing, resample, rollup, simhash, trie
 
 QUERIES = {
     "op1_source_mix": mixing.op1_source_mix,
@@ -17,9 +17,11 @@ QUERIES = {
     "op10_site_quality": classifier.op10_site_quality,
     "op11_content_sort": contentsort.op11_content_sort,
     "op12_target_resampling": resample.op12_target_resampling,
+    "op13_prefix_trie": trie.op13_prefix_trie,
 }
 ORACLE_SQL = {
     "op1_source_mix": mixing.SQL,
     "op8_line_dedup": linededup.SQL,
     "op11_content_sort": contentsort.SQL,
+    "op13_prefix_trie": trie.SQL,
 }
