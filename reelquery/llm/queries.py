@@ -23,5 +23,6 @@ ORACLE_SQL = {
     "op1_source_mix": mixing.SQL,
     "op8_line_dedup": linededup.SQL,
     "op11_content_sort": contentsort.SQL,
+    "op12_target_resampling": resample.SQL,
     "op13_prefix_trie": trie.SQL,
 }

@@ -194,3 +194,30 @@ def drawn(docs: DataFrame, target: DataFrame, **options) -> DataFrame:
 
 def op12_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+#: crc32 as the bytes of a feature folded over a table that is made from the polynomial.
+SQL = r"""
+WITH g AS (SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(CAST(b AS BIGINT), range(8)),
+             lambda r, k: CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END)) AS crc),
+d AS (SELECT 0 AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark),
+w AS (SELECT kind, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM d),
+u AS (SELECT kind, id, unnest(w) AS f FROM w
+      UNION ALL SELECT kind, id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM w
+      UNION ALL SELECT kind, id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) FROM w),
+n AS (SELECT kind, id, f, count(*) AS n FROM u GROUP BY ALL),
+e AS (SELECT f, hex(encode(f)) AS e FROM (SELECT DISTINCT f FROM n)),
+b AS (SELECT f, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT),
+             list_transform(range(len(e) // 2), lambda i: CAST('0x' || substr(e, 2 * i + 1, 2) AS BIGINT))),
+             lambda r, c: xor(r >> 8, crc[xor(r & 255, c) + 1])), 4294967295) % 10000 AS b FROM e, g),
+c AS (SELECT r.b, CAST(coalesce(sum(n) FILTER (kind = 0), 0) AS DOUBLE) AS s, CAST(coalesce(sum(n) FILTER (kind = 1), 0) AS DOUBLE) AS t
+      FROM (SELECT unnest(range(10000)) AS b) r LEFT JOIN (SELECT b.b, kind, n FROM n JOIN b USING (f)) x ON x.b = r.b GROUP BY r.b),
+l AS (SELECT b, CAST(floor(1000 * ln(((t + 1) * ((SELECT sum(s) FROM c) + 10000)) / ((s + 1) * ((SELECT sum(t) FROM c) + 10000)))) AS BIGINT) AS gain FROM c),
+f AS (SELECT id, CAST(sum(n) AS BIGINT) AS n, CAST(sum(n * gain) AS BIGINT) AS weight FROM n JOIN b USING (f) JOIN l USING (b) WHERE kind = 0 GROUP BY id),
+r AS (SELECT id AS doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight,
+             coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST(CAST('0x' || substr(sha256('42:' || id), 1, 8) AS BIGINT) AS DOUBLE) + 0.5) / CAST(4294967296 AS DOUBLE)))) AS BIGINT) AS score
+      FROM w LEFT JOIN f USING (id) WHERE w.kind = 0),
+k AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS able FROM r WHERE n_words >= 20)
+SELECT r.doc_id, n_features, weight, score, CASE WHEN place <= 5 * able // 100 THEN place END AS rank, n_words FROM r LEFT JOIN k USING (doc_id)
+"""
