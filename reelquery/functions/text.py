@@ -70,19 +70,24 @@ def jaccard(a: Column | str, b: Column | str) -> Column:
     return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)))
 
 
-def bigrams(w: Column | str) -> Column:
-    """Distinct pairs of neighbouring words."""
+def hashed_words(w: Column | str) -> Column:
+    """The distinct words of an array, each by 64 bits of hash."""
+    return F.array_distinct(F.transform(_c(w), lambda x: F.xxhash64(x)))
+
+
+def hashed_pairs(w: Column | str) -> Column:
+    """The distinct pairs of neighbouring words, each by 64 bits of hash."""
     w = _c(w)
-    pairs = F.zip_with(F.slice(w, F.lit(1), F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, F.lit(2), F.greatest(F.size(w) - 1, F.lit(0))), lambda p, q: F.concat(p, F.lit(" "), q))
-    return F.array_distinct(pairs)
+    n = F.greatest(F.size(w) - 1, F.lit(0))
+    return F.array_distinct(F.zip_with(F.slice(w, F.lit(1), n), F.slice(w, F.lit(2), n), lambda p, q: F.xxhash64(p, q)))
 
 
 def with_features(rows: DataFrame, **texts: Column) -> DataFrame:
-    """``rows`` with the features of each of the ``texts``. Every step is a projection of its own, so that a text is
-    normalised and split once, and not once for each use."""
+    """``rows`` with the features of each of the ``texts``: its words and pairs of words by 64 bits of hash. Every step is
+    a projection of its own, so that a text is normalised and split once, and not once for each use."""
     rows = rows.withColumns({f"_text_{n}": x for n, x in texts.items()})
     rows = rows.withColumns({f"_words_{n}": words(f"_text_{n}") for n in texts})
-    features = {n: F.struct(F.coalesce(f"_text_{n}", F.lit("")).alias("text"), F.array_distinct(f"_words_{n}").alias("words"), bigrams(f"_words_{n}").alias("bigrams")) for n in texts}
+    features = {n: F.struct(F.coalesce(f"_text_{n}", F.lit("")).alias("text"), hashed_words(f"_words_{n}").alias("words"), hashed_pairs(f"_words_{n}").alias("bigrams")) for n in texts}
     return rows.withColumns(features).drop(*(f"_{part}_{n}" for n in texts for part in ("text", "words")))
 
 

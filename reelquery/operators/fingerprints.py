@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from reelquery import weights as W
 from reelquery.functions.vector import dot, normalize
+from reelquery.operators.blocks import against
 from reelquery.operators.scoring import KEY, ranked, top_mean
 from reelquery.operators.temporal import grid, nearest_as_of
 from reelquery.schemas import EPISODE
@@ -74,10 +78,40 @@ def prototypes(frames: DataFrame, most: int = 8, seed: int = 42, batch: int = 25
     return rows.groupBy(*EPISODE).applyInPandas(run, "media_id string, season int, episode int, prototype_index int, cluster_size long, embedding array<double>")
 
 
+def _best_prototypes():
+    """Clip frames and batches of prototypes -> for each clip frame and episode of a batch its greatest similarity. It is
+    sent to the workers whole, so that they needn't have this library."""
+
+    def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+        flat = (column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column).flatten()
+        return flat.to_numpy(zero_copy_only=False).astype("f8").reshape(len(column), -1 if len(column) else 0)
+
+    def search(asked: pa.Table, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q = matrix(asked["embedding"])
+        for part in (b.slice(at, 1024) for b in batches for at in range(0, b.num_rows, 1024)):
+            of = np.zeros(part.num_rows, "i8")
+            for name in ("media_id", "season", "episode"):
+                code = part[name].dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+                of = np.unique(of * (int(code.max()) + 2) + code + 1, return_inverse=True)[1]
+            order = np.argsort(of, kind="stable")
+            first = np.flatnonzero(np.diff(of[order], prepend=-1))
+            best = np.maximum.reduceat(q @ matrix(part["embedding"]).T[:, order], first, 1)
+            query, episode = (pa.array(x.ravel()) for x in np.indices(best.shape))
+            named = part.take(pa.array(order[first])).take(episode)
+            yield pa.RecordBatch.from_arrays([asked["query_id"].combine_chunks().take(query), asked["step"].combine_chunks().take(query), named["media_id"], named["season"], named["episode"], pa.array(best.ravel())], ["query_id", "step", "media_id", "season", "episode", "sim"])
+
+    return search
+
+
 def prototype_scores(queries: DataFrame, prints: DataFrame, w: W.Prototype = W.Prototype()) -> DataFrame:
-    """Episodes by each clip frame's best prototype. ``queries``: query_id, step, embedding; ``prints`` is small
-    (some for each episode) and the planner broadcasts it if it is."""
-    pairs = queries.select("query_id", "step", F.col("embedding").alias("_q")).join(prints, F.lit(True))
-    best = pairs.groupBy(*KEY, "step").agg(F.max(dot("_q", "embedding")).alias("sim"))
+    """Episodes by each clip frame's best prototype. ``queries``: query_id, step, embedding; ``prints``: media_id, season,
+    episode, embedding. Blocks of queries meet the prototypes, dealt by episode, and of each batch the best of an
+    episode goes on, so no pairs of vectors are listed."""
+    prints = prints.filter("embedding IS NOT NULL").select(*EPISODE, "embedding").hint("rebalance", *map(F.col, EPISODE)).sortWithinPartitions(*EPISODE)
+    queries = queries.filter("embedding IS NOT NULL").select("query_id", "step", "embedding")
+    kind = {c: df.schema[c].dataType.simpleString() for df in (queries, prints) for c in df.columns}
+    schema = ", ".join(f"{c} {kind[c]}" for c in ("query_id", "step", *EPISODE)) + ", sim double"
+    found = against(prints, queries, _best_prototypes(), schema, 8 * F.size("embedding") + 16, (F.struct(*EPISODE), F.struct("query_id", "step")))
+    best = found.groupBy(*KEY, "step").agg(F.max("sim").alias("sim"))
     parts = ranked(best, tie="step").groupBy(*KEY).agg(F.max("sim").alias("best"), top_mean(3).alias("top3"), F.avg("sim").alias("mean"), F.avg((F.col("sim") >= w.strong).cast("double")).alias("share"))
     return parts.withColumn("score", w.best * F.col("best") + w.top3 * F.col("top3") + w.mean * F.col("mean") + w.share * F.col("share"))

@@ -9,25 +9,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from reelquery.functions.vector import dot
+from reelquery.operators.blocks import against
 
-#: Queries up to this many go to every task, which keeps the frames where they are; more are dealt into blocks of so many.
-BLOCK = 4096
 FOUND = "query_id long, vec_id long, sim double"
 
 
-def nearest(frames: DataFrame, queries: DataFrame, k: int, exclude_self: bool = True, block: int = BLOCK) -> DataFrame:
+def nearest(frames: DataFrame, queries: DataFrame, k: int, exclude_self: bool = True, block: int | None = None) -> DataFrame:
     """query_id, vec_id, sim, rank: each query's ``k`` frames of greatest inner product, ties to the smaller vec_id.
 
     ``frames``: vec_id, embedding; ``queries``: query_id, self_id (the frame that it is, or null), embedding.
     A block of queries is multiplied with frames at a time, and of each block and part of the frames the top k are
-    kept, so the shuffle to the window that merges them carries k rows a query and part. Up to ``block``
-    queries are broadcast; beyond that blocks of queries meet parts of the frames by cogrouping, and
-    neither passes through the driver. Null vectors take no part.
+    kept, so the shuffle to the window that merges them carries k rows a query and part. How blocks meet frames,
+    and when they are broadcast, is ``blocks.against``'s. Null vectors take no part.
     """
     frames = frames.filter("embedding IS NOT NULL").select("vec_id", "embedding")
     queries = queries.filter("embedding IS NOT NULL").select("query_id", "self_id", "embedding")
-    first = queries.limit(block + 1).toArrow()
-    rows = _broadcast(frames, first, k, exclude_self) if len(first) <= block else _cogrouped(frames, queries, k, exclude_self, block)
+    rows = against(frames, queries, _search(k, exclude_self), FOUND, 8 * F.size("embedding") + 16, (F.col("vec_id"), F.col("query_id")), block)
     best = Window.partitionBy("query_id").orderBy(F.desc("sim"), "vec_id")
     return rows.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
@@ -40,7 +37,7 @@ def _search(k: int, exclude_self: bool):
         flat = (column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column).flatten()
         return flat.to_numpy(zero_copy_only=False).astype("f8").reshape(len(column), -1 if len(column) else 0)
 
-    def search(queries: pa.Table, batches: Iterator[pa.RecordBatch]) -> pa.Table:
+    def search(queries: pa.Table, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, q = queries["query_id"].to_numpy(), matrix(queries["embedding"])
         own = queries["self_id"].to_pandas().to_numpy("float64", na_value=np.nan)
         best, near = np.zeros((len(q), 0), "i8"), np.zeros((len(q), 0))
@@ -60,36 +57,11 @@ def _search(k: int, exclude_self: bool):
                     at[row] = np.concatenate([above, equal[np.argsort(best[row, equal], kind="stable")]])[:k]
                 best, near = np.take_along_axis(best, at, 1), np.take_along_axis(near, at, 1)
         row, column = np.nonzero(near > -np.inf)
-        return pa.table({"query_id": names[row].astype("i8"), "vec_id": best[row, column], "sim": near[row, column]})
+        yield pa.RecordBatch.from_pydict({"query_id": names[row].astype("i8"), "vec_id": best[row, column], "sim": near[row, column]})
 
     return search
 
 
-def _broadcast(frames: DataFrame, queries: pa.Table, k: int, exclude_self: bool) -> DataFrame:
-    shared, search = frames.sparkSession.sparkContext.broadcast(queries), _search(k, exclude_self)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if len(shared.value):
-            yield from search(shared.value, batches).to_batches()
-
-    return frames.mapInArrow(run, FOUND)
-
-
-def _cogrouped(frames: DataFrame, queries: DataFrame, k: int, exclude_self: bool, block: int) -> DataFrame:
-    """As many parts of the frames as there are shuffle partitions; each part and block is one group."""
-    parts = int(frames.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blocks = -(-queries.count() // max(1, block // 2))  # dealt by hash: half full, so that hardly any is over-full
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = frames.withColumns({"part": F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int"), "block": each(blocks)})
-    right = queries.withColumns({"block": F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"), "part": each(parts)})
-    search = _search(k, exclude_self)
-
-    def run(rows: pa.Table, asked: pa.Table) -> pa.Table:
-        return search(asked, rows.to_batches() if len(asked) else [])
-
-    return left.groupBy("part", "block").cogroup(right.groupBy("part", "block")).applyInArrow(run, FOUND)
-
-
 def nearest_native(frames: DataFrame, queries: DataFrame, k: int, exclude_self: bool = True) -> DataFrame:
     """The same with built-in expressions alone, for few queries; they are broadcast if the planner finds them small."""
     pairs = frames.select("vec_id", "embedding").join(queries.select("query_id", "self_id", F.col("embedding").alias("_q")), (~F.col("vec_id").eqNullSafe(F.col("self_id"))) if exclude_self else F.lit(True))
@@ -108,6 +80,46 @@ def nearest_in_group(frames: DataFrame, queries: DataFrame, k: int, by: str = "m
     return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
 
+def _best_beside(seconds: float):
+    """Queries and batches of frames -> for each query and other item of a batch the greatest product between what the
+    query's item shows and what that item shows within ``seconds`` of the query, and how many products that takes.
+    It is sent to the workers whole, so that they needn't have this library."""
+
+    def search(asked: pa.Table, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ours = [np.array(x.as_py(), "f8") for x in asked["ours"]]
+        names, times, own = asked["query_id"].to_pylist(), asked["t"].to_numpy(), asked["_m"].to_pylist()
+        for part in batches:
+            ts = part["ts"].cast(pa.float64()).to_numpy(zero_copy_only=False)
+            order = np.argsort(ts, kind="stable")
+            part, ts = part.take(pa.array(order)), ts[order]
+            media = part["media_id"].dictionary_encode()
+            code, vectors = media.indices.to_numpy(), part["embedding"]
+            found = []
+            for i, name in enumerate(names):
+                lo, hi = np.searchsorted(ts, times[i] - seconds, "left"), np.searchsorted(ts, times[i] + seconds, "right")
+                if lo == hi:
+                    continue
+                x = vectors.slice(lo, hi - lo).flatten().to_numpy(zero_copy_only=False).astype("f8").reshape(hi - lo, -1)
+                best, of = (x @ ours[i].T).max(1), code[lo:hi]
+                for item in np.unique(of):
+                    if media.dictionary[int(item)].as_py() != own[i]:
+                        found.append((name, int(item), best[of == item].max(), int((of == item).sum()) * len(ours[i])))
+            q, m, b, n = zip(*found, strict=True) if found else ((),) * 4
+            yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), media.dictionary.take(pa.array(m, pa.int32())), pa.array(b, pa.float64()), pa.array(n, pa.int64())], ["query_id", "media_id", "best", "pairs"])
+
+    return search
+
+
+def beside(queries: DataFrame, frames: DataFrame, seconds: float) -> DataFrame:
+    """query_id, media_id, best, pairs: other items' frames at most ``seconds`` from a query's time against the
+    query's own. ``queries``: query_id, _m (its item), t, ours (its frames' vectors); ``frames``: media_id, ts, embedding. Blocks
+    of queries meet frames where these lie; a row for each query, item and batch goes on, and no pairs of vectors."""
+    frames = frames.filter("embedding IS NOT NULL AND ts IS NOT NULL AND media_id IS NOT NULL").select("media_id", "ts", "embedding")
+    size = F.aggregate("ours", F.lit(16), lambda a, v: a + 8 * F.size(v))
+    found = against(frames, queries.select("query_id", "_m", "t", "ours"), _best_beside(seconds), f"query_id long, media_id {frames.schema['media_id'].dataType.simpleString()}, best double, pairs long", size, (F.struct("media_id", "ts"), F.col("query_id")))
+    return found.groupBy("query_id", "media_id").agg(F.max("best").alias("best"), F.sum("pairs").alias("pairs"))
+
+
 def leaks(media: Column, time: Column, query_media: Column, query_time: Column, seconds: float = 6.0) -> Column:
     """Whether a candidate shows the query's own moment: the same media, at most ``seconds`` away."""
     return F.coalesce((media == query_media) & (F.abs(time - query_time) <= seconds), F.lit(False))

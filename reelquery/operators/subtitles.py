@@ -2,47 +2,121 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from reelquery import weights as W
-from reelquery.functions.text import bigrams, has_keyword, with_features, with_similarity, words
+from reelquery.functions.text import has_keyword, hashed_pairs, hashed_words, with_features, with_similarity, words
+from reelquery.operators.blocks import against
 from reelquery.operators.scoring import KEY, ranked, top_mean
 
+
+def _hashed(texts: DataFrame, *keep: Column | str) -> DataFrame:
+    """``keep``, w and b: 64-bit hashes of the distinct words, and pairs of words, of each text (norm)."""
+    each = texts.select(*keep, words("norm").alias("_ws"))
+    names = [c for c in each.columns if c != "_ws"]
+    return each.select(*names, hashed_words("_ws").alias("w"), hashed_pairs("_ws").alias("b"))
+
+
+def _line_search(apart: float | None, cells: int = 1 << 20):
+    """Queries and batches of entries in order of item -> for each query and item of a batch its best entry. Terms that
+    many of the queries have are multiplied as matrices of zeros and ones, the others are looked up one by one.
+    It is sent to the workers whole, so that they needn't have this library."""
+
+    def lists(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+        column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+        sizes = pc.list_value_length(column).to_numpy(zero_copy_only=False).astype("i8")
+        return column.flatten().to_numpy(zero_copy_only=False).astype("i8"), sizes
+
+    class Terms:
+        """The terms of the queries: which of them have each."""
+
+        def __init__(self, column: pa.ChunkedArray):
+            values, self.sizes = lists(column)
+            q, n = np.repeat(np.arange(len(self.sizes)), self.sizes), len(self.sizes)
+            self.names, at = np.unique(values, return_inverse=True)
+            order = np.argsort(at, kind="stable")
+            self.queries, self.degree = q[order], np.bincount(at, minlength=len(self.names))
+            self.first = np.cumsum(self.degree) - self.degree
+            self.often = np.cumsum(self.degree > n / 16) * (self.degree > n / 16) - 1  # -1: looked up
+            self.matrix = np.zeros((int((self.degree > n / 16).sum()), n), "f4")
+            hot = self.often[at] >= 0
+            self.matrix[self.often[at[hot]], q[hot]] = 1
+
+        def shared(self, values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+            """How many terms each entry shares with each query."""
+            e, n = np.repeat(np.arange(len(sizes)), sizes), len(self.sizes)
+            at = np.minimum(np.searchsorted(self.names, values), max(len(self.names) - 1, 0))
+            met = self.names[at] == values if len(self.names) else np.zeros(len(values), bool)
+            e, at = e[met], at[met]
+            rare = self.often[at] < 0
+            count = self.degree[at[rare]]
+            q = self.queries[np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(self.first[at[rare]], count)]
+            found = np.bincount(np.repeat(e[rare], count) * n + q, minlength=len(sizes) * n).reshape(len(sizes), n).astype("f8")
+            e, column = e[~rare], self.often[at[~rare]]
+            for lo in range(0, len(self.matrix), 2048):
+                here = (column >= lo) & (column < lo + 2048)
+                own = np.zeros((len(sizes), min(2048, len(self.matrix) - lo)), "f4")
+                own[e[here], column[here] - lo] = 1
+                found += own @ self.matrix[lo : lo + 2048]
+            return found
+
+    def search(asked: pa.Table, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w, b, ids = Terms(asked["w"]), Terms(asked["b"]), asked["query_id"].combine_chunks()
+        step = max(1, cells // len(ids))
+        for part in (x.slice(at, step) for x in batches for at in range(0, x.num_rows, step)):
+            media = part["media_id"]
+            code = media.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            start, number = (part[c].cast(pa.float64()).to_numpy(zero_copy_only=False) for c in ("start", "entry_no"))
+            order = np.lexsort((number, start, code))
+            part, code, start = part.take(pa.array(order)), code[order], start[order]
+            (wv, wn), (bv, bn) = lists(part["w"]), lists(part["b"])
+            both_w, both_b = w.shared(wv, wn), b.shared(bv, bn)
+            share = lambda both, a, b: np.divide(both, a[:, None] + b[None] - both, out=np.zeros_like(both), where=both > 0)
+            score = 0.70 * share(both_w, wn, w.sizes) + 0.30 * share(both_b, bn, b.sizes)
+            # texts of one word are equal if they share it; longer equal texts share all words and pairs
+            score[(both_w > 0) & (bn == 0)[:, None] & (b.sizes == 0)[None]] = 1.0
+            if apart is not None:
+                same = pc.index_in(part["media_id"], asked["_qm"].combine_chunks().unique()).fill_null(-1).to_numpy(zero_copy_only=False)
+                mine = pc.index_in(asked["_qm"].combine_chunks(), asked["_qm"].combine_chunks().unique()).to_numpy(zero_copy_only=False)
+                near = np.abs(start[:, None] - asked["_qs"].to_numpy()[None]) <= apart
+                score[(same[:, None] == mine[None]) & near] = -1.0
+            first = np.flatnonzero(np.diff(code, prepend=code[0] - 1))
+            best = np.maximum.reduceat(score, first)
+            at = np.where(score == np.repeat(best, np.diff(first, append=len(code)), 0), np.arange(len(code))[:, None], len(code))
+            at = np.minimum.reduceat(at, first)
+            item, query = np.nonzero(best >= 0)
+            at = pa.array(at[item, query])
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(query)), part["media_id"].take(at), pa.array(best[item, query]), part["start"].take(at), part["entry_no"].take(at)], ["query_id", "media_id", "line_score", "line_start", "line_no"])
+
+    return search
+
+
 def best_lines(queries: DataFrame, entries: DataFrame, apart: float | None = None) -> DataFrame:
     """query_id, media_id, line_score, line_start, line_no: each media item's entry that is most like the query's
     text, the earliest among equals; no time where nothing is alike. ``queries``: query_id, norm and, for
     ``apart``, media_id and start: entries of the same item at most that many seconds away are left out
     before the maximum is taken. ``entries``: media_id, entry_no, start, norm.
 
-    Similarity is that of tokens and bigrams. Texts that share no token have none, so queries and entries meet on
-    their words and pairs of words, and what they share is counted. The result has a row for each query and
-    item, so in the end ids, and only ids, of all of both are paired.
+    Similarity is that of tokens and bigrams. The result has a row for each query and item. Entries are dealt by item,
+    and an item with many is split; each task scores its entries against a block of queries and passes on a row for
+    each query and item of a batch. No term, however common, is joined.
     """
     own = [F.col("media_id").alias("_qm"), F.col("start").alias("_qs")] if apart is not None else []
-
-    def terms(texts: DataFrame, side: str, *keep: Column | str) -> DataFrame:
-        """The distinct words (one = 1) and pairs of words (2) of each text, and how many of both it has; what is used
-        more than once is worked out in a step of its own."""
-        each = texts.select(*keep, words("norm").alias("_ws"))
-        names = [c for c in each.columns if c != "_ws"]
-        each = each.select(*names, F.array_distinct("_ws").alias("_w"), bigrams("_ws").alias("_b"))
-        both = F.concat(*(F.transform(c, lambda t: F.struct(F.lit(i).alias("one"), t.alias("term"))) for i, c in ((1, "_w"), (2, "_b"))))  # noqa: B023
-        return each.select(*names, F.size("_w").alias(f"_w{side}"), F.size("_b").alias(f"_b{side}"), F.inline(both))
-
-    e = terms(entries, "e", "media_id", "entry_no", "start")
-    q = terms(queries, "q", "query_id", *own)
-    near = lambda start: (F.col("media_id") == F.col("_qm")) & (F.abs(F.col(start) - F.col("_qs")) <= apart)
-    met = e.join(q, ["one", "term"])
-    met = met if apart is None else met.filter(~near("start"))
-    pairs = met.groupBy("query_id", "media_id", "entry_no", "start", "_we", "_be", "_wq", "_bq").agg(F.count_if(F.col("one") == 1).alias("_w"), F.count_if(F.col("one") == 2).alias("_b"))
-    share = lambda x: F.when(F.col(f"_{x}") == 0, 0.0).otherwise(F.col(f"_{x}") / (F.col(f"_{x}q") + F.col(f"_{x}e") - F.col(f"_{x}")))
-    # texts of one word are equal if they share it; longer equal texts share all words and pairs
-    score = F.when((F.col("_bq") == 0) & (F.col("_be") == 0), 1.0).otherwise(F.lit(0.70) * share("w") + F.lit(0.30) * share("b"))
-    best = pairs.withColumn("_s", score).groupBy("query_id", "media_id").agg(F.max_by(F.struct("_s", "start", "entry_no"), F.struct("_s", -F.col("start"), -F.col("entry_no"))).alias("b"))
-    items = entries.groupBy("media_id").agg(F.min("start").alias("_lo"), F.max("start").alias("_hi"))
-    every = items.join(queries.select("query_id", *own), ~(near("_lo") & near("_hi")) if apart is not None else F.lit(True)).select("query_id", "media_id")
-    found = every.join(best, ["query_id", "media_id"], "left")
-    return found.select("query_id", "media_id", F.coalesce(F.col("b")["_s"], F.lit(0.0)).alias("line_score"), F.col("b")["start"].alias("line_start"), F.col("b")["entry_no"].alias("line_no"))
+    e = _hashed(entries, "media_id", "entry_no", "start")
+    e = e.hint("rebalance", F.col("media_id")).sortWithinPartitions("media_id", "start", "entry_no")
+    q = _hashed(queries, "query_id", *own)
+    kind = lambda df, c: df.schema[c].dataType.simpleString()
+    schema = f"query_id {kind(q, 'query_id')}, media_id {kind(e, 'media_id')}, line_score double, line_start {kind(e, 'start')}, line_no {kind(e, 'entry_no')}"
+    found = against(e, q, _line_search(apart), schema, 8 * (F.size("w") + F.size("b")), (F.struct("media_id", "start"), F.col("query_id")))
+    best = F.max_by(F.struct("line_score", "line_start", "line_no"), F.struct("line_score", -F.col("line_start"), -F.col("line_no")))
+    best = found.groupBy("query_id", "media_id").agg(best.alias("b")).select("query_id", "media_id", "b.*")
+    alike = F.col("line_score") > 0
+    return best.select("query_id", "media_id", "line_score", F.when(alike, F.col("line_start")).alias("line_start"), F.when(alike, F.col("line_no")).alias("line_no"))
 
 
 def line_window_scores(lines: DataFrame, windows: DataFrame, queries: DataFrame, w: W.Subtitle = W.Subtitle()) -> DataFrame:

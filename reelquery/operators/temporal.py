@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from reelquery.operators.numbering import numbered
+
 
 def offsets(centers: DataFrame, frames: DataFrame, steps: list[int], keep_missing: bool, clamp: bool = False) -> DataFrame:
     """Each center (query_id, media_id, frame_no) with its frames at the ``steps``: query_id, step, and the
@@ -93,7 +95,7 @@ def clip_times(duration: Column, n: int, most: float = 3.0, margin: float = 0.05
 
 
 def frame_times(spark: SparkSession, frames: DataFrame, seconds: int = 2) -> DataFrame:
-    """frames (media_id, image_path) with their number by path and their time."""
-    order = Window.partitionBy("media_id").orderBy("image_path")
-    n = frames.withColumn("frame_no", F.row_number().over(order))
-    return n.withColumn("timestamp_seconds", (F.col("frame_no") - 1) * seconds)
+    """frames (media_id, image_path) with their number by path and their time. Numbered by ranges, so an item of any
+    length runs over as many tasks as it needs."""
+    n = numbered(frames, [F.col("image_path")], "frame_no", ["media_id"])
+    return n.withColumn("frame_no", F.col("frame_no").cast("int")).withColumn("timestamp_seconds", (F.col("frame_no") - 1) * seconds)

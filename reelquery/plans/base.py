@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from reelquery.operators.knn import leaks, nearest
+from reelquery.operators.numbering import numbered
 from reelquery.operators.temporal import offsets
 
 #: Every hundredth vector is a query.
@@ -17,13 +18,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Frame tables that this process has stored, by application, folder and state of the folder's files.
+_STORED: dict[tuple, DataFrame] = {}
+
+
+def _state(spark: SparkSession, path: str) -> tuple:
+    """What changes when a table's files do: their number and size, and when the folder or the file was written."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    files = fs.getContentSummary(at)
+    return files.getFileCount(), files.getLength(), fs.getFileStatus(at).getModificationTime()
+
+
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors as frames of ten media items, two seconds apart; the last three items are films."""
-    e = table(spark, sf_dir, "embeddings")
-    n = F.row_number().over(Window.partitionBy("label").orderBy("vec_id"))
+    """Vectors as frames of ten media items, two seconds apart; the last three items are films.
+
+    The frame table is made once per application and state of the input, as an extraction run would: dealt by ranges of
+    item and vector, numbered, and stored, so that no query sorts or numbers vectors again.
+    """
+    path = f"{sf_dir}/embeddings.parquet"
+    key = (spark.sparkContext.applicationId, path, *_state(spark, path))
+    if key not in _STORED:
+        e = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+        _STORED[key] = numbered(e, [F.col("vec_id")], "frame_no", ["label"])
     media = F.concat(F.lit("media_"), F.lpad(F.col("label").cast("string"), 2, "0"))
     is_series = F.col("label") < 7
-    return e.withColumn("frame_no", n).select("vec_id", media.alias("media_id"), F.when(is_series, (1 + F.col("label") % 2).cast("int")).alias("season"), F.when(is_series, (1 + F.col("label")).cast("int")).alias("episode"), "frame_no", (2.0 * (F.col("frame_no") - 1)).alias("ts"), "embedding")
+    n = F.col("frame_no").cast("int")
+    return _STORED[key].select("vec_id", media.alias("media_id"), F.when(is_series, (1 + F.col("label") % 2).cast("int")).alias("season"), F.when(is_series, (1 + F.col("label")).cast("int")).alias("episode"), n.alias("frame_no"), (2.0 * (n - 1)).alias("ts"), "embedding")
 
 
 def queries(fr: DataFrame) -> DataFrame:

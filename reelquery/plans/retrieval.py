@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from reelquery.functions.text import CREDIT_THRESHOLDS, credit_score_thirds, credit_score_words, token_set
 from reelquery.functions.vector import dot, normalize
 from reelquery.operators import fingerprints as fp, metrics, scoring, sequences as seq, temporal
-from reelquery.operators.knn import nearest, nearest_in_group, nearest_native
+from reelquery.operators.knn import beside, nearest, nearest_in_group, nearest_native
 from reelquery.operators.scoring import KEY
 from reelquery.plans.base import CLIP_SQL, FRAMES_SQL, HITS_SQL, STEPS, WIDE_STEPS, clip_frames, clip_hits, clip_sizes, d, frames, hits, named, queries, six
 from reelquery.plans.text import CREDIT_A_SQL, CREDIT_TEXT_SQL, credit_text, credits
@@ -313,19 +313,21 @@ def dedup_max(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.deduplicated(clip_hits(frames(spark, sf_dir))).select("query_id", "vec_id", six("sim"))
 
 
+#: The halves of a vector are a query's and a candidate's sequence.
 WINDOWS_SQL = f"""
-w AS (SELECT a.vec_id, CAST(a.embedding[1:8] AS DOUBLE[]) AS q, CAST(a.embedding[9:16] AS DOUBLE[]) AS c FROM embeddings a),
-s AS (SELECT vec_id, list_avg(c) AS mean, list_min(c) AS least, list_stddev_pop(c) AS dev,
-        list_transform(range(1, 8), lambda i: CASE WHEN abs(q[i + 1] - q[i]) < {d(0.01)} THEN 0 ELSE sign(q[i + 1] - q[i]) END) AS a,
-        list_transform(range(1, 8), lambda i: CASE WHEN abs(c[i + 1] - c[i]) < {d(0.01)} THEN 0 ELSE sign(c[i + 1] - c[i]) END) AS b FROM w),
-o AS (SELECT *, len(list_filter(range(1, 8), lambda i: a[i] = b[i])) / {d(7)} AS ordering, greatest({d(0)}, 1 - least(dev / {d(0.2)}, {d(1)})) AS consistency FROM s)"""
+w AS (SELECT vec_id, CAST(embedding[1:len(embedding) // 2] AS DOUBLE[]) AS q, CAST(embedding[len(embedding) // 2 + 1:2 * (len(embedding) // 2)] AS DOUBLE[]) AS c, len(embedding) // 2 AS n FROM embeddings),
+s AS (SELECT vec_id, n, list_avg(c) AS mean, list_min(c) AS least, list_stddev_pop(c) AS dev,
+        list_transform(range(1, n), lambda i: CASE WHEN abs(q[i + 1] - q[i]) < {d(0.01)} THEN 0 ELSE sign(q[i + 1] - q[i]) END) AS a,
+        list_transform(range(1, n), lambda i: CASE WHEN abs(c[i + 1] - c[i]) < {d(0.01)} THEN 0 ELSE sign(c[i + 1] - c[i]) END) AS b FROM w),
+o AS (SELECT *, len(list_filter(range(1, n), lambda i: a[i] = b[i])) / CAST(n - 1 AS DOUBLE) AS ordering, greatest({d(0)}, 1 - least(dev / {d(0.2)}, {d(1)})) AS consistency FROM s)"""
 
 
 @query(f"WITH {WINDOWS_SQL} SELECT vec_id, round({d(0.4)} * mean + {d(0.2)} * least + {d(0.2)} * consistency + {d(0.2)} * ordering, 6) AS score, round(ordering, 6) AS ordering, round(consistency, 6) AS consistency FROM o")
 def sequence_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    part = lambda at: F.transform(F.slice("embedding", at, 8), lambda x: x.cast("double"))
-    rows = e.select("vec_id", part(1).alias("q"), part(9).alias("c"))
+    n = F.floor(F.size("embedding") / 2).cast("int")
+    part = lambda at: F.transform(F.slice("embedding", at, n), lambda x: x.cast("double"))
+    rows = e.select("vec_id", part(F.lit(1)).alias("q"), part(n + 1).alias("c"))
     return rows.select("vec_id", F.round(seq.sequence_score(F.col("q"), F.col("c")), 6).alias("score"), F.round(seq.ordering(F.col("q"), F.col("c")), 6).alias("ordering"), F.round(seq.consistency(F.col("c")), 6).alias("consistency"))
 
 
@@ -511,8 +513,5 @@ def same_time_competitors(spark: SparkSession, sf_dir: str) -> DataFrame:
     fr = frames(spark, sf_dir)
     q = queries(fr).select(F.col("vec_id").alias("query_id"), F.col("media_id").alias("_m"), F.col("ts").alias("t"))
     timed = fr.select("media_id", F.col("ts").alias("start"), F.col("ts").alias("end"), "vec_id", "embedding")
-    ours = temporal.overlapping(q.withColumn("media_id", F.col("_m")), timed, 6.0).select("query_id", F.col("embedding").alias("_a"))
-    # all items are one key here, so that queries and frames meet by time alone
-    met = temporal.overlapping(q.withColumn("any", F.lit(0)), timed.withColumn("any", F.lit(0)), 10.0, "any")
-    theirs = met.filter("media_id <> _m").select("query_id", "media_id", "embedding")
-    return theirs.join(ours, "query_id").groupBy("query_id", "media_id").agg(F.round(F.max(dot("_a", "embedding")), 6).alias("best"), F.count("*").alias("pairs"))
+    ours = temporal.overlapping(q.withColumn("media_id", F.col("_m")), timed, 6.0).groupBy("query_id", "_m", "t").agg(F.collect_list("embedding").alias("ours"))
+    return beside(ours, fr, 10.0).select("query_id", "media_id", six("best"), "pairs")

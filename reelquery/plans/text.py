@@ -9,6 +9,7 @@ from reelquery.operators import metrics, scoring, subtitles as sub, temporal
 from reelquery.operators.scoring import KEY
 from reelquery.plans.base import ENTRIES_SQL, FRAMES_SQL, QUERY, d, entries, frames, hits, six, table
 from reelquery.sources import frames as src
+from reelquery.staging import staged
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -175,6 +176,7 @@ lr AS (SELECT b.query_id, b.media_id, {d(0.4)} * line_score + {d(0.6)} * CASE WH
 
 def _line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked, en, lines = _lines(spark, sf_dir)
+    lines = staged(lines, "best-lines")
     points = lines.filter("line_start IS NOT NULL").select("media_id", F.col("line_start").alias("t")).distinct()
     around = temporal.window_text(points, en, 15.0, ["media_id", "t"])
     return sub.line_window_scores(lines, around.select("media_id", F.col("t").alias("line_start"), tx.normalize_lower("text").alias("norm")), asked)
