@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from reelquery.functions import formats as fm
 from reelquery.functions.vector import dot, norm, normalize
 from reelquery.operators import metrics, scoring
+from reelquery.operators.quantiles import quantiles
 from reelquery.plans.base import CLIP_SQL, FRAMES_SQL, HITS_SQL, clip_hits, d, frames, hits, queries, six, table
 from reelquery.plans.retrieval import IMAGE_SQL
 
@@ -63,8 +64,10 @@ def consecutive_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT event_type, round(quantile_cont(CAST(value AS DOUBLE), {d(0.6)}), 6) AS p60, round(median(CAST(value AS DOUBLE)), 6) AS median, round(stddev_pop(CAST(value AS DOUBLE)), 6) AS deviation FROM events GROUP BY event_type")
 def percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = F.col("value").cast("double")
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.round(F.percentile(v, 0.6), 6).alias("p60"), F.round(F.median(v), 6).alias("median"), F.round(F.stddev_pop(v), 6).alias("deviation"))
+    e = table(spark, sf_dir, "events").select("event_type", "value")
+    spread = e.groupBy(F.col("event_type").alias("_t")).agg(F.round(F.stddev_pop(F.col("value").cast("double")), 6).alias("deviation"))
+    found = quantiles(e, ["event_type"], "value", {"p60": 0.6, "median": 0.5})
+    return found.join(spread, F.col("event_type").eqNullSafe(F.col("_t"))).select("event_type", six("p60"), six("median"), "deviation")
 
 
 @query(f"WITH {FRAMES_SQL}, n AS (SELECT vec_id, sqrt(list_dot_product(v, v)) AS l, v FROM fr) SELECT vec_id, round(l, 6) AS length, round(v[1] / (l + {d(1e-12)}), 6) AS added, round(v[2] / CASE WHEN l = 0 THEN 1 ELSE l END, 6) AS kept, round(v[3] / greatest(l, {d(1e-12)}), 6) AS floored FROM n")

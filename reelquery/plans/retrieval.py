@@ -513,5 +513,5 @@ def same_time_competitors(spark: SparkSession, sf_dir: str) -> DataFrame:
     fr = frames(spark, sf_dir)
     q = queries(fr).select(F.col("vec_id").alias("query_id"), F.col("media_id").alias("_m"), F.col("ts").alias("t"))
     timed = fr.select("media_id", F.col("ts").alias("start"), F.col("ts").alias("end"), "vec_id", "embedding")
-    ours = temporal.overlapping(q.withColumn("media_id", F.col("_m")), timed, 6.0).groupBy("query_id", "_m", "t").agg(F.collect_list("embedding").alias("ours"))
+    ours = temporal.overlapping(q.withColumn("media_id", F.col("_m")), timed, 6.0, longest=0.0).groupBy("query_id", "_m", "t").agg(F.collect_list("embedding").alias("ours"))
     return beside(ours, fr, 10.0).select("query_id", "media_id", six("best"), "pairs")

@@ -138,7 +138,7 @@ wt AS (SELECT p.media_id, p.entry_no, string_agg(q.text, ' ' ORDER BY q.s, q.ent
 def subtitle_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     en = entries(spark, sf_dir)
     points = en.select("media_id", F.col("entry_no").alias("point"), F.col("start").alias("t"))
-    return temporal.window_text(points, en, 6.0, ["media_id", "point"]).withColumnRenamed("point", "entry_no")
+    return temporal.window_text(points, en, 6.0, ["media_id", "point"], longest=3.0).withColumnRenamed("point", "entry_no")
 
 
 #: Every entry of every hundredth conversation is a query; its number follows the conversation's.
@@ -178,7 +178,7 @@ def _line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked, en, lines = _lines(spark, sf_dir)
     lines = staged(lines, "best-lines")
     points = lines.filter("line_start IS NOT NULL").select("media_id", F.col("line_start").alias("t")).distinct()
-    around = temporal.window_text(points, en, 15.0, ["media_id", "t"])
+    around = temporal.window_text(points, en, 15.0, ["media_id", "t"], longest=3.0)
     return sub.line_window_scores(lines, around.select("media_id", F.col("t").alias("line_start"), tx.normalize_lower("text").alias("norm")), asked)
 
 
