@@ -5,7 +5,8 @@ of its nearest centroid and, if it lies at a boundary, into the next one's as we
 buckets of neighbouring lists; buckets longer than ``PART`` are dealt into parts, which balances them
 whatever the vectors, equal ones included. A query opens its nearest lists until they hold some candidates, and
 all lists whose centroids lie within a ratio of their distance; the rows are searched exactly in double
-precision and merged. A query that found fewer neighbours than asked is searched again, over all rows.
+precision and merged. A query that found fewer neighbours than asked is searched again, over all rows, and so is one whose
+components lie far beyond those of most rows.
 
 The ratio is fitted too: for some rows the true neighbours are found by brute force, and the ratio is the
 least that opens a list of the wanted share of them. So it follows from the data how many lists a query
@@ -34,6 +35,10 @@ RECALL, TRIALS = 0.95, 192
 #: Links of a centroid, near and far; lists of a bucket; rows of a part of a bucket; queries of a part's queries.
 LINKS, BUCKET, PART, QUERIES = (16, 4), 16, 8192, 4096
 BROADCAST_ROWS = 500_000
+#: Components beyond so many times a usual row's greatest are cut to that where lists are chosen.
+CUT = 1e9
+#: Vectors with a greatest component outside of these bounds have squares that doubles may not hold.
+TINY, HUGE = 1e-70, 1e70
 
 
 def sound(v: Column, size: int) -> Column:
@@ -67,7 +72,11 @@ class Centroids:
     def __init__(self, sample: np.ndarray, lists: int, copies: int = COPIES, nearly: float = NEARLY, seed: int = 7):
         self.copies, self.nearly = copies, nearly
         rng = np.random.default_rng(seed)
-        sample = np.unique(sample.astype("f4"), axis=0)
+        tops = np.abs(sample.astype("f8")).max(1, initial=0)
+        usual = float(np.clip(np.median(tops[tops > 0]), 1e-300, 1e300)) if (tops > 0).any() else 1.0
+        #: What brings usual vectors near one, where single precision doesn't hold their squares as they are.
+        self.scale = 1.0 if 1e-9 < usual < 1e9 else 1 / usual
+        sample = np.unique(self.routed(sample), axis=0)
         lists = max(1, min(lists, len(sample)))
         c = _means(sample, lists, ROUNDS, rng)
         groups = -(-lists // BUCKET)
@@ -79,11 +88,16 @@ class Centroids:
         #: A query nearer to its centroid than most rows is treated as if it were as far as the median row.
         self.floor = float(np.sqrt(np.median(far)))
 
+    def routed(self, x: np.ndarray) -> np.ndarray:
+        """Vectors as lists are chosen for them: scaled, cut and in single precision."""
+        with np.errstate(over="ignore"):
+            return np.clip(x.astype("f8") * self.scale, -CUT, CUT).astype("f4")
+
     def search(self, x: np.ndarray, breadth: int, wide: int = 2) -> tuple[np.ndarray, np.ndarray]:
         """The ``breadth`` nearest centroids found for each row of x and their distances, nearest first: from
         the same few starts, the nearest centroids not yet followed are followed until there are none
         among the best."""
-        x, lists = x.astype("f4"), len(self.points)
+        x, lists = self.routed(x), len(self.points)
         breadth = min(breadth, lists)
         if 4 * breadth >= lists:  # most centroids would be met anyway
             far = squares(x, self.points)
@@ -132,9 +146,9 @@ class Centroids:
     def needed(self, x: np.ndarray, queries: np.ndarray, sizes: np.ndarray, least: int) -> np.ndarray:
         """For each of x and its query, the ratio from which on the query opens a list that x stands in."""
         found, mine = self.lists_of(x)
-        q = queries.astype("f4")
+        q = self.routed(queries)
         far = np.sqrt(np.maximum(((q[:, None] - self.points[found]) ** 2).sum(2), 0))
-        return np.where(mine, far, np.inf).min(1) / np.array([base for base, _, _ in self._around(q, 0, sizes, least)])
+        return np.where(mine, far, np.inf).min(1) / np.array([base for base, _, _ in self._around(queries, 0, sizes, least)])
 
     def opened(self, x: np.ndarray, ratio: float, sizes: np.ndarray, least: int) -> list[np.ndarray]:
         """The lists that each query opens, by number: those up to ``ratio`` times as far as the nearest ones that
@@ -209,12 +223,32 @@ def asking(queries: DataFrame, centroids, ratio: float, sizes, least: int, kind:
     return queries.select("query_id", "q").mapInArrow(run, f"bucket int, lists array<int>, query_id long, q array<{kind}>")
 
 
+def safe_distances(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Distances of one vector to all of x, whatever their size: where squares overflow or vanish, differences are
+    scaled by the greatest of them. Distances beyond the greatest double are infinite."""
+    with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
+        d = np.abs(q / 2 - x / 2)
+        plain = np.sqrt(((x - q) ** 2).sum(1))
+        top = d.max(1)
+        scaled = np.where(top > 0, 2 * (top * np.sqrt(((d / top[:, None]) ** 2).sum(1))), 0.0)
+        return np.where((plain > TINY) & (plain < np.inf), plain, scaled)
+
+
+def _far_apart(x: np.ndarray, q: np.ndarray) -> bool:
+    tops = [np.abs(a).max(1, initial=0) for a in (x, q)]
+    return any((t > HUGE).any() for t in tops) or all(((t > 0) & (t < TINY)).any() for t in tops)
+
+
 def closest(x: np.ndarray, ids: np.ndarray, q: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query's row, id, distance) of each query's k nearest rows of x by distance, then id; rows of one id count
     once, by the nearest, and a query's own id doesn't count. ``ids`` are sorted."""
     firsts = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
     single = len(firsts) == len(ids)
     each = ids[firsts]
+    if _far_apart(x, q):
+        near = np.stack([np.minimum.reduceat(safe_distances(v, x), firsts) for v in q])
+        who, which = np.nonzero(own[:, None] != each[None])
+        return first_of(who, each[which], near[who, which], k)
     near = squares(q, x)
     if not single:
         near = np.minimum.reduceat(near, firsts, 1)
@@ -328,7 +362,7 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, list_size: i
 
     ``vectors`` and ``queries``: vec_id, embedding. A row is no neighbour of the query with its own vec_id.
     Vectors that are null, zero, of another size than most, or hold null or non-finite components take no
-    part; with k or fewer candidates all are returned; equal vectors all count; a row that is repeated
+    part; finite ones do, however large or small; with k or fewer candidates all are returned; equal vectors all count; a row that is repeated
     under one vec_id counts once, by the nearest of its vectors; other columns are ignored; no vectors give an empty result.
     """
     spark = vectors.sparkSession
@@ -362,7 +396,9 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, list_size: i
     found = staged(_searched(postings, wanted, k).groupBy("query_id", "vec_id").agg(F.min("score").alias("score")), "ann-found")
     # queries whose lists gave fewer than k: all rows are one list for them
     full = found.groupBy("query_id").agg(F.count("*").alias("n")).filter(F.col("n") >= k)
-    short = staged(asked.join(full, "query_id", "left_anti"), "ann-short")
+    cut = F.lit(CUT / shared.value.scale)
+    loud = F.exists("q", lambda x: F.abs(x.cast("double")) > cut)
+    short = staged(asked.join(full, "query_id", "left_anti").union(asked.filter(loud).join(full, "query_id", "left_semi")), "ann-short")
     if not short.isEmpty():
         everywhere = short.select(F.lit(0).alias("bucket"), F.array(F.lit(0)).alias("lists"), "query_id", "q")
         found = found.union(_searched(rows.select(F.lit(0).alias("bucket"), F.lit(0).alias("list"), "vec_id", "v"), everywhere, k))

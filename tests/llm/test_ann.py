@@ -141,3 +141,42 @@ def test_repeated_rows_count_once(spark):
     other = spark.createDataFrame([(7, [float(v) for v in x[0]], "clash", 7)], df.schema)
     first = [r for r in ann.neighbours(df.union(other), df.filter("vec_id = 0"), list_size=1000).orderBy("rank").collect()]
     assert first[0]["vec_id"] == 7 and first[0]["score"] == 0 and len({r["vec_id"] for r in first}) == 10
+
+
+@pytest.mark.parametrize("kind, sizes", [("float", (1e20, 3e38, 1e-30, 1.0)), ("double", (1e200, 1e308, 1e-200, 1.0))])
+def test_finite_vectors_of_any_size_are_found(spark, kind, sizes):
+    """Queries and rows far larger or smaller than the others take part; nothing is lost to overflow or underflow."""
+    from decimal import Decimal, localcontext
+
+    rng = np.random.default_rng(4)
+    x = rng.uniform(-1, 1, (400, 5))
+    for i, size in enumerate(sizes):
+        x[i * 100 : i * 100 + (30 if i else 3)] *= size
+    x = x.astype("f4" if kind == "float" else "f8")
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], f"vec_id long, embedding array<{kind}>")
+    asked = df.filter("vec_id % 100 < 2")
+    got = {}
+    for r in ann.neighbours(df, asked, list_size=20).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    hits = 0
+    with localcontext() as c:
+        c.prec = 60
+        rows = [[Decimal(float(v)) for v in r] for r in x]
+        for q in (i for i in range(400) if i % 100 < 2):
+            far = {i: sum(((a - b) ** 2 for a, b in zip(rows[i], rows[q], strict=True)), Decimal(0)).sqrt() for i in range(400) if i != q}
+            want = sorted(far, key=lambda i: (float(far[i]), i))[:10]
+            assert len(got[q]) == 10
+            assert all(s == pytest.approx(float(far[i]), rel=1e-9) for i, s in got[q])
+            hits += len(set(want) & {i for i, _ in got[q]})
+    assert hits >= 0.9 * 80
+
+
+def test_all_vectors_large(spark):
+    rng = np.random.default_rng(5)
+    for size, kind in ((1e25, "float"), (1e250, "double"), (1e-250, "double")):
+        rows = [(i, [float(v) * size for v in rng.uniform(-1, 1, 4)]) for i in range(200)]
+        df = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>")
+        got = ann.neighbours(df, df.filter("vec_id % 100 = 0"), list_size=20, recall=1.0).orderBy("query_id", "rank").collect()
+        x = np.array([r["embedding"] for r in df.orderBy("vec_id").collect()]) / size
+        found = sum(len({i for i, _ in exact(x, np.arange(200), q, 10)} & {r["vec_id"] for r in got if r["query_id"] == q}) for q in (0, 100))
+        assert len(got) == 20 and found >= 18
