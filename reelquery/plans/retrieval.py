@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from reelquery.functions.text import CREDIT_THRESHOLDS, credit_score_thirds, credit_score_words, token_set
 from reelquery.functions.vector import dot, normalize
-from reelquery.operators import fingerprints as fp, metrics, scoring, sequences as seq, temporal
+from reelquery.operators import blockindex, fingerprints as fp, metrics, scoring, sequences as seq, temporal
 from reelquery.operators.knn import beside, nearest, nearest_in_group, nearest_native
 from reelquery.operators.scoring import KEY
 from reelquery.plans.base import CLIP_SQL, FRAMES_SQL, HITS_SQL, STEPS, WIDE_STEPS, clip_frames, clip_hits, clip_sizes, d, frames, hits, named, queries, six
 from reelquery.plans.text import CREDIT_A_SQL, CREDIT_TEXT_SQL, credit_text, credits
+from reelquery.staging import staged
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -32,6 +33,14 @@ def knn_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(fr, named(fr), 50).select("query_id", "vec_id", six("sim"), "rank")
 
 
+@query(ORACLE_SQL["knn_topk"])
+def knn_block_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by a stored index of blocks, of which those are read whose bound reaches a query's hits."""
+    fr = frames(spark, sf_dir)
+    index = staged(blockindex.build(fr), "block-index")
+    return blockindex.search(index, named(fr), 50)[0].select("query_id", "vec_id", six("sim"), "rank")
+
+
 @query(ORACLE_SQL["knn_topk"])
 def knn_topk_native(spark: SparkSession, sf_dir: str) -> DataFrame:
     fr = frames(spark, sf_dir)

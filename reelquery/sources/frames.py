@@ -9,11 +9,13 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from reelquery.functions.formats import clock_millis
 from reelquery.functions.vector import norm, normalize
+from reelquery.operators.numbering import numbered
 from reelquery.schemas import FRAMES, MANIFEST, OCR_TEXT
+from reelquery.sources.versions import Published
 
 DIMENSION = 512
 SAMPLING_SECONDS = 2
@@ -21,9 +23,9 @@ SAMPLING_SECONDS = 2
 
 def manifest_rows(paths: DataFrame, media: DataFrame, seconds: int = SAMPLING_SECONDS) -> DataFrame:
     """One row a frame of (media_id, image_path): number by path, time, and the media item's fields."""
-    n = F.row_number().over(Window.partitionBy("media_id").orderBy("image_path"))
+    rows = numbered(paths.select("media_id", "image_path"), [F.col("image_path")], "_n", ["media_id"])
     t = (F.col("_n") - 1) * seconds
-    rows = paths.withColumn("_n", n).select("media_id", F.format_string("%06d", "_n").alias("frame_id"), t.cast("int").alias("timestamp_seconds"), clock_millis(t).alias("timestamp_formatted"), "image_path")
+    rows = rows.select("media_id", F.format_string("%06d", "_n").alias("frame_id"), t.cast("int").alias("timestamp_seconds"), clock_millis(t).alias("timestamp_formatted"), "image_path")
     fields = media.select(F.col("id").alias("media_id"), "title", "type", "season", "episode", "episode_title", F.col("video_path").alias("source_video"))
     return fields.join(rows, "media_id")
 
@@ -235,9 +237,14 @@ def save_frames(frames: DataFrame, path: str) -> None:
 
 
 def load_frames(spark: SparkSession, path: str, manifest: DataFrame | None = None) -> DataFrame:
-    """Stored frames. With the ``manifest`` that they were made from (media_id, a row a frame), an item that has more or
+    """Stored frames: the last version of a published table, or a folder's. With the ``manifest`` that they were made from (media_id, a row a frame), an item that has more or
     fewer vectors than frames fails the load: positions would no longer say which frame a vector is of."""
-    rows = spark.read.schema(FRAMES).parquet(path)
+    table = Published(spark, path)
+    if table.versions():
+        rows, wanted = table.read(), spark.createDataFrame([], FRAMES).schema
+        rows = rows.select(*((F.col(f.name).cast(f.dataType) if f.name in rows.columns else F.lit(None).cast(f.dataType)).alias(f.name) for f in wanted))
+    else:
+        rows = spark.read.schema(FRAMES).parquet(path)
     return rows if manifest is None else checked(rows, manifest, ["media_id"])
 
 
@@ -265,14 +272,15 @@ def load_table(spark: SparkSession, path: str, schema: str, sizes: DataFrame | N
 
 
 def index_new(frames: DataFrame, path: str, load: Callable[[], Encoder], column: str = "image_path") -> DataFrame:
-    """Encodes the frames of media items that the folder doesn't have yet and stores them; returns the stored table.
-    An item is done when its folder is written, so a run that was broken off goes on with the items left."""
-    spark = frames.sparkSession
-    kept = [c for c in frames.columns if c != "embedding"]
-    schema = frames.select(*kept).schema.add("embedding", T.ArrayType(T.FloatType()))
-    done = stored(spark, path, schema)
-    save_frames(encoded(missing(frames.select(*kept), done, "media_id"), load, column), path)
-    return spark.read.schema(schema).parquet(path)
+    """Encodes the frames of media items that the published table at ``path`` doesn't have yet, publishes them as its next
+    version and returns that. Readers keep the version they opened; a run that was broken off publishes nothing, and the
+    next one encodes its items again."""
+    table = Published(frames.sparkSession, path)
+    kept = frames.select(*(c for c in frames.columns if c != "embedding"))
+    new = missing(kept, table.items(), "media_id") if table.versions() else kept
+    if not new.isEmpty():
+        table.publish(encoded(new, load, column))
+    return table.read() if table.versions() else encoded(new, load, column)
 
 
 def manifest_from_images(media: DataFrame, images: DataFrame, seconds: int = SAMPLING_SECONDS) -> DataFrame:
