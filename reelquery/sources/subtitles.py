@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from reelquery.functions.formats import episode_numbers_strict, safe_number, srt_seconds
 from reelquery.functions.text import subtitle_clean
+from reelquery.operators.numbering import numbered
 from reelquery.schemas import CONTAINERS, LOOSE_ENTRY
+from reelquery.staging import staged
 
 
 def files(spark: SparkSession, root: str) -> DataFrame:
@@ -74,3 +76,70 @@ def flat_candidates(rows: DataFrame, name: str = "candidate") -> DataFrame:
 
 def seconds_or(x: Column, default: float = 0.0) -> Column:
     return safe_number(x, default)
+
+
+# The following are fixed values: names under which an item's id may stand, in order of precedence.
+ID_NAMES = ("media_id", "id", "episode_id")
+
+
+def _entry(node: Column) -> Column:
+    """The entry that a variant object is: start, end and text under any of their names; null without two times."""
+    text = lambda *names: F.coalesce(*(F.try_variant_get(node, f"$.{n}", "string") for n in names))
+    time = lambda *names: text(*names).try_cast("double")
+    start, end = time("start", "start_seconds"), time("end", "end_seconds")
+    return F.when(start.isNotNull() & end.isNotNull(), F.struct(start.alias("start"), end.alias("end"), F.coalesce(text("text", "content", "subtitle"), F.lit("")).alias("text")))
+
+
+def _is(node: Column, what: str) -> Column:
+    return F.coalesce(F.schema_of_variant(node).startswith(what), F.lit(False))
+
+
+def nested_entries(rows: DataFrame, node: str, *keep: str) -> DataFrame:
+    """``keep``, start, end, text: the entries in a variant column of any nesting.
+
+    A list holds entries, other items in it are passed over. An object gives what the first of the usual container names
+    gives that gives anything; without such, itself if it is an entry; otherwise what all of its other values give. Objects
+    are opened level by level, all rows at once, until none is left; which alternatives count is then decided
+    from the top, so that the depth of a text is bounded by nothing but the number of levels worked through.
+    """
+    now = rows.select(F.monotonically_increasing_id().alias("_row"), *keep, F.col(node).alias("_node"), F.array().cast("array<string>").alias("_path"))
+    now = staged(now, "subtitle-level")
+    found, depth = None, 0
+    while True:
+        lists = now.filter(_is(F.col("_node"), "ARRAY")).withColumn("_e", F.explode(F.col("_node").cast("array<variant>"))).filter(_is(F.col("_e"), "OBJECT")).withColumn("_e", _entry(F.col("_e")))
+        objects = now.filter(_is(F.col("_node"), "OBJECT"))
+        selves = objects.withColumn("_e", _entry(F.col("_node"))).withColumn("_path", F.concat("_path", F.array(F.lit(f"{len(CONTAINERS)}:"))))
+        level = lists.select("_row", *keep, "_path", "_e").union(selves.select("_row", *keep, "_path", "_e")).filter("_e IS NOT NULL")
+        found = level if found is None else found.union(level)
+        children = objects.select("_row", *keep, "_path", F.explode(F.col("_node").cast("map<string,variant>")).alias("_key", "_node"))
+        place = F.coalesce(F.array_position(F.array(*map(F.lit, CONTAINERS)), F.col("_key")), F.lit(0))
+        step = F.when(place > 0, F.concat((place - 1).cast("string"), F.lit(":"))).otherwise(F.concat(F.lit(f"{len(CONTAINERS) + 1}:"), F.col("_key")))
+        now = staged(children.filter(_is(F.col("_node"), "OBJECT") | _is(F.col("_node"), "ARRAY")).select("_row", *keep, "_node", F.concat("_path", F.array(step)).alias("_path")), "subtitle-level")
+        depth += 1
+        if now.isEmpty():
+            break
+    found = staged(found, "subtitle-entries")
+    for at in range(1, depth + 1):  # at each object only the alternatives of least number stay
+        rank = F.split_part(F.get("_path", F.lit(at - 1)), F.lit(":"), F.lit(1)).cast("int")
+        least = F.min(rank).over(Window.partitionBy("_row", F.slice("_path", 1, at - 1)))
+        found = found.withColumns({"_rank": rank, "_least": least}).filter("_rank IS NULL OR _rank = _least")
+    return found.select(*keep, "_e.*")
+
+
+def subtitle_index(texts: DataFrame) -> DataFrame:
+    """media_id, entry_no, start, end, text of subtitle indexes: ``texts`` has a JSON text a row, either an object of a value
+    for each media id or a list of objects that name theirs; values may be nested in any way (``nested_entries``).
+    An item's entries are numbered by start. What isn't JSON, or no object or list, has none."""
+    root = texts.select(F.try_parse_json("text").alias("_root"))
+    named = root.filter(_is(F.col("_root"), "OBJECT")).select(F.explode(F.col("_root").cast("map<string,variant>")).alias("media_id", "_node"))
+    each = root.filter(_is(F.col("_root"), "ARRAY")).select(F.explode(F.col("_root").cast("array<variant>")).alias("_node")).filter(_is(F.col("_node"), "OBJECT"))
+    ids = F.coalesce(*(F.nullif(F.try_variant_get("_node", f"$.{n}", "string"), F.lit("")) for n in ID_NAMES))
+    listed = each.select(ids.alias("media_id"), "_node").filter("media_id IS NOT NULL")
+    rows = nested_entries(named.union(listed), "_node", "media_id")
+    order = [F.col("start"), F.col("end"), F.col("text")]
+    return numbered(rows, order, "entry_no", ["media_id"]).withColumn("entry_no", F.col("entry_no") - 1).select("media_id", "entry_no", "start", "end", "text")
+
+
+def load_subtitle_index(spark: SparkSession, path: str) -> DataFrame:
+    """``subtitle_index`` of the .json files at a path, each read whole."""
+    return subtitle_index(spark.read.text(path, wholetext=True).select(F.col("value").alias("text")))
