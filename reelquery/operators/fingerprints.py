@@ -15,6 +15,10 @@ from reelquery.operators.blocks import against
 from reelquery.operators.scoring import KEY, ranked, top_mean
 from reelquery.operators.temporal import grid, nearest_as_of
 from reelquery.schemas import EPISODE
+from reelquery.staging import hinted, staged
+
+#: Rows of centers, one for each item, that may be broadcast.
+BROADCAST_ITEMS = 100_000
 
 
 def fingerprints(frames: DataFrame, seconds: float = 30.0) -> DataFrame:
@@ -46,9 +50,84 @@ def fingerprint_scores(rows: DataFrame, w: W.Fingerprint = W.Fingerprint()) -> D
     return parts.withColumn("score", w.best * F.col("best") + w.top3 * F.col("top3") + w.mean * F.col("mean") + w.strongest_local * F.col("local_best") + w.mean_local * F.col("local_mean"))
 
 
-def prototypes(frames: DataFrame, most: int = 8, seed: int = 42, batch: int = 256, starts: int = 3) -> DataFrame:
-    """media_id, season, episode, prototype_index, cluster_size, embedding: unit centroids of each episode by
-    mini-batch k-means, the best of some starts. An episode's frames are one group; a film bounds them."""
+#: Rounds that candidates are drawn in, candidates a round for each centroid, and rounds of means.
+SEEDING, OVERSAMPLING, MEANS = 4, 2, 12
+#: Frames of an episode that one task clusters.
+LARGE = 20_000
+
+
+def _assigned(starts: int):
+    """Rows with their item's centroids of each start (c) -> for each item, start and centroid of a batch: rows, sum of
+    vectors and of squared distances."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows: dict[tuple, list] = {}
+            items = b["item"].to_numpy()
+            order = np.argsort(items, kind="stable")
+            b, items = b.take(pa.array(order)), items[order]
+            first = np.flatnonzero(np.diff(items, prepend=items[:1] - 1))
+            for lo, hi in zip(first, np.append(first[1:], len(items)), strict=True):
+                x = b["embedding"].slice(lo, hi - lo).flatten().to_numpy(zero_copy_only=False).astype("f8").reshape(hi - lo, -1)
+                for start, c in enumerate(b["c"][int(lo)].as_py()):
+                    c = np.array(c, "f8")
+                    far = np.maximum((x * x).sum(1)[:, None] - 2 * x @ c.T + (c * c).sum(1)[None], 0)
+                    near = far.argmin(1)
+                    for j in np.unique(near):
+                        mine = near == j
+                        rows[int(items[lo]), start, int(j)] = [int(mine.sum()), x[mine].sum(0), float(far[mine, j].sum())]
+            keys, values = list(rows), list(rows.values())
+            column = lambda part, i, kind: pa.array([p[i] for p in part], kind)
+            yield pa.RecordBatch.from_arrays([column(keys, 0, pa.int64()), column(keys, 1, pa.int32()), column(keys, 2, pa.int32()), column(values, 0, pa.int64()), column(values, 1, pa.list_(pa.float64())), column(values, 2, pa.float64())], ["item", "start", "j", "n", "x", "far"])
+
+    return run
+
+
+PARTIAL = "item long, start int, j int, n long, x array<double>, far double"
+
+
+def _summed(partial: DataFrame) -> DataFrame:
+    """Partial sums of batches as sums by item, start and centroid; vectors are added component by component."""
+    each = partial.select("item", "start", "j", "n", "far", F.posexplode("x").alias("i", "v"))
+    sums = each.groupBy("item", "start", "j", "i").agg(F.sum("v").alias("v"), F.sum("n").alias("n"), F.sum("far").alias("far"))
+    return sums.groupBy("item", "start", "j").agg(F.max("n").alias("n"), F.max("far").alias("far"), F.transform(F.sort_array(F.collect_list(F.struct("i", "v"))), lambda e: e["v"]).alias("x"))
+
+
+def _chosen(most: int, seed: int):
+    """The candidates of an item and start with the rows nearest to each -> ``most`` of them, drawn far apart by weight."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("j", "ascending")])
+        x = table["x"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(table), -1)
+        n, item, start = table["n"].to_numpy().astype("f8"), table["item"][0].as_py(), table["start"][0].as_py()
+        rng = np.random.default_rng([seed, start, item & (2**63 - 1)])
+        at = [int(rng.choice(len(x), p=n / n.sum()))]
+        while len(at) < min(most, len(x)):
+            far = n * ((x[:, None] - x[at][None]) ** 2).sum(2).min(1)
+            if not far.sum() > 0:
+                break
+            at.append(int(rng.choice(len(x), p=far / far.sum())))
+        return pa.table({"item": [item], "start": pa.array([start], pa.int32()), "c": pa.array([x[at].tolist()], pa.list_(pa.list_(pa.float64())))})
+
+    return run
+
+
+def prototypes(frames: DataFrame, most: int = 8, seed: int = 42, batch: int = 256, starts: int = 3, large: int = LARGE) -> DataFrame:
+    """media_id, season, episode, prototype_index, cluster_size, embedding: unit centroids of each episode by k-means, the best
+    of some starts. Episodes of up to ``large`` frames are a group of their own each; longer ones are clustered all at
+    once by sums over tasks, so that none is held in one."""
+    rows = frames.filter("embedding IS NOT NULL").select("vec_id", *EPISODE, "embedding")
+    long = rows.groupBy(*EPISODE).count().filter(F.col("count") > large).select(F.xxhash64(*EPISODE).alias("_item"))
+    long = staged(long, "means-long")
+    if long.isEmpty():
+        return _by_item(rows, most, seed, batch, starts)
+    marked, long = rows.withColumn("_item", F.xxhash64(*EPISODE)), hinted(long, BROADCAST_ITEMS)
+    short = _by_item(marked.join(long, "_item", "left_anti").drop("_item"), most, seed, batch, starts)
+    return short.union(_by_sums(marked.join(long, "_item", "left_semi").drop("_item"), most, seed, starts))
+
+
+def _by_item(frames: DataFrame, most: int, seed: int, batch: int, starts: int) -> DataFrame:
+    """Mini-batch k-means of each episode in one task, the best of some starts."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         x = np.array(pdf.sort_values("vec_id")["embedding"].tolist(), "f8")
@@ -78,6 +157,53 @@ def prototypes(frames: DataFrame, most: int = 8, seed: int = 42, batch: int = 25
     return rows.groupBy(*EPISODE).applyInPandas(run, "media_id string, season int, episode int, prototype_index int, cluster_size long, embedding array<double>")
 
 
+def _by_sums(frames: DataFrame, most: int, seed: int, starts: int, rounds: int = MEANS) -> DataFrame:
+    """K-means of all episodes at once.
+
+    Starts are drawn in a few passes: a row becomes a candidate with a chance in proportion to its squared distance
+    from the candidates so far, some for each centroid and pass, and of those, weighted by the rows nearest to
+    them, ``most`` are drawn far apart. Means are sums by episode and centroid. What a task holds are the centroids of an
+    episode and its sums, never an episode's frames. Draws are by hash, so reruns agree but for rounding.
+    """
+    rows = staged(frames.select(F.xxhash64(*EPISODE).alias("item"), *EPISODE, "vec_id", "embedding"), "means-rows")
+    names = rows.select("item", *EPISODE).distinct()
+    vectors = rows.select("item", "vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("embedding"))
+    draw = lambda start, at: (F.shiftrightunsigned(F.xxhash64("vec_id", "item", F.lit(seed), start, F.lit(at)), 11).cast("double") + 1) / float(1 << 53)
+    each = F.array(*map(F.lit, range(starts)))
+
+    def near(centers: DataFrame) -> DataFrame:
+        """Partial sums of all rows by the nearest of their item's centers (item, c: one array for each start)."""
+        return vectors.join(hinted(centers, BROADCAST_ITEMS), "item").select("item", "embedding", "c").mapInArrow(_assigned(starts), PARTIAL)
+
+    # one row of each item and start: the one of the least draw
+    first = vectors.withColumn("start", F.explode(each)).groupBy("item", "start").agg(F.min_by("embedding", F.struct(draw(F.col("start"), 0), "vec_id")).alias("x"))
+    chosen = staged(first.select("item", "start", F.array("x").alias("x")), "means-candidates")
+    gather = lambda df: staged(df.groupBy("item").agg(F.transform(F.sort_array(F.collect_list(F.struct("start", "c"))), lambda e: e["c"]).alias("c")), "means-centers")
+    for at in range(1, SEEDING + 1):
+        centers = gather(chosen.withColumnRenamed("x", "c"))
+        cost = staged(near(centers).groupBy("item", "start").agg(F.sum("far").alias("_cost")), "means-cost")
+        square = lambda c: F.aggregate(F.zip_with("embedding", c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
+        far = F.array_min(F.transform("_mine", square))
+        mine = vectors.join(hinted(centers, BROADCAST_ITEMS), "item").select("item", "vec_id", "embedding", F.posexplode("c").alias("start", "_mine"))
+        drawn = mine.withColumn("_far", far).join(hinted(cost, BROADCAST_ITEMS), ["item", "start"]).filter(draw(F.col("start"), at) * F.col("_cost") < OVERSAMPLING * most * F.col("_far"))
+        more = drawn.groupBy("item", "start").agg(F.sort_array(F.collect_list("embedding")).alias("x"))
+        chosen = staged(chosen.union(more).groupBy("item", "start").agg(F.flatten(F.sort_array(F.collect_list("x"))).alias("x")), "means-candidates")
+    held = near(gather(chosen.withColumnRenamed("x", "c"))).groupBy("item", "start", "j").agg(F.sum("n").alias("n"))
+    weighed = chosen.select("item", "start", F.posexplode("x").alias("j", "x")).join(held, ["item", "start", "j"])
+    centers = gather(weighed.groupBy("item", "start").applyInArrow(_chosen(most, seed), "item long, start int, c array<array<double>>"))
+    for _ in range(rounds):
+        means = _summed(near(centers)).select("item", "start", "j", F.transform("x", lambda v: v / F.col("n")).alias("x"))
+        # a centroid that lost all its rows stays where it was
+        old = centers.select("item", F.posexplode("c").alias("start", "c")).select("item", "start", F.posexplode("c").alias("j", "_old"))
+        moved = old.join(means, ["item", "start", "j"], "left").groupBy("item", "start").agg(F.transform(F.sort_array(F.collect_list(F.struct("j", F.coalesce("x", "_old").alias("x")))), lambda e: e["x"]).alias("c"))
+        centers = gather(moved)
+    sums = staged(near(centers).groupBy("item", "start", "j").agg(F.sum("n").alias("n"), F.sum("far").alias("far")), "means-sizes")
+    best = sums.groupBy("item", "start").agg(F.sum("far").alias("_far")).groupBy("item").agg(F.min(F.struct("_far", "start"))["start"].alias("start"))
+    last = centers.select("item", F.posexplode("c").alias("start", "c")).join(best, ["item", "start"]).select("item", "start", F.posexplode("c").alias("j", "c"))
+    out = last.join(sums, ["item", "start", "j"], "left").join(names, "item")
+    return out.select(*EPISODE, F.col("j").alias("prototype_index"), F.coalesce("n", F.lit(0)).cast("long").alias("cluster_size"), normalize("c", "keep").alias("embedding"))
+
+
 def _best_prototypes():
     """Clip frames and batches of prototypes -> for each clip frame and episode of a batch its greatest similarity. It is
     sent to the workers whole, so that they needn't have this library."""

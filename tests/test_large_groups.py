@@ -77,3 +77,31 @@ def test_a_long_entry_is_a_handful_of_rows(spark):
         temporal.F.explode = real
     size = e.withColumnsRenamed({"media_id": "_key"}).withColumn("_level2", F.lit(6)).select(F.size(rows[0])).first()[0]
     assert met.count() == 1 and size <= 5
+
+
+def test_prototypes_of_long_episodes(spark):
+    """Episodes that are clustered by sums over tasks come out as well as those of one task; copies and short ones too."""
+    import numpy as np
+
+    from reelquery.operators import fingerprints as fp
+
+    rng = np.random.default_rng(8)
+    centers = rng.normal(size=(10, 5))
+    rows = [(i, f"m{i % 3 // 2}", 1, None, [float(x) for x in centers[rng.integers(10)] + 0.3 * rng.normal(size=5)]) for i in range(900)]
+    rows += [(5000 + i, "same", None, None, [1.0, 0.0, 0.0, 0.0, 2.0]) for i in range(60)] + [(6000, "one", 1, 1, [0.0, 3.0, 0.0, 0.0, 4.0])]
+    fr = spark.createDataFrame(rows, "vec_id long, media_id string, season int, episode int, embedding array<double>").repartition(4)
+    got = {n: fp.prototypes(fr, large=n).collect() for n in (50, 1000)}
+    x = {}
+    for _, m, _, _, v in rows:
+        x.setdefault(m, []).append(v)
+    spread = {}
+    for n, found in got.items():
+        assert {(r["media_id"], r["season"], r["episode"]) for r in found} == {(m, s, e) for _, m, s, e, _ in rows}
+        for m, vectors in x.items():
+            mine = [r for r in found if r["media_id"] == m]
+            assert sum(r["cluster_size"] for r in mine) == len(vectors)
+            assert np.allclose([np.linalg.norm(r["embedding"]) for r in mine], 1)
+            v = np.array(vectors)
+            near = ((v / np.linalg.norm(v, axis=1, keepdims=True)) @ np.array([r["embedding"] for r in mine]).T).argmax(1)
+            spread[n, m] = sum(((v[near == j] - v[near == j].mean(0)) ** 2).sum() for j in set(near))
+    assert spread[50, "m0"] <= 1.1 * spread[1000, "m0"] and spread[50, "m1"] <= 1.1 * spread[1000, "m1"]
