@@ -44,9 +44,10 @@ def image_scores(hits: DataFrame, w: W.Image = W.Image()) -> DataFrame:
 
 
 def video_scores(hits: DataFrame, clip_sizes: DataFrame, w: W.Video = W.Video()) -> DataFrame:
-    """``hits`` has step, the clip frame that found it; ``clip_sizes``: query_id, clip_frames."""
+    """``hits`` has step, the clip frame that found it; ``clip_sizes``: query_id, clip_frames. best_frame is the episode's best
+    hit, whose time is the first guess of the clip's."""
     parts = ranked(hits, tie="_tie") if "_tie" in hits.columns else ranked(hits.withColumn("_tie", F.struct("vec_id", "step")), tie="_tie")
-    parts = parts.groupBy(*KEY).agg(F.max("sim").alias("best"), top_mean(3).alias("top3"), F.count_distinct("step").alias("found"), F.count("*").alias("evidence"))
+    parts = parts.groupBy(*KEY).agg(F.max("sim").alias("best"), top_mean(3).alias("top3"), F.count_distinct("step").alias("found"), F.count("*").alias("evidence"), best_row("sim", "vec_id", "ts").alias("best_frame"))
     parts = parts.join(clip_sizes, "query_id").withColumn("coverage", F.col("found") / F.col("clip_frames"))
     return parts.withColumn("score", F.lit(w.best) * F.col("best") + F.lit(w.top3) * F.col("top3") + F.lit(w.coverage) * F.col("coverage"))
 

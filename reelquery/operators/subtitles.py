@@ -121,10 +121,11 @@ def best_lines(queries: DataFrame, entries: DataFrame, apart: float | None = Non
 
 def line_window_scores(lines: DataFrame, windows: DataFrame, queries: DataFrame, w: W.Subtitle = W.Subtitle()) -> DataFrame:
     """A media item's best line and the text around it. ``windows``: media_id, line_start, norm, the text around each
-    of the items' best lines, once however many queries it is the best of; ``queries``: query_id, norm."""
+    of the items' best lines, once however many queries it is the best of; times are the same to three decimals;
+    ``queries``: query_id, norm."""
     around = with_features(windows, _b=F.col("norm")).select(F.col("media_id").alias("_m"), F.col("line_start").alias("_t"), "_b")
     asked = with_features(queries, _a=F.col("norm")).select("query_id", "_a")
-    joined = lines.join(around, (F.col("media_id") == F.col("_m")) & (F.col("line_start") == F.col("_t")), "left").join(asked, "query_id", "left")
+    joined = lines.join(around, (F.col("media_id") == F.col("_m")) & (F.round("line_start", 3) == F.round("_t", 3)), "left").join(asked, "query_id", "left")
     joined = with_similarity(joined, "_a", "_b", "window_score")  # 0 where no line is alike, as there is no window
     return joined.withColumn("score", w.line * F.col("line_score") + w.around * F.col("window_score")).drop("_a", "_b", "_m", "_t")
 

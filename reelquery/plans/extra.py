@@ -9,7 +9,7 @@ from reelquery.functions.vector import dot, norm, normalize
 from reelquery.operators import metrics, scoring
 from reelquery.operators.quantiles import quantiles
 from reelquery.plans.base import CLIP_SQL, FRAMES_SQL, HITS_SQL, clip_hits, d, frames, hits, queries, six, table
-from reelquery.plans.retrieval import IMAGE_SQL
+from reelquery.plans.retrieval import IMAGE_SQL, METRIC_SQL, truth_ranks
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -83,11 +83,26 @@ def json_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").withColumn("_j", F.from_json(text, "id bigint, type string")).select("event_id", F.col("_j.type").alias("kind"), "_j.id")
 
 
-@query("SELECT count(*) AS queries, count(*) FILTER (doc_id % 2 = 0) AS corrected FROM documents")
+@query(f"WITH {METRIC_SQL} SELECT count(*) AS queries, count(*) FILTER (truth_rank = 1) AS corrected FROM tr")
 def corrected_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents of even number stand for queries whose truth comes first."""
-    ranks = table(spark, sf_dir, "documents").select(F.when(F.col("doc_id") % 2 == 0, 1).otherwise(2).alias("truth_rank"))
-    return metrics.corrected(ranks).select("queries", "corrected")
+    """How many queries have their own episode first."""
+    return metrics.corrected(truth_ranks(frames(spark, sf_dir))).select("queries", "corrected")
+
+
+#: Every two hundredth frame is a hard query; before, those of even items were right.
+HARD_SQL = METRIC_SQL + """,
+hd AS (SELECT vec_id, media_id, season, episode, CAST(ts AS INTEGER) AS seconds FROM qu WHERE vec_id % 200 = 0)"""
+
+
+@query(f"WITH {HARD_SQL} SELECT h.media_id AS title, h.season, h.episode, h.seconds, t.truth_rank, CAST(CASE WHEN right(h.media_id, 1) IN ('0', '2', '4', '6', '8') THEN 1 END AS INTEGER) AS was, right(h.media_id, 1) IN ('0', '2', '4', '6', '8') AND coalesce(t.truth_rank, 0) <> 1 AS lost FROM hd h JOIN tr t ON t.query_id = h.vec_id")
+def hard_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which hard queries are right, and which are so no longer."""
+    fr = frames(spark, sf_dir)
+    key = [F.col("media_id").alias("title"), F.col("season"), F.col("episode"), F.col("ts").cast("int").alias("seconds")]
+    hard = queries(fr).filter("vec_id % 200 = 0").select(F.col("vec_id").alias("query_id"), *key)
+    found = scoring.order_episodes(scoring.image_scores(hits(fr)), None).select("query_id", "position", F.col("media_id").alias("found_title"), F.col("season").alias("found_season"), F.col("episode").alias("found_episode"))
+    before = hard.select("title", "season", "episode", "seconds", F.when(F.substring("title", -1, 1).cast("int") % 2 == 0, 1).alias("truth_rank"))
+    return metrics.hard_regression(hard.join(found, "query_id"), hard.drop("query_id"), before)
 
 
 @query("SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'none' ELSE event_type END AS title, 'media_' || CAST(event_id % 9 AS VARCHAR) AS id FROM events")

@@ -474,20 +474,20 @@ METRIC_SQL = IMAGE_SQL + """,
 tr AS (SELECT q.vec_id AS query_id, min(p.position) AS truth_rank FROM qu q LEFT JOIN po p ON p.query_id = q.vec_id AND p.media_id = q.media_id AND p.season IS NOT DISTINCT FROM q.season AND p.episode IS NOT DISTINCT FROM q.episode GROUP BY q.vec_id)"""
 
 
-def _ranks(fr: DataFrame) -> DataFrame:
+def truth_ranks(fr: DataFrame) -> DataFrame:
     truth = queries(fr).select(F.col("vec_id").alias("query_id"), "media_id", "season", "episode")
     return metrics.truth_ranks(truth, scoring.order_episodes(scoring.image_scores(hits(fr)), None), ["media_id", "season", "episode"])
 
 
 @query(f"WITH {METRIC_SQL} SELECT query_id, truth_rank FROM tr")
 def truth_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _ranks(frames(spark, sf_dir))
+    return truth_ranks(frames(spark, sf_dir))
 
 
 @query(f"""WITH {METRIC_SQL} SELECT count(*) AS queries, round(avg(CASE WHEN truth_rank <= 1 THEN {d(1)} ELSE {d(0)} END), 6) AS top1, round(avg(CASE WHEN truth_rank <= 3 THEN {d(1)} ELSE {d(0)} END), 6) AS top3,
   round(avg(CASE WHEN truth_rank <= 5 THEN {d(1)} ELSE {d(0)} END), 6) AS top5, round(avg(coalesce({d(1)} / truth_rank, 0)), 6) AS mrr FROM tr""")
 def topk_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.accuracy(_ranks(frames(spark, sf_dir))).select("queries", *(six(c) for c in ("top1", "top3", "top5", "mrr")))
+    return metrics.accuracy(truth_ranks(frames(spark, sf_dir))).select("queries", *(six(c) for c in ("top1", "top3", "top5", "mrr")))
 
 
 @query(f"""WITH {IMAGE_SQL}, er AS (SELECT q.vec_id AS query_id, abs(h.ts - q.ts) AS err_correct FROM qu q JOIN (SELECT query_id, media_id, arg_max(ts, (sim, -vec_id)) AS ts FROM hits GROUP BY ALL) h ON h.query_id = q.vec_id AND h.media_id = q.media_id),

@@ -8,7 +8,7 @@ from reelquery.functions import formats as fm, text as tx
 from reelquery.operators import metrics, scoring, subtitles as sub, temporal
 from reelquery.operators.scoring import KEY
 from reelquery.plans.base import ENTRIES_SQL, FRAMES_SQL, QUERY, d, entries, frames, hits, six, table
-from reelquery.sources import frames as src
+from reelquery.sources import frames as src, subtitles as subtitles_src
 from reelquery.staging import staged
 
 QUERIES: dict = {}
@@ -177,7 +177,7 @@ lr AS (SELECT b.query_id, b.media_id, {d(0.4)} * line_score + {d(0.6)} * CASE WH
 def _line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked, en, lines = _lines(spark, sf_dir)
     lines = staged(lines, "best-lines")
-    points = lines.filter("line_start IS NOT NULL").select("media_id", F.col("line_start").alias("t")).distinct()
+    points = lines.filter("line_start IS NOT NULL").select("media_id", F.round("line_start", 3).alias("t")).distinct()
     around = temporal.window_text(points, en, 15.0, ["media_id", "t"], longest=3.0)
     return sub.line_window_scores(lines, around.select("media_id", F.col("t").alias("line_start"), tx.normalize_lower("text").alias("norm")), asked)
 
@@ -263,6 +263,17 @@ def credit_override(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sub.credit_override(rows).select(*KEY, "credit", six("final"), six("sort_key"))
 
 
+@query("SELECT CAST(conv_id AS VARCHAR) AS media_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) - 1 AS entry_no, CAST(turn * 4 AS DOUBLE) AS start, CAST(turn * 4 + 3 AS DOUBLE) AS \"end\", text FROM conversations")
+def nested_subtitle_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as subtitle indexes of three forms, a JSON text each, read back as entries by item."""
+    c = table(spark, sf_dir, "conversations")
+    t = F.to_json(F.array(F.struct((F.col("turn") * 4).alias("start"), (F.col("turn") * 4 + 3).alias("end_seconds"), F.col("text").alias("content"))))
+    own = F.format_string('"%d"', "conv_id")
+    flat, deep = F.concat(F.lit("{"), own, F.lit(": "), t, F.lit("}")), F.concat(F.lit("{"), own, F.lit(': {"items": [], "data": {"part": {"lines": '), t, F.lit("}}}}"))
+    listed = F.concat(F.lit('[{"id": '), own, F.lit(', "x": {"y": '), t, F.lit("}}]"))
+    return subtitles_src.subtitle_index(c.select(F.when(F.col("turn") % 3 == 0, flat).when(F.col("turn") % 3 == 1, deep).otherwise(listed).alias("text")))
+
+
 @query(f"WITH {FRAMES_SQL} SELECT vec_id, media_id, format('{{:06d}}', frame_no) AS frame_id, CAST(2 * (frame_no - 1) AS INTEGER) AS timestamp_seconds FROM fr")
 def frame_numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
     fr = frames(spark, sf_dir).select("vec_id", "media_id", F.format_string("%012d", "vec_id").alias("image_path"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import subprocess
+import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -131,6 +132,38 @@ def encoded(rows: DataFrame, load: Callable[[], Encoder], column: str = "image_p
     return rows.withColumn("embedding", run(column))
 
 
+def encoded_timed(rows: DataFrame, load: Callable[[], Encoder], column: str = "image_path", batch: int = 16) -> DataFrame:
+    """As ``encoded``, for ``metrics.Measured``: with began, ended, batch (its size) and failed. A batch that the model fails on is
+    tried value by value, and a value that it fails on has a null embedding."""
+
+    def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        encode = load()
+
+        def unit(values: list) -> list:
+            m = np.asarray(encode(values), "f4")
+            return list(m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12))
+
+        def one(value) -> np.ndarray | None:
+            try:
+                return unit([value])[0]
+            except Exception:  # noqa: BLE001  whatever a model throws
+                return None
+
+        for values in batches:
+            out: list = []
+            for at in range(0, len(values), batch):
+                part, began = values.iloc[at : at + batch].tolist(), time.time()
+                try:
+                    found = unit(part)
+                except Exception:  # noqa: BLE001
+                    found = [one(v) for v in part]
+                out.extend((v, began, time.time(), len(part), v is None) for v in found)
+            yield pd.DataFrame(out, columns=["embedding", "began", "ended", "batch", "failed"])
+
+    run = F.pandas_udf(vectors, "embedding array<float>, began double, ended double, batch int, failed boolean")
+    return rows.withColumn("_e", run(column)).select("*", "_e.*").drop("_e")
+
+
 def recognised(rows: DataFrame, load: Callable[[], Callable[[str], list[str]]], combine: str = "join") -> DataFrame:
     """image_path, ocr_text by a recogniser that ``load`` makes once for each worker and that gives the texts of an
     image's variants. They are joined by newlines without repeats ("join"), by blanks ("space"), or the longest
@@ -231,6 +264,14 @@ def global_table(frames: DataFrame, vectors: DataFrame) -> DataFrame:
     return f.join(v, ["media_id", "_p"]).drop("_p")
 
 
+def unmatched(frames: DataFrame, vectors: DataFrame) -> DataFrame:
+    """media_id, frames_without_vector, vectors_without_frame of the items where ``global_table`` leaves rows out."""
+    f = frames.select("media_id", (F.col("frame_id").cast("int") - 1).alias("_p"), F.lit(1).alias("_f"))
+    v = vectors.select("media_id", F.col("position").alias("_p"), F.lit(1).alias("_v"))
+    counts = f.join(v, ["media_id", "_p"], "full").groupBy("media_id").agg(F.count_if(F.col("_v").isNull()).alias("frames_without_vector"), F.count_if(F.col("_f").isNull()).alias("vectors_without_frame"))
+    return counts.filter("frames_without_vector + vectors_without_frame > 0")
+
+
 def save_frames(frames: DataFrame, path: str) -> None:
     """One folder a media item, so that a query for one prunes the rest; only the items written are replaced."""
     frames.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("media_id").parquet(path)
