@@ -147,15 +147,22 @@ def fitted(own: DataFrame, known: DataFrame, sample: int) -> tuple[Regression, n
     return model, log_odds(*stands.sum(0)[::-1], *n.sum(0)[::-1])
 
 
+def _named(site: Column) -> Column:
+    """A site's name, with null as a name that no site has."""
+    return F.coalesce(F.concat(F.lit("="), site.cast("string")), F.lit(""))
+
+
 def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, sample: int = SAMPLE, keep: float = KEEP) -> DataFrame:
     """doc_id, _h (hash of the text), evidence, host_posterior, path_posterior, score and keep for each row
     of ``docs`` (doc_id, text and what host and path are made of).
 
     ``labels`` (doc_id, quality 0 or 1) may cover any part; repeated labels of a document are averaged, null
     ones ignored. Null or empty texts are judged by their features like others; null hosts or paths
-    form groups of their own; without labels every document's own evidence is one half and all are kept.
+    form groups of their own, beside that of empty ones; without labels every document's own evidence is one half and all are kept.
+    Repeated rows are judged each and count each in their site. Texts of any length are read whole. Other columns, whatever they
+    are called, are ignored; an empty table gives an empty result.
     """
-    own = docs.select("doc_id", F.xxhash64("text").alias("_h"), F.coalesce(host, F.lit("")).alias("_host"), F.coalesce(path, F.lit("")).alias("_path"), F.col("text").alias("_text"))
+    own = docs.select("doc_id", F.xxhash64("text").alias("_h"), _named(host).alias("_host"), _named(path).alias("_path"), F.col("text").alias("_text"))
     known = labels.select(F.col("doc_id").alias("_id"), F.col("quality").cast("double").alias("_y")).filter("_y IS NOT NULL AND _id IS NOT NULL").groupBy("_id").agg(F.avg("_y").alias("_y"))
     known = staged(known, "quality-labels")
     model, weights = fitted(own, known, sample)
@@ -181,7 +188,8 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, sam
 
 
 def kept(docs: DataFrame, labels: DataFrame, host: Column, path: Column) -> DataFrame:
-    """The rows of ``docs`` that the classifier keeps."""
+    """The rows of ``docs`` that the classifier keeps, with all their columns; repeated rows stay or go together. An empty table
+    gives an empty result."""
     gone = staged(classify(docs, labels, host, path).filter("NOT keep").select(F.col("doc_id").alias("_d"), F.col("_h").alias("_g")).distinct(), "quality-gone")
     rows = sealed(docs).withColumns({"doc_id": field("doc_id"), "_h": F.xxhash64(field("text"))})
     return unsealed(rows.join(hinted(gone, BROADCAST_ROWS), F.expr("doc_id <=> _d AND _h = _g"), "left_anti"), docs.columns)

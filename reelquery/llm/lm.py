@@ -159,7 +159,8 @@ def score(docs: DataFrame, train: DataFrame, depth: int = DEPTH, block: int = BL
     A text is its words, A-Z lower-cased, with one space between them, and an end. score is the model's
     log10 probability of these bytes; bits_per_byte is its code length for each of them. base_score is that of the words and the end by counts with one
     added. Null and empty texts are the end alone; repeated rows are scored each; without training texts
-    every bit has probability one half and only the end's and words' added counts remain.
+    every bit has probability one half and only the end's and words' added counts remain. Texts of any length are scored whole;
+    other columns, whatever they are called, are ignored unless kept; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     train = train.select(F.coalesce("text", F.lit("")).alias("text"))

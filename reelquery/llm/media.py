@@ -286,12 +286,13 @@ def probed(files: DataFrame, column: str = "media") -> DataFrame:
     return files.select(*kept, column).mapInArrow(read, schema)
 
 
-DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, codec string, duration double, keyframes array<struct<offset:long,length:long>>"
+RANGES = pa.list_(pa.struct([("offset", pa.int64()), ("length", pa.int64())]))
 
 
 def digests(files: DataFrame) -> DataFrame:
-    """What is read back from each stored file: the payload's and the file's digests, and as feature the
-    codec, duration and key frames' byte ranges (their number, first, last and a checksum of all)."""
+    """What is read back from each stored file: the payload's and the file's digests, codec, duration in seconds and the key
+    frames' byte ranges in the file; feature sums these up as JSON (the ranges' number, first, last and a checksum of all)."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -301,9 +302,9 @@ def digests(files: DataFrame) -> DataFrame:
                 (t,) = probe(file)
                 payload, keys = read_back(file, t), t["keys"]
                 feature = {"codec": t["codec"], "seconds": t["duration"] / t["timescale"], "samples": len(t["samples"]), "keyframes": len(keys), "first": keys[0].tolist(), "last": keys[-1].tolist(), "ranges_crc32": zlib.crc32(keys.astype("<i8").tobytes())}
-                rows.append((doc, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-SAMPLE:]), len(file), hashlib.sha256(file).hexdigest(), json.dumps(feature)))
+                rows.append((doc, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-SAMPLE:]), len(file), hashlib.sha256(file).hexdigest(), json.dumps(feature), t["codec"], feature["seconds"], [{"offset": a, "length": b} for a, b in keys.tolist()]))
             names = [x.split()[0] for x in DIGEST.split(", ")]
-            kinds = [pa.string() if x.endswith("string") else pa.int64() for x in DIGEST.split(", ")]
+            kinds = [{"string": pa.string(), "long": pa.int64(), "double": pa.float64()}.get(x.split()[1], RANGES) for x in DIGEST.split(", ")]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * len(names), kinds, strict=True)], names)
 
     return files.select("doc_id", "n_bytes", "media").mapInArrow(read, DIGEST)
@@ -311,5 +312,6 @@ def digests(files: DataFrame) -> DataFrame:
 
 def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text stored as a media file in a table, and what its boxes and samples say when it is read back.
-    Null and empty texts are 64 bytes 0; null ids stay null; an empty table gives an empty result."""
+    Null and empty texts are 64 bytes 0; null ids stay null; repeated rows and equal texts give equal values, a row each; texts of
+    any length are stored whole; other columns, whatever they are called, are ignored; an empty table gives an empty result."""
     return digests(staged(media_files(table(spark, sf_dir, "documents")), "media", "zstd"))

@@ -159,7 +159,8 @@ def near_duplicates(docs: DataFrame, *keep: str, words: int = WORDS, bits: int =
     fingerprints are reached over links.
 
     Null and empty texts have fingerprint 0 and are linked like any other. Rows of equal text share their
-    component, repeated rows are returned each, null ids never name a component that has another id. With ``similar``, rows whose
+    component, repeated rows are returned each, null ids never name a component that has another id. Texts of any length are
+    read whole; other columns, whatever they are called, are ignored; an empty table gives an empty result. With ``similar``, rows whose
     sets of five-word shingles have that Jaccard similarity or more are linked as well.
     """
     assert similar is None or words == WORDS  # the links name default fingerprints

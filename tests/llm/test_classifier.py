@@ -40,6 +40,14 @@ def test_odd_documents(spark, odd, none):
     assert all(r["keep"] for r in classifier.classify(odd, labels.filter("quality = 1"), F.col("source"), F.col("lang")).collect())
 
 
+def test_null_and_empty_hosts_are_two_groups(spark):
+    rows = [(i, GOOD + f" {i}", None if i < 100 else "", "p") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, host string, path string")
+    labels = spark.createDataFrame([(i, int(i >= 100)) for i in range(200)], "doc_id long, quality int")
+    got = {r["doc_id"]: r["host_posterior"] for r in classifier.classify(docs, labels, F.col("host"), F.col("path")).collect()}
+    assert max(got[i] for i in range(100)) < 0.2 and min(got[i] for i in range(100, 200)) > 0.8
+
+
 def test_regression_separates():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(500, 7))

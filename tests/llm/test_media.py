@@ -50,6 +50,10 @@ def test_odd_documents(spark, odd, none, texts):
         want.append((doc, len(raw), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:])))
     assert sorted((tuple(r)[:5] for r in got), key=repr) == sorted(want, key=repr)
     files = {r["media_sha256"] for r in got if r["n_bytes"] == len(texts[0][1] or "") and r["payload_sha256"] == got[0]["payload_sha256"]}
+    for r in got:
+        feature, keys = json.loads(r["feature"]), [tuple(k) for k in r["keyframes"]]
+        assert r["codec"] == "raw" and r["duration"] == feature["seconds"] and len(keys) == feature["keyframes"] and [*keys[0]] == feature["first"] and [*keys[-1]] == feature["last"]
+        assert len(keys) == -(-r["payload_bytes"] // 1024) and all(n == 64 and 0 < a <= r["media_bytes"] - n for a, n in keys)
     assert len(files) <= 1 and all(json.loads(r["feature"])["codec"] == "raw" for r in got)
     assert media.digests(media.media_files(none)).count() == 0
     tracks = media.probed(media.media_files(odd)).collect()
