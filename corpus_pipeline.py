@@ -2,6 +2,9 @@
 
 Each stage is a function of (spark, docs, sf_dir); what it returns is written as Parquet and read again as the
 next one's docs. All but the last return the columns of documents.
+
+All stages read whole texts, of any length, take null texts as empty and an empty table for an empty result; columns beside
+those of documents, whatever they are called, pass with their rows.
 """
 
 from __future__ import annotations
@@ -13,7 +16,8 @@ from reelquery.llm.common import field, staged, table, unsealed
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier keeps, as they are."""
+    """Documents that the quality classifier keeps, as they are. Null sources and languages are sites of their own; repeated rows
+    stay or go together."""
     return classifier.kept(docs, table(spark, sf_dir, "labels"), F.col("source"), F.col("lang"))
 
 
@@ -27,17 +31,19 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: alike in fingerprints, or in 0.8 of their five-word shingles."""
+    """One document of each group of near duplicates: alike in fingerprints, or in 0.8 of their five-word shingles. Of a group the
+    one of least doc_id stays, null ids last, ties by a hash of the text; of repeated rows one stays. Empty texts are a group."""
     return simhash.representatives(docs, similar=0.8)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them. Those without words are never taken; a null source is one of its own; rows equal in
+    id and text are taken alike."""
     return mixing.repeated(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in windows."""
+    """Pieces of documents in windows. An empty text is its end alone; repeated rows are packed each, null ids stay null."""
     return packing.pack(docs)
 
 
