@@ -7,7 +7,9 @@ version and its sums are stored; the totals are the sums of all committed batche
 A batch is committed by creating one file that bears its name, after its sums are stored. Of several writers
 one creates it, whatever their order and number; the others' sums are never read, and neither are
 those of a failed attempt. ``compact`` folds the commits so far into one: its file bears the number of the
-fold, so of two folds at a time one wins, and names the commits that it replaces.
+fold, so of two folds at a time one wins, and names the commits that it replaces. Their files are then deleted, so that a
+listing has the batches since the last fold and that fold; names of batches folded earlier stand in a table beside it.
+A batch whose name a fold knows never counts again, even if a late writer creates its file anew.
 """
 
 from __future__ import annotations
@@ -22,23 +24,28 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import hinted, shared_dir, staged, table
 
 KEYS = ("source", "lang", "tokenizer_version")
 SUMS = "source string, lang string, tokenizer_version string, n_docs long, n_tokens long"
+OBJECT_STORES = ("s3", "s3a", "s3n", "gs", "wasb", "wasbs")
 #: Tokenizer versions of the query: all documents first, then those not in English anew.
 FIRST, SECOND = "byte_bpe_50k", "byte_bpe_multi_50k"
 
 
 class Commits:
-    """Files in a folder that all writers see; each is created once and never changed."""
+    """Files in a folder that all writers see; each is created once and never changed. The store must refuse to rename to a
+    taken name, as HDFS does; a local folder is served by hard links. Object stores don't, and are an error."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.jvm, self.conf = spark._jvm, spark._jsc.hadoopConfiguration()
         self.at = self.jvm.org.apache.hadoop.fs.Path(path)
         self.fs = self.at.getFileSystem(self.conf)
+        if self.fs.getScheme() in OBJECT_STORES:
+            raise ValueError(f"{self.fs.getScheme()} doesn't refuse to rename to a taken name, so batches can't be committed there")
         self.fs.mkdirs(self.at)
 
     def _child(self, name: str):
@@ -68,17 +75,29 @@ class Commits:
         return made
 
     def all(self) -> dict[str, dict]:
-        """Name -> content of each file. There are no more than batches since the last fold, and folds."""
-        found = {}
-        for status in self.fs.listStatus(self.at):
-            name = status.getPath().getName()
-            if not name.startswith(("_", ".")):
-                stream = self.fs.open(status.getPath())
+        """Name -> content of each file: of the batches since the last fold whose files were deleted, and of that fold."""
+        while True:
+            found = {}
+            for status in self.fs.listStatus(self.at):
+                name = status.getPath().getName()
+                if name.startswith(("_", ".")):
+                    continue
+                try:
+                    stream = self.fs.open(status.getPath())
+                except Py4JJavaError:
+                    if self.fs.exists(status.getPath()):
+                        raise
+                    break  # folded meanwhile: the fold is listed now
                 try:
                     found[name] = json.loads(bytes(self.jvm.org.apache.commons.io.IOUtils.toByteArray(stream)))
                 finally:
                     stream.close()
-        return found
+            else:
+                return found
+
+    def delete(self, names: list[str]) -> None:
+        for name in names:
+            self.fs.delete(self._child(name), False)
 
 
 class Rollup:
@@ -93,22 +112,38 @@ class Rollup:
         return f"batch-{hashlib.sha256(batch.encode()).hexdigest()}"
 
     @staticmethod
-    def _live(found: dict[str, dict]) -> dict[str, str]:
+    def _last(found: dict[str, dict]) -> str | None:
+        return max((name for name in found if name.startswith("fold-")), default=None)
+
+    def _known(self, found: dict[str, dict], names: list[str]) -> set[str]:
+        """Those of ``names`` that the last fold or an earlier one replaced."""
+        last = self._last(found)
+        if last is None or not names:
+            return set()
+        content = found[last]
+        known = {name for c in found.values() for name in c["folds"]} & set(names)
+        if content.get("known"):
+            rows = self.spark.read.schema("name string").parquet(f"{self.path}/known/{content['known']}")
+            known |= {r["name"] for r in rows.filter(F.col("name").isin(names)).distinct().collect()}
+        return known
+
+    def _live(self, found: dict[str, dict]) -> dict[str, str]:
         """Name of each commit that counts -> where its sums are."""
-        folded = {name for content in found.values() for name in content["folds"]}
+        folded = self._known(found, list(found))
         return {name: content["at"] for name, content in found.items() if name not in folded}
 
-    def _put(self, name: str, sums: DataFrame, folds: list[str], batch: str = "") -> bool:
+    def _put(self, name: str, sums: DataFrame, folds: list[str], batch: str = "", known: str = "") -> bool:
         at = f"{name}-{uuid.uuid4().hex}"
         sums.write.parquet(f"{self.path}/sums/{at}")
-        return self.commits.create(name, {"batch": batch, "at": at, "folds": folds})
+        return self.commits.create(name, {"batch": batch, "at": at, "folds": folds, "known": known})
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
         """Applies ``changes`` (source, lang, tokenizer_version, n_tokens, sign) once; False if the batch was
         there, or if another writer was faster. Null counts are 0, rows with a null sign are ignored,
-        null keys are groups of their own, other columns are ignored."""
+        null keys are groups of their own, repeated rows count each, other columns are ignored. An empty batch is committed
+        like others and changes no total."""
         name = self._name(batch)
-        if name in self.commits:
+        if name in self.commits or name in self._known(self.commits.all(), [name]):
             return False
         sign = F.col("sign").cast("long")
         sums = changes.filter("sign IS NOT NULL").groupBy(*KEYS).agg(F.sum(sign).alias("n_docs"), F.sum(sign * F.coalesce(F.col("n_tokens"), F.lit(0))).alias("n_tokens"))
@@ -126,14 +161,36 @@ class Rollup:
         return rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
 
     def compact(self) -> bool:
-        """Folds the commits that count into one; their names stay known. False if there is nothing to fold or
-        another fold was faster. Batches that are committed meanwhile go on to count by themselves."""
+        """Folds the commits that count into one and deletes their files; their names stay known. False if there is nothing
+        to fold or another fold was faster. Batches that are committed meanwhile go on to count by themselves."""
         found = self.commits.all()
-        live = self._live(found)
+        live, last = self._live(found), self._last(found)
         if len(live) < 2:
             return False
-        number = 1 + sum(name.startswith("fold-") for name in found)
-        return self._put(f"fold-{number:09d}", self._summed(live), sorted(live))
+        known = ""
+        if last is not None:  # what the last fold replaced and knew
+            known = uuid.uuid4().hex
+            names = self.spark.createDataFrame([(n,) for n in found[last]["folds"]], "name string")
+            if found[last].get("known"):
+                names = names.union(self.spark.read.schema("name string").parquet(f"{self.path}/known/{found[last]['known']}"))
+            names.filter("name LIKE 'batch-%'").distinct().sortWithinPartitions("name").write.parquet(f"{self.path}/known/{known}")
+        number = 1 + (int(last.removeprefix("fold-")) if last else 0)
+        made = self._put(f"fold-{number:09d}", self._summed(live), sorted(live), known=known)
+        if made:
+            self.commits.delete(list(found))
+        return made
+
+    def vacuum(self) -> None:
+        """Deletes sums and names that no commit file refers to, those of folded batches and failed attempts. For times
+        without writers, and without readers of totals from before the last fold."""
+        found = self.commits.all()
+        used = {c["at"] for c in found.values()} | {c.get("known") for c in found.values()}
+        fs, child = self.commits.fs, self.spark._jvm.org.apache.hadoop.fs.Path
+        for folder in ("sums", "known"):
+            at = child(f"{self.path}/{folder}")
+            for status in fs.listStatus(at) if fs.exists(at) else []:
+                if status.getPath().getName() not in used:
+                    fs.delete(status.getPath(), True)
 
 
 @functools.cache

@@ -88,3 +88,25 @@ def test_racing_writers(spark):
         writers[0].commit("four", rows(1))
         assert sum(pool.map(lambda w: w.compact(), writers)) >= 1
     assert totals(writers[0]) == {("a", "en", "v1"): (4, 14)}
+
+
+def test_folds_retire_what_they_replace(spark):
+    """Five batches and two folds leave one commit file; names stay known, also to a writer that comes late."""
+    r = rollup.Rollup(spark, f"{shared_dir(spark)}/{uuid.uuid4().hex}")
+    rows = lambda n: spark.createDataFrame([("a", "en", "v1", n, 1, 1)], KIND)
+    for i in range(3):
+        r.commit(f"b{i}", rows(i))
+    assert r.compact() and list(r.commits.all()) == ["fold-000000001"]
+    for i in range(3, 5):
+        r.commit(f"b{i}", rows(i))
+    assert len(r.commits.all()) == 3 and r.compact() and list(r.commits.all()) == ["fold-000000002"]
+    assert totals(r) == {("a", "en", "v1"): (5, 10)}
+    assert not any(r.commit(f"b{i}", rows(9)) for i in range(5)) and totals(r) == {("a", "en", "v1"): (5, 10)}
+    # a writer that looked for its batch before all this
+    sums = rows(9).select("source", "lang", "tokenizer_version", F.lit(1).cast("long").alias("n_docs"), "n_tokens")
+    assert r._put(r._name("b1"), sums, [], "b1") and r._put(r._name("b4"), sums, [], "b4")
+    assert totals(r) == {("a", "en", "v1"): (5, 10)} and not r.compact()
+    r.vacuum()
+    assert totals(r) == {("a", "en", "v1"): (5, 10)}
+    assert r.commit("b5", rows(1)) and r.compact() and totals(r) == {("a", "en", "v1"): (6, 11)}
+    assert list(r.commits.all()) == ["fold-000000003"] and not r.commit("b1", rows(1)) and not r.commit("b4", rows(1))
