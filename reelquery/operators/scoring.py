@@ -126,15 +126,15 @@ def episode_scores(hits: DataFrame, clip_sizes: DataFrame, w: W.Temporal = W.Tem
     return joined.withColumn("score", F.when(F.col("credit"), lowered).otherwise(total(w.normal)))
 
 
-def fused(first: DataFrame, second: DataFrame, score: str, weight: float, name: str = "fused", by: list[str] = KEY) -> DataFrame:
-    """``first`` with weight * score + (1 - weight) * the second table's ``score``, 0 where that has none. Keys
-    with nulls match."""
+def fused(first: DataFrame, second: DataFrame, score: str, weight: float, name: str = "fused", by: list[str] = KEY, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``first`` with weight * score + (1 - weight) * the second table's ``score``, 0 where that has none, and the second's
+    columns ``carry``. Keys with nulls match."""
     on = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in by]
     cond = on[0]
     for c in on[1:]:
         cond = cond & c
-    joined = first.alias("a").join(second.select(*by, score).alias("b"), cond, "left")
-    return joined.select("a.*", F.coalesce(F.col(f"b.{score}"), F.lit(0.0)).alias(f"_{score}")).withColumn(name, F.lit(weight) * F.col("score") + F.lit(round(1 - weight, 10)) * F.col(f"_{score}")).withColumnRenamed(f"_{score}", f"other_{score}")
+    joined = first.alias("a").join(second.select(*by, score, *carry).alias("b"), cond, "left")
+    return joined.select("a.*", *(f"b.{c}" for c in carry), F.coalesce(F.col(f"b.{score}"), F.lit(0.0)).alias(f"_{score}")).withColumn(name, F.lit(weight) * F.col("score") + F.lit(round(1 - weight, 10)) * F.col(f"_{score}")).withColumnRenamed(f"_{score}", f"other_{score}")
 
 
 def clip_ocr_scores(hits: DataFrame, texts: DataFrame, candidates: DataFrame, by: list[str] = KEY) -> DataFrame:

@@ -260,9 +260,8 @@ OCR_SQL = HITS_SQL + f", {TOKENS_SQL}, oc AS (SELECT h.*, coalesce({JACCARD_SQL}
 def ocr_episode_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = with_ocr(hits(frames(spark, sf_dir)), spark, sf_dir)
     by_text = scoring.ranked(rows, score="ocr").groupBy(*KEY).agg(scoring.top_mean(3, "ocr").alias("ocr_score"), F.count_if(F.coalesce("ocr_text", F.lit("")) != "").alias("frames_with_text"))
-    both = scoring.fused(scoring.image_scores(rows), by_text, "ocr_score", 0.80).withColumn("ocr_score", F.col("other_ocr_score"))
-    on = F.expr("a.query_id = b.query_id AND a.media_id <=> b.media_id AND a.season <=> b.season AND a.episode <=> b.episode")
-    return both.alias("a").join(by_text.alias("b"), on).select(*(f"a.{c}" for c in KEY), F.round("a.ocr_score", 6).alias("ocr_score"), "b.frames_with_text", F.round("a.fused", 6).alias("fused"))
+    both = scoring.fused(scoring.image_scores(rows), by_text, "ocr_score", 0.80, carry=("frames_with_text",))
+    return both.select(*KEY, F.round("other_ocr_score", 6).alias("ocr_score"), "frames_with_text", six("fused"))
 
 
 CREDIT_SQL = f"ca AS (SELECT doc_id, h, {CREDIT_A_SQL} AS credit FROM (SELECT doc_id, x, {credits('x')} AS h FROM ({CREDIT_TEXT_SQL})))"
