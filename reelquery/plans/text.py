@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from reelquery.functions import formats as fm, text as tx
 from reelquery.operators import metrics, scoring, subtitles as sub, temporal
@@ -289,27 +289,38 @@ def episode_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", season.alias("season"), episode.alias("episode"), fm.episode_numbers_strict("x")[0].alias("strict_season"))
 
 
-@query(f"SELECT event_id, event_id % 50 * 3600 + event_id % 60 * 60 + event_id % 59 + (event_id % 1000) / {d(1000)} AS seconds FROM events")
+#: An event's time of day in microseconds.
+DAY_SQL = "epoch_us(ts) % 86400000000"
+
+
+def _time_of_day() -> Column:
+    """By its fields, which don't hang on the session's time zone."""
+    clock = (F.hour("ts") * 3600 + F.minute("ts") * 60 + F.second("ts")).cast("long")
+    return clock * 1_000_000 + F.date_format("ts", "SSSSSS").cast("long")
+
+
+@query(f"SELECT event_id, {DAY_SQL} // 1000 / {d(1000)} AS seconds FROM events")
 def srt_timestamp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = F.col("event_id")
-    text = F.format_string("%02d:%02d:%02d,%03d", e % 50, e % 60, e % 59, e % 1000)
+    ms = F.floor(_time_of_day() / 1000)
+    text = F.format_string("%02d:%02d:%02d,%03d", F.floor(ms / 3_600_000), F.floor(ms / 60_000) % 60, F.floor(ms / 1000) % 60, ms % 1000)
     return table(spark, sf_dir, "events").select("event_id", fm.srt_seconds(text).alias("seconds"))
 
 
 CLOCK = "lpad(CAST(t // 3600 AS VARCHAR), 2, '0') || ':' || lpad(CAST(t % 3600 // 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(t % 60 AS VARCHAR), 2, '0')"
 
 
-@query(f"WITH v AS (SELECT event_id, CAST(event_id * 7 AS BIGINT) AS t, event_id % 4 * 25 AS h FROM events) SELECT event_id, {CLOCK} AS plain, {CLOCK} || '.' || lpad(CAST(h * 10 AS VARCHAR), 3, '0') AS millis, {CLOCK} || '.' || lpad(CAST(h AS VARCHAR), 2, '0') AS hundredths FROM v")
+@query(f"WITH v AS (SELECT event_id, {DAY_SQL} // 250000 // 4 AS t, {DAY_SQL} // 250000 % 4 * 25 AS h FROM events) SELECT event_id, {CLOCK} AS plain, {CLOCK} || '.' || lpad(CAST(h * 10 AS VARCHAR), 3, '0') AS millis, {CLOCK} || '.' || lpad(CAST(h AS VARCHAR), 2, '0') AS hundredths FROM v")
 def format_time(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.col("event_id") * 7 + (F.col("event_id") % 4) * 0.25
+    """Times of day, to a quarter of a second."""
+    t = F.floor(_time_of_day() / 250_000) / 4.0
     return table(spark, sf_dir, "events").select("event_id", fm.clock(t).alias("plain"), fm.clock_millis(t).alias("millis"), fm.clock_hundredths(t).alias("hundredths"))
 
 
-@query(f"SELECT event_id, CASE WHEN event_id % 100 >= 90 THEN 'Very High' WHEN event_id % 100 >= 80 THEN 'High' WHEN event_id % 100 >= 70 THEN 'Moderate' ELSE 'Low' END AS band, CASE WHEN event_id % 4 = 0 THEN coalesce(event_type, 'none') ELSE coalesce(event_type, 'none') || ' S' || lpad(CAST(event_id % 9 AS VARCHAR), 2, '0') || ' E' || lpad(CAST(event_id % 24 AS VARCHAR), 2, '0') END AS label FROM events")
+@query(f"SELECT event_id, CASE WHEN value - floor(value) >= {d(0.9)} THEN 'Very High' WHEN value - floor(value) >= {d(0.8)} THEN 'High' WHEN value - floor(value) >= {d(0.7)} THEN 'Moderate' ELSE 'Low' END AS band, CASE WHEN event_id % 4 = 0 THEN coalesce(event_type, 'none') ELSE coalesce(event_type, 'none') || ' S' || lpad(CAST(event_id % 9 AS VARCHAR), 2, '0') || ' E' || lpad(CAST(event_id % 24 AS VARCHAR), 2, '0') END AS label FROM events")
 def confidence_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.col("event_id")
     season = F.when(e % 4 != 0, e % 9)
-    return table(spark, sf_dir, "events").select("event_id", fm.confidence((e % 100) / 100.0).alias("band"), fm.display_name("event_type", season, e % 24, F.lit("none")).alias("label"))
+    return table(spark, sf_dir, "events").select("event_id", fm.confidence(F.col("value") - F.floor("value")).alias("band"), fm.display_name("event_type", season, e % 24, F.lit("none")).alias("label"))
 
 
 @query(f"SELECT event_id, CASE event_id % 5 WHEN 0 THEN {d(0)} WHEN 1 THEN {d(0)} ELSE (event_id % 97) / CAST(event_id % 5 AS DOUBLE) END AS fps, coalesce(TRY_CAST(CASE WHEN event_id % 3 = 0 THEN 'x' ELSE CAST(event_id AS VARCHAR) END AS DOUBLE), {d(-1)}) AS number FROM events")
@@ -319,9 +330,10 @@ def rational_and_safe_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", fm.rational(rate).alias("fps"), fm.safe_number(F.when(e % 3 == 0, "x").otherwise(e.cast("string")), -1.0).alias("number"))
 
 
-@query(f"SELECT event_id, list_transform(range(0, 5), lambda i: round(greatest(least(event_id % 7 / {d(2)}, {d(3)}) - {d(0.05)}, {d(0)}) * i / 4, 6)) AS times FROM events")
+@query(f"SELECT event_id, list_transform(range(0, 5), lambda i: round(greatest(least(abs(CAST(value AS DOUBLE)), {d(3)}) - {d(0.05)}, {d(0)}) * i / 4, 6)) AS times FROM events")
 def clip_sampling_times(spark: SparkSession, sf_dir: str) -> DataFrame:
-    times = temporal.clip_times((F.col("event_id") % 7) / F.lit(2.0), 5)
+    """Values stand for the lengths of clips."""
+    times = temporal.clip_times(F.abs(F.col("value").cast("double")), 5)
     return table(spark, sf_dir, "events").select("event_id", F.transform(times, lambda t: F.round(t, 6)).alias("times"))
 
 
