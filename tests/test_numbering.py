@@ -32,3 +32,16 @@ def test_a_group_runs_over_several_ranges(spark):
 
 def test_empty(spark):
     assert numbered(spark.range(0), [F.col("id")]).collect() == []
+
+
+def test_the_frame_table_follows_its_files(spark, tmp_path):
+    from reelquery.plans import base
+
+    rows = spark.range(40).select(F.col("id").alias("vec_id"), F.array(F.lit(1.0)).alias("embedding"), (F.col("id") % 3).cast("int").alias("label"))
+    path = f"file://{tmp_path}"
+    rows.filter("vec_id < 20").write.parquet(f"{path}/embeddings.parquet")
+    first = base.frames(spark, path)
+    assert first.count() == 20 and base.frames(spark, path).inputFiles() == first.inputFiles()
+    rows.write.mode("overwrite").parquet(f"{path}/embeddings.parquet")
+    got = {(r["media_id"], r["frame_no"], r["ts"]): r["vec_id"] for r in base.frames(spark, path).collect()}
+    assert len(got) == 40 and got["media_01", 3, 4.0] == 7 and got["media_00", 14, 26.0] == 39
