@@ -37,7 +37,7 @@ def against(rows: DataFrame, queries: DataFrame, search: Callable[[pa.Table, Ite
     empty = pa.schema([])
 
     def meet(part: pa.Table, asked: pa.Table) -> pa.Table:
-        found = list(search(asked, iter(part.to_batches()))) if len(asked) and len(part) else []
+        found = list(search(asked, iter(part.combine_chunks().to_batches()))) if len(asked) and len(part) else []
         return pa.Table.from_batches(found) if found else pa.Table.from_batches([], empty)
 
     return left.groupBy("_part", "_block").cogroup(right.groupBy("_part", "_block")).applyInArrow(meet, schema)

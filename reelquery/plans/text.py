@@ -150,23 +150,22 @@ bl AS (SELECT query_id, any_value(qn) AS qn, media_id, arg_max(sim, (sim, -s, -e
 bs AS (SELECT query_id, qn, media_id, line_score, CASE WHEN line_score > 0 THEN s0 END AS line_start FROM bl)"""
 
 
-def _lines(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Queries, entries and each item's best entry for each query."""
+def _lines(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Queries and entries."""
     en = entries(spark, sf_dir).withColumn("norm", tx.normalize_lower("text"))
     asked = en.filter((F.col("media_id") % QUERY == 0) & (F.length("norm") >= 8)).groupBy("media_id", (F.col("media_id") * 1000 + F.col("entry_no")).alias("query_id")).agg(F.min("norm").alias("norm"), F.min("start").alias("start"))
-    return asked, en, sub.best_lines(asked, en)
+    return asked, en
 
 
 @query(f"WITH {LINES_SQL} SELECT query_id, media_id, round(line_score, 6) AS line_score, line_start FROM bs")
 def subtitle_best_line(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _lines(spark, sf_dir)[2].select("query_id", "media_id", six("line_score"), "line_start")
+    return sub.best_lines(*_lines(spark, sf_dir)).select("query_id", "media_id", six("line_score"), "line_start")
 
 
 @query(f"""WITH {LINES_SQL.replace('CROSS JOIN nm m', 'JOIN nm m ON NOT (m.media_id = q.qm AND abs(m.s - q.qt) <= 15)')}, r AS (SELECT query_id, media_id, line_score FROM bs) SELECT query_id, media_id, round(line_score, 6) AS line_score FROM r""")
 def subtitle_best_line_apart(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same without entries of the query's own item within fifteen seconds of it."""
-    asked, en, _ = _lines(spark, sf_dir)
-    return sub.best_lines(asked, en, apart=15.0).select("query_id", "media_id", six("line_score"))
+    return sub.best_lines(*_lines(spark, sf_dir), apart=15.0).select("query_id", "media_id", six("line_score"))
 
 
 LINE_WINDOW_SQL = LINES_SQL + f""",
@@ -174,24 +173,23 @@ lw AS (SELECT b.query_id, b.media_id, any_value(b.qn) AS qn, {LOWER.format(x="st
 lr AS (SELECT b.query_id, b.media_id, {d(0.4)} * line_score + {d(0.6)} * CASE WHEN line_start IS NULL THEN {d(0)} ELSE {_similar('l.qn', 'l.w')} END AS score FROM bs b LEFT JOIN lw l ON b.query_id = l.query_id AND b.media_id = l.media_id)"""
 
 
-def _line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked, en, lines = _lines(spark, sf_dir)
-    lines = staged(lines, "best-lines")
-    points = lines.filter("line_start IS NOT NULL").select("media_id", F.round("line_start", 3).alias("t")).distinct()
-    around = temporal.window_text(points, en, 15.0, ["media_id", "t"], longest=3.0)
-    return sub.line_window_scores(lines, around.select("media_id", F.col("t").alias("line_start"), tx.normalize_lower("text").alias("norm")), asked)
+def _line_windows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Queries and entries with the text around each."""
+    asked, en = _lines(spark, sf_dir)
+    points = en.select("media_id", F.round("start", 3).alias("t")).distinct()
+    texts = temporal.window_text(points, en, 15.0, ["media_id", "t"], longest=3.0).select(F.col("media_id").alias("_m"), F.col("t").alias("_t"), tx.normalize_lower("text").alias("around"))
+    return asked, en.join(texts, (F.col("media_id") == F.col("_m")) & (F.round("start", 3) == F.col("_t")), "left").drop("_m", "_t")
 
 
 @query(f"WITH {LINE_WINDOW_SQL} SELECT query_id, media_id, round(score, 6) AS score FROM lr")
 def line_window_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _line_windows(spark, sf_dir).select("query_id", "media_id", six("score"))
+    return sub.line_window_scores(*_line_windows(spark, sf_dir)).select("query_id", "media_id", six("score"))
 
 
 @query(f"WITH {LINE_WINDOW_SQL}, p AS (SELECT query_id, media_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, media_id) AS r FROM lr), t AS (SELECT query_id, min(r) FILTER (media_id = query_id // 1000) AS tr FROM p GROUP BY query_id) SELECT count(*) AS queries, round(avg(CASE WHEN tr <= 1 THEN {d(1)} ELSE {d(0)} END), 6) AS top1, round(avg(CASE WHEN tr <= 3 THEN {d(1)} ELSE {d(0)} END), 6) AS top3, round(avg(CASE WHEN tr <= 5 THEN {d(1)} ELSE {d(0)} END), 6) AS top5, round(avg(coalesce({d(1)} / tr, 0)), 6) AS mrr FROM t")
 def subtitle_mrr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _line_windows(spark, sf_dir).withColumn("position", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "media_id")))
-    truth = rows.select("query_id").distinct().withColumn("media_id", F.floor(F.col("query_id") / 1000))
-    return metrics.accuracy(metrics.truth_ranks(truth, rows, ["media_id"])).select("queries", *(six(c) for c in ("top1", "top3", "top5", "mrr")))
+    ranks = sub.line_window_ranks(*_line_windows(spark, sf_dir), F.floor(F.col("query_id") / 1000))
+    return metrics.accuracy(ranks).select("queries", *(six(c) for c in ("top1", "top3", "top5", "mrr")))
 
 
 #: Candidates of a query frame meet the conversation of their number as their subtitles.
