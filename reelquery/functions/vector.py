@@ -23,4 +23,5 @@ def normalize(v: Column | str, zero: str = "keep", epsilon: float = 1e-12) -> Co
     v = F.col(v) if isinstance(v, str) else v
     n = norm(v)
     by = {"keep": F.when(n == 0, 1.0).otherwise(n), "null": F.when(n > 0, n), "floor": F.greatest(n, F.lit(epsilon)), "add": n + epsilon}[zero]
-    return F.when(by.isNotNull(), F.transform(v, lambda x: x.cast("double") / by))
+    # as an array, the length is found once a vector; inside the function it would be found for every component
+    return F.when(by.isNotNull(), F.zip_with(v, F.array_repeat(by, F.size(v)), lambda x, n: x.cast("double") / n))

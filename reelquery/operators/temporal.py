@@ -33,10 +33,10 @@ KEY_BYTES = 64 << 20
 
 def nearest_as_of(left: DataFrame, right: DataFrame, key: str, time: str, right_time: str, id_: str, key_rows: int | None = None) -> DataFrame:
     """``left`` with the right row of the same key that is nearest in time: _near_time and _near_id; the earlier
-    of two equally near, the smaller id of one time. One pass in time order instead of a comparison of
+    of two equally near, the smaller id of one time. Passes in time order instead of a comparison of
     all pairs. Left rows of keys that the right side lacks get nulls, so do those without a time.
 
-    Keys of at most ``key_rows`` rows, counted unless all rows are few by the planner's sizes, are passed through whole. If any has more, all rows are dealt by ranges of key and
+    Keys of at most ``key_rows`` rows, counted unless all rows are few by the planner's sizes, are passed through whole, once forward and once back. If any has more, all rows are dealt by ranges of key and
     time, the last and first point of each range are carried over to the ranges after and before, and
     each range is passed through on its own.
     """
@@ -52,7 +52,9 @@ def nearest_as_of(left: DataFrame, right: DataFrame, key: str, time: str, right_
         group, carried = ["_k", "_range"], _carried(both, point)
     order = Window.partitionBy(*group).orderBy("_t")
     before = F.coalesce(F.last(point, True).over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow)), F.col("_from"))
-    after = F.coalesce(F.first(point, True).over(order.rangeBetween(Window.currentRow, Window.unboundedFollowing)), F.col("_to"))
+    # a frame that ends at the last row is summed anew for each row, so what comes after is looked for in falling order
+    back = Window.partitionBy(*group).orderBy(F.desc("_t"))
+    after = F.coalesce(F.last(point, True).over(back.rangeBetween(Window.unboundedPreceding, Window.currentRow)), F.col("_to"))
     timed = F.col("_t").isNotNull()
     found = carried.withColumns({"_b": F.when(timed, before), "_a": F.when(timed, after)}).filter("_row IS NOT NULL")
     earlier = F.col("_a").isNull() | (F.col("_t") - F.col("_b")["_t"] <= F.col("_a")["_t"] - F.col("_t"))
