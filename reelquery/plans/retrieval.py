@@ -377,10 +377,10 @@ def sequence_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seq.sequence_rerank(clip_hits(frames(spark, sf_dir)), STEPS).select(*KEY, six("score"), F.round("other_sequence", 6).alias("sequence"), six("final"))
 
 
-def _printed(fr: DataFrame, found: DataFrame) -> DataFrame:
-    """Each query's clip frames against the fingerprints of the episodes among its hits."""
+def _printed(fr: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Each query's clip frames with the episodes among its hits, and fingerprints."""
     asked = clip_frames(fr).select("query_id", "step", normalize("embedding").alias("embedding")).join(found.select(*KEY).distinct(), "query_id")
-    return fp.matched(asked, fp.fingerprints(fr))
+    return asked, fp.fingerprints(fr)
 
 
 PRINTED_SQL = CLIP_SQL + f""",
@@ -398,7 +398,7 @@ lo AS (SELECT *, {d(0.6)} * max(sim) OVER a + {d(0.25)} * avg(sim) OVER a + {d(0
 @query(f"WITH {PRINTED_SQL} SELECT query_id, media_id, season, episode, step, vec_id, round(sim, 6) AS sim, round(local, 6) AS local FROM lo")
 def fingerprint_local(spark: SparkSession, sf_dir: str) -> DataFrame:
     fr = frames(spark, sf_dir)
-    return fp.local_scores(_printed(fr, clip_hits(fr))).select(*KEY, "step", "vec_id", six("sim"), six("local"))
+    return fp.local_scores(*_printed(fr, clip_hits(fr))).select(*KEY, "step", "vec_id", six("sim"), six("local"))
 
 
 EPISODE_FP_SQL = PRINTED_SQL + f""",
@@ -410,7 +410,7 @@ fs AS (SELECT query_id, media_id, season, episode, {d(0.35)} * max(sim) + {d(0.2
 @query(f"WITH {EPISODE_FP_SQL} SELECT query_id, media_id, season, episode, round(score, 6) AS score, time FROM fs")
 def fingerprint_episode(spark: SparkSession, sf_dir: str) -> DataFrame:
     fr = frames(spark, sf_dir)
-    return fp.fingerprint_scores(_printed(fr, clip_hits(fr))).select(*KEY, six("score"), "time")
+    return fp.fingerprint_scores(*_printed(fr, clip_hits(fr))).select(*KEY, six("score"), "time")
 
 
 @query(f"""WITH {EPISODE_FP_SQL}, vs AS (SELECT query_id, media_id, season, episode, {d(0.5)} * max(sim) + {d(0.3)} * avg(sim) FILTER (r <= 3) + {d(0.2)} * count(DISTINCT step) / any_value(clip_frames) AS visual FROM chits JOIN sizes USING (query_id) GROUP BY query_id, media_id, season, episode)
@@ -418,7 +418,7 @@ def fingerprint_episode(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fingerprint_fuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     fr = frames(spark, sf_dir)
     found = clip_hits(fr)
-    prints = fp.fingerprint_scores(_printed(fr, found)).withColumnRenamed("score", "fingerprint")
+    prints = fp.fingerprint_scores(*_printed(fr, found)).withColumnRenamed("score", "fingerprint")
     return scoring.fused(scoring.video_scores(found, clip_sizes(fr)), prints, "fingerprint", 0.80).select(*KEY, six("fused"))
 
 
@@ -428,7 +428,7 @@ def v3_fingerprint_fuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The episode score with the fingerprints' beside it."""
     fr = frames(spark, sf_dir)
     found = clip_hits(fr)
-    prints = fp.fingerprint_scores(_printed(fr, found)).withColumnRenamed("score", "fingerprint")
+    prints = fp.fingerprint_scores(*_printed(fr, found)).withColumnRenamed("score", "fingerprint")
     scores = scoring.episode_scores(with_ocr(found, spark, sf_dir), clip_sizes(fr), credit=F.lit(False))
     return scoring.fused(scores, prints, "fingerprint", 0.80).select(*KEY, six("fused"))
 
