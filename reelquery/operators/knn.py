@@ -29,7 +29,7 @@ def nearest(frames: DataFrame, queries: DataFrame, k: int, exclude_self: bool =
     return rows.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
 
-def _search(k: int, exclude_self: bool):
+def _search(k: int, exclude_self: bool, cells: int = 1 << 20):
     """Queries and batches of frames -> the top k of each query. It is sent to the workers whole, so that they
     needn't have this library."""
 
@@ -41,7 +41,8 @@ def _search(k: int, exclude_self: bool):
         names, q = queries["query_id"].to_numpy(), matrix(queries["embedding"])
         own = queries["self_id"].to_pandas().to_numpy("float64", na_value=np.nan)
         best, near = np.zeros((len(q), 0), "i8"), np.zeros((len(q), 0))
-        for part in (b.slice(at, 2048) for b in batches for at in range(0, b.num_rows, 2048)):
+        step = max(64, cells // max(1, len(q)))  # what is held beside the hits is the same for few and many queries
+        for part in (b.slice(at, step) for b in batches for at in range(0, b.num_rows, step)):
             ids = part["vec_id"].to_numpy()
             sims = q @ matrix(part["embedding"]).T
             sims[np.isnan(sims)] = -np.inf
