@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -10,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from reelquery.functions.vector import dot
 from reelquery.operators.blocks import against
+from reelquery.staging import hinted, staged
 
 FOUND = "query_id long, vec_id long, sim double"
 
@@ -63,12 +66,41 @@ def _search(k: int, exclude_self: bool, cells: int = 1 << 20):
     return search
 
 
+#: Queries that may be broadcast; components of a vector that are columns, as compiled code of more is left uncompiled.
+BROADCAST_QUERIES, COLUMNS = 100_000, 96
+
+
 def nearest_native(frames: DataFrame, queries: DataFrame, k: int, exclude_self: bool = True) -> DataFrame:
-    """The same with built-in expressions alone, for few queries; they are broadcast if the planner finds them small."""
-    pairs = frames.select("vec_id", "embedding").join(queries.select("query_id", "self_id", F.col("embedding").alias("_q")), (~F.col("vec_id").eqNullSafe(F.col("self_id"))) if exclude_self else F.lit(True))
-    scored = pairs.select("query_id", "vec_id", dot("_q", "embedding").alias("sim")).filter("sim IS NOT NULL")
+    """The same with built-in expressions alone, for few queries; they are broadcast if their stored table is small.
+
+    Components become columns, so that a product is compiled arithmetic, summed in array order. The k-th hit of each query among
+    a share of the frames is found first; of all pairs, only those that reach it are sorted.
+    """
+    frames, queries = (df.filter(F.forall("embedding", lambda x: x.isNotNull())) for df in (frames.select("vec_id", "embedding"), queries.select("query_id", "self_id", "embedding")))
+    sizes = sorted(r[0] for r in queries.select(F.size("embedding")).distinct().collect())  # vectors of other lengths have no product
+    parts = [_nearest_native(*(df.filter(F.size("embedding") == n) for df in (frames, queries)), n, k, exclude_self) for n in sizes]
+    found = reduce(DataFrame.unionAll, parts) if parts else frames.select(F.col("vec_id").alias("query_id"), "vec_id", F.lit(0.0).alias("sim")).limit(0)
     best = Window.partitionBy("query_id").orderBy(F.desc("sim"), "vec_id")
-    return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+
+
+def _nearest_native(frames: DataFrame, queries: DataFrame, n: int, k: int, exclude_self: bool) -> DataFrame:
+    """query_id, vec_id, sim: pairs of vectors of ``n`` components, among them each query's ``k`` best."""
+    if n <= COLUMNS:
+        each = lambda name: [F.coalesce(F.get("embedding", F.lit(i)).cast("double"), F.lit(0.0)).alias(f"_{name}{i}") for i in range(n)]
+        product = reduce(lambda s, i: s + F.col(f"_q{i}") * F.col(f"_f{i}"), range(n), F.lit(0.0))
+    else:
+        each, product = (lambda name: [F.col("embedding").alias(f"_{name}")]), dot("_q", "_f")
+    f = staged(frames.select("vec_id", *each("f")), "native-frames")
+    q = staged(queries.select("query_id", "self_id", *each("q")), "native-queries")
+    other = ~F.col("vec_id").eqNullSafe(F.col("self_id")) if exclude_self else F.lit(True)
+    of = max(1, math.isqrt(f.count() // k))
+    part = f.filter(F.pmod(F.xxhash64("vec_id"), F.lit(of)) == 0)
+    best = Window.partitionBy("query_id").orderBy(F.desc("sim"), "vec_id")
+    some = part.join(hinted(q, BROADCAST_QUERIES), other).select("query_id", product.alias("sim"), "vec_id").withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= k)
+    least = some.groupBy("query_id").agg(F.min("sim").alias("_least"), F.count("*").alias("_n")).filter(F.col("_n") >= k).select("query_id", "_least")
+    q = staged(q.join(least, "query_id", "left").withColumn("_least", F.coalesce("_least", F.lit(float("-inf")))), "native-least")
+    return f.join(hinted(q, BROADCAST_QUERIES), other & (product >= F.col("_least"))).select("query_id", "vec_id", product.alias("sim"))
 
 
 def nearest_in_group(frames: DataFrame, queries: DataFrame, k: int, by: str = "media_id", exclude_self: bool = True) -> DataFrame:
