@@ -19,6 +19,8 @@ from reelquery.staging import staged
 
 #: Vectors of a block.
 BLOCK = 64
+#: Products that one task holds at a time.
+CELLS = 1 << 20
 HITS = "query_id long, vec_id long, sim double"
 PAIRS = "query_id long, block long, n long, bound double"
 
@@ -56,7 +58,8 @@ def _bounds(first: int | None):
     def search(asked: pa.Table, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q, names = matrix(asked["embedding"]), asked["query_id"].to_numpy()
         length = np.sqrt((q * q).sum(1))[:, None]
-        for part in (b.slice(at, 1024) for b in batches for at in range(0, b.num_rows, 1024)):
+        step = max(16, CELLS // max(1, len(q)))
+        for part in (b.slice(at, step) for b in batches for at in range(0, b.num_rows, step)):
             n, c, r = part["n"].to_numpy(), matrix(part["centroid"]), part["radius"].to_numpy()[None]
             # products are rounded, so bounds are given some room
             bound = q @ c.T + length * r
@@ -73,27 +76,42 @@ def _bounds(first: int | None):
     return search
 
 
-def _opened(k: int, queries):
-    """Blocks with the ids of the queries that open them -> each query's k best of a batch."""
+def _opened(k: int, queries, cells: int):
+    """Blocks with the ids of the queries that open them (asked), or blocks that open for each query whose ``least`` their bound
+    reaches -> each query's k best of a task. Beside these, ``cells`` products are held."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, own, q = queries.value
-        for b in batches:
-            found: list[list[np.ndarray]] = [[np.zeros(0, "i8")], [np.zeros(0, "i8")], [np.zeros(0)]]
-            for ids, vectors, asked in zip(b["vec_ids"], b["vectors"], b["asked"], strict=True):
-                ids = ids.values.to_numpy()
-                x = vectors.values.flatten().to_numpy(zero_copy_only=False).astype("f8").reshape(len(ids), -1)
-                at = np.searchsorted(names, asked.values.to_numpy())
-                sims = q[at] @ x.T
-                row, column = np.nonzero(~np.isnan(sims) & (own[at][:, None] != ids[None]))
-                for out, new in zip(found, (names[at[row]], ids[column], sims[row, column]), strict=True):
-                    out.append(new)
-            who, ids, sims = map(np.concatenate, found)
+        names, own, q, least = queries.value
+        least, length = least.copy(), np.sqrt((q * q).sum(1))
+        none = np.zeros(0, "i8"), np.zeros(0, "i8"), np.zeros(0)
+        found, held = [none], 0
+
+        def best() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            who, ids, sims = (np.concatenate(x) for x in zip(*found, strict=True))
             order = np.lexsort((ids, -sims, who))
             who, ids, sims = who[order], ids[order], sims[order]
             starts = np.flatnonzero(np.diff(who, prepend=who[:1] - 1))
-            keep = np.arange(len(who)) - np.repeat(starts, np.diff(starts, append=len(who))) < k
-            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (who, ids, sims)], ["query_id", "vec_id", "sim"])
+            place = np.arange(len(who)) - np.repeat(starts, np.diff(starts, append=len(who)))
+            last = place == k - 1
+            least[who[last]] = np.maximum(least[who[last]], sims[last])
+            return who[place < k], ids[place < k], sims[place < k]
+
+        for b in batches:
+            for i in range(b.num_rows):
+                ids, c, r = b["vec_ids"][i].values.to_numpy(), b["centroid"][i].values.to_numpy(), b["radius"][i].as_py()
+                x = b["vectors"][i].values.flatten().to_numpy(zero_copy_only=False).astype("f8").reshape(len(ids), -1)
+                room = 1e-9 * length * (np.sqrt((c * c).sum()) + r)  # products are rounded
+                at = np.searchsorted(names, b["asked"][i].values.to_numpy()) if "asked" in b.schema.names else np.flatnonzero(q @ c + length * r + room >= least)
+                step = max(1, cells // len(ids))
+                for some in (at[lo : lo + step] for lo in range(0, len(at), step)):
+                    sims = q[some] @ x.T
+                    row, column = np.nonzero((sims >= (least - room)[some][:, None]) & (own[some][:, None] != ids[None]))
+                    found.append((some[row], ids[column], sims[row, column]))
+                    held += len(row)
+                    if held > cells:
+                        found, held = [best()], 0
+        who, ids, sims = best()
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (names[who].astype("i8"), ids, sims)], ["query_id", "vec_id", "sim"])
 
     return run
 
@@ -119,26 +137,29 @@ def _search(index: DataFrame, queries: DataFrame, k: int, exclude_self: bool) ->
     asked = queries.orderBy("query_id").toArrow()
     own = asked["self_id"].to_pandas().to_numpy("float64", na_value=np.nan) if exclude_self else np.full(len(asked), np.nan)
     vectors = asked["embedding"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype("f8")
-    shared = spark.sparkContext.broadcast((asked["query_id"].to_numpy(), own, vectors.reshape(len(asked), -1 if len(asked) else 0)))
+    names, vectors = asked["query_id"].to_numpy(), vectors.reshape(len(asked), -1 if len(asked) else 0)
     outlines = index.select("block", "n", "centroid", "radius")
     size, by = 8 * F.size("embedding") + 24, (F.col("block"), F.col("query_id"))
+    least = np.full(len(asked), float("-inf"))
 
-    def opened(pairs: DataFrame) -> DataFrame:
-        each = pairs.groupBy("block").agg(F.collect_list("query_id").alias("asked"))  # at most MOST ids
-        return index.select("block", "vec_ids", "vectors").join(each, "block").select("vec_ids", "vectors", "asked").mapInArrow(_opened(k, shared), HITS)
+    def opened(blocks: DataFrame, *asked_: str) -> DataFrame:
+        shared = spark.sparkContext.broadcast((names, own, vectors, least))
+        return index.join(blocks, "block").select("vec_ids", "vectors", "centroid", "radius", *asked_).mapInArrow(_opened(k, shared, CELLS), HITS)
 
     best = Window.partitionBy("query_id").orderBy(F.desc("sim"), "vec_id")
     top = lambda hits: hits.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
     need = k + 1 if exclude_self else k
     order = Window.partitionBy("query_id").orderBy(F.desc("bound"), "block")
     first = against(outlines, queries, _bounds(need), PAIRS, size, by)
-    first = staged(first.withColumn("_held", F.sum("n").over(order) - F.col("n")).filter(F.col("_held") < need).select("query_id", "block"), "index-first")
-    found = staged(top(opened(first)), "index-hits")
-    least = found.groupBy("query_id").agg(F.min("sim").alias("_least"), F.count("*").alias("_n"))
-    least = queries.join(least, "query_id", "left").select("query_id", "embedding", F.when(F.col("_n") >= k, F.col("_least")).otherwise(float("-inf")).alias("least"))
-    reached = against(outlines, least, _bounds(None), PAIRS, size, by).select("query_id", "block")
-    more = staged(reached.join(first, ["query_id", "block"], "left_anti"), "index-more")
-    hits = top(found.drop("rank").union(opened(more)))
+    first = staged(first.withColumn("_held", F.sum("n").over(order) - F.col("n")).filter(F.col("_held") < need).select("query_id", "block", "bound"), "index-first")
+    found = staged(top(opened(first.groupBy("block").agg(F.collect_list("query_id").alias("asked")), "asked")), "index-hits")  # at most MOST ids
+    beaten = found.groupBy("query_id").agg(F.min("sim").alias("least"), F.count("*").alias("_n")).filter(F.col("_n") >= k).toArrow()
+    least[np.searchsorted(names, beaten["query_id"].to_numpy())] = beaten["least"].to_numpy()
+    asked_again = staged(queries.join(spark.createDataFrame(pa.table({"query_id": names.astype("i8"), "least": least})), "query_id").select("query_id", "embedding", "least"), "index-least")
+    # pairs of queries and blocks aren't listed: the blocks that any query opens are, and each finds its queries when it is read
+    reached = against(outlines, asked_again, _bounds(None), PAIRS, size, by)
+    hits = top(opened(staged(reached.select("block").distinct(), "index-more")))
     total = index.count()
-    work = queries.select("query_id").join(first.union(more).groupBy("query_id").agg(F.count("*").alias("opened")), "query_id", "left")
+    looked = reached.select("query_id", F.lit(1).alias("o")).unionAll(first.join(asked_again.select("query_id", "least"), "query_id").filter("bound < least").select("query_id", F.lit(1)))
+    work = queries.select("query_id").join(looked.groupBy("query_id").agg(F.sum("o").alias("opened")), "query_id", "left")
     return hits, work.select("query_id", F.lit(total).alias("blocks"), F.coalesce("opened", F.lit(0)).alias("opened"))

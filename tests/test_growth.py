@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from reelquery import weights as W
 from reelquery.functions.vector import normalize
-from reelquery.operators import fingerprints as fp, knn, temporal
+from reelquery.operators import blockindex, fingerprints as fp, knn, temporal
 
 
 def test_nearest_as_of_sums_no_frame_anew_for_each_row(spark):
@@ -68,3 +68,46 @@ def test_fingerprints_around(spark, monkeypatch, cells):
     got = fp._met(q, p, w, best=True)
     assert {key(r): (r["vec_id"], (r["sim"], r["local"] if r["local"] is None else round(r["local"], 9))) for r in got.collect()} == {k: v[1:] for k, v in best.items()}
     assert "Window" not in got._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("size", [4, 100])
+def test_native_top_k_is_compiled_and_sorts_few_pairs(spark, size):
+    rng = random.Random(size)
+    vector = lambda n: [float(rng.randrange(-3, 4)) for _ in range(n)]
+    rows = [(i, vector(size)) for i in range(900)] + [(1000, None), (1001, [None, *vector(size - 1)]), (1002, vector(size + 1)), (1003, vector(2))]
+    f = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    q = f.filter("vec_id % 90 = 0 OR vec_id > 999").select(F.col("vec_id").alias("query_id"), F.when(F.col("vec_id") % 20 != 0, F.col("vec_id")).alias("self_id"), "embedding")
+    found = knn.nearest_native(f, q, 3)
+    own = {r["query_id"]: r["self_id"] for r in q.collect()}
+    want = set()
+    for i, v in rows:
+        if i in own and v is not None and None not in v:
+            sims = sorted((-sum(a * b for a, b in zip(v, x, strict=True)), j) for j, x in rows if x is not None and None not in x and len(x) == len(v) and j != own[i])[:3]
+            want |= {(i, j, -s, r + 1) for r, (s, j) in enumerate(sims)}
+    assert {(r["query_id"], r["vec_id"], r["sim"], r["rank"]) for r in found.collect()} == want
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "_least" in plan and (size > knn.COLUMNS or "lambda" not in plan)
+
+
+def test_opened_blocks_hold_few_products():
+    rng = np.random.default_rng(3)
+    queries = rng.normal(size=(500, 8))
+
+    class Shared:
+        value = np.arange(500), np.full(500, np.nan), queries, np.full(500, -np.inf)
+
+    vectors = rng.normal(size=(200, 64, 8))
+    lists = lambda x, kind: pa.array(x.tolist(), kind)
+    blocks = pa.RecordBatch.from_pydict({
+        "vec_ids": lists(np.arange(12_800).reshape(200, 64), pa.list_(pa.int64())),
+        "vectors": lists(vectors, pa.list_(pa.list_(pa.float64()))),
+        "centroid": lists(vectors.mean(1), pa.list_(pa.float64())),
+        "radius": pa.array(np.sqrt(((vectors - vectors.mean(1, keepdims=True)) ** 2).sum(2)).max(1)),
+    })
+    tracemalloc.start()
+    (found,) = blockindex._opened(5, Shared, 1 << 14)(iter([blocks]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    sims = queries @ vectors.reshape(-1, 8).T
+    got = np.lexsort((found["vec_id"].to_numpy(), -found["sim"].to_numpy(), found["query_id"].to_numpy()))
+    assert (found["vec_id"].to_numpy()[got].reshape(500, 5) == np.argsort(-sims, 1)[:, :5]).all() and peak < 20e6
