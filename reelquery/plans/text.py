@@ -9,7 +9,6 @@ from reelquery.operators import metrics, scoring, subtitles as sub, temporal
 from reelquery.operators.scoring import KEY
 from reelquery.plans.base import ENTRIES_SQL, FRAMES_SQL, QUERY, d, entries, frames, hits, six, table
 from reelquery.sources import frames as src, subtitles as subtitles_src
-from reelquery.staging import staged
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
